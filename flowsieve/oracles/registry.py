@@ -1,7 +1,8 @@
 """Query key -> DuckDB SQL."""
-from . import matching as M
+from . import cleaning, matching as M
 
 ORACLES = {
     "match_flows": M.match_flows(),
     "match_flows_large": M.match_flows_large(),
+    **cleaning.ORACLES,
 }

@@ -20,3 +20,136 @@ def q_match_flows_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 (lineitem) forward matching, 180-day tolerance."""
     return M.match_flows(S.f3_flows(spark, sf_dir), S.f3_labels(spark, sf_dir), S.F3_TOLERANCE_MS,
                          directions="forward", flow_ts="ts_ms")
+
+
+# --- label files and cleaning (S1, S2, C1-C11, C14, C15, P1) -------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import clean as C  # noqa: E402
+from ..functions.keys import with_flow_keys  # noqa: E402
+from ..functions.timecols import epoch_ms, from_epoch_ms  # noqa: E402
+from ..sources import files as IO  # noqa: E402
+from . import label_files as LF  # noqa: E402
+from .prepare_labels import prepare_labels  # noqa: E402
+
+
+def _label_paths(spark, sf_dir):
+    p = LF.write_label_files(spark, sf_dir)
+    return [p["utf8"], p["latin1"]]
+
+
+def q_csv_scan_labels(spark, sf_dir):
+    """The Latin-1 file read as strings with raw (unstripped) names."""
+    return IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir)["latin1"])
+
+
+def q_labels_concat(spark, sf_dir):
+    """Both files of a scenario, names stripped per file, union by name."""
+    return IO.read_label_csvs(spark, _label_paths(spark, sf_dir))
+
+
+def q_clean_columns(spark, sf_dir):
+    """Strip blanks around names (the UTF-8 file)."""
+    return C.clean_column_names(IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir)["utf8"]))
+
+
+def q_dedup_columns(spark, sf_dir):
+    """After stripping, ' Label' and 'Label' collide; the first is kept."""
+    raw = IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir)["latin1"])
+    return C.remove_duplicated_cols(C.clean_column_names(raw))
+
+
+def q_dedup_rows(spark, sf_dir):
+    """Distinct rows of the concatenated label files."""
+    return C.remove_duplicated_rows(IO.read_label_csvs(spark, _label_paths(spark, sf_dir)))
+
+
+def q_label_cleanup(spark, sf_dir):
+    """C1 -> C2 -> C3 -> C4 on the concatenated files."""
+    return C.dataset_cleanup(IO.read_label_csvs(spark, _label_paths(spark, sf_dir), strip_names=False))
+
+
+def q_rename_columns(spark, sf_dir):
+    """Standard five-tuple and label names."""
+    return C.rename_columns(IO.read_label_csvs(spark, _label_paths(spark, sf_dir)))
+
+
+def q_to_numeric(spark, sf_dir):
+    """C14: text to numbers, invalid text -> null."""
+    df = IO.read_label_csvs(spark, _label_paths(spark, sf_dir))
+    return df.select(F.col("Flow ID").alias("flow_id_text"),
+                     C.to_numeric("Source Port", "bigint").alias("src_port_num"),
+                     C.to_numeric("Timestamp", "double").alias("timestamp_num"),
+                     C.to_numeric("Flow ID", "double").alias("flow_id_num"))
+
+
+def q_drop_null_rows(spark, sf_dir):
+    """Rows without a time or a label are dropped."""
+    return C.drop_null_rows(IO.read_label_csvs(spark, _label_paths(spark, sf_dir)), ["Timestamp", "Label"])
+
+
+def q_prepare_labels(spark, sf_dir):
+    """The whole label preparation over both files."""
+    return prepare_labels(spark, _label_paths(spark, sf_dir))
+
+
+def q_parse_dayfirst(spark, sf_dir):
+    """Parse day-first 12-hour text (no repair)."""
+    raw = S.f4_raw(spark, sf_dir)
+    return raw.select("event_id", "raw_ts", C.parse_dayfirst("raw_ts").alias("parsed"))
+
+
+def q_repair_12h_clock(spark, sf_dir):
+    """Parse then move hours 1..5 to the afternoon; must restore the true minute."""
+    raw = S.f4_raw(spark, sf_dir)
+    rep = C.repair_12h_clock(C.parse_dayfirst("raw_ts"))
+    return raw.select("event_id", rep.alias("repaired"), "true_minute",
+                      (rep == F.col("true_minute")).alias("restored"))
+
+
+def q_shift_hours(spark, sf_dir):
+    """+3 h on the repaired time."""
+    raw = S.f4_raw(spark, sf_dir)
+    df = raw.select("event_id", C.repair_12h_clock(C.parse_dayfirst("raw_ts")).alias("Timestamp"))
+    return C.shift_hours(df, "Timestamp", 3)
+
+
+def q_epoch_ms(spark, sf_dir):
+    """Epoch milliseconds of event times."""
+    ev = S.table(spark, sf_dir, "events")
+    return ev.select("event_id", epoch_ms(ev, "ts").alias("ts_ms"))
+
+
+def q_from_epoch_ms(spark, sf_dir):
+    """C20: epoch milliseconds back to a wall-clock timestamp."""
+    lab = S.f2_labels(spark, sf_dir)
+    return lab.select("label_id", "ts_ms", from_epoch_ms("ts_ms").alias("ts"))
+
+
+def q_tag_dataset(spark, sf_dir):
+    """C11: provenance column."""
+    return C.tag_dataset(S.f2_labels(spark, sf_dir), "cicids2017")
+
+
+def q_flow_keys(spark, sf_dir):
+    """Forward and reverse keys of packets."""
+    return with_flow_keys(S.f1_packets(spark, sf_dir)).select("packet_id", "flow_key", "flow_key_rev")
+
+
+def q_replace_infinities(spark, sf_dir):
+    """+-inf and NaN become null in floating columns."""
+    li = S.table(spark, sf_dir, "lineitem")
+    df = li.select("l_orderkey", "l_linenumber",
+                   F.when(F.col("l_discount") == 0, F.lit(float("inf")))
+                    .otherwise(F.col("l_extendedprice") / F.col("l_discount")).alias("price_per_discount"),
+                   F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("tax"),
+                   F.when(F.col("l_quantity") < 2, F.lit(float("-inf")))
+                    .otherwise(F.col("l_quantity")).alias("qty"))
+    return C.replace_infinities(df)
+
+
+def q_log1p_feature(spark, sf_dir):
+    """ln(1 + x) of a feature."""
+    f5 = S.f5_features(spark, sf_dir)
+    return f5.select("p", "q", F.round(C.log1p("p"), 6).alias("log1p_p"),
+                     F.round(C.log1p("q"), 6).alias("log1p_q"))

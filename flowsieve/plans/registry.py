@@ -4,4 +4,23 @@ from . import queries as Q
 QUERIES = {
     "match_flows": Q.q_match_flows,
     "match_flows_large": Q.q_match_flows_large,
+    "csv_scan_labels": Q.q_csv_scan_labels,
+    "labels_concat": Q.q_labels_concat,
+    "clean_columns": Q.q_clean_columns,
+    "replace_infinities": Q.q_replace_infinities,
+    "dedup_columns": Q.q_dedup_columns,
+    "dedup_rows": Q.q_dedup_rows,
+    "label_cleanup": Q.q_label_cleanup,
+    "parse_dayfirst": Q.q_parse_dayfirst,
+    "epoch_ms": Q.q_epoch_ms,
+    "rename_columns": Q.q_rename_columns,
+    "repair_12h_clock": Q.q_repair_12h_clock,
+    "shift_hours": Q.q_shift_hours,
+    "tag_dataset": Q.q_tag_dataset,
+    "flow_keys": Q.q_flow_keys,
+    "to_numeric": Q.q_to_numeric,
+    "drop_null_rows": Q.q_drop_null_rows,
+    "log1p_feature": Q.q_log1p_feature,
+    "from_epoch_ms": Q.q_from_epoch_ms,
+    "prepare_labels": Q.q_prepare_labels,
 }
