@@ -1,8 +1,9 @@
 """Query key -> DuckDB SQL."""
-from . import cleaning, matching as M
+from . import cleaning, matching as M, reports
 
 ORACLES = {
     "match_flows": M.match_flows(),
     "match_flows_large": M.match_flows_large(),
     **cleaning.ORACLES,
+    **reports.ORACLES,
 }

@@ -153,3 +153,182 @@ def q_log1p_feature(spark, sf_dir):
     f5 = S.f5_features(spark, sf_dir)
     return f5.select("p", "q", F.round(C.log1p("p"), 6).alias("log1p_p"),
                      F.round(C.log1p("q"), 6).alias("log1p_q"))
+
+
+# --- reports, profiling, ordering (A1-A22, C22, C26, O4-O6) ------------------------------
+from ..functions.roles import split_features  # noqa: E402
+from ..operators import profile as P  # noqa: E402
+from ..operators import quality as QA  # noqa: E402
+from ..operators import sampling as SM  # noqa: E402
+
+
+def _matched(spark, sf_dir):
+    return q_match_flows(spark, sf_dir)
+
+
+def build_dataset(flows, labels, dataset_name, tolerance_ms, **kw):
+    """Match, keep labelled flows, tag the dataset."""
+    m = M.match_flows(flows, labels, tolerance_ms, **kw)
+    return C.tag_dataset(m.where(F.col("label").isNotNull()), dataset_name)
+
+
+def q_build_dataset(spark, sf_dir):
+    return build_dataset(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), "cicids2017",
+                         S.F2_TOLERANCE_MS)
+
+
+def q_label_distribution(spark, sf_dir):
+    return QA.value_counts(S.f5_features(spark, sf_dir), "label")
+
+
+def q_label_distribution_nulls(spark, sf_dir):
+    return QA.value_counts(_matched(spark, sf_dir), "label", dropna=False)
+
+
+def q_distinct_keys(spark, sf_dir):
+    return QA.distinct_count(S.f2_labels(spark, sf_dir), "flow_key")
+
+
+def q_key_ambiguity(spark, sf_dir):
+    return QA.key_ambiguity(S.f2_labels(spark, sf_dir))
+
+
+def q_conflict_detail(spark, sf_dir):
+    return QA.conflict_detail(S.f2_labels(spark, sf_dir))
+
+
+def q_flow_label_ratio(spark, sf_dir):
+    return QA.flow_label_ratio(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir))
+
+
+def q_label_counts_by_stage(spark, sf_dir):
+    return QA.label_counts_by_stage({"labels": S.f2_labels(spark, sf_dir),
+                                     "processed": q_build_dataset(spark, sf_dir)})
+
+
+def q_duration_histogram(spark, sf_dir):
+    return QA.duration_histogram(spark, S.f6_durations(spark, sf_dir), "flow_duration_us")
+
+
+def q_duration_range(spark, sf_dir):
+    return QA.duration_range(S.f6_durations(spark, sf_dir), "flow_duration_us")
+
+
+def q_null_percentage(spark, sf_dir):
+    return QA.null_percentage(S.f5_features(spark, sf_dir))
+
+
+def q_duplicate_row_count(spark, sf_dir):
+    return QA.duplicate_row_count(IO.read_label_csvs(spark, _label_paths(spark, sf_dir)))
+
+
+def q_match_rate(spark, sf_dir):
+    return QA.match_rate(_matched(spark, sf_dir))
+
+
+def q_table_profile(spark, sf_dir):
+    return QA.table_profile(S.table(spark, sf_dir, "events"))
+
+
+def q_describe_features(spark, sf_dir):
+    return P.describe(S.f5_features(spark, sf_dir))
+
+
+def q_feature_dispersion(spark, sf_dir):
+    return P.dispersion(S.f5_features(spark, sf_dir))
+
+
+def q_correlation_matrix(spark, sf_dir):
+    return P.correlation_matrix(S.f5_features(spark, sf_dir))
+
+
+def q_high_correlation_pairs(spark, sf_dir):
+    return P.high_correlation_pairs(S.f5_features(spark, sf_dir))
+
+
+def q_histogram(spark, sf_dir):
+    return P.histogram(S.f5_features(spark, sf_dir), bins=25)
+
+
+def q_histogram_by_label(spark, sf_dir):
+    return P.histogram(S.f5_features(spark, sf_dir), bins=10, log=True, by_label=True)
+
+
+def q_boxplot_stats(spark, sf_dir):
+    return P.boxplot_stats(S.f5_features(spark, sf_dir))
+
+
+def q_boxplot_by_label(spark, sf_dir):
+    return P.boxplot_stats(S.f5_features(spark, sf_dir), by_label=True)
+
+
+def q_unpivot_features(spark, sf_dir):
+    return P.unpivot_features(S.f5_features(spark, sf_dir), ids=["label"])
+
+
+def q_select_features(spark, sf_dir):
+    df = S.f5_features(spark, sf_dir)
+    numeric, categorical = split_features(df)
+    return df.select(*numeric, *categorical)
+
+
+def q_label_encode(spark, sf_dir):
+    return P.label_encode(S.f5_features(spark, sf_dir)).select("label", "label_code", "p")
+
+
+def q_mutual_information_binned(spark, sf_dir):
+    return P.mutual_information_binned(S.f5_features(spark, sf_dir))
+
+
+def q_top_features(spark, sf_dir):
+    return SM.top_features(q_mutual_information_binned(spark, sf_dir), k=15)
+
+
+def q_preview_rows(spark, sf_dir):
+    return SM.preview_rows(S.f2_flows(spark, sf_dir), 10, order_by=("flow_id",))
+
+
+def q_sample_fixed_n(spark, sf_dir):
+    li = S.table(spark, sf_dir, "lineitem")
+    return SM.sample_fixed_n(li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                       "l_returnflag"), 100_000, 42, ["l_orderkey", "l_linenumber"])
+
+
+def q_split_key_counts(spark, sf_dir):
+    """Label rows tagged with key multiplicity."""
+    return M.split_by_key_count(S.f2_labels(spark, sf_dir)).select(
+        "label_id", "flow_key", "key_count", "key_class")
+
+
+def q_semi_join_keys(spark, sf_dir):
+    """Flows whose key occurs among the label keys."""
+    return M.semi_join_keys(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir))
+
+
+def q_tolerance_sweep(spark, sf_dir):
+    return M.tolerance_sweep(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir))
+
+
+def _pass(spark, sf_dir, p):
+    m = _matched(spark, sf_dir)
+    return m.where(F.col("match_pass") == p).select("flow_id", "label")
+
+
+def q_match_unique_forward(spark, sf_dir):
+    """Flows labelled by unique keys in the forward direction."""
+    return _pass(spark, sf_dir, "uf")
+
+
+def q_match_unique_reverse(spark, sf_dir):
+    """Unique keys, reverse direction (flows the forward pass left unlabelled)."""
+    return _pass(spark, sf_dir, "ur")
+
+
+def q_match_duplicate_consensus(spark, sf_dir):
+    """Repeated keys, all forward candidates in tolerance agree."""
+    return _pass(spark, sf_dir, "df")
+
+
+def q_match_duplicate_reverse(spark, sf_dir):
+    """Repeated keys, reverse direction, unanimous."""
+    return _pass(spark, sf_dir, "dr")

@@ -23,4 +23,40 @@ QUERIES = {
     "log1p_feature": Q.q_log1p_feature,
     "from_epoch_ms": Q.q_from_epoch_ms,
     "prepare_labels": Q.q_prepare_labels,
+    "build_dataset": Q.q_build_dataset,
+    "label_distribution": Q.q_label_distribution,
+    "label_distribution_nulls": Q.q_label_distribution_nulls,
+    "distinct_keys": Q.q_distinct_keys,
+    "key_ambiguity": Q.q_key_ambiguity,
+    "conflict_detail": Q.q_conflict_detail,
+    "flow_label_ratio": Q.q_flow_label_ratio,
+    "label_counts_by_stage": Q.q_label_counts_by_stage,
+    "duration_histogram": Q.q_duration_histogram,
+    "duration_range": Q.q_duration_range,
+    "null_percentage": Q.q_null_percentage,
+    "duplicate_row_count": Q.q_duplicate_row_count,
+    "match_rate": Q.q_match_rate,
+    "table_profile": Q.q_table_profile,
+    "describe_features": Q.q_describe_features,
+    "feature_dispersion": Q.q_feature_dispersion,
+    "correlation_matrix": Q.q_correlation_matrix,
+    "high_correlation_pairs": Q.q_high_correlation_pairs,
+    "histogram": Q.q_histogram,
+    "histogram_by_label": Q.q_histogram_by_label,
+    "boxplot_stats": Q.q_boxplot_stats,
+    "boxplot_by_label": Q.q_boxplot_by_label,
+    "unpivot_features": Q.q_unpivot_features,
+    "select_features": Q.q_select_features,
+    "label_encode": Q.q_label_encode,
+    "mutual_information_binned": Q.q_mutual_information_binned,
+    "top_features": Q.q_top_features,
+    "preview_rows": Q.q_preview_rows,
+    "sample_fixed_n": Q.q_sample_fixed_n,
+    "split_key_counts": Q.q_split_key_counts,
+    "semi_join_keys": Q.q_semi_join_keys,
+    "match_unique_forward": Q.q_match_unique_forward,
+    "match_unique_reverse": Q.q_match_unique_reverse,
+    "match_duplicate_consensus": Q.q_match_duplicate_consensus,
+    "match_duplicate_reverse": Q.q_match_duplicate_reverse,
+    "tolerance_sweep": Q.q_tolerance_sweep,
 }
