@@ -332,3 +332,24 @@ def q_match_duplicate_consensus(spark, sf_dir):
 def q_match_duplicate_reverse(spark, sf_dir):
     """Repeated keys, reverse direction, unanimous."""
     return _pass(spark, sf_dir, "dr")
+
+
+# --- flow metering (M1-M3, M5) ------------------------------------------------------------
+from ..operators import metering as MT  # noqa: E402
+
+
+def q_meter_flows(spark, sf_dir):
+    """M1: packets of F1 grouped into flows, idle 6 h / active 24 h."""
+    return MT.meter_flows(S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
+
+
+def q_meter_expiration(spark, sf_dir):
+    """M2: flows per expiry reason (0 idle, 1 active)."""
+    return (q_meter_flows(spark, sf_dir).groupBy("expiration_id")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_flow_stats(spark, sf_dir):
+    """M3/M5: per-direction statistics, byte column as packet size."""
+    return MT.meter_flows(S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS,
+                          statistics=True, byte_col="bytes")

@@ -59,4 +59,7 @@ QUERIES = {
     "match_duplicate_consensus": Q.q_match_duplicate_consensus,
     "match_duplicate_reverse": Q.q_match_duplicate_reverse,
     "tolerance_sweep": Q.q_tolerance_sweep,
+    "meter_flows": Q.q_meter_flows,
+    "meter_expiration": Q.q_meter_expiration,
+    "flow_stats": Q.q_flow_stats,
 }

@@ -53,3 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as parquet in the shared folder and reading it back.
+
+    Unlike ``checkpoint()`` the result carries no partitioning claims from the
+    plan it came from, and any executor can re-read it after a loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
