@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.roles import split_features
 
 DIGITS = 6
-PAIR_CHUNK = 150
 
 
 def _num(df: DataFrame, features=None) -> list[str]:
@@ -73,38 +72,69 @@ def dispersion(df: DataFrame, features=None, digits: int = DIGITS) -> DataFrame:
                .orderBy(F.col("cv").desc_nulls_last()))
 
 
+def _pair_moments(df: DataFrame, feats: list[str]) -> DataFrame:
+    """Pairwise-complete moment sums per feature pair, in one scan.
+
+    Each task multiplies its Arrow batches as matrices (numpy): with ``X`` the
+    values (null -> 0, shifted by the column means) and ``M`` the presence mask,
+    ``M'M`` counts pair-complete rows, ``X'M`` and ``(X*X)'M`` give the sums of
+    one feature over the rows where the other is present, and ``X'X`` the cross
+    sums. Tasks emit one row per pair; a ``groupBy(pair)`` adds them up. The
+    shift (one cheap aggregate first) keeps the raw sums well conditioned.
+    """
+    import numpy as np
+    import pandas as pd
+
+    k = len(feats)
+    vals = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(feats)])
+    means = vals.agg(*[F.avg(f"f{i}").alias(f"f{i}") for i in range(k)]).first()
+    shift = np.array([0.0 if means[i] is None else float(means[i]) for i in range(k)])
+    iu, ju = np.triu_indices(k)
+
+    def moments(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64") - shift
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype("float64")
+            part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is None:
+            return
+        n, sa, saa, sab = acc
+        yield pd.DataFrame({"i": iu, "j": ju, "n": n[iu, ju], "sa": sa[iu, ju], "sb": sa[ju, iu],
+                            "saa": saa[iu, ju], "sbb": saa[ju, iu], "sab": sab[iu, ju]})
+
+    schema = "i long, j long, n double, sa double, sb double, saa double, sbb double, sab double"
+    sums = (vals.mapInPandas(moments, schema).groupBy("i", "j")
+                .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]))
+    names = F.array(*[F.lit(c) for c in feats])
+    return sums.select(F.element_at(names, F.col("i").cast("int") + 1).alias("feature_a"),
+                       F.element_at(names, F.col("j").cast("int") + 1).alias("feature_b"),
+                       "n", "sa", "sb", "saa", "sbb", "sab")
+
+
 def correlation_matrix(df: DataFrame, features=None, upper_only: bool = False,
                        digits: int = DIGITS) -> DataFrame:
     """Pearson r for feature pairs over pairwise-complete rows.
 
-    One aggregate job per chunk of pairs: ``covar_pop`` and ``var_pop`` of the
-    rows where both values are present; a zero variance gives null (never a
-    division error). Rows: ``feature_a, feature_b, r`` (``a <= b`` when
-    ``upper_only``, else both orders and the diagonal).
+    A zero variance gives null (never a division error). Rows: ``feature_a,
+    feature_b, r`` (``a <= b`` in column order when ``upper_only``, else both
+    orders and the diagonal).
     """
     feats = _num(df, features)
-    cols = {c: F.col(f"`{c}`").cast("double") for c in feats}
-    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i:]]
-    chunks = []
-    for k in range(0, len(pairs), PAIR_CHUNK):
-        part = pairs[k:k + PAIR_CHUNK]
-        exprs = []
-        for j, (a, b) in enumerate(part):
-            both = cols[a].isNotNull() & cols[b].isNotNull()
-            xa, xb = F.when(both, cols[a]), F.when(both, cols[b])
-            exprs.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                  F.covar_pop(xa, xb).alias("c"), F.var_pop(xa).alias("va"),
-                                  F.var_pop(xb).alias("vb")).alias(f"p{j}"))
-        wide = df.agg(*exprs)
-        chunks.append(wide.select(F.explode(F.array(*[F.col(f"p{j}") for j in range(len(part))])).alias("s"))
-                          .select("s.*"))
-    out = chunks[0]
-    for c in chunks[1:]:
-        out = out.unionByName(c)
-    r = F.when((F.col("va") > 0) & (F.col("vb") > 0),
-               F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
+    s = _pair_moments(df, feats)
+    n = F.col("n")
+    cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
+    va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
+    vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
+    # relative guard: a variance at rounding-noise level is a constant column
+    eps = 1e-12
+    ok = (n > 0) & (va > eps * F.col("saa") / n) & (vb > eps * F.col("sbb") / n)
+    r = F.when(ok, cov / F.sqrt(va * vb))
     r = F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
-    out = out.select("feature_a", "feature_b", F.round(r, digits).alias("r"))
+    out = s.select("feature_a", "feature_b", F.round(r, digits).alias("r"))
     if upper_only:
         return out
     mirror = out.where(F.col("feature_a") != F.col("feature_b")).select(
