@@ -99,9 +99,22 @@ def _prepare(flows: DataFrame, labels: DataFrame, flow_ts: str, label_ts: str):
     return flows, labels, f_ts, l_ts, integral
 
 
+def _scoped(c: str, scope) -> Column:
+    return F.concat(*[x for s in scope for x in (F.col(s).cast("string"), F.lit("\u001f"))], F.col(c))
+
+
+def _scope_keys(df: DataFrame, scope) -> DataFrame:
+    """Qualify keys by scope columns (e.g. scenario) so each scope is matched alone."""
+    q = lambda c: _scoped(c, scope)
+    out = {"flow_key": q("flow_key")}
+    if "flow_key_rev" in df.columns:
+        out["flow_key_rev"] = q("flow_key_rev")
+    return df.withColumns(out)
+
+
 def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
                  *, cardinality: str = "split", directions: str = "both",
-                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms") -> DataFrame:
+                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=()) -> DataFrame:
     """Label per distinct flow point ``(flow_key, ts)``.
 
     Returns ``flow_key, ts, label, match_pass, n_cand_f, n_cand_r`` where
@@ -117,6 +130,8 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
     if tol < 0:
         raise ValueError("tolerance must be >= 0")
     flows, labels, f_ts, l_ts, integral = _prepare(flows, labels, flow_ts, label_ts)
+    if scope:
+        flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
 
     # --- flows: valid rows -> key multiplicity -> distinct query points -----------
     fv = (flows.select("flow_key", "flow_key_rev", f_ts.alias("ts"))
@@ -229,14 +244,14 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
 def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
                 *, cardinality: str = "split", directions: str = "both",
                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms",
-                keep_diagnostics: bool = False) -> DataFrame:
+                keep_diagnostics: bool = False, scope=()) -> DataFrame:
     """All flows with their columns plus ``label`` and ``match_pass``.
 
     The label is a function of ``(flow_key, ts)``, so it is joined back on that
     pair: no row identity is needed and the wide flow table is shuffled once.
     """
     res = match_points(flows, labels, tolerance_ms, cardinality=cardinality,
-                       directions=directions, flow_ts=flow_ts, label_ts=label_ts)
+                       directions=directions, flow_ts=flow_ts, label_ts=label_ts, scope=scope)
     if not keep_diagnostics:
         res = res.drop("n_cand_f", "n_cand_r")
     res = res.withColumnsRenamed({"flow_key": "__mk", "ts": "__mt"})
@@ -244,8 +259,9 @@ def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
         flows = with_flow_keys(flows)
     base = flows.drop(*[c for c in ("label", "match_pass") if c in flows.columns])
     base = base.withColumn("__ts", numeric_ts(base, flow_ts))
-    cond = (base["flow_key"] == res["__mk"]) & (base["__ts"] == res["__mt"])
-    return base.join(res, cond, "left").drop("__mk", "__mt", "__ts")
+    base = base.withColumn("__fk", _scoped("flow_key", scope) if scope else F.col("flow_key"))
+    cond = (base["__fk"] == res["__mk"]) & (base["__ts"] == res["__mt"])
+    return base.join(res, cond, "left").drop("__mk", "__mt", "__ts", "__fk")
 
 
 def tolerance_sweep(flows: DataFrame, labels: DataFrame,

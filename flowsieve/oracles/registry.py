@@ -1,11 +1,12 @@
 """Query key -> DuckDB SQL."""
-from . import cleaning, matching as M, metering as MT, reports
+from . import cleaning, matching as M, metering as MT, pipeline, reports
 
 ORACLES = {
     "match_flows": M.match_flows(),
     "match_flows_large": M.match_flows_large(),
     **cleaning.ORACLES,
     **reports.ORACLES,
+    **pipeline.ORACLES,
     "meter_flows": MT.meter_flows(),
     "meter_expiration": MT.meter_expiration(),
     "flow_stats": MT.flow_stats(),

@@ -203,8 +203,8 @@ SELECT f.label, c.label_code, f.p FROM f5_features f LEFT JOIN c USING (label)""
     "top_features": f"SELECT * FROM ({MI_BINNED}) ORDER BY mi DESC NULLS LAST, feature LIMIT 15",
     "preview_rows": "WITH " + F2 + "\nSELECT * FROM f2_flows ORDER BY flow_id LIMIT 10",
     "sample_fixed_n": """
-SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem
-ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || '42') LIMIT 100000""",
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM lineitem
+ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || '42') LIMIT 100000""",
     "split_key_counts": "WITH " + F2 + """,
 k AS (SELECT flow_key, count(*) AS key_count FROM f2_labels WHERE flow_key IS NOT NULL GROUP BY flow_key)
 SELECT l.label_id, l.flow_key, k.key_count,

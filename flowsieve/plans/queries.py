@@ -166,10 +166,7 @@ def _matched(spark, sf_dir):
     return q_match_flows(spark, sf_dir)
 
 
-def build_dataset(flows, labels, dataset_name, tolerance_ms, **kw):
-    """Match, keep labelled flows, tag the dataset."""
-    m = M.match_flows(flows, labels, tolerance_ms, **kw)
-    return C.tag_dataset(m.where(F.col("label").isNotNull()), dataset_name)
+from .pipeline import build_dataset  # noqa: E402
 
 
 def q_build_dataset(spark, sf_dir):
@@ -288,10 +285,14 @@ def q_preview_rows(spark, sf_dir):
     return SM.preview_rows(S.f2_flows(spark, sf_dir), 10, order_by=("flow_id",))
 
 
+# (l_orderkey, l_linenumber) repeats in the driver data; with part and supplier it is unique.
+LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def q_sample_fixed_n(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
-    return SM.sample_fixed_n(li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                                       "l_returnflag"), 100_000, 42, ["l_orderkey", "l_linenumber"])
+    return SM.sample_fixed_n(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                       "l_extendedprice", "l_returnflag"), 100_000, 42, LINEITEM_KEY)
 
 
 def q_split_key_counts(spark, sf_dir):
@@ -353,3 +354,69 @@ def q_flow_stats(spark, sf_dir):
     """M3/M5: per-direction statistics, byte column as packet size."""
     return MT.meter_flows(S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS,
                           statistics=True, byte_col="bytes")
+
+
+# --- sources and the pipeline (S3, S5-S7, P2) ----------------------------------------------
+import uuid as _uuid  # noqa: E402
+
+from ..session import shared_dir as _shared_dir  # noqa: E402
+from .pipeline import dataset_pipeline  # noqa: E402
+
+DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
+                 "embeddings pages benchmark labels conversations").split()
+
+
+def q_parquet_scan_pruned(spark, sf_dir):
+    """S3: a column subset; only those columns reach the scan (ReadSchema)."""
+    return IO.load_parquet(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_returnflag"])
+
+
+def q_rows_per_file(spark, sf_dir):
+    """Row count per driver file."""
+    frames = [IO.rows_per_file(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in DRIVER_TABLES]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def q_merge_scenarios(spark, sf_dir):
+    """Scenario tables written separately (one lacks a column), merged by name."""
+    root = f"{_shared_dir(spark)}/scenarios-{_uuid.uuid4().hex}"
+    fl = S.f7_flows(spark, sf_dir)
+    for sc in S.F7_SCENARIOS:
+        part = fl.where(F.col("scenario") == sc).drop("scenario")
+        if sc == "monday":
+            part = part.drop("flow_key_rev")
+        IO.save_parquet(part, f"{root}/scenario={sc}")
+    return IO.merge_scenarios(spark, root)
+
+
+def q_merge_datasets(spark, sf_dir):
+    """Two datasets unioned with their names."""
+    return IO.merge_datasets({"cicids2017": S.f2_flows(spark, sf_dir),
+                              "lineitem_flows": S.f3_flows(spark, sf_dir).select(
+                                  F.col("l_orderkey").alias("flow_id"), "flow_key",
+                                  F.col("ts_ms").alias("bidirectional_first_seen_ms"))})
+
+
+def q_dataset_pipeline(spark, sf_dir):
+    """Five scenarios matched in one plan, written partitioned, merged back."""
+    return dataset_pipeline(S.f7_flows(spark, sf_dir), S.f7_labels(spark, sf_dir), "cicids2017",
+                            S.F2_TOLERANCE_MS)
+
+
+from ..operators.mutual_info import mutual_information_knn  # noqa: E402
+
+
+def q_mutual_information_knn(spark, sf_dir):
+    """K-NN mutual information on a seeded 100,000-row sample of F5."""
+    li = S.table(spark, sf_dir, "lineitem")
+    f5 = li.select(*LINEITEM_KEY, F.col("l_quantity").alias("q"),
+                   F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"),
+                   F.col("l_tax").alias("t"),
+                   (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
+                   F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("d_null"),
+                   F.lit(1.0).alias("const"), F.col("l_returnflag").alias("label"))
+    return mutual_information_knn(f5, ["q", "p", "d", "t", "net", "d_null", "const"],
+                                  sample_rows=100_000, seed=42, id_cols=LINEITEM_KEY)

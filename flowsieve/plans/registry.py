@@ -62,4 +62,10 @@ QUERIES = {
     "meter_flows": Q.q_meter_flows,
     "meter_expiration": Q.q_meter_expiration,
     "flow_stats": Q.q_flow_stats,
+    "parquet_scan_pruned": Q.q_parquet_scan_pruned,
+    "rows_per_file": Q.q_rows_per_file,
+    "merge_scenarios": Q.q_merge_scenarios,
+    "merge_datasets": Q.q_merge_datasets,
+    "dataset_pipeline": Q.q_dataset_pipeline,
+    "mutual_information_knn": Q.q_mutual_information_knn,
 }

@@ -114,3 +114,21 @@ def f6_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.when(F.col("event_id") % 50 == 0, F.lit(-1).cast("bigint"))
                      .otherwise((F.col("event_id") % 13) * F.pow(F.lit(10), F.col("event_id") % 9).cast("bigint"))
                      .alias("flow_duration_us"))
+
+
+# Scenario names (capture days) used for the F7 split.
+F7_SCENARIOS = ("friday", "monday", "thursday", "tuesday", "wednesday")
+
+
+def _scenario(id_col: str):
+    names = F.array(*[F.lit(s) for s in F7_SCENARIOS])
+    return F.element_at(names, (F.col(id_col) % 5).cast("int") + 1)
+
+
+def f7_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 flows with a scenario column (event id modulo 5)."""
+    return f2_flows(spark, sf_dir).withColumn("scenario", _scenario("flow_id"))
+
+
+def f7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f2_labels(spark, sf_dir).withColumn("scenario", _scenario("label_id"))
