@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import tag_dataset
 from ..operators.matching import match_flows
 from ..session import shared_dir
-from ..sources.files import merge_scenarios, save_parquet
+from ..sources.files import save_parquet
 
 
 def build_dataset(flows: DataFrame, labels: DataFrame, dataset_name: str, tolerance_ms: int,
@@ -30,4 +30,5 @@ def dataset_pipeline(flows: DataFrame, labels: DataFrame, dataset_name: str, tol
     built = build_dataset(flows, labels, dataset_name, tolerance_ms, scope=["scenario"], **kw)
     root = out_root or f"{shared_dir(flows.sparkSession)}/processed-{uuid.uuid4().hex}"
     save_parquet(built, root, partition_by=["dataset_name", "scenario"])
-    return merge_scenarios(flows.sparkSession, root)
+    # read back with the built schema: an empty result is an empty table, not an error
+    return flows.sparkSession.read.schema(built.schema).parquet(root)
