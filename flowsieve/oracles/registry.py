@@ -8,6 +8,8 @@ ORACLES = {
     **reports.ORACLES,
     **pipeline.ORACLES,
     "meter_flows": MT.meter_flows(),
+    # the stream must give exactly the batch result
+    "meter_flows_stream": MT.meter_flows(),
     "meter_expiration": MT.meter_expiration(),
     "flow_stats": MT.flow_stats(),
 }

@@ -420,3 +420,11 @@ def q_mutual_information_knn(spark, sf_dir):
                    F.lit(1.0).alias("const"), F.col("l_returnflag").alias("label"))
     return mutual_information_knn(f5, ["q", "p", "d", "t", "net", "d_null", "const"],
                                   sample_rows=100_000, seed=42, id_cols=LINEITEM_KEY)
+
+
+from ..streaming.metering import run_stream_to_table  # noqa: E402
+
+
+def q_meter_flows_stream(spark, sf_dir):
+    """M4: F1 packets replayed as a file stream and metered with state and timeouts."""
+    return run_stream_to_table(spark, S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)

@@ -68,4 +68,5 @@ QUERIES = {
     "merge_datasets": Q.q_merge_datasets,
     "dataset_pipeline": Q.q_dataset_pipeline,
     "mutual_information_knn": Q.q_mutual_information_knn,
+    "meter_flows_stream": Q.q_meter_flows_stream,
 }
