@@ -133,22 +133,25 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
     if scope:
         flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
 
-    # --- flows: valid rows -> key multiplicity -> distinct query points -----------
-    fv = (flows.select("flow_key", "flow_key_rev", f_ts.alias("ts"))
-               .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull()))
-    n_f = key_counts(fv, "flow_key", "n_f")
-    fq = (fv.select("flow_key", "flow_key_rev", "ts").distinct()
-            .join(n_f, "flow_key")
-            .withColumn("cls_f", F.when(F.col("n_f") > 1, REPEATED).otherwise(UNIQUE)))
-
-    # --- labels: multiplicity counts null-time rows too; points need a time ---------
-    lv = (labels.select("flow_key", l_ts.alias("ts"), F.col("label").cast("string").alias("label"))
-                .where(F.col("flow_key").isNotNull()))
-    n_l = key_counts(lv, "flow_key", "n_l")
-    points = (lv.where(F.col("ts").isNotNull())
+    # --- flows: valid rows -> distinct query points (with their row count) ----------
+    # The key multiplicity is summed from the points, so the flow input is read
+    # once here; the identical aggregate feeding both sides reuses one exchange.
+    fpts = (flows.select("flow_key", "flow_key_rev", f_ts.alias("ts"))
+                 .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
+                 .groupBy("flow_key", "flow_key_rev", "ts").agg(F.count(F.lit(1)).alias("c")))
+    n_f = fpts.groupBy("flow_key").agg(F.sum("c").alias("n_f"))
+    fq = (fpts.join(n_f, "flow_key")
+              .withColumn("cls_f", F.when(F.col("n_f") > 1, REPEATED).otherwise(UNIQUE)))
+
+    # --- labels: points (key, ts) incl. a null-time point per key, which counts as an
+    # occurrence of the key but never matches -------------------------------------------
+    lp = (labels.select("flow_key", l_ts.alias("ts"), F.col("label").cast("string").alias("label"))
+                .where(F.col("flow_key").isNotNull())
                 .groupBy("flow_key", "ts")
                 .agg(F.min("label").alias("l_min"), F.max("label").alias("l_max"),
-                     F.count("label").alias("n_lab"), F.count(F.lit(1)).alias("n_cand"))
+                     F.count("label").alias("n_lab"), F.count(F.lit(1)).alias("n_cand")))
+    n_l = lp.groupBy("flow_key").agg(F.sum("n_cand").alias("n_l"))
+    points = (lp.where(F.col("ts").isNotNull())
                 .join(n_l, "flow_key")
                 .select(F.col("flow_key").alias("jkey"), "ts", "l_min", "l_max", "n_lab", "n_cand",
                         F.when(F.col("n_l") > 1, REPEATED).otherwise(UNIQUE).alias("cls_l")))

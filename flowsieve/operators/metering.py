@@ -105,7 +105,8 @@ def _chain_starts(lp: DataFrame, sessions: DataFrame, active: int, checkpoint_ev
     sk = [*CONV, "sess"]
     jump = _next_points(lp, active)
     max_span = sessions.agg(F.max(F.col("last") - F.col("sess"))).first()[0] or 0
-    rounds = max(1, math.ceil(math.log2(max_span // active + 2)))
+    # a session of span s holds at most s // active + 1 flows; 2**rounds must cover them
+    rounds = max(1, math.ceil(math.log2(max_span // active + 1)))
     starts = sessions.select(*sk, F.col("sess").alias("ts"))
     # Each round reads the previous one twice; a written table keeps the plan flat.
     jump = materialize(jump, "meter-next")
