@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import split_features
+from .quantiles import quantile_columns
 
 DIGITS = 6
 
@@ -33,19 +34,19 @@ def describe(df: DataFrame, features=None, exact: bool = True, accuracy: int = 1
              digits: int = DIGITS) -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max per feature, one row each (A10).
 
-    ``exact=True``: linear-interpolated quartiles (``percentile``; its partial
-    aggregates hold one entry per distinct value). ``exact=False``: bounded-memory
-    quantile sketches (``percentile_approx``) for very large inputs.
+    ``exact=True``: linear-interpolated quartiles by distributed selection
+    (:mod:`.quantiles`, bounded memory per task). ``exact=False``: one pass of
+    ``percentile_approx`` sketches.
     """
     long = unpivot_features(df, features, drop_null=True)
     v = F.col("value")
-    if exact:
-        qs = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        qs = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
     agg = long.groupBy("feature").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), qs.alias("qs"), F.max(v).alias("max"))
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        *([] if exact else [F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("qs")]))
+    if exact:
+        qt = quantile_columns(long, ["feature"], [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
+        agg = agg.join(qt, "feature").withColumn("qs", F.array("q1", "q2", "q3")).drop("q1", "q2", "q3")
     # features whose values are all null still get a row
     names = unpivot_features(df, features).select("feature").distinct()
     agg = names.join(agg, "feature", "left")
@@ -190,11 +191,8 @@ def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: s
     ids = [label] if by_label else []
     long = unpivot_features(df, features, ids=ids, drop_null=True)
     keys = ["feature", *ids]
-    q = long.groupBy(*keys).agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
-        F.count(F.lit(1)).alias("n"))
-    q = q.select(*keys, "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                 F.col("qs")[2].alias("q3"))
+    q = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+             .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]), keys))
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")})
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
                        "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
