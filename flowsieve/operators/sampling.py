@@ -17,14 +17,33 @@ def top_features(scores: DataFrame, k: int = 15, score: str = "mi", threshold: f
     return scores.orderBy(F.col(score).desc_nulls_last(), "feature").limit(k)
 
 
-def sample_fixed_n(df: DataFrame, n: int, seed: int, id_cols) -> DataFrame:
+def sample_fixed_n(df: DataFrame, n: int, seed: int, id_cols=None) -> DataFrame:
     """Exactly n rows (or all, if fewer) without replacement, reproducible.
 
-    Rows are ranked by ``md5(id | seed)``; ``limit`` after ``orderBy`` runs as a
-    per-partition top-n followed by one merge of at most n rows per partition.
+    The sample is the n rows with the smallest ``md5(id | seed)``. Rather than
+    sorting everything (a top-n merge that would receive n rows from every
+    partition), rows are first filtered by a threshold on a 60-bit prefix of the
+    hash, chosen from the row count so that at least n rows pass (raised and
+    re-counted if not). Every row that fails the filter has a larger hash than
+    every row that passes, so the top-n of the survivors - about n rows in
+    total - is exactly the top-n of the table.
     """
+    cols = list(id_cols) if id_cols else df.columns
     parts = []
-    for c in id_cols:
+    for c in cols:
         parts += [F.col(c).cast("string"), F.lit("|")]
     h = F.md5(F.concat(*parts, F.lit(str(seed))))
-    return df.withColumn("__h", h).orderBy("__h").limit(n).drop("__h")
+    hashed = df.withColumn("__h", h).withColumn(
+        "__k", F.conv(F.substring("__h", 1, 15), 16, 10).cast("decimal(20,0)"))
+    total = df.count()
+    if total <= n:
+        return df
+    space = 16 ** 15
+    frac = min(1.0, n / total * 1.05 + 64 / total)
+    while True:
+        cut = min(space, int(space * frac) + 1)
+        kept = hashed.where(F.col("__k") < F.lit(cut))
+        if cut >= space or kept.count() >= n:
+            break
+        frac = min(1.0, frac * 1.5)
+    return kept.orderBy("__h").limit(n).drop("__h", "__k")
