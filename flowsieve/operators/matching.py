@@ -112,11 +112,14 @@ def _scope_keys(df: DataFrame, scope) -> DataFrame:
     return df.withColumns(out)
 
 
-def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
+def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
                  *, cardinality: str = "split", directions: str = "both",
                  flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=()) -> DataFrame:
     """Label per distinct flow point ``(flow_key, ts)``.
 
+    ``tolerance_ms`` is one tolerance, or a ``{name: ms}`` dict answered in the
+    same shuffle (then ``tolerance`` and ``tolerance_ms`` columns are added).
+
     Returns ``flow_key, ts, label, match_pass, n_cand_f, n_cand_r`` where
     ``match_pass`` is ``uf``/``ur``/``df``/``dr`` (unique or repeated flow key,
     forward or reverse) and the ``n_cand_*`` columns count class-compatible label
@@ -126,9 +129,11 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
         raise ValueError("cardinality must be 'split' or 'any'")
     if directions not in ("both", "forward"):
         raise ValueError("directions must be 'both' or 'forward'")
-    tol = int(tolerance_ms)
-    if tol < 0:
-        raise ValueError("tolerance must be >= 0")
+    multi = dict(tolerance_ms) if isinstance(tolerance_ms, dict) else None
+    tols = list(multi.items()) if multi is not None else [(None, tolerance_ms)]
+    tols = [(n, int(ms)) for n, ms in tols]
+    if not tols or any(ms < 0 for _, ms in tols):
+        raise ValueError("tolerances must be >= 0")
     flows, labels, f_ts, l_ts, integral = _prepare(flows, labels, flow_ts, label_ts)
     if scope:
         flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
@@ -167,39 +172,52 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
            .where(F.col("d").isNotNull())
            .select("qkey", "t", "cls_f", "d.dir", "d.jkey"))
 
-    if tol == 0:
-        parts = [("W", F.col("t"), F.col("t"))]
-        p_cell = F.col("ts")
-    else:
-        c0 = _floor_div(F.col("t") - F.lit(tol), tol, integral)
-        parts = [("S", c0, F.col("t") - F.lit(tol)),
-                 ("W", c0 + 1, F.col("t")),
-                 ("P", c0 + 2, F.col("t") + F.lit(tol))]
-        p_cell = _floor_div(F.col("ts"), tol, integral)
-    probes = q.select("qkey", "t", "cls_f", "dir", "jkey",
-                      F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("cell"),
-                                                   pos.cast(q.schema["t"].dataType).alias("pos"))
-                                          for k, c, pos in parts])).alias("p"))
+    # --- one (tid, tol) per requested tolerance: all are answered by one shuffle -----
+    tol_arr = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(ms).cast("bigint").alias("tol"))
+                        for i, (_, ms) in enumerate(tols)])
+    width = F.greatest(F.col("tol"), F.lit(1))
+
+    def cell_of(c):
+        if integral:
+            return ((c - F.pmod(c, width)) / width).cast("bigint")
+        return F.floor(c / width).cast("double")
+
+    t_type = q.schema["t"].dataType
+    cell_type = "bigint" if integral else "double"
+
+    def part(kind, cell, pos):
+        return F.struct(F.lit(kind).alias("kind"), cell.cast(cell_type).alias("cell"),
+                        pos.cast(t_type).alias("pos"))
+
+    t, tl = F.col("t"), F.col("tol")
+    c0 = cell_of(t - tl)
+    parts = F.when(tl == 0, F.array(part("W", t, t))).otherwise(
+        F.array(part("S", c0, t - tl), part("W", c0 + 1, t), part("P", c0 + 2, t + tl)))
+    probes = (q.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol")
+               .select("qkey", "t", "cls_f", "dir", "jkey", "tid", F.explode(parts).alias("p")))
     null_str, null_long, null_int = (F.lit(None).cast("string"), F.lit(None).cast("bigint"),
                                      F.lit(None).cast("int"))
     probe_rows = probes.select(
-        "jkey", "p.cell", "p.pos", "p.kind", "qkey", "t", "cls_f", "dir",
+        "tid", "jkey", "p.cell", "p.pos", "p.kind", "qkey", "t", "cls_f", "dir",
         null_str.alias("l_min"), null_str.alias("l_max"), null_long.alias("n_lab"),
         null_long.alias("n_cand"), null_int.alias("cls_l"))
-    point_rows = points.select(
-        "jkey", p_cell.alias("cell"), F.col("ts").alias("pos"), F.lit("L").alias("kind"),
+    pts = points.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol")
+    point_rows = pts.select(
+        "tid", "jkey",
+        F.when(F.col("tol") == 0, F.col("ts")).otherwise(cell_of(F.col("ts"))).cast(cell_type).alias("cell"),
+        F.col("ts").alias("pos"), F.lit("L").alias("kind"),
         null_str.alias("qkey"), F.col("ts").alias("t"), null_int.alias("cls_f"),
         null_str.alias("dir"), "l_min", "l_max", "n_lab", "n_cand", "cls_l")
     rows = point_rows.unionByName(probe_rows)
 
-    part = Window.partitionBy("jkey", "cell")
+    part_w = Window.partitionBy("tid", "jkey", "cell")
     frames = {
-        "P": part.orderBy(F.col("pos").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
-        "S": part.orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
-        "W": part,
+        "P": part_w.orderBy(F.col("pos").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
+        "S": part_w.orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
+        "W": part_w,
     }
-    if tol == 0:
-        frames = {"W": part}
+    if all(ms == 0 for _, ms in tols):
+        frames = {"W": part_w}
 
     def pick(agg, col):
         expr = None
@@ -209,7 +227,7 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
         return expr
 
     answered = (rows.select(
-        "kind", "qkey", "t", "cls_f", "dir",
+        "kind", "qkey", "t", "tid", "cls_f", "dir",
         pick(F.min, "l_min").alias("l_min"), pick(F.max, "l_max").alias("l_max"),
         pick(F.sum, "n_lab").alias("n_lab"), pick(F.sum, "n_cand").alias("n_cand"),
         pick(F.max, "cls_l").alias("cls_l"))
@@ -218,7 +236,7 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
     def by_dir(agg, col, d):
         return agg(F.when(F.col("dir") == d, F.col(col)))
 
-    per_point = answered.groupBy("qkey", "t").agg(
+    per_point = answered.groupBy("qkey", "t", "tid").agg(
         F.max("cls_f").alias("cls_f"),
         *[e for d in ("F", "R") for e in (
             by_dir(F.min, "l_min", d).alias(f"mn_{d}"), by_dir(F.max, "l_max", d).alias(f"mx_{d}"),
@@ -235,8 +253,12 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
         return same_class(d) & (F.col(f"nl_{d}") > 0) & (F.col(f"mn_{d}") == F.col(f"mx_{d}"))
 
     prefix = F.when(F.col("cls_f") == UNIQUE, F.lit("u")).otherwise(F.lit("d"))
+    named = multi is not None
+    tol_cols = ([F.element_at(F.array(*[F.lit(n) for n, _ in tols]), F.col("tid") + 1).alias("tolerance"),
+                 F.element_at(F.array(*[F.lit(ms).cast("bigint") for _, ms in tols]), F.col("tid") + 1)
+                  .alias("tolerance_ms")] if named else [])
     return per_point.select(
-        F.col("qkey").alias("flow_key"), F.col("t").alias("ts"),
+        F.col("qkey").alias("flow_key"), F.col("t").alias("ts"), *tol_cols,
         F.when(ok("F"), F.col("mn_F")).when(ok("R"), F.col("mn_R")).alias("label"),
         F.when(ok("F"), F.concat(prefix, F.lit("f")))
          .when(ok("R"), F.concat(prefix, F.lit("r"))).alias("match_pass"),
@@ -269,28 +291,23 @@ def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
 
 def tolerance_sweep(flows: DataFrame, labels: DataFrame,
                     tolerances: dict[str, int] | None = None, **kw) -> DataFrame:
-    """Labelled and candidate flow counts per named tolerance.
+    """Labelled flows and flows with candidates per named tolerance.
 
-    Each tolerance is an independent plan over the same inputs; they share scans
-    and Catalyst reuses exchanges of identical sub-plans.
+    All tolerances are answered in one plan (one shuffle of label points and
+    probes, tagged by tolerance); counts weight each flow point by its rows.
     """
     tolerances = tolerances or TIME_TOLERANCES
-    out = None
-    for name, tol in tolerances.items():
-        m = match_points(flows, labels, tol, **kw)
-        fv = flows if "flow_key" in flows.columns else with_flow_keys(flows)
-        ts_col = kw.get("flow_ts", FLOW_TS)
-        counts = (fv.select("flow_key", numeric_ts(fv, ts_col).alias("ts"))
-                    .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
-                    .groupBy("flow_key", "ts").agg(F.count(F.lit(1)).alias("w")))
-        agg = (counts.join(m, ["flow_key", "ts"])
-               .agg(F.sum(F.when(F.col("label").isNotNull(), F.col("w")).otherwise(0)).cast("bigint").alias("labelled"),
-                    F.sum(F.when((F.col("n_cand_f") + F.col("n_cand_r")) > 0, F.col("w")).otherwise(0))
-                     .cast("bigint").alias("with_candidates"))
-               .select(F.lit(name).alias("tolerance"), F.lit(tol).cast("bigint").alias("tolerance_ms"),
-                       "labelled", "with_candidates"))
-        out = agg if out is None else out.unionByName(agg)
-    return out
+    m = match_points(flows, labels, dict(tolerances), **kw)
+    fv = flows if "flow_key" in flows.columns else with_flow_keys(flows)
+    ts_col = kw.get("flow_ts", FLOW_TS)
+    counts = (fv.select("flow_key", numeric_ts(fv, ts_col).alias("ts"))
+                .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
+                .groupBy("flow_key", "ts").agg(F.count(F.lit(1)).alias("w")))
+    return (counts.join(m, ["flow_key", "ts"])
+            .groupBy("tolerance", "tolerance_ms")
+            .agg(F.sum(F.when(F.col("label").isNotNull(), F.col("w")).otherwise(0)).cast("bigint").alias("labelled"),
+                 F.sum(F.when((F.col("n_cand_f") + F.col("n_cand_r")) > 0, F.col("w")).otherwise(0))
+                  .cast("bigint").alias("with_candidates")))
 
 
 def semi_join_keys(df: DataFrame, keys: DataFrame, key: str = "flow_key") -> DataFrame:
