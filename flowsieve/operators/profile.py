@@ -216,7 +216,7 @@ def label_encode(df: DataFrame, label: str = "label", out: str = "label_code") -
     is joined on the class name.
     """
     classes = df.select(label).where(F.col(label).isNotNull()).distinct()
-    codes = classes.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).alias(out))
+    codes = classes.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("bigint").alias(out))
     return df.join(codes, label, "left")
 
 

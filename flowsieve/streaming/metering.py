@@ -25,11 +25,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.metering import CONV, canonical
 from ..session import shared_dir
 
-OUT_SCHEMA = ("src_ip string, dst_ip string, src_port int, dst_port int, protocol int, "
+OUT_SCHEMA = ("src_ip string, dst_ip string, src_port long, dst_port long, protocol int, "
               "bidirectional_first_seen_ms long, bidirectional_last_seen_ms long, "
               "bidirectional_duration_ms long, bidirectional_packets long, bidirectional_bytes long, "
               "expiration_id int")
-STATE_SCHEMA = ("start long, last long, src_ip string, dst_ip string, src_port int, dst_port int, "
+STATE_SCHEMA = ("start long, last long, src_ip string, dst_ip string, src_port long, dst_port long, "
                 "protocol int, packets long, bytes long")
 
 

@@ -48,14 +48,28 @@ def rows_of(cols, tuples, digits):
     return Counter(tuple(_norm(r[i], digits) for i in order) for r in tuples)
 
 
+# Spark type name -> DuckDB type name, for the schema part of the comparison.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+              "smallint": "SMALLINT", "date": "DATE"}
+
+
 def compare(spark_df, con, sql, digits=6):
     got_cols = spark_df.columns
+    got_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                 for f in spark_df.schema.fields}
     got = [tuple(r) for r in spark_df.collect()]
+    rel = con.sql(sql)
+    exp_types = {n: str(t) for n, t in zip(rel.columns, rel.types)}
     res = con.execute(sql)
     exp_cols = [d[0] for d in res.description]
     exp = res.fetchall()
     out = {"spark_rows": len(got), "oracle_rows": len(exp),
-           "cols_match": sorted(got_cols) == sorted(exp_cols)}
+           "cols_match": sorted(got_cols) == sorted(exp_cols),
+           "types_match": got_types == exp_types}
+    if not out["types_match"]:
+        out["type_diff"] = {n: (got_types.get(n), exp_types.get(n))
+                            for n in set(got_types) | set(exp_types) if got_types.get(n) != exp_types.get(n)}
     if not out["cols_match"]:
         out["spark_cols"], out["oracle_cols"] = sorted(got_cols), sorted(exp_cols)
         out["values_match"] = False

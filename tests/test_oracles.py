@@ -20,6 +20,7 @@ def test_query_matches_oracle(spark, con, name):
     assert r["cols_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
+    assert r["types_match"], r
 
 
 def test_every_query_has_oracle_or_reason():
