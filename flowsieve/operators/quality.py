@@ -131,10 +131,15 @@ def duration_range(df: DataFrame, col: str) -> DataFrame:
 
 
 def null_percentage(df: DataFrame) -> DataFrame:
-    """Share of null cells per column in one pass, as rows."""
-    wide = df.agg(*[F.round(F.avg(F.col(f"`{c}`").isNull().cast("int")) * 100.0, 6).alias(c)
-                    for c in df.columns])
-    return wide.unpivot([], df.columns, "column_name", "null_pct")
+    """Share of null cells per column in one pass, as rows.
+
+    One ``count(col)`` per column plus one row count: a single buffer field per
+    column keeps wide tables inside whole-stage code generation.
+    """
+    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    long = wide.unpivot(["__n"], df.columns, "column_name", "non_null")
+    return long.select("column_name", F.round(F.try_divide((F.col("__n") - F.col("non_null")) * 100.0,
+                                                           F.col("__n")), 6).alias("null_pct"))
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
