@@ -39,18 +39,19 @@ def digamma(c: Column) -> Column:
 
 
 def _jitter(long: DataFrame, seed: int) -> DataFrame:
-    stats = long.groupBy("feature").agg(F.stddev_pop("x").alias("sd"))
-    scaled = (long.join(stats, "feature")
-                  .withColumn("x", F.when(F.col("sd") > 0, F.col("x") / F.col("sd")).otherwise(F.col("x"))))
-    mabs = scaled.groupBy("feature").agg(F.avg(F.abs("x")).alias("mabs"))
+    # one aggregate gives both the scale and mean|x / sd| = mean|x| / sd
+    stats = long.groupBy("feature").agg(F.stddev_pop("x").alias("sd"), F.avg(F.abs("x")).alias("mabs"))
+    sd_ok = F.col("sd") > 0
     h1 = F.xxhash64("__row", "feature", F.lit(seed), F.lit(1))
     h2 = F.xxhash64("__row", "feature", F.lit(seed), F.lit(2))
     u1 = (F.pmod(h1, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     u2 = (F.pmod(h2, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)   # Box-Muller
-    return (scaled.join(mabs, "feature")
-                  .withColumn("x", F.col("x") + F.lit(1e-10) * F.greatest(F.lit(1.0), F.col("mabs")) * z)
-                  .drop("sd", "mabs"))
+    x = F.when(sd_ok, F.col("x") / F.col("sd")).otherwise(F.col("x"))
+    mabs = F.when(sd_ok, F.col("mabs") / F.col("sd")).otherwise(F.col("mabs"))
+    return (long.join(stats, "feature")
+                .withColumn("x", x + F.lit(1e-10) * F.greatest(F.lit(1.0), mabs) * z)
+                .drop("sd", "mabs"))
 
 
 def _kth_distance(k_max: int) -> dict[int, Column]:
