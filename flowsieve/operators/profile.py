@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import split_features
+from ..session import ship_package
 from .quantiles import quantile_columns
 
 DIGITS = 6
@@ -86,6 +87,7 @@ def _pair_moments(df: DataFrame, feats: list[str]) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    ship_package(df.sparkSession)
     k = len(feats)
     vals = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(feats)])
     means = vals.agg(*[F.avg(f"f{i}").alias(f"f{i}") for i in range(k)]).first()

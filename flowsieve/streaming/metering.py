@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.metering import CONV, canonical
-from ..session import shared_dir
+from ..session import ship_package, shared_dir
 
 OUT_SCHEMA = ("src_ip string, dst_ip string, src_port long, dst_port long, protocol int, "
               "bidirectional_first_seen_ms long, bidirectional_last_seen_ms long, "
@@ -88,6 +88,7 @@ _COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 def meter_flows_stream(packets_stream: DataFrame, idle_ms: int, active_ms: int,
                        watermark: str = "0 seconds") -> DataFrame:
     """Streaming DataFrame of closed flows (append mode)."""
+    ship_package(packets_stream.sparkSession)
     s = (canonical(packets_stream)
          .withColumn("event_time", F.timestamp_millis("ts_ms"))
          .withWatermark("event_time", watermark))
