@@ -5,10 +5,28 @@ grows with the data.
 """
 from __future__ import annotations
 
+import uuid as _uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import clean as C
+from ..functions.keys import with_flow_keys
+from ..functions.roles import split_features
+from ..functions.timecols import epoch_ms, from_epoch_ms
 from ..operators import matching as M
+from ..operators import metering as MT
+from ..operators import profile as P
+from ..operators import quality as QA
+from ..operators import sampling as SM
+from ..operators.mutual_info import mutual_information_knn
+from ..session import shared_dir as _shared_dir
+from ..sources import files as IO
+from ..streaming.metering import run_stream_to_table
+from . import label_files as LF
 from . import standins as S
+from .pipeline import build_dataset, dataset_pipeline
+from .prepare_labels import prepare_labels
 
 
 def q_match_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +41,6 @@ def q_match_flows_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- label files and cleaning (S1, S2, C1-C11, C14, C15, P1) -------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..functions import clean as C  # noqa: E402
-from ..functions.keys import with_flow_keys  # noqa: E402
-from ..functions.timecols import epoch_ms, from_epoch_ms  # noqa: E402
-from ..sources import files as IO  # noqa: E402
-from . import label_files as LF  # noqa: E402
-from .prepare_labels import prepare_labels  # noqa: E402
 
 
 def _label_paths(spark, sf_dir):
@@ -156,19 +166,12 @@ def q_log1p_feature(spark, sf_dir):
 
 
 # --- reports, profiling, ordering (A1-A22, C22, C26, O4-O6) ------------------------------
-from ..functions.roles import split_features  # noqa: E402
-from ..operators import profile as P  # noqa: E402
-from ..operators import quality as QA  # noqa: E402
-from ..operators import sampling as SM  # noqa: E402
 
 
 def _matched(spark, sf_dir):
     return q_match_flows(spark, sf_dir)
 
 
-from .pipeline import build_dataset  # noqa: E402
-
-
 def q_build_dataset(spark, sf_dir):
     return build_dataset(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), "cicids2017",
                          S.F2_TOLERANCE_MS)
@@ -336,7 +339,6 @@ def q_match_duplicate_reverse(spark, sf_dir):
 
 
 # --- flow metering (M1-M3, M5) ------------------------------------------------------------
-from ..operators import metering as MT  # noqa: E402
 
 
 def q_meter_flows(spark, sf_dir):
@@ -357,10 +359,7 @@ def q_flow_stats(spark, sf_dir):
 
 
 # --- sources and the pipeline (S3, S5-S7, P2) ----------------------------------------------
-import uuid as _uuid  # noqa: E402
 
-from ..session import shared_dir as _shared_dir  # noqa: E402
-from .pipeline import dataset_pipeline  # noqa: E402
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
@@ -406,9 +405,6 @@ def q_dataset_pipeline(spark, sf_dir):
                             S.F2_TOLERANCE_MS)
 
 
-from ..operators.mutual_info import mutual_information_knn  # noqa: E402
-
-
 def q_mutual_information_knn(spark, sf_dir):
     """K-NN mutual information on a seeded 100,000-row sample of F5."""
     li = S.table(spark, sf_dir, "lineitem")
@@ -422,9 +418,6 @@ def q_mutual_information_knn(spark, sf_dir):
                                   sample_rows=100_000, seed=42, id_cols=LINEITEM_KEY)
 
 
-from ..streaming.metering import run_stream_to_table  # noqa: E402
-
-
 def q_meter_flows_stream(spark, sf_dir):
     """M4: F1 packets replayed as a file stream and metered with state and timeouts."""
     return run_stream_to_table(spark, S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
