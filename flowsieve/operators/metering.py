@@ -54,28 +54,28 @@ def canonical(packets: DataFrame) -> DataFrame:
     })
 
 
-def _session_starts(points: DataFrame, idle: int) -> DataFrame:
-    """(CONV, ts) -> (CONV, ts, sess): start of the idle session of each point."""
+def _session_starts(points: DataFrame, idle: int, conv=tuple(CONV)) -> DataFrame:
+    """(conv, ts) -> (conv, ts, sess): start of the idle session of each point."""
     c = points.withColumn("cell", _cell(F.col("ts"), idle))
-    wl = Window.partitionBy(*CONV, "cell").orderBy("ts")
-    last = c.groupBy(*CONV, "cell").agg(F.max("ts").alias("prev_cell_last"))
+    wl = Window.partitionBy(*conv, "cell").orderBy("ts")
+    last = c.groupBy(*conv, "cell").agg(F.max("ts").alias("prev_cell_last"))
     c = (c.withColumn("prev", F.lag("ts").over(wl))
-          .join(last.withColumn("cell", F.col("cell") + 1), [*CONV, "cell"], "left")
+          .join(last.withColumn("cell", F.col("cell") + 1), [*conv, "cell"], "left")
           .withColumn("prev", F.coalesce("prev", "prev_cell_last"))
           .withColumn("is_new", F.col("prev").isNull() | ((F.col("ts") - F.col("prev")) >= idle))
           .drop("prev", "prev_cell_last"))
-    run = Window.partitionBy(*CONV, "cell").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*conv, "cell").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("local", F.max(F.when(F.col("is_new"), F.col("ts"))).over(run))
-    summ = c.groupBy(*CONV, "cell").agg(F.max(F.when(F.col("is_new"), F.col("ts"))).alias("cell_new"))
-    before = Window.partitionBy(*CONV).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    summ = c.groupBy(*conv, "cell").agg(F.max(F.when(F.col("is_new"), F.col("ts"))).alias("cell_new"))
+    before = Window.partitionBy(*conv).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.withColumn("before", F.max("cell_new").over(before)).drop("cell_new")
-    return (c.join(summ, [*CONV, "cell"])
-             .select(*CONV, "ts", F.coalesce("local", "before").alias("sess")))
+    return (c.join(summ, [*conv, "cell"])
+             .select(*conv, "ts", F.coalesce("local", "before").alias("sess")))
 
 
-def _next_points(lp: DataFrame, active: int) -> DataFrame:
+def _next_points(lp: DataFrame, active: int, conv=tuple(CONV)) -> DataFrame:
     """(SK, ts) -> nxt: the first point of the session at or after ts + active."""
-    sk = [*CONV, "sess"]
+    sk = [*conv, "sess"]
     pts = lp.select(*sk, "ts", _cell(F.col("ts"), active).alias("cell"))
     probes = pts.select(*sk, F.col("ts").alias("q"), (F.col("ts") + active).alias("pos"),
                         (F.col("cell") + 1).alias("cell"))
@@ -100,10 +100,11 @@ def _next_points(lp: DataFrame, active: int) -> DataFrame:
                   .select(*sk, F.col("q").alias("ts"), F.coalesce("found", "after").alias("nxt")))
 
 
-def _chain_starts(lp: DataFrame, sessions: DataFrame, active: int, checkpoint_every: int) -> DataFrame:
+def _chain_starts(lp: DataFrame, sessions: DataFrame, active: int, checkpoint_every: int,
+                  conv=tuple(CONV)) -> DataFrame:
     """Flow starts of long sessions: s0, nxt(s0), nxt(nxt(s0)), ... by pointer doubling."""
-    sk = [*CONV, "sess"]
-    jump = _next_points(lp, active)
+    sk = [*conv, "sess"]
+    jump = _next_points(lp, active, conv)
     max_span = sessions.agg(F.max(F.col("last") - F.col("sess"))).first()[0] or 0
     # a session of span s holds at most s // active + 1 flows; 2**rounds must cover them
     rounds = max(1, math.ceil(math.log2(max_span // active + 1)))
@@ -125,34 +126,39 @@ def _chain_starts(lp: DataFrame, sessions: DataFrame, active: int, checkpoint_ev
 
 
 def assign_flows(packets: DataFrame, idle_ms: int, active_ms: int, *, ts: str = "ts_ms",
-                 checkpoint_every: int = 1) -> DataFrame:
-    """Packets with conversation columns plus ``flow_start`` and ``expiration_id``."""
+                 checkpoint_every: int = 1, scope=()) -> DataFrame:
+    """Packets with conversation columns plus ``flow_start`` and ``expiration_id``.
+
+    ``scope`` columns (e.g. scenario, capture) are part of the conversation key, so
+    packets of different captures never share a flow.
+    """
+    conv = [*scope, *CONV]
     idle, active = int(idle_ms), int(active_ms)
     if idle <= 0 or active <= 0:
         raise ValueError("timeouts must be > 0")
     pk = canonical(packets).withColumn("ts", F.col(ts).cast("bigint"))
-    points = pk.select(*CONV, "ts").where(F.col("ts").isNotNull()).distinct()
-    ss = materialize(_session_starts(points, idle), "meter-sessions")   # reused three times below
-    sessions = ss.groupBy(*CONV, "sess").agg(F.max("ts").alias("last"))
+    points = pk.select(*conv, "ts").where(F.col("ts").isNotNull()).distinct()
+    ss = materialize(_session_starts(points, idle, conv), "meter-sessions")   # reused three times below
+    sessions = ss.groupBy(*conv, "sess").agg(F.max("ts").alias("last"))
     long_s = sessions.where(F.col("last") - F.col("sess") >= active)
-    sk = [*CONV, "sess"]
+    sk = [*conv, "sess"]
     lp = ss.join(long_s.select(*sk), sk, "left_semi")
-    starts = _chain_starts(lp, long_s, active, checkpoint_every)
+    starts = _chain_starts(lp, long_s, active, checkpoint_every, conv)
     st = starts.withColumn("cell", _cell(F.col("start"), active))
     cur = st.select(*sk, "cell", F.col("start").alias("s_cur"), F.col("cut_after").alias("c_cur"))
     prv = st.select(*sk, (F.col("cell") + 1).alias("cell"), F.col("start").alias("s_prv"),
                     F.col("cut_after").alias("c_prv"))
     lp_flow = (lp.withColumn("cell", _cell(F.col("ts"), active))
                  .join(cur, [*sk, "cell"], "left").join(prv, [*sk, "cell"], "left")
-                 .select(*CONV, "ts",
+                 .select(*conv, "ts",
                          F.when(F.col("s_cur") <= F.col("ts"), F.col("s_cur")).otherwise(F.col("s_prv"))
                           .alias("flow_start"),
                          F.when(F.col("s_cur") <= F.col("ts"), F.col("c_cur")).otherwise(F.col("c_prv"))
                           .alias("cut")))
     short_flow = (ss.join(long_s.select(*sk), sk, "left_anti")
-                    .select(*CONV, "ts", F.col("sess").alias("flow_start"), F.lit(False).alias("cut")))
+                    .select(*conv, "ts", F.col("sess").alias("flow_start"), F.lit(False).alias("cut")))
     point_flow = lp_flow.unionByName(short_flow)
-    return (pk.join(point_flow, [*CONV, "ts"])
+    return (pk.join(point_flow, [*conv, "ts"])
               .withColumn("expiration_id", F.col("cut").cast("int")).drop("cut"))
 
 
@@ -179,13 +185,15 @@ BASE_COLUMNS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol",
 
 def meter_flows(packets: DataFrame, idle_ms: int = 10_000, active_ms: int = 120_000, *,
                 ts: str = "ts_ms", packet_id: str = "packet_id", byte_col: str = "bytes",
-                statistics: bool = False, checkpoint_every: int = 1, digits: int = 6) -> DataFrame:
+                statistics: bool = False, checkpoint_every: int = 1, digits: int = 6,
+                scope=()) -> DataFrame:
     """One row per flow (M1); ``statistics=True`` adds per-direction statistics (M3).
 
-    ``byte_col`` chooses which packet size is accounted (M5).
+    ``byte_col`` chooses which packet size is accounted (M5); ``scope`` columns
+    (scenario, capture) keep captures apart and are carried to the output.
     """
-    pf = assign_flows(packets, idle_ms, active_ms, ts=ts, checkpoint_every=checkpoint_every)
-    fk = [*CONV, "flow_start"]
+    pf = assign_flows(packets, idle_ms, active_ms, ts=ts, checkpoint_every=checkpoint_every, scope=scope)
+    fk = [*scope, *CONV, "flow_start"]
     order = [F.col("ts"), F.col(packet_id)]
     size = F.col(byte_col).cast("bigint")
     aggs = [
@@ -207,7 +215,7 @@ def meter_flows(packets: DataFrame, idle_ms: int = 10_000, active_ms: int = 120_
                  F.count(F.lit(1)).alias("bidirectional_packets"),
                  F.sum(size).cast("bigint").alias("bidirectional_bytes")]
     g = pf.groupBy(*fk).agg(*aggs)
-    out = [F.col("first.src_ip").alias("src_ip"), F.col("first.dst_ip").alias("dst_ip"),
+    out = [*scope, F.col("first.src_ip").alias("src_ip"), F.col("first.dst_ip").alias("dst_ip"),
            F.col("first.src_port").alias("src_port"), F.col("first.dst_port").alias("dst_port"),
            "protocol", *BASE_COLUMNS[5:10], "expiration_id"]
     if statistics:

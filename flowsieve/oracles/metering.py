@@ -4,51 +4,60 @@ from .standins import F1_PACKETS
 IDLE, ACTIVE = 21_600_000, 86_400_000
 
 
-def assigned(idle: int = IDLE, active: int = ACTIVE) -> str:
+def assigned(idle: int = IDLE, active: int = ACTIVE, scope: str = "", packets: str = F1_PACKETS) -> str:
     """CTE text ending in ``pf``: packets with conversation and flow start."""
-    return "WITH RECURSIVE " + F1_PACKETS + f""",
+    sc = f"{scope}, " if scope else ""
+    on_sc = "".join(f" AND s.{c.strip()} = w.{c.strip()}" for c in scope.split(",") if c.strip())
+    on_pt = "".join(f" AND p.{c.strip()} = t.{c.strip()}" for c in scope.split(",") if c.strip())
+    return "WITH RECURSIVE " + packets + f""",
 pk AS (
   SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port)) AS a_sends FROM f1_packets),
 pk2 AS (
   SELECT *, CASE WHEN a_sends THEN src_ip ELSE dst_ip END AS a_ip, CASE WHEN a_sends THEN src_port ELSE dst_port END AS a_port,
          CASE WHEN a_sends THEN dst_ip ELSE src_ip END AS b_ip, CASE WHEN a_sends THEN dst_port ELSE src_port END AS b_port
   FROM pk),
-pts AS (SELECT DISTINCT a_ip, a_port, b_ip, b_port, protocol, ts_ms AS ts FROM pk2 WHERE ts_ms IS NOT NULL),
+pts AS (SELECT DISTINCT {sc}a_ip, a_port, b_ip, b_port, protocol, ts_ms AS ts FROM pk2 WHERE ts_ms IS NOT NULL),
 s1 AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= {idle} OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS is_new
-       FROM pts WINDOW w AS (PARTITION BY a_ip, a_port, b_ip, b_port, protocol ORDER BY ts)),
-s2 AS (SELECT *, sum(is_new) OVER (PARTITION BY a_ip, a_port, b_ip, b_port, protocol ORDER BY ts
+       FROM pts WINDOW w AS (PARTITION BY {sc}a_ip, a_port, b_ip, b_port, protocol ORDER BY ts)),
+s2 AS (SELECT *, sum(is_new) OVER (PARTITION BY {sc}a_ip, a_port, b_ip, b_port, protocol ORDER BY ts
                                    ROWS UNBOUNDED PRECEDING) AS sid FROM s1),
-s3 AS (SELECT *, row_number() OVER (PARTITION BY a_ip, a_port, b_ip, b_port, protocol, sid ORDER BY ts) AS rn FROM s2),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY {sc}a_ip, a_port, b_ip, b_port, protocol, sid ORDER BY ts) AS rn FROM s2),
 walk AS (
-  SELECT a_ip, a_port, b_ip, b_port, protocol, sid, rn, ts, ts AS flow_start FROM s3 WHERE rn = 1
+  SELECT {sc}a_ip, a_port, b_ip, b_port, protocol, sid, rn, ts, ts AS flow_start FROM s3 WHERE rn = 1
   UNION ALL
-  SELECT s.a_ip, s.a_port, s.b_ip, s.b_port, s.protocol, s.sid, s.rn, s.ts,
+  SELECT {"".join("s." + c.strip() + ", " for c in scope.split(",") if c.strip())}s.a_ip, s.a_port, s.b_ip, s.b_port, s.protocol, s.sid, s.rn, s.ts,
          CASE WHEN s.ts - w.flow_start >= {active} THEN s.ts ELSE w.flow_start END
   FROM walk w JOIN s3 s ON s.a_ip = w.a_ip AND s.a_port = w.a_port AND s.b_ip = w.b_ip AND s.b_port = w.b_port
-       AND s.protocol = w.protocol AND s.sid = w.sid AND s.rn = w.rn + 1),
-fl AS (SELECT *, CASE WHEN lead(flow_start) OVER (PARTITION BY a_ip, a_port, b_ip, b_port, protocol, sid ORDER BY ts)
+       AND s.protocol = w.protocol AND s.sid = w.sid AND s.rn = w.rn + 1{on_sc}),
+fl AS (SELECT *, CASE WHEN lead(flow_start) OVER (PARTITION BY {sc}a_ip, a_port, b_ip, b_port, protocol, sid ORDER BY ts)
                          <> flow_start THEN 1 ELSE 0 END AS cut_here FROM walk),
-fe AS (SELECT a_ip, a_port, b_ip, b_port, protocol, flow_start, max(cut_here) AS expiration_id
+fe AS (SELECT {sc}a_ip, a_port, b_ip, b_port, protocol, flow_start, max(cut_here) AS expiration_id
        FROM fl GROUP BY ALL),
-pt AS (SELECT DISTINCT w.a_ip, w.a_port, w.b_ip, w.b_port, w.protocol, w.ts, w.flow_start, fe.expiration_id
-       FROM walk w JOIN fe USING (a_ip, a_port, b_ip, b_port, protocol, flow_start)),
+pt AS (SELECT DISTINCT {"".join("w." + c.strip() + ", " for c in scope.split(",") if c.strip())}w.a_ip, w.a_port, w.b_ip, w.b_port, w.protocol, w.ts, w.flow_start, fe.expiration_id
+       FROM walk w JOIN fe USING ({sc}a_ip, a_port, b_ip, b_port, protocol, flow_start)),
 pf AS (SELECT p.*, t.flow_start, t.expiration_id FROM pk2 p JOIN pt t
        ON p.a_ip = t.a_ip AND p.a_port = t.a_port AND p.b_ip = t.b_ip AND p.b_port = t.b_port
-       AND p.protocol = t.protocol AND p.ts_ms = t.ts)
+       AND p.protocol = t.protocol AND p.ts_ms = t.ts{on_pt})
 """
 
 
 _KEY = "a_ip, a_port, b_ip, b_port, protocol, flow_start"
 
 
-def meter_flows() -> str:
-    return assigned() + f"""
-SELECT arg_min(src_ip, (ts_ms, packet_id)) AS src_ip, arg_min(dst_ip, (ts_ms, packet_id)) AS dst_ip,
+def meter_flows(scope: str = "", packets: str = F1_PACKETS) -> str:
+    key = f"{scope}, {_KEY}" if scope else _KEY
+    sel = f"{scope}, " if scope else ""
+    return assigned(scope=scope, packets=packets) + f"""
+SELECT {sel}arg_min(src_ip, (ts_ms, packet_id)) AS src_ip, arg_min(dst_ip, (ts_ms, packet_id)) AS dst_ip,
        arg_min(src_port, (ts_ms, packet_id)) AS src_port, arg_min(dst_port, (ts_ms, packet_id)) AS dst_port,
        protocol, min(ts_ms) AS bidirectional_first_seen_ms, max(ts_ms) AS bidirectional_last_seen_ms,
        max(ts_ms) - min(ts_ms) AS bidirectional_duration_ms, count(*) AS bidirectional_packets,
        CAST(sum(bytes) AS BIGINT) AS bidirectional_bytes, max(expiration_id) AS expiration_id
-FROM pf GROUP BY {_KEY}"""
+FROM pf GROUP BY {key}"""
+
+
+F1_CAPTURES = F1_PACKETS.replace("f1_packets AS (", "f1_raw AS (") + """,
+f1_packets AS (SELECT *, CAST(packet_id % 3 AS INTEGER) AS capture FROM f1_raw)"""
 
 
 def meter_expiration() -> str:

@@ -11,5 +11,6 @@ ORACLES = {
     # the stream must give exactly the batch result
     "meter_flows_stream": MT.meter_flows(),
     "meter_expiration": MT.meter_expiration(),
+    "meter_flows_by_capture": MT.meter_flows("capture", MT.F1_CAPTURES),
     "flow_stats": MT.flow_stats(),
 }

@@ -421,3 +421,8 @@ def q_mutual_information_knn(spark, sf_dir):
 def q_meter_flows_stream(spark, sf_dir):
     """M4: F1 packets replayed as a file stream and metered with state and timeouts."""
     return run_stream_to_table(spark, S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
+
+
+def q_meter_flows_by_capture(spark, sf_dir):
+    """M1 + S9: several captures in one table, the capture is part of every key."""
+    return MT.meter_flows(S.f1_captures(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS, scope=["capture"])

@@ -69,4 +69,5 @@ QUERIES = {
     "dataset_pipeline": Q.q_dataset_pipeline,
     "mutual_information_knn": Q.q_mutual_information_knn,
     "meter_flows_stream": Q.q_meter_flows_stream,
+    "meter_flows_by_capture": Q.q_meter_flows_by_capture,
 }

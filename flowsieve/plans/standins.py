@@ -132,3 +132,8 @@ def f7_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f2_labels(spark, sf_dir).withColumn("scenario", _scenario("label_id"))
+
+
+def f1_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 packets split over three captures (packet id modulo 3), metered apart."""
+    return f1_packets(spark, sf_dir).withColumn("capture", (F.col("packet_id") % 3).cast("int"))
