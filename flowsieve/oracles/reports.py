@@ -205,6 +205,9 @@ SELECT f.label, c.label_code, f.p FROM f5_features f LEFT JOIN c USING (label)""
     "sample_fixed_n": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM lineitem
 ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || '42') LIMIT 100000""",
+    "sample_column_values": """
+SELECT l_extendedprice FROM lineitem
+ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || '7') LIMIT 10""",
     "split_key_counts": "WITH " + F2 + """,
 k AS (SELECT flow_key, count(*) AS key_count FROM f2_labels WHERE flow_key IS NOT NULL GROUP BY flow_key)
 SELECT l.label_id, l.flow_key, k.key_count,

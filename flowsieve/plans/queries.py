@@ -426,3 +426,10 @@ def q_meter_flows_stream(spark, sf_dir):
 def q_meter_flows_by_capture(spark, sf_dir):
     """M1 + S9: several captures in one table, the capture is part of every key."""
     return MT.meter_flows(S.f1_captures(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS, scope=["capture"])
+
+
+def q_sample_column_values(spark, sf_dir):
+    """Ten values of one column, reproducible (row key + seed hash)."""
+    li = S.table(spark, sf_dir, "lineitem")
+    return SM.sample_fixed_n(li.select(*LINEITEM_KEY, "l_extendedprice"), 10, 7, LINEITEM_KEY) \
+             .select("l_extendedprice")

@@ -70,4 +70,5 @@ QUERIES = {
     "mutual_information_knn": Q.q_mutual_information_knn,
     "meter_flows_stream": Q.q_meter_flows_stream,
     "meter_flows_by_capture": Q.q_meter_flows_by_capture,
+    "sample_column_values": Q.q_sample_column_values,
 }
