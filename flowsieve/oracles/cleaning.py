@@ -58,7 +58,7 @@ p AS (SELECT event_id, {PARSE.format(c='raw_ts')} AS t0 FROM f4_raw)
 SELECT event_id, ({REPAIR.format(c='t0')}) + INTERVAL 3 HOUR AS "Timestamp" FROM p""",
     "epoch_ms": "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms FROM events",
     "from_epoch_ms": "WITH " + F2 + "\nSELECT label_id, ts_ms, make_timestamp(ts_ms * 1000) AS ts FROM f2_labels",
-    "tag_dataset": "WITH " + F2 + "\nSELECT *, 'cicids2017' AS dataset_name FROM f2_labels",
+    "tag_dataset": "WITH " + F2 + "\nSELECT *, 'events_flows' AS dataset_name FROM f2_labels",
     "flow_keys": "WITH " + F1_PACKETS + """
 SELECT packet_id,
        src_ip || '|' || dst_ip || '|' || src_port || '|' || dst_port || '|' || protocol AS flow_key,

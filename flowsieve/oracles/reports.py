@@ -139,7 +139,7 @@ SELECT m.label, count(*) AS n, 'processed' AS stage
 FROM f2_flows f JOIN m ON f.flow_key = m.flow_key AND f.bidirectional_first_seen_ms = m.ts
 WHERE m.label IS NOT NULL GROUP BY m.label""",
     "build_dataset": MO._f2_match() + """
-SELECT f.*, m.label, m.match_pass, 'cicids2017' AS dataset_name
+SELECT f.*, m.label, m.match_pass, 'events_flows' AS dataset_name
 FROM f2_flows f JOIN m ON f.flow_key = m.flow_key AND f.bidirectional_first_seen_ms = m.ts
 WHERE m.label IS NOT NULL""",
     "duration_histogram": "WITH " + F6_DURATIONS + """,

@@ -138,7 +138,7 @@ def q_from_epoch_ms(spark, sf_dir):
 
 def q_tag_dataset(spark, sf_dir):
     """C11: provenance column."""
-    return C.tag_dataset(S.f2_labels(spark, sf_dir), "cicids2017")
+    return C.tag_dataset(S.f2_labels(spark, sf_dir), "events_flows")
 
 
 def q_flow_keys(spark, sf_dir):
@@ -173,7 +173,7 @@ def _matched(spark, sf_dir):
 
 
 def q_build_dataset(spark, sf_dir):
-    return build_dataset(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), "cicids2017",
+    return build_dataset(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), "events_flows",
                          S.F2_TOLERANCE_MS)
 
 
@@ -393,7 +393,7 @@ def q_merge_scenarios(spark, sf_dir):
 
 def q_merge_datasets(spark, sf_dir):
     """Two datasets unioned with their names."""
-    return IO.merge_datasets({"cicids2017": S.f2_flows(spark, sf_dir),
+    return IO.merge_datasets({"events_flows": S.f2_flows(spark, sf_dir),
                               "lineitem_flows": S.f3_flows(spark, sf_dir).select(
                                   F.col("l_orderkey").alias("flow_id"), "flow_key",
                                   F.col("ts_ms").alias("bidirectional_first_seen_ms"))})
@@ -401,7 +401,7 @@ def q_merge_datasets(spark, sf_dir):
 
 def q_dataset_pipeline(spark, sf_dir):
     """Five scenarios matched in one plan, written partitioned, merged back."""
-    return dataset_pipeline(S.f7_flows(spark, sf_dir), S.f7_labels(spark, sf_dir), "cicids2017",
+    return dataset_pipeline(S.f7_flows(spark, sf_dir), S.f7_labels(spark, sf_dir), "events_flows",
                             S.F2_TOLERANCE_MS)
 
 
