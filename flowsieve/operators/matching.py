@@ -24,7 +24,11 @@ Plan (no candidate pairs are ever materialised, so one hot key cannot blow up):
    probes are shuffled once by ``(key, cell)``; running min/max/count windows
    (ascending, descending, whole partition) answer all probes in one sort pass
    each. A partition holds at most one row per distinct timestamp in a cell, so
-   its size is bounded by the tolerance, not by the data volume;
+   its size is bounded by the tolerance, not by the data volume. Tolerances
+   wider than ``sub_cell_ms`` (1 h) cut each cell into sub-cells: rows are
+   windowed per sub-cell (bounded by ``sub_cell_ms``), whole sub-cells come from
+   per-sub-cell summaries windowed per cell against distinct probe coordinates
+   (not one probe per flow), and the answers are joined back by coordinate;
 4. the probes are recombined per query point, the class rule and unanimity
    rule applied, and the result joined back to the flows on ``(flow_key, ts)``.
 """
@@ -103,6 +107,177 @@ def _scoped(c: str, scope) -> Column:
     return F.concat(*[x for s in scope for x in (F.col(s).cast("string"), F.lit("\u001f"))], F.col(c))
 
 
+def _answer_one_level(q: DataFrame, points: DataFrame, tols, integral: bool) -> DataFrame:
+    """Cells of width tol; one shuffle by (tol, key, cell) and three window frames."""
+    # --- one (tid, tol) per requested tolerance: all are answered by one shuffle -----
+    tol_arr = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(ms).cast("bigint").alias("tol"))
+                        for i, (_, ms) in enumerate(tols)])
+    width = F.greatest(F.col("tol"), F.lit(1))
+
+    def cell_of(c):
+        if integral:
+            return ((c - F.pmod(c, width)) / width).cast("bigint")
+        return F.floor(c / width).cast("double")
+
+    t_type = q.schema["t"].dataType
+    cell_type = "bigint" if integral else "double"
+
+    def part(kind, cell, pos):
+        return F.struct(F.lit(kind).alias("kind"), cell.cast(cell_type).alias("cell"),
+                        pos.cast(t_type).alias("pos"))
+
+    t, tl = F.col("t"), F.col("tol")
+    c0 = cell_of(t - tl)
+    parts = F.when(tl == 0, F.array(part("W", t, t))).otherwise(
+        F.array(part("S", c0, t - tl), part("W", c0 + 1, t), part("P", c0 + 2, t + tl)))
+    probes = (q.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol")
+               .select("qkey", "t", "cls_f", "dir", "jkey", "tid", F.explode(parts).alias("p")))
+    null_str, null_long, null_int = (F.lit(None).cast("string"), F.lit(None).cast("bigint"),
+                                     F.lit(None).cast("int"))
+    probe_rows = probes.select(
+        "tid", "jkey", "p.cell", "p.pos", "p.kind", "qkey", "t", "cls_f", "dir",
+        null_str.alias("l_min"), null_str.alias("l_max"), null_long.alias("n_lab"),
+        null_long.alias("n_cand"), null_int.alias("cls_l"))
+    pts = points.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol")
+    point_rows = pts.select(
+        "tid", "jkey",
+        F.when(F.col("tol") == 0, F.col("ts")).otherwise(cell_of(F.col("ts"))).cast(cell_type).alias("cell"),
+        F.col("ts").alias("pos"), F.lit("L").alias("kind"),
+        null_str.alias("qkey"), F.col("ts").alias("t"), null_int.alias("cls_f"),
+        null_str.alias("dir"), "l_min", "l_max", "n_lab", "n_cand", "cls_l")
+    rows = point_rows.unionByName(probe_rows)
+
+    part_w = Window.partitionBy("tid", "jkey", "cell")
+    frames = {
+        "P": part_w.orderBy(F.col("pos").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
+        "S": part_w.orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
+        "W": part_w,
+    }
+    if all(ms == 0 for _, ms in tols):
+        frames = {"W": part_w}
+
+    def pick(agg, col):
+        expr = None
+        for kind, w in frames.items():
+            v = agg(col).over(w)
+            expr = F.when(F.col("kind") == kind, v) if expr is None else expr.when(F.col("kind") == kind, v)
+        return expr
+
+    answered = (rows.select(
+        "kind", "qkey", "t", "tid", "cls_f", "dir",
+        pick(F.min, "l_min").alias("l_min"), pick(F.max, "l_max").alias("l_max"),
+        pick(F.sum, "n_lab").alias("n_lab"), pick(F.sum, "n_cand").alias("n_cand"),
+        pick(F.max, "cls_l").alias("cls_l"))
+        .where(F.col("kind") != "L"))
+    return answered
+
+
+def _answer_two_level(q: DataFrame, points: DataFrame, tols, integral: bool, sub_cell_ms: int) -> DataFrame:
+    """Cells of width tol cut into sub-cells; rows windowed per sub-cell, sub-cells summarised."""
+    # --- one (tid, tol, g) per requested tolerance; all are answered together ---------
+    # Time is cut into cells of width tol and each cell into sub-cells of width
+    # g = min(tol, SUB_CELL_MS). [t - tol, t + tol] = suffix of a sub-cell (rows)
+    # + later sub-cells of that cell (summaries) + one whole cell (summary)
+    # + earlier sub-cells of the last cell (summaries) + prefix of a sub-cell (rows).
+    tol_arr = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(ms).cast("bigint").alias("tol"),
+                                 F.lit(max(1, min(ms, sub_cell_ms))).cast("bigint").alias("g"))
+                        for i, (_, ms) in enumerate(tols)])
+    t_type = q.schema["t"].dataType
+    cell_type = "bigint" if integral else "double"
+
+    def fdiv(c, w):
+        if integral:
+            return ((c - F.pmod(c, w)) / w).cast("bigint")
+        return F.floor(c / w).cast("double")
+
+    tl, g = F.col("tol"), F.col("g")
+    tw = F.greatest(tl, F.lit(1))
+    zero = tl == 0
+    null_str, null_long, null_int = (F.lit(None).cast("string"), F.lit(None).cast("bigint"),
+                                     F.lit(None).cast("int"))
+    agg_cols = ["l_min", "l_max", "n_lab", "n_cand", "cls_l"]
+
+    # label points per tolerance, with cell and sub-cell
+    px = (points.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol", "tt.g")
+                .withColumn("cell", F.when(zero, F.col("ts")).otherwise(fdiv(F.col("ts"), tw)).cast(cell_type)))
+    px = px.withColumn("sub", F.when(zero, F.lit(0)).otherwise(
+        fdiv(F.col("ts") - F.col("cell") * tl, g)).cast(cell_type))
+
+    # query points per tolerance: the five parts' coordinates
+    qx = q.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol", "tt.g")
+    lo, hi = F.col("t") - tl, F.col("t") + tl
+    c0 = fdiv(lo, tw).cast(cell_type)
+    qx = (qx.withColumn("c0", F.when(zero, F.col("t")).otherwise(c0).cast(cell_type))
+            .withColumn("s_lo", fdiv(lo - F.col("c0") * tl, g).cast(cell_type))
+            .withColumn("s_hi", fdiv(hi - (F.col("c0") + 2) * tl, g).cast(cell_type)))
+
+    # (1) rows: suffix / prefix inside one sub-cell; windows per (tol, key, cell, sub)
+    def coord(kind, cell, sub, pos):
+        return F.struct(F.lit(kind).alias("kind"), cell.cast(cell_type).alias("cell"),
+                        sub.cast(cell_type).alias("sub"), pos.cast(t_type).alias("pos"))
+
+    row_probes = (qx.where(~zero)
+                    .select("qkey", "t", "tid", "cls_f", "dir", "jkey",
+                            F.explode(F.array(coord("S", F.col("c0"), F.col("s_lo"), lo),
+                                              coord("P", F.col("c0") + 2, F.col("s_hi"), hi))).alias("p"))
+                    .select("tid", "jkey", "p.cell", "p.sub", "p.pos", "p.kind", "qkey", "t", "cls_f", "dir",
+                            *[(null_str if c in ("l_min", "l_max") else null_int if c == "cls_l" else null_long)
+                              .alias(c) for c in agg_cols]))
+    row_pts = px.where(~zero).select("tid", "jkey", "cell", "sub", F.col("ts").alias("pos"),
+                                     F.lit("L").alias("kind"), null_str.alias("qkey"),
+                                     F.col("ts").cast(t_type).alias("t"), null_int.alias("cls_f"),
+                                     null_str.alias("dir"), *agg_cols)
+    wr = Window.partitionBy("tid", "jkey", "cell", "sub")
+    up = wr.orderBy(F.col("pos").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = wr.orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def run(agg, col):
+        return F.when(F.col("kind") == "P", agg(col).over(up)).when(F.col("kind") == "S", agg(col).over(down))
+
+    def five(fn):
+        return [fn(F.min, "l_min").alias("l_min"), fn(F.max, "l_max").alias("l_max"),
+                fn(F.sum, "n_lab").alias("n_lab"), fn(F.sum, "n_cand").alias("n_cand"),
+                fn(F.max, "cls_l").alias("cls_l")]
+
+    row_ans = (row_pts.unionByName(row_probes)
+               .select("kind", "qkey", "t", "tid", "cls_f", "dir", *five(run))
+               .where(F.col("kind") != "L").drop("kind"))
+
+    # (2) sub-cell summaries; targets (one per distinct coordinate, not per flow)
+    lsub = px.groupBy("tid", "jkey", "cell", "sub").agg(
+        F.min("l_min").alias("l_min"), F.max("l_max").alias("l_max"), F.sum("n_lab").alias("n_lab"),
+        F.sum("n_cand").alias("n_cand"), F.max("cls_l").alias("cls_l"))
+    want = qx.select("qkey", "t", "tid", "cls_f", "dir", "jkey", F.explode(F.array(
+        F.when(~zero, F.struct(F.lit("S").alias("kind"), F.col("c0").alias("cell"), F.col("s_lo").alias("sub"))),
+        F.struct(F.lit("W").alias("kind"), F.when(zero, F.col("c0")).otherwise(F.col("c0") + 1)
+                 .cast(cell_type).alias("cell"), F.lit(-1).cast(cell_type).alias("sub")),
+        F.when(~zero, F.struct(F.lit("P").alias("kind"), (F.col("c0") + 2).cast(cell_type).alias("cell"),
+                               F.col("s_hi").alias("sub"))))).alias("w"))
+    want = want.where(F.col("w").isNotNull()).select("qkey", "t", "tid", "cls_f", "dir", "jkey",
+                                                     "w.kind", "w.cell", "w.sub")
+    targets = want.select("tid", "jkey", "cell", "sub", "kind").distinct()
+    srows = (lsub.withColumn("kind", F.lit("L")).withColumn("ord", F.lit(1))
+             .unionByName(targets.select("tid", "jkey", "cell", "sub", "kind", F.lit(0).alias("ord"),
+                                         *[(null_str if c in ("l_min", "l_max") else null_int if c == "cls_l"
+                                            else null_long).alias(c) for c in agg_cols])))
+    ws = Window.partitionBy("tid", "jkey", "cell")
+    after = ws.orderBy(F.col("sub").desc(), F.col("ord").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    before = ws.orderBy(F.col("sub").asc(), F.col("ord").asc()).rowsBetween(Window.unboundedPreceding, 0)
+
+    def summ(agg, col):
+        return (F.when(F.col("kind") == "S", agg(col).over(after))
+                 .when(F.col("kind") == "P", agg(col).over(before))
+                 .when(F.col("kind") == "W", agg(col).over(ws)))
+
+    sum_ans = (srows.select("tid", "jkey", "cell", "sub", "kind", *five(summ))
+                    .where(F.col("kind") != "L"))
+    # answers go back to flow points by the full coordinate (the whole cell uses sub -1)
+    sum_part = (want.join(sum_ans, ["tid", "jkey", "cell", "sub", "kind"], "left")
+                    .select("qkey", "t", "tid", "cls_f", "dir", *agg_cols))
+    answered = row_ans.unionByName(sum_part)
+    return answered
+
+
 def _scope_keys(df: DataFrame, scope) -> DataFrame:
     """Qualify keys by scope columns (e.g. scenario) so each scope is matched alone."""
     q = lambda c: _scoped(c, scope)
@@ -114,7 +289,8 @@ def _scope_keys(df: DataFrame, scope) -> DataFrame:
 
 def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
                  *, cardinality: str = "split", directions: str = "both",
-                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=()) -> DataFrame:
+                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=(),
+                 sub_cell_ms: int = 3_600_000) -> DataFrame:
     """Label per distinct flow point ``(flow_key, ts)``.
 
     ``tolerance_ms`` is one tolerance, or a ``{name: ms}`` dict answered in the
@@ -172,66 +348,11 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
            .where(F.col("d").isNotNull())
            .select("qkey", "t", "cls_f", "d.dir", "d.jkey"))
 
-    # --- one (tid, tol) per requested tolerance: all are answered by one shuffle -----
-    tol_arr = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(ms).cast("bigint").alias("tol"))
-                        for i, (_, ms) in enumerate(tols)])
-    width = F.greatest(F.col("tol"), F.lit(1))
-
-    def cell_of(c):
-        if integral:
-            return ((c - F.pmod(c, width)) / width).cast("bigint")
-        return F.floor(c / width).cast("double")
-
-    t_type = q.schema["t"].dataType
-    cell_type = "bigint" if integral else "double"
-
-    def part(kind, cell, pos):
-        return F.struct(F.lit(kind).alias("kind"), cell.cast(cell_type).alias("cell"),
-                        pos.cast(t_type).alias("pos"))
-
-    t, tl = F.col("t"), F.col("tol")
-    c0 = cell_of(t - tl)
-    parts = F.when(tl == 0, F.array(part("W", t, t))).otherwise(
-        F.array(part("S", c0, t - tl), part("W", c0 + 1, t), part("P", c0 + 2, t + tl)))
-    probes = (q.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol")
-               .select("qkey", "t", "cls_f", "dir", "jkey", "tid", F.explode(parts).alias("p")))
-    null_str, null_long, null_int = (F.lit(None).cast("string"), F.lit(None).cast("bigint"),
-                                     F.lit(None).cast("int"))
-    probe_rows = probes.select(
-        "tid", "jkey", "p.cell", "p.pos", "p.kind", "qkey", "t", "cls_f", "dir",
-        null_str.alias("l_min"), null_str.alias("l_max"), null_long.alias("n_lab"),
-        null_long.alias("n_cand"), null_int.alias("cls_l"))
-    pts = points.select("*", F.explode(tol_arr).alias("tt")).select("*", "tt.tid", "tt.tol")
-    point_rows = pts.select(
-        "tid", "jkey",
-        F.when(F.col("tol") == 0, F.col("ts")).otherwise(cell_of(F.col("ts"))).cast(cell_type).alias("cell"),
-        F.col("ts").alias("pos"), F.lit("L").alias("kind"),
-        null_str.alias("qkey"), F.col("ts").alias("t"), null_int.alias("cls_f"),
-        null_str.alias("dir"), "l_min", "l_max", "n_lab", "n_cand", "cls_l")
-    rows = point_rows.unionByName(probe_rows)
-
-    part_w = Window.partitionBy("tid", "jkey", "cell")
-    frames = {
-        "P": part_w.orderBy(F.col("pos").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
-        "S": part_w.orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow),
-        "W": part_w,
-    }
-    if all(ms == 0 for _, ms in tols):
-        frames = {"W": part_w}
-
-    def pick(agg, col):
-        expr = None
-        for kind, w in frames.items():
-            v = agg(col).over(w)
-            expr = F.when(F.col("kind") == kind, v) if expr is None else expr.when(F.col("kind") == kind, v)
-        return expr
-
-    answered = (rows.select(
-        "kind", "qkey", "t", "tid", "cls_f", "dir",
-        pick(F.min, "l_min").alias("l_min"), pick(F.max, "l_max").alias("l_max"),
-        pick(F.sum, "n_lab").alias("n_lab"), pick(F.sum, "n_cand").alias("n_cand"),
-        pick(F.max, "cls_l").alias("cls_l"))
-        .where(F.col("kind") != "L"))
+    if max(ms for _, ms in tols) <= sub_cell_ms:
+        # a cell of width tol <= sub_cell_ms already bounds every window partition
+        answered = _answer_one_level(q, points, tols, integral)
+    else:
+        answered = _answer_two_level(q, points, tols, integral, sub_cell_ms)
 
     def by_dir(agg, col, d):
         return agg(F.when(F.col("dir") == d, F.col(col)))
@@ -269,14 +390,15 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
 def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
                 *, cardinality: str = "split", directions: str = "both",
                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms",
-                keep_diagnostics: bool = False, scope=()) -> DataFrame:
+                keep_diagnostics: bool = False, scope=(), sub_cell_ms: int = 3_600_000) -> DataFrame:
     """All flows with their columns plus ``label`` and ``match_pass``.
 
     The label is a function of ``(flow_key, ts)``, so it is joined back on that
     pair: no row identity is needed and the wide flow table is shuffled once.
     """
     res = match_points(flows, labels, tolerance_ms, cardinality=cardinality,
-                       directions=directions, flow_ts=flow_ts, label_ts=label_ts, scope=scope)
+                       directions=directions, flow_ts=flow_ts, label_ts=label_ts, scope=scope,
+                       sub_cell_ms=sub_cell_ms)
     if not keep_diagnostics:
         res = res.drop("n_cand_f", "n_cand_r")
     res = res.withColumnsRenamed({"flow_key": "__mk", "ts": "__mt"})

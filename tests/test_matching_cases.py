@@ -6,6 +6,14 @@ from flowsieve.operators.matching import match_flows
 
 A = ("10.0.0.1", "10.0.0.2", "1000", "80", "6")
 TOL = 60_000
+SUB = {"ms": 3_600_000}
+
+
+@pytest.fixture(autouse=True, params=[7, 3_600_000], ids=["subcells", "onecell"])
+def _sub_cells(request):
+    """Run every case with tiny sub-cells (many per cell) and with one sub-cell per cell."""
+    SUB["ms"] = request.param
+    yield
 
 
 def key(t):
@@ -21,7 +29,7 @@ def run(spark, flows, labels, **kw):
     f = spark.createDataFrame(flows, "flow_id long, flow_key string, flow_key_rev string, "
                                      "bidirectional_first_seen_ms long")
     lab = spark.createDataFrame(labels, "flow_key string, ts_ms long, label string")
-    out = match_flows(f, lab, TOL, **kw).orderBy("flow_id").collect()
+    out = match_flows(f, lab, TOL, sub_cell_ms=SUB["ms"], **kw).orderBy("flow_id").collect()
     return [(r.label, r.match_pass) for r in out]
 
 
@@ -113,7 +121,7 @@ def test_zero_tolerance(spark):
     f = spark.createDataFrame([fa(1, 5), fa(2, 6)], "flow_id long, flow_key string, flow_key_rev string, "
                                                    "bidirectional_first_seen_ms long")
     lab = spark.createDataFrame([(key(A), 5, "X"), (key(A), 6, "X")], "flow_key string, ts_ms long, label string")
-    got = [r.label for r in match_flows(f, lab, 0).orderBy("flow_id").collect()]
+    got = [r.label for r in match_flows(f, lab, 0, sub_cell_ms=SUB["ms"]).orderBy("flow_id").collect()]
     assert got == ["X", "X"]
 
 

@@ -30,7 +30,11 @@ def brute(flows, labels, tol):
     return out
 
 
-def test_hot_key_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("sub_cell_ms", [1_000, 7_919, 3_600_000])
+def test_hot_key_matches_brute_force(spark, sub_cell_ms):
     rnd = random.Random(7)
     flows, labels = [], []
     for i in range(1500):
@@ -45,7 +49,7 @@ def test_hot_key_matches_brute_force(spark):
     f = spark.createDataFrame(flows, "flow_id long, flow_key string, flow_key_rev string, "
                                      "bidirectional_first_seen_ms long")
     lab = spark.createDataFrame(labels, "flow_key string, ts_ms long, label string")
-    got = {r.flow_id: r.label for r in match_flows(f, lab, tol).collect()}
+    got = {r.flow_id: r.label for r in match_flows(f, lab, tol, sub_cell_ms=sub_cell_ms).collect()}
     exp = brute(flows, labels, tol)
     assert got == exp
     assert sum(v is not None for v in exp.values()) > 100      # the case is not trivial
