@@ -18,7 +18,6 @@ keeps a finishing task small while letting moderate groups finish in one pass.
 """
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

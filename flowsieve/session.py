@@ -44,13 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     folder there). Only when it is unset - local tests - a fresh local folder is
     created and registered, so later calls reuse it.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; the conf is all we have
+        sc = None
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="flowsieve-ckpt-")
-        sc.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
-    elif not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -82,8 +86,11 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
-    sc = spark.sparkContext
-    key = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # Spark Connect
+        sc, key = None, id(spark)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -95,5 +102,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("flowsieve", os.path.relpath(full, pkg)))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
