@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import with_flow_keys
+from ..session import materialize
 
 # Named time tolerances in milliseconds (the pipeline uses "1min").
 TIME_TOLERANCES = {
@@ -290,7 +291,7 @@ def _scope_keys(df: DataFrame, scope) -> DataFrame:
 def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
                  *, cardinality: str = "split", directions: str = "both",
                  flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=(),
-                 sub_cell_ms: int = 3_600_000) -> DataFrame:
+                 sub_cell_ms: int = 3_600_000, reuse_points: bool = True) -> DataFrame:
     """Label per distinct flow point ``(flow_key, ts)``.
 
     ``tolerance_ms`` is one tolerance, or a ``{name: ms}`` dict answered in the
@@ -315,14 +316,19 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
         flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
 
     # --- flows: valid rows -> distinct query points (with their row count) ----------
-    # The key multiplicity is summed from the points, so the flow input is read
-    # once here; the identical aggregate feeding both sides reuses one exchange.
+    # The key multiplicity is summed from the points. Points of both sides are
+    # written once to the shared folder (``materialize``): every later branch of the
+    # plan reads these narrow tables instead of re-scanning and re-aggregating the
+    # inputs (Catalyst prunes each branch differently, so exchanges are not reused).
     fpts = (flows.select("flow_key", "flow_key_rev", f_ts.alias("ts"))
                  .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
                  .groupBy("flow_key", "flow_key_rev", "ts").agg(F.count(F.lit(1)).alias("c")))
     n_f = fpts.groupBy("flow_key").agg(F.sum("c").alias("n_f"))
     fq = (fpts.join(n_f, "flow_key")
-              .withColumn("cls_f", F.when(F.col("n_f") > 1, REPEATED).otherwise(UNIQUE)))
+              .withColumn("cls_f", F.when(F.col("n_f") > 1, REPEATED).otherwise(UNIQUE))
+              .drop("c", "n_f"))
+    if reuse_points:
+        fq = materialize(fq, "match-flow-points")
 
     # --- labels: points (key, ts) incl. a null-time point per key, which counts as an
     # occurrence of the key but never matches -------------------------------------------
@@ -336,6 +342,8 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
                 .join(n_l, "flow_key")
                 .select(F.col("flow_key").alias("jkey"), "ts", "l_min", "l_max", "n_lab", "n_cand",
                         F.when(F.col("n_l") > 1, REPEATED).otherwise(UNIQUE).alias("cls_l")))
+    if reuse_points:
+        points = materialize(points, "match-label-points")
 
     # --- probes: one per direction and cell part ------------------------------------
     dirs = [F.struct(F.lit("F").alias("dir"), F.col("flow_key").alias("jkey"))]
