@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import split_features
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .quantiles import quantile_columns
 
 DIGITS = 6
@@ -39,7 +39,8 @@ def describe(df: DataFrame, features=None, exact: bool = True, accuracy: int = 1
     (:mod:`.quantiles`, bounded memory per task). ``exact=False``: one pass of
     ``percentile_approx`` sketches.
     """
-    long = unpivot_features(df, features, drop_null=True)
+    # nulls are kept: count/avg/min/max skip them, and an all-null feature still gets a row
+    long = unpivot_features(df, features)
     v = F.col("value")
     agg = long.groupBy("feature").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
@@ -47,10 +48,8 @@ def describe(df: DataFrame, features=None, exact: bool = True, accuracy: int = 1
         *([] if exact else [F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("qs")]))
     if exact:
         qt = quantile_columns(long, ["feature"], [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
-        agg = agg.join(qt, "feature").withColumn("qs", F.array("q1", "q2", "q3")).drop("q1", "q2", "q3")
-    # features whose values are all null still get a row
-    names = unpivot_features(df, features).select("feature").distinct()
-    agg = names.join(agg, "feature", "left")
+        agg = (agg.join(qt, "feature", "left")
+                  .withColumn("qs", F.array("q1", "q2", "q3")).drop("q1", "q2", "q3"))
     r = lambda c: F.round(c, digits)
     return agg.select("feature", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
                       r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
@@ -193,8 +192,10 @@ def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: s
     ids = [label] if by_label else []
     long = unpivot_features(df, features, ids=ids, drop_null=True)
     keys = ["feature", *ids]
-    q = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-             .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]), keys))
+    # one row per group, used twice below: written once so the quantile plan runs once
+    q = materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+                        .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]), keys),
+                    "boxplot-quartiles")
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")})
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
                        "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
@@ -228,7 +229,8 @@ def mutual_information_binned(df: DataFrame, features=None, label: str = "label"
     over all rows with both present, largest first (A16b)."""
     j, _ = _binned(df, features, bins, False, True, label)
     j = j.where(F.col(label).isNotNull())
-    cell = j.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_bl"))
+    # features x bins x classes rows, read by four branches: written once
+    cell = materialize(j.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_bl")), "mi-cells")
     per_f = cell.groupBy("feature").agg(F.sum("n_bl").alias("n"))
     per_b = cell.groupBy("feature", "bin").agg(F.sum("n_bl").alias("n_b"))
     per_l = cell.groupBy("feature", label).agg(F.sum("n_bl").alias("n_l"))

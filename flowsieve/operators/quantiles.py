@@ -78,6 +78,7 @@ def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
     vals = found[0]
     for f in found[1:]:
         vals = vals.unionByName(f)
+    vals = materialize(vals, "quantile-values-found")   # one row per target, read twice below
     lo_v = vals.select(*g, F.col("r").alias("r_lo"), F.col("val").alias("v_lo"))
     hi_v = vals.select(*g, F.col("r").alias("r_hi"), F.col("val").alias("v_hi"))
     out = (tg.select(*g, "p", "h").distinct()
