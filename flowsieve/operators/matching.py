@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import with_flow_keys
-from ..session import materialize
+from ..session import materialize, worth_materializing
 
 # Named time tolerances in milliseconds (the pipeline uses "1min").
 TIME_TOLERANCES = {
@@ -291,7 +291,7 @@ def _scope_keys(df: DataFrame, scope) -> DataFrame:
 def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
                  *, cardinality: str = "split", directions: str = "both",
                  flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=(),
-                 sub_cell_ms: int = 3_600_000, reuse_points: bool = True) -> DataFrame:
+                 sub_cell_ms: int = 3_600_000, reuse_points: bool | None = None) -> DataFrame:
     """Label per distinct flow point ``(flow_key, ts)``.
 
     ``tolerance_ms`` is one tolerance, or a ``{name: ms}`` dict answered in the
@@ -312,6 +312,8 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
     if not tols or any(ms < 0 for _, ms in tols):
         raise ValueError("tolerances must be >= 0")
     flows, labels, f_ts, l_ts, integral = _prepare(flows, labels, flow_ts, label_ts)
+    if reuse_points is None:      # size-checked: write the point tables only for large inputs
+        reuse_points = worth_materializing(flows, labels)
     if scope:
         flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
 
@@ -398,7 +400,8 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
 def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
                 *, cardinality: str = "split", directions: str = "both",
                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms",
-                keep_diagnostics: bool = False, scope=(), sub_cell_ms: int = 3_600_000) -> DataFrame:
+                keep_diagnostics: bool = False, scope=(), sub_cell_ms: int = 3_600_000,
+                reuse_points: bool | None = None) -> DataFrame:
     """All flows with their columns plus ``label`` and ``match_pass``.
 
     The label is a function of ``(flow_key, ts)``, so it is joined back on that
@@ -406,7 +409,7 @@ def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
     """
     res = match_points(flows, labels, tolerance_ms, cardinality=cardinality,
                        directions=directions, flow_ts=flow_ts, label_ts=label_ts, scope=scope,
-                       sub_cell_ms=sub_cell_ms)
+                       sub_cell_ms=sub_cell_ms, reuse_points=reuse_points)
     if not keep_diagnostics:
         res = res.drop("n_cand_f", "n_cand_r")
     res = res.withColumnsRenamed({"flow_key": "__mk", "ts": "__mt"})

@@ -107,3 +107,21 @@ def ship_package(spark: SparkSession) -> None:
     else:
         spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
+
+
+def estimated_bytes(df) -> int | None:
+    """Catalyst's size estimate of a DataFrame's plan (from file sizes; no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
+def worth_materializing(*dfs, threshold_bytes: int = 256 << 20) -> bool:
+    """Writing a reused intermediate pays off once its inputs are large.
+
+    Below the threshold, re-computation is cheaper than a write and a read; an
+    unknown estimate counts as large.
+    """
+    sizes = [estimated_bytes(d) for d in dfs]
+    return any(s is None or s >= threshold_bytes for s in sizes)

@@ -7,8 +7,13 @@ from flowsieve.plans import standins as S
 SF = "/root/testdata/sf0.01"
 
 
-def test_f2_pass_counts(spark):
-    m = match_flows(S.f2_flows(spark, SF), S.f2_labels(spark, SF), S.F2_TOLERANCE_MS, keep_diagnostics=True)
+import pytest
+
+
+@pytest.mark.parametrize("reuse", [True, False])
+def test_f2_pass_counts(spark, reuse):
+    m = match_flows(S.f2_flows(spark, SF), S.f2_labels(spark, SF), S.F2_TOLERANCE_MS, keep_diagnostics=True,
+                    reuse_points=reuse)
     got = {r.match_pass: r["count"] for r in m.groupBy("match_pass").count().collect()}
     assert (got["uf"], got["ur"], got["df"], got["dr"]) == (12, 8, 295, 97)
     amb = m.where(F.col("label").isNull() & ((F.col("n_cand_f") + F.col("n_cand_r")) > 0)).count()
