@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import split_features
-from ..session import materialize, ship_package
+from ..session import maybe_materialize, ship_package
 from .quantiles import quantile_columns
 
 DIGITS = 6
@@ -193,9 +193,10 @@ def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: s
     long = unpivot_features(df, features, ids=ids, drop_null=True)
     keys = ["feature", *ids]
     # one row per group, used twice below: written once so the quantile plan runs once
-    q = materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                        .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]), keys),
-                    "boxplot-quartiles")
+    q = maybe_materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+                              .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]),
+                                    keys),
+                          "boxplot-quartiles", df)
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")})
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
                        "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
@@ -230,7 +231,8 @@ def mutual_information_binned(df: DataFrame, features=None, label: str = "label"
     j, _ = _binned(df, features, bins, False, True, label)
     j = j.where(F.col(label).isNotNull())
     # features x bins x classes rows, read by four branches: written once
-    cell = materialize(j.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_bl")), "mi-cells")
+    cell = maybe_materialize(j.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_bl")),
+                             "mi-cells", df)
     per_f = cell.groupBy("feature").agg(F.sum("n_bl").alias("n"))
     per_b = cell.groupBy("feature", "bin").agg(F.sum("n_bl").alias("n_b"))
     per_l = cell.groupBy("feature", label).agg(F.sum("n_bl").alias("n_l"))

@@ -125,3 +125,8 @@ def worth_materializing(*dfs, threshold_bytes: int = 256 << 20) -> bool:
     """
     sizes = [estimated_bytes(d) for d in dfs]
     return any(s is None or s >= threshold_bytes for s in sizes)
+
+
+def maybe_materialize(df, name: str, *inputs):
+    """``materialize(df)`` when the inputs it is computed from are large, else ``df``."""
+    return materialize(df, name) if worth_materializing(*(inputs or (df,))) else df
