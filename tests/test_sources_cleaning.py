@@ -70,3 +70,13 @@ def test_missing_duration_column_raises(spark):
     from flowsieve.operators.quality import duration_histogram
     with pytest.raises(ValueError):
         duration_histogram(spark, spark.range(3), "Flow Duration")
+
+
+def test_files_spelling_a_column_differently_line_up(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("Flow ID, Label\n1,X\n2,NaN\n", encoding="utf-8")
+    b.write_text("Flow ID,Label,Extra\n3,Y,e\n", encoding="utf-8")
+    df = IO.read_label_csvs(spark, [str(a), str(b)])
+    assert sorted(df.columns) == ["Extra", "Flow ID", "Label"]
+    got = sorted((r["Flow ID"], r["Label"], r["Extra"]) for r in df.collect())
+    assert got == [("1", "X", None), ("2", None, None), ("3", "Y", "e")]   # NaN is a missing token
