@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_materialize
+
 # A window over the whole (tiny) result of an aggregate: used only on outputs whose
 # size is bounded by a fixed number of groups, never on data rows.
 def _all():
@@ -67,6 +69,7 @@ def key_ambiguity(df: DataFrame, key: str = "flow_key", label: str = "label") ->
 def conflict_detail(df: DataFrame, key: str = "flow_key", label: str = "label") -> DataFrame:
     """Label counts for every repeated key with more than one label."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    counts = maybe_materialize(counts, "conflict-counts", df)   # read twice below
     conflicting = (counts.groupBy(key)
                          .agg(F.sum("n").alias("rows"), F.count(F.col(label)).alias("n_labels"))
                          .where((F.col("rows") > 1) & (F.col("n_labels") > 1)).select(key))
