@@ -28,3 +28,13 @@ def test_f3_counts(spark):
     with_cands = m.where(F.col("n_cand_f") > 0).groupBy(
         F.when(F.col("match_pass") == "uf", "u").otherwise("d")).count().collect()
     assert {r[0]: r[1] for r in with_cands}.get("d") == 1370
+
+
+def test_sweep_candidates_grow_with_tolerance(spark):
+    from flowsieve.operators.matching import tolerance_sweep
+    d = "/root/testdata/sf0.1"
+    rows = sorted(tolerance_sweep(S.f2_flows(spark, d), S.f2_labels(spark, d)).collect(),
+                  key=lambda r: r.tolerance_ms)
+    cands = [r.with_candidates for r in rows]
+    assert [r.tolerance for r in rows] == ["10s", "30s", "1min", "2min", "3min", "5min"]
+    assert cands == sorted(cands) and cands[-1] > 0
