@@ -40,3 +40,37 @@ def sha256_hex(data: bytes) -> str:
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo ``n`` (null id: null)."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
+
+
+def annotate(docs: DataFrame, make, fields: str, keep: bool = False) -> DataFrame:
+    """Columns computed from each row's whole text, in Arrow batches, no shuffle.
+
+    ``make()`` runs once per task and returns ``f(ids, texts) -> list of columns`` for
+    ``fields``. With ``keep`` the whole input row stays in a struct column ``row``, so no name
+    can clash; else only ``doc_id`` is kept. Null texts arrive as empty strings.
+    """
+    import pyarrow as pa
+
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    if keep:
+        base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        schema = f"row {base.schema['row'].dataType.simpleString()}, {fields}"
+    else:
+        base, schema = texts(docs), f"doc_id long, {fields}"
+
+    def run(batches):
+        f = make()
+        for whole in batches:
+            for lo in range(0, max(1, whole.num_rows), 2000):
+                batch = whole.slice(lo, 2000)
+                if keep:
+                    row = batch.column(0)
+                    ids, text = row.field("doc_id"), row.field("text")
+                    head = [row]
+                else:
+                    ids, text = batch.column(0), batch.column(1)
+                    head = [ids]
+                cols = f(ids.to_pylist(), [t or "" for t in text.to_pylist()])
+                yield pa.RecordBatch.from_arrays([*head, *map(pa.array, cols)],
+                                                 names=["row" if keep else "doc_id", *names])
+    return base.mapInArrow(run, schema)
