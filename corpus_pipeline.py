@@ -1,21 +1,63 @@
-"""The corpus pipeline: stages over documents, each applying one operator of flowsieve.llm."""
+"""The corpus pipeline: stages over documents, each applying one operator of flowsieve.llm.
+
+All stages but the last return the columns of documents. A stage handles what its operator
+handles (see the operators' docstrings); an empty table passes through all stages.
+"""
 from __future__ import annotations
 
-from flowsieve.llm import simhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowsieve.llm import decontaminate, langid, packing, pii, simhash
 from flowsieve.llm.common import load, materialize, prepare
 
+#: A document is rejected when no language is found or none is more likely than this.
+LEAST_SCORE = 0.35
+
+
+def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    prepare(spark)
+    out = langid.identify(docs, langid.fit(docs), keep=True)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
 
-def near_dedup(spark, docs, sf_dir):
+def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (the smallest id)."""
     prepare(spark)
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark passages go."""
+    prepare(spark)
+    out = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), keep=True)
+    return out.where(~F.col("contaminated")).select("row.*")
+
+
+def redaction(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind in brackets; n_chars follows the text."""
+    prepare(spark)
+    out = pii.redact(docs)
+    if "n_chars" not in out.columns:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind))
+
+
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents, tokenised and packed into sequences: one row per piece."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("redaction", redaction), ("packing", pack)]
+#: Recurrent network and tokenizer have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
     """All stages in order; each result is written to the shared folder and reread."""
     prepare(spark)
     docs = load(spark, sf_dir, "documents")
