@@ -4,8 +4,9 @@ Tokens are words and one end mark per document; the model is a bigram model smoo
 unigram distribution: p(w | v) = (c(v, w) + K * p1(w)) / (c(v) + K) with
 p1(w) = (c(w) + 1) / (N + V + 1). The end mark also stands before the first word.
 
-Counts cover all training documents. Every slab of documents sends its distinct words, then
-its distinct pairs, to buckets of their hash; a bucket adds the counts up. A bucket of pairs
+Counts cover all training documents. Every slab of documents sends its distinct words to
+buckets of their hash, which add up the counts and number the words, then its distinct pairs,
+by these numbers, to buckets of pairs. A bucket of pairs
 becomes one shard of the trie: level 1 holds the contexts, pointers give each context's range
 in level 2, and level 2 holds successors relative to their context, made monotone by the
 context's rank. All three are Elias-Fano coded; each successor has a 16-bit quantised smoothed
@@ -73,7 +74,7 @@ class Trie:
     """Levels of one shard, mapped from a file."""
 
     def __init__(self, folder: str, ctx: np.ndarray, succ: np.ndarray, log10p: np.ndarray):
-        """``ctx``, ``succ``: hashes of distinct pairs sorted by both; their log probabilities."""
+        """``ctx``, ``succ``: numbers of distinct pairs sorted by both; their log probabilities."""
         level1, start = np.unique(ctx, return_index=True)
         dictionary = np.unique(succ)
         rank = np.repeat(np.arange(len(level1)), np.diff(np.r_[start, len(ctx)]))
@@ -98,7 +99,7 @@ class Trie:
         return EliasFano(*self.at[name]).values()
 
     def lookup(self, ctx: np.ndarray, succ: np.ndarray) -> np.ndarray:
-        """Codes of pairs of hashes; 0 where the pair is not in the trie."""
+        """Codes of pairs of word numbers; 0 where the pair is not in the trie."""
         out = np.zeros(len(ctx), np.uint16)
         contexts, words = self.level("contexts"), self.level("words")
         if not len(contexts):
@@ -157,10 +158,15 @@ def _payloads(answers: pd.DataFrame, kind: int) -> dict:
     return {int(b): unzip_bytes(p) for b, p in zip(mine["bucket"], mine["payload"])}
 
 
-def _known(t: Tokens, answers: pd.DataFrame, n_buckets: int) -> np.ndarray:
-    """Training count of each word of the slab, from the word buckets."""
+def _known(t: Tokens, answers: pd.DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training count and number (bucket and rank, in hash order) of each word of the slab, from the word buckets."""
     got = _payloads(answers, 1)
-    return np.concatenate([np.frombuffer(got[b], np.int64) for b, _, _ in cut(bucket_of(t.hash, n_buckets))])
+    count, number = [], []
+    for b, _, _ in cut(bucket_of(t.hash, n_buckets)):
+        c, steps = np.frombuffer(got[b], np.int64).reshape(2, -1)
+        count.append(c)
+        number.append(np.cumsum(steps) + (b << 32))
+    return np.concatenate(count), np.concatenate(number)
 
 
 def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +176,7 @@ def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(inv, c, len(u)).astype(np.int64)
     size, back = [len(x) // 8 for x in pdf["hashes"]], total[inv]
     ends = np.cumsum(size)
-    out = [(s, 1, b, zip_bytes(back[e - k:e].tobytes()), 0, 0)
+    out = [(s, 1, b, zip_bytes(back[e - k:e].tobytes() + np.diff(inv[e - k:e], prepend=0).astype(np.int64).tobytes()), 0, 0)
            for s, b, e, k in zip(pdf["slab"], pdf["bucket"], ends, size)]
     out.append((-1, 0, int(pdf["bucket"].iloc[0]), b"", int(total.sum()), int((total > 0).sum())))
     return pd.DataFrame(out, columns=["slab", "kind", "bucket", "payload", "n", "v"])
@@ -184,8 +190,9 @@ def _shard(n_tokens: int, n_words: int, prior: float):
     """Builds a bucket's shard of the trie from the training pairs and answers all pairs of the slabs."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ctx, word, count, c_ctx, c_word, size = [], [], [], [], [], []
-        for h, c, i, j, k in zip(pdf["hashes"], pdf["counts"], pdf["ctx"], pdf["word"], pdf["pairs"]):
-            h, c = np.frombuffer(h, np.uint64), np.frombuffer(unzip_bytes(c), np.int64)
+        for h, c, i, j, k in zip(pdf["words"], pdf["counts"], pdf["ctx"], pdf["word"], pdf["pairs"]):
+            h = np.cumsum(np.frombuffer(unzip_bytes(h), np.int64)).astype(np.uint64)
+            c = np.frombuffer(unzip_bytes(c), np.int64)
             i, j = np.cumsum(np.frombuffer(unzip_bytes(i), np.int32)), np.frombuffer(unzip_bytes(j), np.int32)
             ctx.append(h[i]), word.append(h[j]), c_ctx.append(c[i]), c_word.append(c[j])
             count.append(np.frombuffer(unzip_bytes(k), np.int32))
@@ -224,24 +231,24 @@ def score(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
 
     def pairs(slab, answers):
         t = Tokens(slab)
-        c = _known(t, answers, n)
+        c, number = _known(t, answers, n)
         ctx, word, count, _, runs = t.pairs(n)
         out = []
         for b, s, e in runs:
             used, at = np.unique(np.r_[ctx[s:e], word[s:e]], return_inverse=True)
             i, j = at[:e - s], at[e - s:]
-            out.append((b, slab.slab, t.hash[used].tobytes(), zip_bytes(c[used].tobytes()),
+            out.append((b, slab.slab, zip_bytes(np.diff(number[used], prepend=0).tobytes()), zip_bytes(c[used].tobytes()),
                         zip_bytes(np.diff(i, prepend=0).astype(np.int32).tobytes()),
                         zip_bytes(j.astype(np.int32).tobytes()), zip_bytes(count[s:e].astype(np.int32).tobytes())))
-        return pd.DataFrame(out, columns=["bucket", "slab", "hashes", "counts", "ctx", "word", "pairs"])
+        return pd.DataFrame(out, columns=["bucket", "slab", "words", "counts", "ctx", "word", "pairs"])
 
-    sent = each_slab(table, pairs, "bucket long, slab long, hashes binary, counts binary, ctx binary, word binary, "
+    sent = each_slab(table, pairs, "bucket long, slab long, words binary, counts binary, ctx binary, word binary, "
                                    "pairs binary", known)
     codes = sent.groupBy("bucket").applyInPandas(_shard(n_tokens, n_words, prior), _ANSWER)
 
     def add_up(slab, answers):
         t = Tokens(slab)
-        c = _known(t, answers, n)
+        c, _ = _known(t, answers, n)
         ctx, word, _, pair, runs = t.pairs(n)
         got = _payloads(answers, 2)
         code = np.concatenate([np.frombuffer(got[b], np.uint16) for b, _, _ in runs]).astype(np.float64)
