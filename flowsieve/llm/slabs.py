@@ -20,7 +20,7 @@ from flowsieve.session import shared_dir
 
 from .common import texts, width
 
-SLAB_BYTES = 16 << 20
+SLAB_BYTES = 8 << 20
 #: Stands for a null id in arrays; sorts after every id.
 NULL_ID = np.iinfo(np.int64).max
 

@@ -79,8 +79,11 @@ def spans(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a = anchor[at]
         s = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (a[1:] != a[:-1])])
         out.append((at[s] + lo, np.diff(np.r_[s, len(at)]), a[s] - at[s], g[a[s]]))
-    return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out)) if out else (
-        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z.astype(np.uint64)
+    p0, n, off, gram = map(np.concatenate, zip(*out))
+    return p0, n, off, (gram ^ gram >> np.uint64(32)) * _M[0]  # smallest hashes were chosen: spread them again
 
 
 def _groups(words: np.ndarray) -> np.ndarray:
@@ -168,6 +171,33 @@ def _local(slab: Slab, answers: pd.DataFrame | None, n_buckets: int) -> pd.DataF
     return pd.DataFrame(rows, columns=["bucket", "slab", "docs", "offs", "ns", "occs", "at", "spans"])
 
 
+def _aligned(blobs, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Spans as rows of bytes with their anchors in one column; filled a few thousand rows at a time."""
+    flat = np.frombuffer(b"".join(map(unzip_bytes, blobs)), np.uint8)
+    mat = np.zeros((len(n), 2 * REACH + GRAM), np.uint8)
+    size = n + LENGTH - 1
+    ends = np.cumsum(size)
+    for lo in range(0, len(n), 1 << 13):
+        k = size[lo:lo + (1 << 13)]
+        start = ends[lo] - size[lo]
+        here = flat[start:start + k.sum()]
+        col = np.arange(len(here)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(REACH - off[lo:lo + (1 << 13)], k)
+        mat[np.repeat(np.arange(lo, lo + len(k)), k), col] = here
+    return mat
+
+
+def _union(slab: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """Overlapping ranges of a slab joined, as bytes by slab (documents never overlap)."""
+    order = np.lexsort((start, slab))
+    slab, start, end = slab[order], start[order], end[order]
+    out = []
+    for b, i, j in cut(slab):
+        s, upto = start[i:j], np.maximum.accumulate(end[i:j])
+        new = np.flatnonzero(np.r_[True, s[1:] >= upto[:-1]])
+        out.append((b, np.stack([s[new], upto[np.r_[new[1:] - 1, j - i - 1]]], axis=1).tobytes()))
+    return out
+
+
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Second and third digit in a bucket: removed ranges by slab."""
     out = [(int(s), a) for s, a, d in zip(pdf["slab"], pdf["at"], pdf["docs"]) if d is None]
@@ -177,13 +207,9 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
         off = np.frombuffer(b"".join(pdf["offs"]), np.uint8).astype(np.int64)
         n = np.frombuffer(b"".join(pdf["ns"]), np.uint8).astype(np.int64)
         occ = np.frombuffer(b"".join(map(unzip_bytes, pdf["occs"])), np.uint32).astype(np.int64)
-        at = np.frombuffer(b"".join(pdf["at"]), np.uint32).astype(np.int64)
+        at = np.frombuffer(b"".join(pdf["at"]), np.uint32)
         slab = np.repeat(pdf["slab"].to_numpy(np.int64), [len(x) for x in pdf["offs"]])
-        flat = np.frombuffer(b"".join(map(unzip_bytes, pdf["spans"])), np.uint8)
-        size = n + LENGTH - 1
-        mat = np.zeros((len(n), 2 * REACH + GRAM), np.uint8)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(REACH - off, size)
-        mat[np.repeat(np.arange(len(n)), size), col] = flat
+        mat = _aligned(pdf["spans"], off, n)
         same = _groups(np.concatenate([_words(mat), (off << 8 | n).astype(np.uint64)[:, None]], axis=1))
         low = _smallest(same, doc)
         first = np.flatnonzero(doc == low)
@@ -205,12 +231,12 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
         r = some[r]
         begin, stop = s - (REACH - off[r]), e - 1 - (REACH - off[r]) + LENGTH
         base = np.cumsum(occ) - occ  # every occurrence of the span has the same ranges
-        k = np.repeat(np.arange(len(r)), occ[r])
-        nth = np.arange(len(k)) - np.repeat(np.cumsum(occ[r]) - occ[r], occ[r])
-        p = at[base[r[k]] + nth]
-        where, ranges = slab[r[k]], np.stack([p + begin[k], p + stop[k]], axis=1)
-        order = np.argsort(where, kind="stable")
-        out += [(b, ranges[order[i:j]].tobytes()) for b, i, j in cut(where[order])]
+        chunk = np.cumsum(occ[r]) >> 18
+        for _, i, j in cut(chunk):
+            q = r[i:j]
+            k = np.repeat(np.arange(i, j), occ[q])
+            p = at[np.repeat(base[q] - np.cumsum(occ[q]) + occ[q], occ[q]) + np.arange(len(k))].astype(np.int64)
+            out += _union(slab[r[k]], p + begin[k], p + stop[k])
     return pd.DataFrame(out, columns=["slab", "ranges"])
 
 
