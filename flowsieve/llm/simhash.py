@@ -154,7 +154,7 @@ def _forest(homes: np.ndarray, members: np.ndarray, max_bits: int):
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct fingerprints ``fps(fp)`` to a table of links (a, b) with the same components as all links."""
+    """Distinct fingerprints ``fps(fp)`` to pairs (a, b) that have the same components as all links."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the anchor tables cover distances up to {MAX_BITS}")
     spark = fps.sparkSession
