@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import with_flow_keys
-from ..session import materialize, worth_materializing
+from ..session import materialize
 
 # Named time tolerances in milliseconds (the pipeline uses "1min").
 TIME_TOLERANCES = {
@@ -65,12 +65,6 @@ def numeric_ts(df: DataFrame, col: str) -> Column:
     return F.expr(f"try_cast(`{col}` AS DOUBLE)")
 
 
-def _floor_div(c: Column, width: int, integral: bool) -> Column:
-    if integral:
-        return ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
-    return F.floor(c / F.lit(float(width))).cast("bigint")
-
-
 def key_counts(df: DataFrame, key: str = "flow_key", name: str = "n") -> DataFrame:
     """``key -> occurrences`` with map-side partial aggregation (J1 building block)."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
@@ -80,9 +74,10 @@ def split_by_key_count(df: DataFrame, key: str = "flow_key") -> DataFrame:
     """Tag each row with how often its key occurs and whether it is unique.
 
     Rows with a null key get a null count. The count table is joined back on the
-    key instead of a window over the key, so a hot key is not forced into one task.
+    key instead of a window over the key, and written first: a join whose counts come straight
+    from their aggregation has no exchange on that side, and AQE can't split a hot key in it.
     """
-    counts = key_counts(df, key, "key_count")
+    counts = materialize(key_counts(df, key, "key_count"), "key-counts")
     return (df.join(counts, on=key, how="left")
               .withColumn("key_class", F.when(F.col("key_count") == 1, F.lit("unique"))
                                         .when(F.col("key_count") > 1, F.lit("repeated"))))
@@ -312,8 +307,7 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
     if not tols or any(ms < 0 for _, ms in tols):
         raise ValueError("tolerances must be >= 0")
     flows, labels, f_ts, l_ts, integral = _prepare(flows, labels, flow_ts, label_ts)
-    if reuse_points is None:      # size-checked: write the point tables only for large inputs
-        reuse_points = worth_materializing(flows, labels)
+    reuse_points = reuse_points is not False  # the same plan at every size
     if scope:
         flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
 
@@ -325,7 +319,8 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
     fpts = (flows.select("flow_key", "flow_key_rev", f_ts.alias("ts"))
                  .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
                  .groupBy("flow_key", "flow_key_rev", "ts").agg(F.count(F.lit(1)).alias("c")))
-    n_f = fpts.groupBy("flow_key").agg(F.sum("c").alias("n_f"))
+    # written, so that both join sides are plain exchanges and AQE can split a hot key
+    n_f = materialize(fpts.groupBy("flow_key").agg(F.sum("c").alias("n_f")), "match-flow-counts")
     fq = (fpts.join(n_f, "flow_key")
               .withColumn("cls_f", F.when(F.col("n_f") > 1, REPEATED).otherwise(UNIQUE))
               .drop("c", "n_f"))
@@ -339,7 +334,7 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
                 .groupBy("flow_key", "ts")
                 .agg(F.min("label").alias("l_min"), F.max("label").alias("l_max"),
                      F.count("label").alias("n_lab"), F.count(F.lit(1)).alias("n_cand")))
-    n_l = lp.groupBy("flow_key").agg(F.sum("n_cand").alias("n_l"))
+    n_l = materialize(lp.groupBy("flow_key").agg(F.sum("n_cand").alias("n_l")), "match-label-counts")
     points = (lp.where(F.col("ts").isNotNull())
                 .join(n_l, "flow_key")
                 .select(F.col("flow_key").alias("jkey"), "ts", "l_min", "l_max", "n_lab", "n_cand",

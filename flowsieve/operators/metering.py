@@ -43,8 +43,10 @@ def _cell(c: Column, width: int) -> Column:
 
 def canonical(packets: DataFrame) -> DataFrame:
     """Add the conversation key: the two endpoints in a fixed order, plus protocol."""
-    a_first = ((F.col("src_ip") < F.col("dst_ip"))
-               | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port"))))
+    def end(side):  # nulls first, so that both directions agree on the order
+        ip, port = F.col(f"{side}_ip"), F.col(f"{side}_port")
+        return F.struct(ip.isNotNull(), F.coalesce(ip, F.lit("")), port.isNotNull(), F.coalesce(port, F.lit(0)))
+    a_first = end("src") <= end("dst")
     return packets.withColumns({
         "a_ip": F.when(a_first, F.col("src_ip")).otherwise(F.col("dst_ip")),
         "a_port": F.when(a_first, F.col("src_port")).otherwise(F.col("dst_port")),
@@ -54,6 +56,23 @@ def canonical(packets: DataFrame) -> DataFrame:
     })
 
 
+def conversation_key(columns) -> Column:
+    """One non-null text for the values of ``columns``, nulls included (tagged and length-prefixed parts).
+
+    Equi-joins on the columns themselves would drop packets without ports (ICMP) or addresses.
+    """
+    parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(
+        F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+        for c in columns]
+    return F.concat_ws("|", *parts)
+
+
+def null_time_packets(packets: DataFrame, ts: str = "ts_ms") -> DataFrame:
+    """Number of packets without a time; they belong to no flow (packets in = packets in flows + these)."""
+    return packets.agg(F.count(F.when(F.col(ts).isNull(), 1)).alias("null_time_packets"),
+                       F.count(F.lit(1)).alias("packets"))
+
+
 def _session_starts(points: DataFrame, idle: int, conv=tuple(CONV)) -> DataFrame:
     """(conv, ts) -> (conv, ts, sess): start of the idle session of each point."""
     c = points.withColumn("cell", _cell(F.col("ts"), idle))
@@ -130,13 +149,15 @@ def assign_flows(packets: DataFrame, idle_ms: int, active_ms: int, *, ts: str =
     """Packets with conversation columns plus ``flow_start`` and ``expiration_id``.
 
     ``scope`` columns (e.g. scenario, capture) are part of the conversation key, so
-    packets of different captures never share a flow.
+    packets of different captures never share a flow. Null ports, addresses, protocols and
+    scopes are values like any other; packets without a time are in no flow (``null_time_packets``).
     """
-    conv = [*scope, *CONV]
+    conv = ["conv_key"]
     idle, active = int(idle_ms), int(active_ms)
     if idle <= 0 or active <= 0:
         raise ValueError("timeouts must be > 0")
-    pk = canonical(packets).withColumn("ts", F.col(ts).cast("bigint"))
+    pk = canonical(packets).withColumns({"ts": F.col(ts).cast("bigint"),
+                                         "conv_key": conversation_key([*scope, *CONV])})
     points = pk.select(*conv, "ts").where(F.col("ts").isNotNull()).distinct()
     ss = materialize(_session_starts(points, idle, conv), "meter-sessions")   # reused three times below
     sessions = ss.groupBy(*conv, "sess").agg(F.max("ts").alias("last"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .profile import unpivot_features
-from .sampling import sample_fixed_n
+from .sampling import _part, sample_fixed_n
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -88,7 +88,8 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
         df = sample_fixed_n(df, sample_rows, seed, id_cols)
     # The (bounded) input is written once with a stable row id: every later
     # re-read sees the same rows and ids, and lineage is cut.
-    df = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "mi-sample")
+    row = F.concat(*[_part(c) for c in id_cols]) if id_cols else F.monotonically_increasing_id().cast("string")
+    df = materialize(df.withColumn("__row", row), "mi-sample")
     long = (unpivot_features(df, features, ids=[label, "__row"], drop_null=True)
             .where(F.col(label).isNotNull())
             .select("feature", F.col(label).alias("cls"), F.col("value").alias("x"), "__row"))
@@ -111,7 +112,7 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
     # m: data rows strictly inside (x - r, x + r); r = 0 -> rows equal to x.
     # tiebreak orders rows of equal value: -1 probe counts "< v", +1 probe counts "<= v".
     data = d.select("feature", F.col("x").alias("v"), F.lit(0).alias("tb"), F.lit(1).alias("is_data"),
-                    F.lit(None).cast("long").alias("rid"), F.lit(0).alias("sign"))
+                    F.lit(None).cast("string").alias("rid"), F.lit(0).alias("sign"))
     zero = F.col("r") == 0
     hi = d.select("feature", (F.col("x") + F.col("r")).alias("v"),
                   F.when(zero, 1).otherwise(-1).alias("tb"), F.lit(0).alias("is_data"), "rid",

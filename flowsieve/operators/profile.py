@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import split_features
-from ..session import maybe_materialize, ship_package
+from ..session import materialize, ship_package
 from .quantiles import quantile_columns
 
 DIGITS = 6
@@ -23,10 +23,17 @@ def _num(df: DataFrame, features=None) -> list[str]:
     return list(features) if features else split_features(df)[0]
 
 
+def finite(c):
+    """The value as double; NaN and infinities are missing."""
+    v = c.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
 def unpivot_features(df: DataFrame, features=None, ids=(), drop_null: bool = False) -> DataFrame:
-    """Wide -> long ``(ids..., feature, value)`` with values as double."""
+    """Wide -> long ``(ids..., feature, value)`` with values as double, NaN as null."""
     feats = _num(df, features)
-    cast = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
+    cast = df.select(*ids, *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c)
+                             for c in feats])
     long = cast.unpivot(list(ids), feats, "feature", "value")
     return long.where(F.col("value").isNotNull()) if drop_null else long
 
@@ -88,7 +95,7 @@ def _pair_moments(df: DataFrame, feats: list[str]) -> DataFrame:
 
     ship_package(df.sparkSession)
     k = len(feats)
-    vals = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(feats)])
+    vals = df.select(*[finite(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(feats)])
     means = vals.agg(*[F.avg(f"f{i}").alias(f"f{i}") for i in range(k)]).first()
     shift = np.array([0.0 if means[i] is None else float(means[i]) for i in range(k)])
     iu, ju = np.triu_indices(k)
@@ -128,13 +135,15 @@ def correlation_matrix(df: DataFrame, features=None, upper_only: bool = False,
     feats = _num(df, features)
     s = _pair_moments(df, feats)
     n = F.col("n")
-    cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
-    va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
-    vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
+    def mean(c):  # null for a pair that is never present together
+        return F.try_divide(F.col(c), n)
+    cov = mean("sab") - mean("sa") * mean("sb")
+    va = mean("saa") - mean("sa") * mean("sa")
+    vb = mean("sbb") - mean("sb") * mean("sb")
     # relative guard: a variance at rounding-noise level is a constant column
     eps = 1e-12
-    ok = (n > 0) & (va > eps * F.col("saa") / n) & (vb > eps * F.col("sbb") / n)
-    r = F.when(ok, cov / F.sqrt(va * vb))
+    ok = (n > 0) & (va > eps * mean("saa")) & (vb > eps * mean("sbb"))
+    r = F.when(ok, F.try_divide(cov, F.sqrt(va * vb)))
     r = F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
     out = s.select("feature_a", "feature_b", F.round(r, digits).alias("r"))
     if upper_only:
@@ -158,12 +167,12 @@ def _binned(df: DataFrame, features, bins: int, log: bool, by_label: bool, label
     if not 1 <= bins:
         raise ValueError("bins must be >= 1")
     ids = [label] if by_label else []
-    long = unpivot_features(df, features, ids=ids, drop_null=True)
+    long = unpivot_features(df, features, ids=ids, drop_null=True).where(F.abs("value") != float("inf"))
     if log:
         long = long.withColumn("value", F.log1p("value"))
     rng = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    # one row per feature: joined on the feature name (broadcast by AQE at runtime)
-    j = long.join(rng, "feature")
+    # one row per feature (bounded by the schema): the long table is not shuffled for two numbers
+    j = long.join(F.broadcast(rng), "feature")
     raw = F.floor((F.col("value") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(F.least(F.lit(bins), raw.cast("int")))
     return j.withColumn("bin", b.cast("int")), ids
@@ -193,10 +202,10 @@ def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: s
     long = unpivot_features(df, features, ids=ids, drop_null=True)
     keys = ["feature", *ids]
     # one row per group, used twice below: written once so the quantile plan runs once
-    q = maybe_materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    q = materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
                               .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]),
                                     keys),
-                          "boxplot-quartiles", df)
+                          "boxplot-quartiles")
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")})
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
                        "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
@@ -231,8 +240,8 @@ def mutual_information_binned(df: DataFrame, features=None, label: str = "label"
     j, _ = _binned(df, features, bins, False, True, label)
     j = j.where(F.col(label).isNotNull())
     # features x bins x classes rows, read by four branches: written once
-    cell = maybe_materialize(j.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_bl")),
-                             "mi-cells", df)
+    cell = materialize(j.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_bl")),
+                             "mi-cells")
     per_f = cell.groupBy("feature").agg(F.sum("n_bl").alias("n"))
     per_b = cell.groupBy("feature", "bin").agg(F.sum("n_bl").alias("n_b"))
     per_l = cell.groupBy("feature", label).agg(F.sum("n_bl").alias("n_l"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import maybe_materialize
+from ..session import materialize
 
 # A window over the whole (tiny) result of an aggregate: used only on outputs whose
 # size is bounded by a fixed number of groups, never on data rows.
@@ -69,7 +69,7 @@ def key_ambiguity(df: DataFrame, key: str = "flow_key", label: str = "label") ->
 def conflict_detail(df: DataFrame, key: str = "flow_key", label: str = "label") -> DataFrame:
     """Label counts for every repeated key with more than one label."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
-    counts = maybe_materialize(counts, "conflict-counts", df)   # read twice below
+    counts = materialize(counts, "conflict-counts")   # read twice below
     conflicting = (counts.groupBy(key)
                          .agg(F.sum("n").alias("rows"), F.count(F.col(label)).alias("n_labels"))
                          .where((F.col("rows") > 1) & (F.col("n_labels") > 1)).select(key))
@@ -133,13 +133,19 @@ def duration_range(df: DataFrame, col: str) -> DataFrame:
                             "max_min": F.round(F.col("max_us") / 60_000_000, 2)}))
 
 
+def _present(df: DataFrame, c: str):
+    """The cell, null where it is NaN."""
+    col = F.col(f"`{c}`")
+    return F.when(~F.isnan(col), col) if df.schema[c].dataType.simpleString() in ("double", "float") else col
+
+
 def null_percentage(df: DataFrame) -> DataFrame:
     """Share of null cells per column in one pass, as rows.
 
     One ``count(col)`` per column plus one row count: a single buffer field per
     column keeps wide tables inside whole-stage code generation.
     """
-    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(_present(df, c)).alias(c) for c in df.columns])
     long = wide.unpivot(["__n"], df.columns, "column_name", "non_null")
     return long.select("column_name", F.round(F.try_divide((F.col("__n") - F.col("non_null")) * 100.0,
                                                            F.col("__n")), 6).alias("null_pct"))
@@ -165,7 +171,7 @@ def match_rate(matched: DataFrame) -> DataFrame:
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, and per column its type and non-null count, in one pass."""
     wide = df.agg(F.count(F.lit(1)).alias("__rows"),
-                  *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+                  *[F.count(_present(df, c)).alias(c) for c in df.columns])
     long = wide.unpivot(["__rows"], df.columns, "column_name", "non_null")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     dtype = F.lit(None).cast("string")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, worth_materializing
+from ..session import materialize
 
 
 def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
@@ -30,10 +30,8 @@ def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
     """``(group_cols..., p, q)`` for every group and probability (nulls ignored)."""
     g = list(group_cols)
     data = long.select(*g, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    large = worth_materializing(long)
     stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-    if large:
-        stats = materialize(stats, "quantile-stats")   # one row per group
+    stats = materialize(stats, "quantile-stats")   # one row per group
     pr = F.array(*[F.lit(float(p)) for p in probs])
     tg = (stats.select(*g, "n", "mn", "mx", F.explode(pr).alias("p"))
                .withColumn("h", (F.col("n") - 1) * F.col("p"))
@@ -76,11 +74,12 @@ def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
             *g, "r", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
             (F.col("off") + F.col("before")).cast("long").alias("off"), F.col("c").alias("cnt")),
             "quantile-targets")
+    else:
+        raise RuntimeError(f"quantiles not resolved in {max_rounds} rounds")
     vals = found[0]
     for f in found[1:]:
         vals = vals.unionByName(f)
-    if large:
-        vals = materialize(vals, "quantile-values-found")   # one row per target, read twice below
+    vals = materialize(vals, "quantile-values-found")   # one row per target, read twice below
     lo_v = vals.select(*g, F.col("r").alias("r_lo"), F.col("val").alias("v_lo"))
     hi_v = vals.select(*g, F.col("r").alias("r_hi"), F.col("val").alias("v_hi"))
     out = (tg.select(*g, "p", "h").distinct()

@@ -17,9 +17,18 @@ def top_features(scores: DataFrame, k: int = 15, score: str = "mi", threshold: f
     return scores.orderBy(F.col(score).desc_nulls_last(), "feature").limit(k)
 
 
+def _part(c: str):
+    """A column's share of the hashed row key: length-prefixed text, or a mark for null."""
+    text = F.col(f"`{c}`").cast("string")
+    return F.when(text.isNull(), F.lit("n|")).otherwise(
+        F.concat(F.length(text).cast("string"), F.lit(":"), text, F.lit("|")))
+
+
 def sample_fixed_n(df: DataFrame, n: int, seed: int, id_cols=None) -> DataFrame:
     """Exactly n rows (or all, if fewer) without replacement, reproducible.
 
+    Null ids are hashed like any other value, so no row is lost to them.
+
     The sample is the n rows with the smallest ``md5(id | seed)``. Rather than
     sorting everything (a top-n merge that would receive n rows from every
     partition), rows are first filtered by a threshold on a 60-bit prefix of the
@@ -29,10 +38,7 @@ def sample_fixed_n(df: DataFrame, n: int, seed: int, id_cols=None) -> DataFrame:
     total - is exactly the top-n of the table.
     """
     cols = list(id_cols) if id_cols else df.columns
-    parts = []
-    for c in cols:
-        parts += [F.col(c).cast("string"), F.lit("|")]
-    h = F.md5(F.concat(*parts, F.lit(str(seed))))
+    h = F.md5(F.concat(*[_part(c) for c in cols], F.lit(str(seed))))
     hashed = df.withColumn("__h", h).withColumn(
         "__k", F.conv(F.substring("__h", 1, 15), 16, 10).cast("decimal(20,0)"))
     total = df.count()

@@ -43,8 +43,8 @@ m AS (
 F2_TOL = 86_400_000
 F3_TOL = 15_552_000_000
 
-def _f2_match(cardinality="split") -> str:
-    return "WITH " + F2 + match_sql("f2_flows", "f2_labels", F2_TOL, cardinality=cardinality)
+def _f2_match(cardinality="split", tol=F2_TOL) -> str:
+    return "WITH " + F2 + match_sql("f2_flows", "f2_labels", tol, cardinality=cardinality)
 
 
 def match_flows() -> str:
@@ -53,6 +53,12 @@ SELECT f.*, m.label, m.match_pass
 FROM f2_flows f LEFT JOIN m ON f.flow_key = m.flow_key AND f.bidirectional_first_seen_ms = m.ts"""
 
 
+def match_flows_1min() -> str:
+    return _f2_match(tol=60_000) + """
+SELECT f.*, m.label, m.match_pass
+FROM f2_flows f LEFT JOIN m ON f.flow_key = m.flow_key AND f.bidirectional_first_seen_ms = m.ts"""
+
+
 def match_flows_large() -> str:
     return "WITH " + F3 + match_sql("f3_flows", "f3_labels", F3_TOL, flow_ts="ts_ms", both=False) + """
 SELECT f.*, m.label, m.match_pass

@@ -11,10 +11,10 @@ def assigned(idle: int = IDLE, active: int = ACTIVE, scope: str = "", packets: s
     on_pt = "".join(f" AND p.{c.strip()} = t.{c.strip()}" for c in scope.split(",") if c.strip())
     return "WITH RECURSIVE " + packets + f""",
 pk AS (
-  SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port)) AS a_sends FROM f1_packets),
+  SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND coalesce(src_port, -1) <= coalesce(dst_port, -1))) AS a_sends FROM f1_packets),
 pk2 AS (
-  SELECT *, CASE WHEN a_sends THEN src_ip ELSE dst_ip END AS a_ip, CASE WHEN a_sends THEN src_port ELSE dst_port END AS a_port,
-         CASE WHEN a_sends THEN dst_ip ELSE src_ip END AS b_ip, CASE WHEN a_sends THEN dst_port ELSE src_port END AS b_port
+  SELECT *, CASE WHEN a_sends THEN src_ip ELSE dst_ip END AS a_ip, coalesce(CASE WHEN a_sends THEN src_port ELSE dst_port END, -1) AS a_port,
+         CASE WHEN a_sends THEN dst_ip ELSE src_ip END AS b_ip, coalesce(CASE WHEN a_sends THEN dst_port ELSE src_port END, -1) AS b_port
   FROM pk),
 pts AS (SELECT DISTINCT {sc}a_ip, a_port, b_ip, b_port, protocol, ts_ms AS ts FROM pk2 WHERE ts_ms IS NOT NULL),
 s1 AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= {idle} OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS is_new
@@ -98,3 +98,9 @@ SELECT src_ip, dst_ip, src_port, dst_port, protocol, bidirectional_first_seen_ms
        bidirectional_duration_ms, bidirectional_packets, bidirectional_bytes, expiration_id,
        {", ".join(swap)}, {", ".join(bi_extra)}
 FROM g"""
+
+F1_NULLS = F1_PACKETS.replace("f1_packets AS (", "f1_raw AS (") + """,
+f1_packets AS (SELECT packet_id, CASE WHEN packet_id % 50 <> 7 THEN ts_ms END AS ts_ms, src_ip, dst_ip,
+                      CASE WHEN packet_id % 5 <> 0 THEN src_port END AS src_port,
+                      CASE WHEN packet_id % 5 <> 0 THEN dst_port END AS dst_port,
+                      CASE WHEN packet_id % 5 = 0 THEN 1 ELSE protocol END AS protocol, bytes FROM f1_raw)"""

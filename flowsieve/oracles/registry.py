@@ -3,12 +3,14 @@ from . import cleaning, matching as M, metering as MT, pipeline, reports
 
 ORACLES = {
     "match_flows": M.match_flows(),
+    "match_flows_1min": M.match_flows_1min(),
     "match_flows_large": M.match_flows_large(),
     **cleaning.ORACLES,
     **reports.ORACLES,
     **pipeline.ORACLES,
     "meter_flows": MT.meter_flows(),
     # the stream must give exactly the batch result
+    "meter_flows_nulls": MT.meter_flows("", MT.F1_NULLS),
     "meter_flows_stream": MT.meter_flows(),
     "meter_expiration": MT.meter_expiration(),
     "meter_flows_by_capture": MT.meter_flows("capture", MT.F1_CAPTURES),

@@ -75,6 +75,10 @@ SELECT q2.feature, {"q2.label, " if by_label else ""}q2.n, round(q1, 6) AS q1, r
 FROM q2 JOIN e ON q2.feature = e.feature {"AND q2.label = e.label" if by_label else ""}"""
 
 
+_ROW_KEY = "md5(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN 'n|' ELSE length(CAST({c} AS VARCHAR)) || ':' || {c} || '|' END"
+    for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) + " || '{seed}')"
+
 MI_BINNED = _hist(25, False, True).split("\nSELECT feature, label, bin")[0] + """,
 cell AS (SELECT feature, bin, label, count(*) AS n_bl FROM b WHERE label IS NOT NULL GROUP BY ALL),
 t AS (SELECT c.*, sum(n_bl) OVER (PARTITION BY feature) AS n,
@@ -203,11 +207,12 @@ SELECT f.label, c.label_code, f.p FROM f5_features f LEFT JOIN c USING (label)""
     "top_features": f"SELECT * FROM ({MI_BINNED}) ORDER BY mi DESC NULLS LAST, feature LIMIT 15",
     "preview_rows": "WITH " + F2 + "\nSELECT * FROM f2_flows ORDER BY flow_id LIMIT 10",
     "sample_fixed_n": """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM lineitem
-ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || '42') LIMIT 100000""",
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag
+FROM (SELECT * REPLACE (CASE WHEN l_partkey % 10 <> 3 THEN l_partkey END AS l_partkey) FROM lineitem)
+ORDER BY """ + _ROW_KEY.format(seed=42) + " LIMIT 3000",
     "sample_column_values": """
 SELECT l_extendedprice FROM lineitem
-ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || '7') LIMIT 10""",
+ORDER BY """ + _ROW_KEY.format(seed=7) + " LIMIT 10",
     "split_key_counts": "WITH " + F2 + """,
 k AS (SELECT flow_key, count(*) AS key_count FROM f2_labels WHERE flow_key IS NOT NULL GROUP BY flow_key)
 SELECT l.label_id, l.flow_key, k.key_count,

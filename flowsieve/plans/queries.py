@@ -34,6 +34,11 @@ def q_match_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.match_flows(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), S.F2_TOLERANCE_MS)
 
 
+def q_match_flows_1min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 flows labelled in both directions at the pipeline's own tolerance, one minute."""
+    return M.match_flows(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), 60_000)
+
+
 def q_match_flows_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 (lineitem) forward matching, 180-day tolerance."""
     return M.match_flows(S.f3_flows(spark, sf_dir), S.f3_labels(spark, sf_dir), S.F3_TOLERANCE_MS,
@@ -294,8 +299,9 @@ LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def q_sample_fixed_n(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
-    return SM.sample_fixed_n(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                                       "l_extendedprice", "l_returnflag"), 100_000, 42, LINEITEM_KEY)
+    li = li.select("l_orderkey", "l_linenumber", F.expr("CASE WHEN l_partkey % 10 <> 3 THEN l_partkey END").alias("l_partkey"),
+                   "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    return SM.sample_fixed_n(li, 3000, 42, LINEITEM_KEY)  # below the row count, with null ids
 
 
 def q_split_key_counts(spark, sf_dir):
@@ -346,6 +352,11 @@ def q_meter_flows(spark, sf_dir):
     return MT.meter_flows(S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
 
 
+def q_meter_flows_nulls(spark, sf_dir):
+    """M1 on F1 packets of which some have no ports (ICMP) and some no time."""
+    return MT.meter_flows(S.f1_nulls(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
+
+
 def q_meter_expiration(spark, sf_dir):
     """M2: flows per expiry reason (0 idle, 1 active)."""
     return (q_meter_flows(spark, sf_dir).groupBy("expiration_id")

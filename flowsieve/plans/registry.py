@@ -60,6 +60,8 @@ QUERIES = {
     "match_duplicate_reverse": Q.q_match_duplicate_reverse,
     "tolerance_sweep": Q.q_tolerance_sweep,
     "meter_flows": Q.q_meter_flows,
+    "meter_flows_nulls": Q.q_meter_flows_nulls,
+    "match_flows_1min": Q.q_match_flows_1min,
     "meter_expiration": Q.q_meter_expiration,
     "flow_stats": Q.q_flow_stats,
     "parquet_scan_pruned": Q.q_parquet_scan_pruned,

@@ -137,3 +137,11 @@ def f7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f1_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 packets split over three captures (packet id modulo 3), metered apart."""
     return f1_packets(spark, sf_dir).withColumn("capture", (F.col("packet_id") % 3).cast("int"))
+
+
+def f1_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 packets, every fifth without ports (protocol 1), every fiftieth without a time."""
+    ported, timed = F.col("packet_id") % 5 != 0, F.col("packet_id") % 50 != 7
+    return f1_packets(spark, sf_dir).withColumns({
+        "src_port": F.when(ported, F.col("src_port")), "dst_port": F.when(ported, F.col("dst_port")),
+        "protocol": F.when(ported, F.col("protocol")).otherwise(1), "ts_ms": F.when(timed, F.col("ts_ms"))})

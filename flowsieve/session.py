@@ -52,6 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="flowsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not sc.getCheckpointDir():
@@ -107,26 +110,3 @@ def ship_package(spark: SparkSession) -> None:
     else:
         spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
-
-
-def estimated_bytes(df) -> int | None:
-    """Catalyst's size estimate of a DataFrame's plan (from file sizes; no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def worth_materializing(*dfs, threshold_bytes: int = 256 << 20) -> bool:
-    """Writing a reused intermediate pays off once its inputs are large.
-
-    Below the threshold, re-computation is cheaper than a write and a read; an
-    unknown estimate counts as large.
-    """
-    sizes = [estimated_bytes(d) for d in dfs]
-    return any(s is None or s >= threshold_bytes for s in sizes)
-
-
-def maybe_materialize(df, name: str, *inputs):
-    """``materialize(df)`` when the inputs it is computed from are large, else ``df``."""
-    return materialize(df, name) if worth_materializing(*(inputs or (df,))) else df

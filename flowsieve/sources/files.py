@@ -5,6 +5,7 @@ import csv
 import io
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,8 @@ def save_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "overw
     """Parquet sink; parent folders are created by the writer."""
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        # only the partitions that are written are replaced: another scenario's stay
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
 
 
@@ -106,8 +108,10 @@ def merge_scenarios(spark: SparkSession, root: str) -> DataFrame:
     """
     try:
         return spark.read.option("mergeSchema", True).parquet(root)
-    except Exception as e:  # AnalysisException: no files / path missing
-        raise ValueError(f"no parquet data under {root}") from e
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise ValueError(f"no parquet data under {root}") from e
+        raise
 
 
 def merge_datasets(frames: dict[str, DataFrame]) -> DataFrame:

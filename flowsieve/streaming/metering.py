@@ -72,7 +72,7 @@ def make_state_fn(idle: int, active: int):
                 out.append(_flow_row(cur, 0 if gi <= ai else 1))
                 i, cur = j, None
             r = src[i]
-            cur = [int(ts[i]), int(ts[i]), r[0], r[1], int(r[2]), int(r[3]), int(r[4]), 1, int(size[i])]
+            cur = [int(ts[i]), int(ts[i]), r[0], r[1], *(None if pd.isna(x) else int(x) for x in r[2:5]), 1, int(size[i])]
             i += 1
         if cur is not None:
             state.update(tuple(cur))
@@ -86,8 +86,11 @@ _COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
 
 def meter_flows_stream(packets_stream: DataFrame, idle_ms: int, active_ms: int,
-                       watermark: str = "0 seconds") -> DataFrame:
-    """Streaming DataFrame of closed flows (append mode)."""
+                       watermark: str) -> DataFrame:
+    """Streaming DataFrame of closed flows (append mode).
+
+    ``watermark``: how late a packet may come; a later one is dropped, so there is no default.
+    """
     ship_package(packets_stream.sparkSession)
     s = (canonical(packets_stream)
          .withColumn("event_time", F.timestamp_millis("ts_ms"))
@@ -97,7 +100,8 @@ def meter_flows_stream(packets_stream: DataFrame, idle_ms: int, active_ms: int,
                                      "append", GroupStateTimeout.EventTimeTimeout))
 
 
-SENTINEL_IP = "0.0.0.0"
+#: Not an address, so no packet can carry it (0.0.0.0 is the source of every DHCP discover).
+SENTINEL_IP = "end of input"
 
 
 def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, active_ms: int,
@@ -126,7 +130,7 @@ def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, a
 
     def run_once():
         stream = spark.readStream.schema(pk.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-        q = (meter_flows_stream(stream, idle_ms, active_ms).writeStream.format("parquet")
+        q = (meter_flows_stream(stream, idle_ms, active_ms, "0 seconds").writeStream.format("parquet")
              .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -137,4 +141,5 @@ def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, a
     for k, row in enumerate(sentinels):
         spark.createDataFrame([row], pk.schema).write.parquet(f"{root}/in/sentinel-{k}")
         run_once()
-    return spark.read.schema(OUT_SCHEMA).parquet(f"{root}/out").where(F.col("src_ip") != SENTINEL_IP)
+    return spark.read.schema(OUT_SCHEMA).parquet(f"{root}/out").where(
+        ~F.col("src_ip").eqNullSafe(SENTINEL_IP))

@@ -27,12 +27,18 @@ def test_refinement_matches_percentile(spark, max_exact, buckets):
     assert n == len(got)
 
 
-def test_large_input_path_with_written_tables(spark, monkeypatch):
+def test_refinement_with_written_tables(spark):
     import flowsieve.operators.quantiles as QQ
-    monkeypatch.setattr(QQ, "worth_materializing", lambda *a, **k: True)
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     long = li.select(F.lit("p").alias("feature"), F.col("l_extendedprice").alias("value"))
     got = {r.p: r.q for r in QQ.exact_quantiles(long, ["feature"], PROBS, max_exact=100, buckets=16).collect()}
     ref = long.agg(F.percentile("value", F.array(*[F.lit(p) for p in PROBS])).alias("qs")).first().qs
     for p, q in zip(PROBS, ref):
         assert got[p] == pytest.approx(q, rel=1e-12)
+
+
+def test_unresolved_targets_raise(spark):
+    import flowsieve.operators.quantiles as QQ
+    long = spark.range(5000).select(F.lit("p").alias("feature"), F.col("id").cast("double").alias("value"))
+    with pytest.raises(RuntimeError):
+        QQ.exact_quantiles(long, ["feature"], PROBS, max_exact=2, buckets=2, max_rounds=2)

@@ -9,9 +9,8 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _full_sort(df, n, seed):
-    parts = []
-    for c in KEY:
-        parts += [F.col(c).cast("string"), F.lit("|")]
+    parts = [F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"), F.lit("|"))
+             for c in KEY]
     h = F.md5(F.concat(*parts, F.lit(str(seed))))
     return df.withColumn("__h", h).orderBy("__h").limit(n).drop("__h")
 
