@@ -1,5 +1,5 @@
 """Oracles for label files, cleaning and time repair."""
-from .standins import F2, F4_RAW, F5_FEATURES, F1_PACKETS
+from .standins import CLOCK_TEXT, F2, F4_RAW, F5_FEATURES, F1_PACKETS
 
 _NAMES = ("Flow ID", "Source IP", "Source Port", "Destination IP", "Destination Port",
           "Protocol", "Timestamp", "Label")
@@ -12,9 +12,9 @@ lrows AS (
   SELECT event_id, CAST(event_id AS VARCHAR) AS "Flow ID",
          '10.0.0.' || user_id AS " Source IP", CAST(1024 + user_id AS VARCHAR) AS " Source Port",
          '192.168.0.' || (event_id % 16) AS " Destination IP", '80' AS " Destination Port",
-         '6' AS " Protocol", strftime(date_trunc('minute', ts), '%-d/%-m/%Y %-I:%M') AS " Timestamp",
+         '6' AS " Protocol", {CLOCK_TEXT} AS " Timestamp",
          event_type AS " Label"
-  FROM events WHERE hour(ts) BETWEEN 8 AND 17),
+  FROM events),
 lrows2 AS (SELECT * FROM lrows UNION ALL SELECT * FROM lrows WHERE event_id % 10 IN (0, 1)),
 utf8 AS (SELECT {", ".join(_RAW)} FROM lrows2 WHERE event_id % 2 = 0
          UNION ALL SELECT {_NULL8}),
@@ -26,6 +26,8 @@ cat AS (SELECT {", ".join(f"{r} AS {s}" for r, s in zip(_RAW, _STRIPPED))} FROM
         SELECT {", ".join(f"{r} AS {s}" for r, s in zip(_RAW, _STRIPPED))} FROM latin1)"""
 
 W = "WITH " + LABEL_FILES + "\n"
+#: Both files with all rows.
+W_ALL = W.replace(" WHERE event_id % 2 = 0", "").replace(" WHERE event_id % 2 = 1", "")
 STRIP_SEL = ", ".join(f"{r} AS {s}" for r, s in zip(_RAW, _STRIPPED))
 RENAMED = ('"Flow ID", "Source IP" AS src_ip, "Source Port" AS src_port, "Destination IP" AS dst_ip, '
            '"Destination Port" AS dst_port, "Protocol" AS protocol, "Timestamp", "Label" AS label')
@@ -33,10 +35,10 @@ PARSE = ("coalesce(try_strptime({c}, '%d/%m/%Y %H:%M:%S'), try_strptime({c}, '%d
 REPAIR = "CASE WHEN hour({c}) BETWEEN 1 AND 5 THEN {c} + INTERVAL 12 HOUR ELSE {c} END"
 
 ORACLES = {
-    "csv_scan_labels": W + "SELECT * FROM latin1",
+    "csv_scan_labels": W_ALL + "SELECT * FROM latin1",
     "labels_concat": W + "SELECT * FROM cat",
-    "clean_columns": W + f"SELECT {STRIP_SEL} FROM utf8",
-    "dedup_columns": W + f"SELECT {STRIP_SEL} FROM latin1",
+    "clean_columns": W_ALL + f"SELECT {STRIP_SEL} FROM utf8",
+    "dedup_columns": W_ALL + f"SELECT {STRIP_SEL} FROM latin1",
     "dedup_rows": W + "SELECT DISTINCT * FROM cat",
     "label_cleanup": W + "SELECT DISTINCT * FROM cat",
     "rename_columns": W + f"SELECT {RENAMED} FROM cat",
@@ -52,13 +54,13 @@ SELECT *, epoch_us("Timestamp") // 1000 AS ts_ms FROM r2""".replace("WITH \n", "
     "repair_12h_clock": "WITH " + F4_RAW + f""",
 p AS (SELECT event_id, true_minute, {PARSE.format(c='raw_ts')} AS t0 FROM f4_raw)
 SELECT event_id, {REPAIR.format(c='t0')} AS repaired, true_minute,
-       ({REPAIR.format(c='t0')}) = true_minute AS restored FROM p""",
+       CASE WHEN hour(true_minute) BETWEEN 8 AND 17 THEN ({REPAIR.format(c='t0')}) = true_minute END AS restored FROM p""",
     "shift_hours": "WITH " + F4_RAW + f""",
 p AS (SELECT event_id, {PARSE.format(c='raw_ts')} AS t0 FROM f4_raw)
 SELECT event_id, ({REPAIR.format(c='t0')}) + INTERVAL 3 HOUR AS "Timestamp" FROM p""",
     "epoch_ms": "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms FROM events",
-    "from_epoch_ms": "WITH " + F2 + "\nSELECT label_id, ts_ms, make_timestamp(ts_ms * 1000) AS ts FROM f2_labels",
-    "tag_dataset": "WITH " + F2 + "\nSELECT *, 'events_flows' AS dataset_name FROM f2_labels",
+    "from_epoch_ms": "WITH " + F2 + "\nSELECT label_id, ts_ms, make_timestamp(ts_ms * 1000) AS ts FROM f2_all_labels",
+    "tag_dataset": "WITH " + F2 + "\nSELECT *, 'events_flows' AS dataset_name FROM f2_all_labels",
     "flow_keys": "WITH " + F1_PACKETS + """
 SELECT packet_id,
        src_ip || '|' || dst_ip || '|' || src_port || '|' || dst_port || '|' || protocol AS flow_key,

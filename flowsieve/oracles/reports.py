@@ -113,9 +113,9 @@ FROM f2_flows f JOIN m ON f.flow_key = m.flow_key AND f.bidirectional_first_seen
 ORACLES = {
     "label_distribution": W5 + "\nSELECT label, count(*) AS n FROM f5_features WHERE label IS NOT NULL GROUP BY label",
     "label_distribution_nulls": f"SELECT label, count(*) AS n FROM {_matched()} GROUP BY label",
-    "distinct_keys": "WITH " + F2 + "\nSELECT count(DISTINCT flow_key) AS n_distinct_flow_key FROM f2_labels",
+    "distinct_keys": "WITH " + F2 + "\nSELECT count(DISTINCT flow_key) AS n_distinct_flow_key FROM f2_all_labels",
     "key_ambiguity": "WITH " + F2 + """,
-k AS (SELECT flow_key, count(*) AS n, count(DISTINCT label) AS n_labels FROM f2_labels
+k AS (SELECT flow_key, count(*) AS n, count(DISTINCT label) AS n_labels FROM f2_all_labels
       WHERE flow_key IS NOT NULL GROUP BY flow_key),
 s AS (SELECT count(*) AS distinct_keys, count(*) FILTER (WHERE n = 1) AS keys_once,
              count(*) FILTER (WHERE n > 1) AS keys_repeated,
@@ -130,7 +130,7 @@ SELECT distinct_keys, keys_once, keys_repeated, rows_of_repeated_keys, conflicti
        round(CASE WHEN distinct_keys > 0 THEN conflicting_keys * 100.0 / distinct_keys END, 6) AS pct_conflicting_of_keys
 FROM s""",
     "conflict_detail": "WITH " + F2 + """,
-c AS (SELECT flow_key, label, count(*) AS n FROM f2_labels WHERE flow_key IS NOT NULL GROUP BY flow_key, label),
+c AS (SELECT flow_key, label, count(*) AS n FROM f2_all_labels WHERE flow_key IS NOT NULL GROUP BY flow_key, label),
 k AS (SELECT flow_key FROM c GROUP BY flow_key HAVING sum(n) > 1 AND count(label) > 1)
 SELECT c.* FROM c WHERE flow_key IN (SELECT flow_key FROM k)""",
     "flow_label_ratio": "WITH " + F2 + """
@@ -205,7 +205,7 @@ c AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS label_code FROM (S
 SELECT f.label, c.label_code, f.p FROM f5_features f LEFT JOIN c USING (label)""",
     "mutual_information_binned": MI_BINNED,
     "top_features": f"SELECT * FROM ({MI_BINNED}) ORDER BY mi DESC NULLS LAST, feature LIMIT 15",
-    "preview_rows": "WITH " + F2 + "\nSELECT * FROM f2_flows ORDER BY flow_id LIMIT 10",
+    "preview_rows": "WITH " + F2 + "\nSELECT * FROM f2_all_flows ORDER BY flow_id LIMIT 10",
     "sample_fixed_n": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag
 FROM (SELECT * REPLACE (CASE WHEN l_partkey % 10 <> 3 THEN l_partkey END AS l_partkey) FROM lineitem)
@@ -214,10 +214,10 @@ ORDER BY """ + _ROW_KEY.format(seed=42) + " LIMIT 3000",
 SELECT l_extendedprice FROM lineitem
 ORDER BY """ + _ROW_KEY.format(seed=7) + " LIMIT 10",
     "split_key_counts": "WITH " + F2 + """,
-k AS (SELECT flow_key, count(*) AS key_count FROM f2_labels WHERE flow_key IS NOT NULL GROUP BY flow_key)
+k AS (SELECT flow_key, count(*) AS key_count FROM f2_all_labels WHERE flow_key IS NOT NULL GROUP BY flow_key)
 SELECT l.label_id, l.flow_key, k.key_count,
        CASE WHEN k.key_count = 1 THEN 'unique' WHEN k.key_count > 1 THEN 'repeated' END AS key_class
-FROM f2_labels l LEFT JOIN k USING (flow_key)""",
+FROM f2_all_labels l LEFT JOIN k USING (flow_key)""",
     "semi_join_keys": "WITH " + F2 + """
 SELECT * FROM f2_flows WHERE flow_key IN (SELECT flow_key FROM f2_labels WHERE flow_key IS NOT NULL)""",
     "match_unique_forward": _pass("uf"),

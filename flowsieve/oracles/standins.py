@@ -15,17 +15,19 @@ f2_base AS (
   SELECT event_id, (epoch_us(ts) // 1000) AS ts_ms, event_type, '10.0.0.' || user_id AS a,
          '192.168.0.' || (event_id % 16) AS b, 1024 + user_id AS pa, 80 AS pb
   FROM events),
-f2_flows AS (
+f2_all_flows AS (
   SELECT event_id AS flow_id, a AS src_ip, b AS dst_ip, pa AS src_port, pb AS dst_port, 6 AS protocol,
          ts_ms AS bidirectional_first_seen_ms,
          a || '|' || b || '|' || pa || '|' || pb || '|6' AS flow_key,
          b || '|' || a || '|' || pb || '|' || pa || '|6' AS flow_key_rev
-  FROM f2_base WHERE (event_id // 16) % 2 = 0),
-f2_labels AS (
+  FROM f2_base),
+f2_flows AS (SELECT * FROM f2_all_flows WHERE (flow_id // 16) % 2 = 0),
+f2_all_labels AS (
   SELECT event_id AS label_id, ts_ms, event_type AS label,
          CASE WHEN event_id % 3 = 0 THEN b || '|' || a || '|' || pb || '|' || pa || '|6'
               ELSE a || '|' || b || '|' || pa || '|' || pb || '|6' END AS flow_key
-  FROM f2_base WHERE (event_id // 16) % 2 = 1)"""
+  FROM f2_base),
+f2_labels AS (SELECT * FROM f2_all_labels WHERE (label_id // 16) % 2 = 1)"""
 
 F3 = """
 f3_flows AS (
@@ -36,11 +38,14 @@ f3_labels AS (
          l_returnflag AS label
   FROM lineitem WHERE l_linenumber % 2 = 0)"""
 
-F4_RAW = """
+CLOCK_TEXT = ("CASE WHEN hour(ts) BETWEEN 8 AND 17 THEN strftime(date_trunc('minute', ts), '%-d/%-m/%Y %-I:%M') "
+              "ELSE strftime(date_trunc('minute', ts), '%-d/%-m/%Y %-H:%M') END")
+
+F4_RAW = f"""
 f4_raw AS (
   SELECT event_id, event_type AS label, date_trunc('minute', ts) AS true_minute,
-         strftime(date_trunc('minute', ts), '%-d/%-m/%Y %-I:%M') AS raw_ts
-  FROM events WHERE hour(ts) BETWEEN 8 AND 17)"""
+         {CLOCK_TEXT} AS raw_ts
+  FROM events)"""
 
 F5_FEATURES = """
 f5_features AS (

@@ -2,8 +2,8 @@
 
 Two folders are written under a fresh directory in the shared checkpoint folder:
 
-* ``utf8``  - even ``event_id`` rows, UTF-8;
-* ``latin1`` - odd ``event_id`` rows, ISO-8859-1, a byte 0x96 inside each label
+* ``utf8``  - even ``event_id`` rows (all with ``split=False``), UTF-8;
+* ``latin1`` - odd ``event_id`` rows (all with ``split=False``), ISO-8859-1, a byte 0x96 inside each label
   and one extra column ``Label`` (no blank) that repeats ``" Label"`` after names
   are stripped.
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .standins import table
+from .standins import clock_text, table
 
 DASH = chr(0x96)
 HEADER = ("Flow ID", " Source IP", " Source Port", " Destination IP", " Destination Port",
@@ -28,14 +28,14 @@ HEADER = ("Flow ID", " Source IP", " Source Port", " Destination IP", " Destinat
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     minute = F.date_trunc("minute", F.col("ts"))
-    base = ev.where(F.hour("ts").between(8, 17)).select(
+    base = ev.select(
         F.col("event_id"),
         F.col("event_id").cast("string").alias(HEADER[0]),
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias(HEADER[1]),
         (F.lit(1024) + F.col("user_id")).cast("string").alias(HEADER[2]),
         F.concat(F.lit("192.168.0."), (F.col("event_id") % 16).cast("string")).alias(HEADER[3]),
         F.lit("80").alias(HEADER[4]), F.lit("6").alias(HEADER[5]),
-        F.date_format(minute, "d/M/yyyy h:mm").alias(HEADER[6]),
+        clock_text(minute).alias(HEADER[6]),
         F.col("event_type").alias(HEADER[7]))
     twice = base.where((F.col("event_id") % 10).isin(0, 1))
     return base.unionByName(twice)
@@ -45,12 +45,13 @@ def _null_row(spark: SparkSession, cols) -> DataFrame:
     return spark.range(1).select(*[F.lit(None).cast("string").alias(c) for c in cols])
 
 
-def write_label_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+def write_label_files(spark: SparkSession, sf_dir: str, split: bool = True) -> dict[str, str]:
     root = f"{shared_dir(spark)}/label-csv-{uuid.uuid4().hex}"
     rows = label_rows(spark, sf_dir)
-    utf8 = rows.where(F.col("event_id") % 2 == 0).drop("event_id")
+    even = F.col("event_id") % 2 == 0
+    utf8 = (rows.where(even) if split else rows).drop("event_id")
     utf8 = utf8.unionByName(_null_row(spark, utf8.columns))
-    latin = (rows.where(F.col("event_id") % 2 == 1).drop("event_id")
+    latin = ((rows.where(~even) if split else rows).drop("event_id")
              .withColumn(HEADER[7], F.concat(F.lit(f"Web Attack {DASH} "), F.col(HEADER[7])))
              .withColumn("Label", F.lit("dup")))
     latin = latin.unionByName(_null_row(spark, latin.columns))

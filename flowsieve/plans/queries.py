@@ -55,7 +55,7 @@ def _label_paths(spark, sf_dir):
 
 def q_csv_scan_labels(spark, sf_dir):
     """The Latin-1 file read as strings with raw (unstripped) names."""
-    return IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir)["latin1"])
+    return IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir, split=False)["latin1"])
 
 
 def q_labels_concat(spark, sf_dir):
@@ -65,12 +65,12 @@ def q_labels_concat(spark, sf_dir):
 
 def q_clean_columns(spark, sf_dir):
     """Strip blanks around names (the UTF-8 file)."""
-    return C.clean_column_names(IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir)["utf8"]))
+    return C.clean_column_names(IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir, split=False)["utf8"]))
 
 
 def q_dedup_columns(spark, sf_dir):
     """After stripping, ' Label' and 'Label' collide; the first is kept."""
-    raw = IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir)["latin1"])
+    raw = IO.read_label_csv(spark, LF.write_label_files(spark, sf_dir, split=False)["latin1"])
     return C.remove_duplicated_cols(C.clean_column_names(raw))
 
 
@@ -115,11 +115,11 @@ def q_parse_dayfirst(spark, sf_dir):
 
 
 def q_repair_12h_clock(spark, sf_dir):
-    """Parse then move hours 1..5 to the afternoon; must restore the true minute."""
+    """Parse then move hours 1..5 to the afternoon; must restore the true minute of business hours."""
     raw = S.f4_raw(spark, sf_dir)
     rep = C.repair_12h_clock(C.parse_dayfirst("raw_ts"))
     return raw.select("event_id", rep.alias("repaired"), "true_minute",
-                      (rep == F.col("true_minute")).alias("restored"))
+                      F.when(S.business_hours("true_minute"), rep == F.col("true_minute")).alias("restored"))
 
 
 def q_shift_hours(spark, sf_dir):
@@ -137,13 +137,13 @@ def q_epoch_ms(spark, sf_dir):
 
 def q_from_epoch_ms(spark, sf_dir):
     """C20: epoch milliseconds back to a wall-clock timestamp."""
-    lab = S.f2_labels(spark, sf_dir)
+    lab = S.f2_all_labels(spark, sf_dir)
     return lab.select("label_id", "ts_ms", from_epoch_ms("ts_ms").alias("ts"))
 
 
 def q_tag_dataset(spark, sf_dir):
     """C11: provenance column."""
-    return C.tag_dataset(S.f2_labels(spark, sf_dir), "events_flows")
+    return C.tag_dataset(S.f2_all_labels(spark, sf_dir), "events_flows")
 
 
 def q_flow_keys(spark, sf_dir):
@@ -191,15 +191,15 @@ def q_label_distribution_nulls(spark, sf_dir):
 
 
 def q_distinct_keys(spark, sf_dir):
-    return QA.distinct_count(S.f2_labels(spark, sf_dir), "flow_key")
+    return QA.distinct_count(S.f2_all_labels(spark, sf_dir), "flow_key")
 
 
 def q_key_ambiguity(spark, sf_dir):
-    return QA.key_ambiguity(S.f2_labels(spark, sf_dir))
+    return QA.key_ambiguity(S.f2_all_labels(spark, sf_dir))
 
 
 def q_conflict_detail(spark, sf_dir):
-    return QA.conflict_detail(S.f2_labels(spark, sf_dir))
+    return QA.conflict_detail(S.f2_all_labels(spark, sf_dir))
 
 
 def q_flow_label_ratio(spark, sf_dir):
@@ -290,7 +290,7 @@ def q_top_features(spark, sf_dir):
 
 
 def q_preview_rows(spark, sf_dir):
-    return SM.preview_rows(S.f2_flows(spark, sf_dir), 10, order_by=("flow_id",))
+    return SM.preview_rows(S.f2_all_flows(spark, sf_dir), 10, order_by=("flow_id",))
 
 
 # (l_orderkey, l_linenumber) repeats in the driver data; with part and supplier it is unique.
@@ -306,7 +306,7 @@ def q_sample_fixed_n(spark, sf_dir):
 
 def q_split_key_counts(spark, sf_dir):
     """Label rows tagged with key multiplicity."""
-    return M.split_by_key_count(S.f2_labels(spark, sf_dir)).select(
+    return M.split_by_key_count(S.f2_all_labels(spark, sf_dir)).select(
         "label_id", "flow_key", "key_count", "key_class")
 
 

@@ -51,9 +51,9 @@ def _k(*cols):
     return F.concat(*out)
 
 
-def f2_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _f2_base(spark, sf_dir)
-    return b.where(F.floor(F.col("event_id") / 16) % 2 == 0).select(
+def f2_all_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a flow."""
+    return _f2_base(spark, sf_dir).select(
         F.col("event_id").alias("flow_id"), F.col("a").alias("src_ip"), F.col("b").alias("dst_ip"),
         F.col("pa").alias("src_port"), F.col("pb").alias("dst_port"), F.lit(6).alias("protocol"),
         F.col("ts_ms").alias("bidirectional_first_seen_ms"),
@@ -61,14 +61,24 @@ def f2_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _k("b", "a", "pb", "pa", F.lit("6")).alias("flow_key_rev"))
 
 
-def f2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _f2_base(spark, sf_dir)
-    return b.where(F.floor(F.col("event_id") / 16) % 2 == 1).select(
+def f2_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The half of the events that acts as flows when two inputs are matched."""
+    return f2_all_flows(spark, sf_dir).where(F.floor(F.col("flow_id") / 16) % 2 == 0)
+
+
+def f2_all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a label."""
+    return _f2_base(spark, sf_dir).select(
         F.col("event_id").alias("label_id"), "ts_ms", F.col("event_type").alias("label"),
         F.when(F.col("event_id") % 3 == 0, _k("b", "a", "pb", "pa", F.lit("6")))
          .otherwise(_k("a", "b", "pa", "pb", F.lit("6"))).alias("flow_key"))
 
 
+def f2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of the events, acting as labels."""
+    return f2_all_labels(spark, sf_dir).where(F.floor(F.col("label_id") / 16) % 2 == 1)
+
+
 F2_TOLERANCE_MS = 86_400_000
 F3_TOLERANCE_MS = 15_552_000_000
 F1_IDLE_MS = 21_600_000
@@ -89,14 +99,25 @@ def f3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         epoch_ms(li, "l_shipdate").alias("ts_ms"), F.col("l_returnflag").alias("label"))
 
 
+def business_hours(ts):
+    """Hours in which the label text has a 12-hour clock and can be repaired."""
+    return F.hour(ts).between(8, 17)
+
+
+def clock_text(ts):
+    """Day-first text to the minute: 12-hour clock without AM/PM in business hours, else 24-hour clock."""
+    return (F.when(business_hours(ts), F.date_format(ts, "d/M/yyyy h:mm"))
+             .otherwise(F.date_format(ts, "d/M/yyyy H:mm")))
+
+
 def f4_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label text with a 12-hour clock and no AM/PM, business hours only."""
+    """Label text of every event."""
     ev = table(spark, sf_dir, "events")
     minute = F.date_trunc("minute", F.col("ts"))
-    return ev.where(F.hour("ts").between(8, 17)).select(
+    return ev.select(
         "event_id", F.col("event_type").alias("label"),
         minute.cast("timestamp_ntz").alias("true_minute"),
-        F.date_format(minute, "d/M/yyyy h:mm").alias("raw_ts"))
+        clock_text(minute).alias("raw_ts"))
 
 
 def f5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
