@@ -6,13 +6,13 @@ For rows of classes with at least two rows (``N`` of them): ``k = min(K, n_class
 class strictly closer than ``r`` (self included; when ``r = 0``, the rows equal
 to ``x``). ``MI = max(0, psi(N) + mean psi(k) - mean psi(n_class) - mean psi(m))``.
 
-Spark plan, per feature and in one job: the data is unpivoted to
-``(feature, class, x)``; ``r`` comes from ``lag``/``lead`` over ``(feature, class)``
-ordered by ``x`` (in one dimension the k nearest neighbours form a contiguous run);
-``m`` from one cumulative count over ``(feature)`` on data rows merged with the
-two probe rows ``x - r`` and ``x + r``. The windows run on the bounded sample the
-estimator is defined on (default 100,000 rows, seeded), never on an unbounded
-group.
+Spark plan, all features in one job: the data is unpivoted to ``(feature, class, x)``.
+Ranks come from range partitions (``_ranked``): a running sum inside each range plus the
+totals of the ranges before it, so no task holds a whole feature or class, however
+frequent a value is. ``r`` comes from ``lag``/``lead`` in blocks of ``BLOCK`` ranks of a class, each
+with the ``K`` ranks beside it (in one dimension the k nearest neighbours form a
+contiguous run); ``m`` from one cumulative count per feature over data rows merged
+with the two probe rows ``x - r`` and ``x + r``.
 """
 from __future__ import annotations
 
@@ -23,7 +23,8 @@ from ..session import materialize
 from .profile import unpivot_features
 from .sampling import _part, sample_fixed_n
 
-EULER_GAMMA = 0.5772156649015329
+#: Ranks of a class in one window.
+BLOCK = 65_536
 
 
 def digamma(c: Column) -> Column:
@@ -39,8 +40,11 @@ def digamma(c: Column) -> Column:
 
 
 def _jitter(long: DataFrame, seed: int) -> DataFrame:
-    # one aggregate gives both the scale and mean|x / sd| = mean|x| / sd
-    stats = long.groupBy("feature").agg(F.stddev_pop("x").alias("sd"), F.avg(F.abs("x")).alias("mabs"))
+    # one aggregate gives both the scale and mean|x / sd| = mean|x| / sd; single precision, so that
+    # the last bits of a sum, which follow the order of its terms, don't reach the values
+    def short(c):
+        return c.cast("float").cast("double")
+    stats = long.groupBy("feature").agg(short(F.stddev_pop("x")).alias("sd"), short(F.avg(F.abs("x"))).alias("mabs"))
     sd_ok = F.col("sd") > 0
     h1 = F.xxhash64("__row", "feature", F.lit(seed), F.lit(1))
     h2 = F.xxhash64("__row", "feature", F.lit(seed), F.lit(2))
@@ -71,62 +75,75 @@ def _kth_distance(k_max: int) -> dict[int, Column]:
     return out
 
 
+def _ranked(df: DataFrame, keys: list[str], order: list[str], weight: str, name: str) -> DataFrame:
+    """``df`` with ``upto``: the sum of ``weight`` over the rows of its ``keys`` up to and with it in
+    ``order``, and ``total``: the sum over all of them.
+
+    ``order`` ends in a unique column, so rows of one value may lie in several ranges. The
+    ranges are written with their number; the table of range totals has one row per range and key in it.
+    """
+    cut = materialize(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), name)
+    inside = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    per_range = cut.groupBy("__range", *keys).agg(F.sum(weight).alias("__sum"))
+    by_key = Window.partitionBy(*keys)
+    totals = per_range.select("__range", *keys, F.sum("__sum").over(by_key).alias("total"), F.coalesce(
+        F.sum("__sum").over(by_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__before"))
+    return (cut.withColumn("__upto", F.sum(weight).over(inside)).join(totals, ["__range", *keys])
+               .withColumn("upto", F.col("__upto") + F.col("__before")).drop("__range", "__upto", "__before"))
+
+
 def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n_neighbors: int = 3,
-                           sample_rows: int | None = 100_000, seed: int = 42, id_cols=None,
+                           sample_rows: int | None = None, seed: int = 42, id_cols=None,
                            digits: int = 6, clip: bool = True, jitter: bool = True) -> DataFrame:
-    """``feature, mi`` (nats), largest first.
+    """``feature, mi`` (nats), largest first, over all rows; ``sample_rows`` takes a seeded sample first.
 
     ``jitter`` (default on, as in the common library estimator): each feature is
     divided by its standard deviation (ddof 0; constant features stay as they
     are) and tiny noise ``1e-10 * max(1, mean|x|) * z`` is added so ties do not
-    dominate; ``z`` is a standard normal drawn from a hash of the row, feature
-    and seed, so results are reproducible on any cluster layout.
+    dominate; ``z`` is a standard normal drawn from a hash of the row key
+    (``id_cols``, unique), feature and seed, so results do not depend on the layout.
     """
+    if not id_cols:
+        raise ValueError("id_cols (a unique row key) are needed for a reproducible result")
     if sample_rows is not None:
-        if not id_cols:
-            raise ValueError("id_cols (a unique row key) are needed for a reproducible sample")
         df = sample_fixed_n(df, sample_rows, seed, id_cols)
-    # The (bounded) input is written once with a stable row id: every later
-    # re-read sees the same rows and ids, and lineage is cut.
-    row = F.concat(*[_part(c) for c in id_cols]) if id_cols else F.monotonically_increasing_id().cast("string")
-    df = materialize(df.withColumn("__row", row), "mi-sample")
+    df = df.withColumn("__row", F.concat(*[_part(c) for c in id_cols]))
     long = (unpivot_features(df, features, ids=[label, "__row"], drop_null=True)
             .where(F.col(label).isNotNull())
             .select("feature", F.col(label).alias("cls"), F.col("value").alias("x"), "__row"))
     if jitter:
         long = _jitter(long, seed)
-    wc = Window.partitionBy("feature", "cls")
-    wo = wc.orderBy("x")
     k_max = n_neighbors
-    cols = {"n_cls": F.count(F.lit(1)).over(wc)}
+    ranked = (_ranked(long.withColumn("one", F.lit(1)), ["feature", "cls"], ["x", "__row"], "one", "mi-classes")
+              .withColumnsRenamed({"upto": "pos", "total": "n_cls"}).where(F.col("n_cls") >= 2))
+    # a block also holds the rows at most k_max ranks outside it
+    at = [F.floor((F.col("pos") + d) / BLOCK) for d in (-k_max, 0, k_max)]
+    blocks = ranked.withColumn("blk", F.explode(F.array_distinct(F.array(*at))))
+    wo = Window.partitionBy("feature", "cls", "blk").orderBy("pos")
+    cols = {}
     for j in range(1, k_max + 1):
         cols[f"lag{j}"] = F.lag("x", j).over(wo)
         cols[f"lead{j}"] = F.lead("x", j).over(wo)
-    d = long.withColumns(cols).where(F.col("n_cls") >= 2)
+    d = blocks.withColumns(cols).where(F.col("blk") == at[1])
     d = d.withColumn("k", F.least(F.lit(k_max), F.col("n_cls") - 1))
-    rk = _kth_distance(k_max)
     r = None
-    for k, c in rk.items():
+    for k, c in _kth_distance(k_max).items():
         r = F.when(F.col("k") == k, c) if r is None else r.when(F.col("k") == k, c)
-    d = d.withColumn("r", r).select("feature", "cls", "x", "k", "n_cls", "r", F.col("__row").alias("rid"))
-    # m: data rows strictly inside (x - r, x + r); r = 0 -> rows equal to x.
-    # tiebreak orders rows of equal value: -1 probe counts "< v", +1 probe counts "<= v".
-    data = d.select("feature", F.col("x").alias("v"), F.lit(0).alias("tb"), F.lit(1).alias("is_data"),
-                    F.lit(None).cast("string").alias("rid"), F.lit(0).alias("sign"))
-    zero = F.col("r") == 0
-    hi = d.select("feature", (F.col("x") + F.col("r")).alias("v"),
-                  F.when(zero, 1).otherwise(-1).alias("tb"), F.lit(0).alias("is_data"), "rid",
-                  F.lit(1).alias("sign"))
-    lo = d.select("feature", (F.col("x") - F.col("r")).alias("v"),
-                  F.when(zero, -1).otherwise(1).alias("tb"), F.lit(0).alias("is_data"), "rid",
-                  F.lit(-1).alias("sign"))
-    wv = (Window.partitionBy("feature").orderBy("v", "tb")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    probes = (data.unionByName(hi).unionByName(lo)
-                  .withColumn("cum", F.sum("is_data").over(wv))
-                  .where(F.col("is_data") == 0))
-    m = probes.groupBy("feature", "rid").agg(F.sum(F.col("sign") * F.col("cum")).alias("m"))
-    rows = d.join(m, ["feature", "rid"])
+    d = d.withColumn("r", r)
+    # m: data rows strictly inside (x - r, x + r); r = 0 -> rows equal to x. Of rows of
+    # equal value, tb = -1 probes come before the data ("< v"), +1 probes after them ("<= v").
+    zero, x = F.col("r") == 0, F.col("x")
+
+    def row(v, tb, sign):
+        return F.struct(v.alias("v"), tb.alias("tb"), F.lit(1 - abs(sign)).alias("is_data"), F.lit(sign).alias("sign"))
+    merged = d.select("feature", "k", "n_cls", F.col("__row").alias("rid"), F.explode(F.array(
+        row(x, F.lit(0), 0),
+        row(x + F.col("r"), F.when(zero, 1).otherwise(-1), 1),
+        row(x - F.col("r"), F.when(zero, -1).otherwise(1), -1))).alias("p")).select("feature", "k", "n_cls", "rid", "p.*")
+    probes = _ranked(merged, ["feature"], ["v", "tb", "rid"], "is_data", "mi-probes").where(F.col("is_data") == 0)
+    rows = probes.groupBy("feature", "rid").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"),
+                                                F.first("k").alias("k"), F.first("n_cls").alias("n_cls"))
     per = rows.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k"))).alias("psi_k"),
         F.avg(digamma(F.col("n_cls"))).alias("psi_c"), F.avg(digamma(F.col("m"))).alias("psi_m"))

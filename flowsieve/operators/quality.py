@@ -87,6 +87,31 @@ def flow_label_ratio(flows: DataFrame, labels: DataFrame) -> DataFrame:
                       .alias("flows_per_label")))
 
 
+# Spellings under which the label column may come.
+LABEL_NAMES = ("Label", " Label", "label")
+
+
+def find_column(df: DataFrame, names=LABEL_NAMES) -> str:
+    """The first of ``names`` that is a column of ``df`` (C27); an error names what was looked for and what is there."""
+    for n in names:
+        if n in df.columns:
+            return n
+    raise ValueError(f"none of the columns {list(names)} found; columns: {df.columns}")
+
+
+def flow_label_report(flows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (item, name, n): row counts, label distribution, and the columns of both tables by position (A5)."""
+    spark = flows.sparkSession
+    c = find_column(labels)
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("item"), F.lit(k).alias("name"), "n")
+            for k, df in (("flows", flows), ("labels", labels))]
+    dist = (labels.groupBy(F.col(f"`{c}`").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+                  .select(F.lit("label").alias("item"), "name", "n"))
+    names = [(f"{k} column", x, i) for k, df in (("flows", flows), ("labels", labels))
+             for i, x in enumerate(df.columns, 1)]
+    return rows[0].union(rows[1]).union(dist).union(spark.createDataFrame(names, "item string, name string, n long"))
+
+
 def label_counts_by_stage(stages: dict[str, DataFrame], label: str = "label") -> DataFrame:
     """Label counts of several stages in one table."""
     out = None

@@ -110,7 +110,57 @@ FROM f2_flows f JOIN m ON f.flow_key = m.flow_key AND f.bidirectional_first_seen
     return "\nUNION ALL\n".join(parts)
 
 
+def _psi(x: str) -> str:
+    """Digamma of a positive number as SQL: recurrence to x + 6, then the asymptotic series."""
+    y = f"({x} + 6.0)"
+    low = " + ".join(f"1.0 / ({x} + {i}.0)" for i in range(6))
+    return (f"(ln({y}) - 0.5 / {y} - 1.0 / (12 * {y} ** 2) + 1.0 / (120 * {y} ** 4) - 1.0 / (252 * {y} ** 6) "
+            f"+ 1.0 / (240 * {y} ** 8) - ({low}))")
+
+
+def _knn(k_max: int = 3) -> str:
+    """k-NN mutual information without noise: neighbours by lag and lead, counts by a running sum."""
+    shifts = ", ".join(f"lag(value, {j}) OVER w AS a{j}, lead(value, {j}) OVER w AS b{j}" for j in range(1, k_max + 1))
+
+    def dist(k):
+        ways = []
+        for j in range(k + 1):
+            side = [c for c, on in ((f"a{j}", j), (f"b{k - j}", k - j)) if on]
+            gap = [g for g, on in ((f"value - a{j}", j), (f"b{k - j} - value", k - j)) if on]
+            ways.append(f"CASE WHEN {' AND '.join(c + ' IS NOT NULL' for c in side)} THEN "
+                        + (f"greatest({gap[0]}, {gap[1]})" if len(gap) == 2 else gap[0]) + " END")
+        return f"least({', '.join(ways)})"
+    r = "CASE " + " ".join(f"WHEN k = {k} THEN {dist(k)}" for k in range(1, k_max + 1)) + " END"
+    return W5 + f""",
+f5r AS (SELECT *, row_number() OVER () AS rid FROM f5_features),
+long AS (SELECT rid, label, feature, value FROM (UNPIVOT f5r ON {", ".join(FEATS)} INTO NAME feature VALUE value)
+         WHERE label IS NOT NULL AND value IS NOT NULL),
+c AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS n_c, {shifts}
+      FROM long WINDOW w AS (PARTITION BY feature, label ORDER BY value)),
+d0 AS (SELECT *, least({k_max}, n_c - 1) AS k FROM c WHERE n_c >= 2),
+d AS (SELECT feature, rid, value, k, n_c, {r} AS r FROM d0),
+p AS (SELECT feature, rid, value AS v, 0 AS tb, 1 AS is_data, 0 AS sign FROM d
+      UNION ALL SELECT feature, rid, value + r, CASE WHEN r = 0 THEN 1 ELSE -1 END, 0, 1 FROM d
+      UNION ALL SELECT feature, rid, value - r, CASE WHEN r = 0 THEN -1 ELSE 1 END, 0, -1 FROM d),
+cu AS (SELECT *, sum(is_data) OVER (PARTITION BY feature ORDER BY v, tb ROWS UNBOUNDED PRECEDING) AS upto FROM p),
+m AS (SELECT feature, rid, CAST(sum(sign * upto) AS BIGINT) AS m FROM cu WHERE is_data = 0 GROUP BY feature, rid)
+SELECT feature, round(greatest({_psi("CAST(count(*) AS DOUBLE)")} + avg({_psi("k")}) - avg({_psi("n_c")}) - avg({_psi("m")}), 0.0), 6) AS mi
+FROM d JOIN m USING (feature, rid) GROUP BY feature"""
+
+
 ORACLES = {
+    "mutual_information_knn_all": _knn(),
+    "flow_label_report": "WITH " + F2 + """
+SELECT 'rows' AS item, 'flows' AS name, count(*) AS n FROM f2_flows
+UNION ALL SELECT 'rows', 'labels', count(*) FROM f2_labels
+UNION ALL SELECT 'label', label, count(*) FROM f2_labels GROUP BY label
+UNION ALL VALUES """ + ", ".join(
+        f"('{k} column', '{c}', CAST({i} AS BIGINT))" for k, cols in (
+            ("flows", "flow_id src_ip dst_ip src_port dst_port protocol bidirectional_first_seen_ms flow_key flow_key_rev"),
+            ("labels", "label_id ts_ms label flow_key")) for i, c in enumerate(cols.split(), 1)),
+    "build_dataset_report": f"""
+WITH x AS (SELECT coalesce(match_pass, 'none') AS match_pass, count(*) AS n FROM {_matched()} GROUP BY 1)
+SELECT match_pass, n, round(CASE WHEN sum(n) OVER () > 0 THEN n / sum(n) OVER () ELSE 0 END, 6) AS rate FROM x""",
     "label_distribution": W5 + "\nSELECT label, count(*) AS n FROM f5_features WHERE label IS NOT NULL GROUP BY label",
     "label_distribution_nulls": f"SELECT label, count(*) AS n FROM {_matched()} GROUP BY label",
     "distinct_keys": "WITH " + F2 + "\nSELECT count(DISTINCT flow_key) AS n_distinct_flow_key FROM f2_all_labels",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import tag_dataset
 from ..operators.matching import match_flows
-from ..session import shared_dir
+from ..operators.quality import match_rate
+from ..session import materialize, shared_dir
 from ..sources.files import save_parquet
 
 
@@ -24,6 +25,16 @@ def build_dataset(flows: DataFrame, labels: DataFrame, dataset_name: str, tolera
     return tag_dataset(m.where(F.col("label").isNotNull()), dataset_name)
 
 
+def build_and_save(flows: DataFrame, labels: DataFrame, dataset_name: str, tolerance_ms: int, root: str,
+                   **kw) -> DataFrame:
+    """J7 as a run: save the labelled flows under ``root`` (one partition per dataset) and report
+    the match rate per pass. The matched flows are written once and read for both."""
+    matched = materialize(match_flows(flows, labels, tolerance_ms, **kw), "matched")
+    save_parquet(tag_dataset(matched.where(F.col("label").isNotNull()), dataset_name), root,
+                 partition_by=["dataset_name"])
+    return match_rate(matched)
+
+
 def dataset_pipeline(flows: DataFrame, labels: DataFrame, dataset_name: str, tolerance_ms: int,
                      *, out_root: str | None = None, **kw) -> DataFrame:
     """All scenarios in one plan, written per (dataset, scenario), merged back."""

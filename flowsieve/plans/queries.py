@@ -25,7 +25,7 @@ from ..sources import files as IO
 from ..streaming.metering import run_stream_to_table
 from . import label_files as LF
 from . import standins as S
-from .pipeline import build_dataset, dataset_pipeline
+from .pipeline import build_and_save, build_dataset, dataset_pipeline
 from .prepare_labels import prepare_labels
 
 
@@ -182,6 +182,17 @@ def q_build_dataset(spark, sf_dir):
                          S.F2_TOLERANCE_MS)
 
 
+def q_build_dataset_report(spark, sf_dir):
+    """J7 as a run: the dataset is saved, the answer is the match rate of its flows."""
+    return build_and_save(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir), "events_flows", S.F2_TOLERANCE_MS,
+                          f"{_shared_dir(spark)}/built-{_uuid.uuid4().hex}")
+
+
+def q_flow_label_report(spark, sf_dir):
+    """Rows and columns of flows and labels, and the label distribution."""
+    return QA.flow_label_report(S.f2_flows(spark, sf_dir), S.f2_labels(spark, sf_dir))
+
+
 def q_label_distribution(spark, sf_dir):
     return QA.value_counts(S.f5_features(spark, sf_dir), "label")
 
@@ -416,17 +427,28 @@ def q_dataset_pipeline(spark, sf_dir):
                             S.F2_TOLERANCE_MS)
 
 
-def q_mutual_information_knn(spark, sf_dir):
-    """K-NN mutual information on a seeded 100,000-row sample of F5."""
+KNN_FEATURES = ["q", "p", "d", "t", "net", "d_null", "const"]
+
+
+def _keyed_features(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
-    f5 = li.select(*LINEITEM_KEY, F.col("l_quantity").alias("q"),
+    return li.select(*LINEITEM_KEY, F.col("l_quantity").alias("q"),
                    F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"),
                    F.col("l_tax").alias("t"),
                    (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
                    F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("d_null"),
                    F.lit(1.0).alias("const"), F.col("l_returnflag").alias("label"))
-    return mutual_information_knn(f5, ["q", "p", "d", "t", "net", "d_null", "const"],
-                                  sample_rows=100_000, seed=42, id_cols=LINEITEM_KEY)
+
+
+def q_mutual_information_knn(spark, sf_dir):
+    """O6 then A16a: k-NN mutual information on a seeded sample of 100,000 rows, the sampling being the feature."""
+    return mutual_information_knn(_keyed_features(spark, sf_dir), KNN_FEATURES, sample_rows=100_000, seed=42,
+                                  id_cols=LINEITEM_KEY)
+
+
+def q_mutual_information_knn_all(spark, sf_dir):
+    """A16a over all rows, without noise (so that SQL can state it)."""
+    return mutual_information_knn(_keyed_features(spark, sf_dir), KNN_FEATURES, id_cols=LINEITEM_KEY, jitter=False)
 
 
 def q_meter_flows_stream(spark, sf_dir):

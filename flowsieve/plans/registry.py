@@ -70,6 +70,9 @@ QUERIES = {
     "merge_datasets": Q.q_merge_datasets,
     "dataset_pipeline": Q.q_dataset_pipeline,
     "mutual_information_knn": Q.q_mutual_information_knn,
+    "mutual_information_knn_all": Q.q_mutual_information_knn_all,
+    "flow_label_report": Q.q_flow_label_report,
+    "build_dataset_report": Q.q_build_dataset_report,
     "meter_flows_stream": Q.q_meter_flows_stream,
     "meter_flows_by_capture": Q.q_meter_flows_by_capture,
     "sample_column_values": Q.q_sample_column_values,

@@ -4,6 +4,7 @@ from __future__ import annotations
 import csv
 import io
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,6 @@ from pyspark.sql import types as T
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
              "nan", "null")
-REPLACEMENT_CHAR = "�"
 
 
 def _header_names(raw_header: str) -> list[str]:
@@ -37,18 +37,35 @@ def _header_names(raw_header: str) -> list[str]:
     return out
 
 
-def _read_with_header(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    first = spark.read.option("encoding", encoding).text(path).first()
-    if first is None:
-        raise ValueError(f"no header line in {path}")
-    header = first[0].lstrip("﻿")
+def _file_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], str, str]]:
+    """Files by encoding and header line: ``(files, encoding, header)``, from one scan of all paths.
+
+    A file is UTF-8 when all its lines are valid UTF-8 (whatever characters they hold), else
+    ISO-8859-1. One row per file comes back.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.when((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""),
+               F.monotonically_increasing_id()).alias("at"))
+    heads = (lines.groupBy("file").agg(F.min_by(F.col("value").cast("binary"), "at").alias("header"),
+                                       F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+                  .where(F.col("header").isNotNull()).orderBy("file").collect())
+    groups: dict = {}
+    for h in heads:
+        encoding = "UTF-8" if h["utf8"] else "ISO-8859-1"
+        header = bytes(h["header"]).decode("utf-8-sig" if h["utf8"] else "latin-1").rstrip("\r")
+        groups.setdefault((encoding, header), []).append(unquote(h["file"]))
+    return [(files, encoding, header) for (encoding, header), files in groups.items()]
+
+
+def _read_group(spark: SparkSession, files: list[str], encoding: str, header: str) -> DataFrame:
     names = _header_names(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
     df = (spark.read.schema(schema)
           .option("header", True).option("enforceSchema", True)
           .option("encoding", encoding).option("mode", "PERMISSIVE")
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .csv(path))
+          .csv(files))
     na = list(NA_TOKENS)
     return df.select(*[F.when(F.col(f"_c{i}").isin(na), None).otherwise(F.col(f"_c{i}")).alias(n)
                        for i, n in enumerate(names)])
@@ -57,32 +74,26 @@ def _read_with_header(spark: SparkSession, path: str, encoding: str) -> DataFram
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
     """Scan one label CSV (file or directory of part files) as all-string columns.
 
-    The header row is parsed by us so repeated names stay distinguishable. When
-    the UTF-8 read yields replacement characters the file is read as ISO-8859-1
-    (one bounded probe job per file).
+    The header row is parsed by us so repeated names stay distinguishable; part files
+    with other headers line up by name. Files that aren't valid UTF-8 are read as ISO-8859-1.
     """
-    df = _read_with_header(spark, path, "UTF-8")
-    bad = reduce(lambda a, b: a | b,
-                 [F.col(f"`{c}`").contains(REPLACEMENT_CHAR) for c in df.columns])
-    if df.where(bad).limit(1).count() > 0:
-        df = _read_with_header(spark, path, "ISO-8859-1")
-    return df
+    return read_label_csvs(spark, [path], strip_names=False)
 
 
 def read_label_csvs(spark: SparkSession, paths, strip_names: bool = True) -> DataFrame:
     """Read several label files and union them by name, missing columns null.
 
-    Names are stripped per file (first of equal names kept) before the union, so
+    One job finds encoding and header of all files, then files that share both are one scan.
+    Names are stripped per scan (first of equal names kept) before the union, so
     files that spell a column with or without blanks still line up.
     """
     from ..functions.clean import clean_column_names, remove_duplicated_cols
 
-    frames = []
-    for p in paths:
-        d = read_label_csv(spark, p)
-        if strip_names:
-            d = d.transform(clean_column_names).transform(remove_duplicated_cols)
-        frames.append(d)
+    frames = [_read_group(spark, *g) for g in _file_groups(spark, list(paths))]
+    if not frames:
+        raise ValueError(f"no header line in {list(paths)}")
+    if strip_names:
+        frames = [d.transform(clean_column_names).transform(remove_duplicated_cols) for d in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -6,6 +6,7 @@ from flowsieve.operators import profile as P
 from flowsieve.operators.mutual_info import mutual_information_knn
 from flowsieve.plans import standins as S
 
+SF = "/root/testdata/sf0.001"
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -61,3 +62,13 @@ def test_knn_mi_ranks_dependent_feature_first(spark):
                    F.when(F.col("l_quantity") > 25, "hi").otherwise("lo").alias("label"))
     got = [r.feature for r in mutual_information_knn(df, ["q", "t"], id_cols=KEY).collect()]
     assert got[0] == "q"
+
+
+def test_knn_mi_is_the_same_on_every_layout(spark, monkeypatch):
+    from flowsieve.operators import mutual_info
+    monkeypatch.setattr(mutual_info, "BLOCK", 7)       # many blocks and ranges
+    li = S.table(spark, SF, "lineitem").select(*KEY, F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"),
+                                               F.lit(1.0).alias("const"), F.col("l_returnflag").alias("label"))
+    few = [tuple(r) for r in mutual_information_knn(li.coalesce(1), ["q", "t", "const"], id_cols=KEY).collect()]
+    many = [tuple(r) for r in mutual_information_knn(li.repartition(8), ["q", "t", "const"], id_cols=KEY).collect()]
+    assert few == many and len(few) == 3

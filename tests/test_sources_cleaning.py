@@ -80,3 +80,22 @@ def test_files_spelling_a_column_differently_line_up(spark, tmp_path):
     assert sorted(df.columns) == ["Extra", "Flow ID", "Label"]
     got = sorted((r["Flow ID"], r["Label"], r["Extra"]) for r in df.collect())
     assert got == [("1", "X", None), ("2", None, None), ("3", "Y", "e")]   # NaN is a missing token
+
+
+def test_part_files_with_other_headers_and_a_replacement_character(spark, tmp_path):
+    folder = tmp_path / "two words"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,Label\n1,\ufffd\u00e9\n", encoding="utf-8")   # valid UTF-8 stays UTF-8
+    (folder / "b.csv").write_text("Label,id\nY,2\n", encoding="utf-8")
+    (folder / "c.csv").write_bytes("id,Label\r\n3,caf\u00e9\r\n".encode("latin-1"))
+    (folder / "empty.csv").write_text("", encoding="utf-8")
+    got = sorted((r["id"], r["Label"]) for r in IO.read_label_csv(spark, str(folder)).collect())
+    assert got == [("1", "\ufffd\u00e9"), ("2", "Y"), ("3", "caf\u00e9")]
+
+
+def test_label_column_fallback(spark):
+    import pytest
+    from flowsieve.operators.quality import find_column
+    assert find_column(spark.createDataFrame([(1, 2)], ["x", " Label"])) == " Label"
+    with pytest.raises(ValueError, match="Label"):
+        find_column(spark.range(1))
