@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .standins import clock_text, table
+from ..sources.catalog import SCENARIOS
+from .standins import clock_text, f1_packets, scenario_of, table
 
 DASH = chr(0x96)
 HEADER = ("Flow ID", " Source IP", " Source Port", " Destination IP", " Destination Port",
@@ -63,3 +64,26 @@ def write_label_files(spark: SparkSession, sf_dir: str, split: bool = True) -> d
            .csv(path))
         out[name] = path
     return out
+
+
+DATASET_CLOCK_MS = 3 * 3_600_000
+
+
+def write_dataset(spark: SparkSession, sf_dir: str) -> dict:
+    """Raw files of a whole dataset, and their catalog: label text and captures of every event.
+
+    Events are dealt to scenarios by id. Labels name the packets' endpoints; the captures'
+    clock is three hours ahead of the label text. One capture of monday is no Parquet file.
+    """
+    root = f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    rows = label_rows(spark, sf_dir).withColumn(HEADER[3], F.lit("192.168.0.1"))
+    (rows.withColumn("scenario", scenario_of("event_id")).drop("event_id")
+         .write.partitionBy("scenario").option("header", True).csv(f"{root}/labels"))
+    packets = f1_packets(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") + DATASET_CLOCK_MS)
+    (packets.withColumn("scenario", scenario_of("packet_id"))
+            .write.partitionBy("scenario").parquet(f"{root}/captures"))
+    spark.range(1).select(F.lit("not a capture").alias("value")).write.text(f"{root}/broken")
+    out = {sc: {"labels": [f"{root}/labels/scenario={sc}"], "captures": [f"{root}/captures/scenario={sc}"]}
+           for sc in SCENARIOS}
+    out["monday"]["captures"].append(f"{root}/broken")
+    return {"events_dataset": out}

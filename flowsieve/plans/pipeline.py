@@ -7,15 +7,21 @@ key (matching is scoped by it), the processed table is written partitioned by
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import tag_dataset
+from ..functions.keys import with_flow_keys
 from ..operators.matching import match_flows
+from ..operators.metering import meter_flows
 from ..operators.quality import match_rate
 from ..session import materialize, shared_dir
+from ..sources.captures import read_captures
+from ..sources.catalog import paths_of
 from ..sources.files import save_parquet
+from .prepare_labels import prepare_labels
 
 
 def build_dataset(flows: DataFrame, labels: DataFrame, dataset_name: str, tolerance_ms: int,
@@ -43,3 +49,29 @@ def dataset_pipeline(flows: DataFrame, labels: DataFrame, dataset_name: str, tol
     save_parquet(built, root, partition_by=["dataset_name", "scenario"])
     # read back with the built schema: an empty result is an empty table, not an error
     return flows.sparkSession.read.schema(built.schema).parquet(root)
+
+
+def run_dataset(spark: SparkSession, catalog: dict, dataset_name: str, packet_schema, *,
+                tolerance_ms: int = 60_000, idle_ms: int = 10_000, active_ms: int = 120_000,
+                hour_offset: int = 3, out_root: str | None = None) -> DataFrame:
+    """P2 from raw files: prepare labels (P1), meter captures (M1), match and save (J7), merge.
+
+    The loop over the catalog's scenarios only builds plans (and reads label file headers);
+    labels are cleaned per scenario, then all scenarios are metered and matched in one plan
+    each, ``scenario`` being part of every key. Labels and flows are written once, as the
+    matching reads them several times. Unreadable captures are skipped.
+    """
+    labels, packets = [], []
+    for sc in catalog[dataset_name]:
+        tag = F.lit(sc)
+        labels.append(prepare_labels(spark, paths_of(catalog, dataset_name, sc, "labels"), hour_offset=hour_offset)
+                      .withColumn("scenario", tag))
+        packets.append(read_captures(spark, paths_of(catalog, dataset_name, sc, "captures"), packet_schema)
+                       .withColumn("scenario", tag))
+
+    def merged(frames):
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    keyed = with_flow_keys(merged(labels)).select("scenario", "flow_key", "ts_ms", "label")
+    flows = with_flow_keys(meter_flows(merged(packets), idle_ms, active_ms, scope=["scenario"]))
+    return dataset_pipeline(materialize(flows, "flows"), materialize(keyed, "labels"), dataset_name, tolerance_ms,
+                            out_root=out_root)

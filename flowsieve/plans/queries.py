@@ -22,10 +22,12 @@ from ..operators import sampling as SM
 from ..operators.mutual_info import mutual_information_knn
 from ..session import shared_dir as _shared_dir
 from ..sources import files as IO
+from ..sources.captures import capture_report
+from ..sources.catalog import paths_of
 from ..streaming.metering import run_stream_to_table
 from . import label_files as LF
 from . import standins as S
-from .pipeline import build_and_save, build_dataset, dataset_pipeline
+from .pipeline import build_and_save, build_dataset, dataset_pipeline, run_dataset
 from .prepare_labels import prepare_labels
 
 
@@ -404,12 +406,9 @@ def q_rows_per_file(spark, sf_dir):
 def q_merge_scenarios(spark, sf_dir):
     """Scenario tables written separately (one lacks a column), merged by name."""
     root = f"{_shared_dir(spark)}/scenarios-{_uuid.uuid4().hex}"
-    fl = S.f7_flows(spark, sf_dir)
-    for sc in S.F7_SCENARIOS:
-        part = fl.where(F.col("scenario") == sc).drop("scenario")
-        if sc == "monday":
-            part = part.drop("flow_key_rev")
-        IO.save_parquet(part, f"{root}/scenario={sc}")
+    fl, monday = S.f7_flows(spark, sf_dir), F.col("scenario") == "monday"
+    IO.save_parquet(fl.where(~monday), root, partition_by=["scenario"])
+    IO.save_parquet(fl.where(monday).drop("scenario", "flow_key_rev"), f"{root}/scenario=monday")
     return IO.merge_scenarios(spark, root)
 
 
@@ -427,6 +426,23 @@ def q_dataset_pipeline(spark, sf_dir):
                             S.F2_TOLERANCE_MS)
 
 
+def q_run_dataset(spark, sf_dir):
+    """P2 from raw files: label text prepared, captures metered, matched at one minute, saved and merged."""
+    return run_dataset(spark, LF.write_dataset(spark, sf_dir), "events_dataset", S.f1_packets(spark, sf_dir).schema,
+                       idle_ms=S.F1_IDLE_MS, active_ms=S.F1_ACTIVE_MS)
+
+
+def q_capture_report(spark, sf_dir):
+    """Packets read per scenario (files of a scenario vary with the writer), and unreadable captures."""
+    catalog, schema = LF.write_dataset(spark, sf_dir), S.f1_packets(spark, sf_dir).schema
+    frames = [capture_report(spark, paths_of(catalog, "events_dataset", sc, "captures"), schema).select(
+        F.lit(sc).alias("scenario"), "packets", "files_without_packets") for sc in catalog["events_dataset"]]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 KNN_FEATURES = ["q", "p", "d", "t", "net", "d_null", "const"]
 
 

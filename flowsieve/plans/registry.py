@@ -69,6 +69,8 @@ QUERIES = {
     "merge_scenarios": Q.q_merge_scenarios,
     "merge_datasets": Q.q_merge_datasets,
     "dataset_pipeline": Q.q_dataset_pipeline,
+    "run_dataset": Q.q_run_dataset,
+    "capture_report": Q.q_capture_report,
     "mutual_information_knn": Q.q_mutual_information_knn,
     "mutual_information_knn_all": Q.q_mutual_information_knn_all,
     "flow_label_report": Q.q_flow_label_report,

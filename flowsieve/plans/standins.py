@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms
+from ..sources.catalog import SCENARIOS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,22 +138,19 @@ def f6_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("flow_duration_us"))
 
 
-# Scenario names (capture days) used for the F7 split.
-F7_SCENARIOS = ("friday", "monday", "thursday", "tuesday", "wednesday")
-
-
-def _scenario(id_col: str):
-    names = F.array(*[F.lit(s) for s in F7_SCENARIOS])
+def scenario_of(id_col: str):
+    """Scenario (capture day) by id modulo 5."""
+    names = F.array(*[F.lit(s) for s in SCENARIOS])
     return F.element_at(names, (F.col(id_col) % 5).cast("int") + 1)
 
 
 def f7_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 flows with a scenario column (event id modulo 5)."""
-    return f2_flows(spark, sf_dir).withColumn("scenario", _scenario("flow_id"))
+    return f2_flows(spark, sf_dir).withColumn("scenario", scenario_of("flow_id"))
 
 
 def f7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f2_labels(spark, sf_dir).withColumn("scenario", _scenario("label_id"))
+    return f2_labels(spark, sf_dir).withColumn("scenario", scenario_of("label_id"))
 
 
 def f1_captures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Dataset / scenario catalog (S8) as data, not as a driver-side loop.
 
-A catalog maps dataset -> scenario -> {"labels": [paths], "flows": [paths]}.
+A catalog maps dataset -> scenario -> {"labels": [paths], "captures": [paths]}.
 ``catalog_frame`` turns it into a small DataFrame so scenario is a column.
 """
 from __future__ import annotations
