@@ -112,7 +112,7 @@ def _answer_one_level(q: DataFrame, points: DataFrame, tols, integral: bool) ->
 
     def cell_of(c):
         if integral:
-            return ((c - F.pmod(c, width)) / width).cast("bigint")
+            return F.call_function("div", c - F.pmod(c, width), width)
         return F.floor(c / width).cast("double")
 
     t_type = q.schema["t"].dataType
@@ -183,7 +183,7 @@ def _answer_two_level(q: DataFrame, points: DataFrame, tols, integral: bool, sub
 
     def fdiv(c, w):
         if integral:
-            return ((c - F.pmod(c, w)) / w).cast("bigint")
+            return F.call_function("div", c - F.pmod(c, w), w)
         return F.floor(c / w).cast("double")
 
     tl, g = F.col("tol"), F.col("g")

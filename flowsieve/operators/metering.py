@@ -21,9 +21,10 @@ Plan (no task ever holds a whole conversation or session):
   same way. The chain ``s0, nxt(s0), ...`` of each long session is marked by
   pointer doubling (``log2`` rounds of equi-joins; lineage cut by a
   table written to the shared checkpoint folder every round). Sessions shorter than ``active`` skip it;
-* statistics: one ``groupBy`` per flow with conditional aggregates per
-  direction; inter-arrival times by ``lag`` inside a flow (a flow is bounded by
-  the active timeout).
+* statistics: packets are first added up per ``(flow, direction, ts)``, where the join left
+  them, so a window over a flow has at most two rows per millisecond of the active timeout,
+  however many packets it holds. Equal times are gaps of zero; deviations come from exact
+  sums and sums of squares.
 """
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ CONV = ["a_ip", "a_port", "b_ip", "b_port", "protocol"]
 
 
 def _cell(c: Column, width: int) -> Column:
-    return ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
 
 
 def canonical(packets: DataFrame) -> DataFrame:
@@ -183,19 +184,37 @@ def assign_flows(packets: DataFrame, idle_ms: int, active_ms: int, *, ts: str =
               .withColumn("expiration_id", F.col("cut").cast("int")).drop("cut"))
 
 
-def _dir_stats(prefix: str, cond: Column, size: Column, piat: Column, digits: int) -> list[Column]:
-    sz, ts = F.when(cond, size), F.when(cond, F.col("ts"))
-    pi = F.when(cond, piat)
+def _deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Sample standard deviation from exact sums; null below two values."""
+    exact = n.cast("decimal(20,0)") * squares - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
+    return F.sqrt(F.try_divide(exact.cast("double"), n.cast("double") * (n - 1)))
+
+
+def _square(c: Column) -> Column:
+    return c.cast("decimal(19,0)") * c.cast("decimal(19,0)")
+
+
+def _dir_stats(prefix: str, cond: Column, gap: Column, digits: int) -> list[Column]:
+    """Statistics of one direction from its points; ``gap``: time since the point before."""
+    def total(c):
+        return F.sum(F.when(cond, c))
+    ts, zero = F.when(cond, F.col("ts")), F.when(F.col("c") > 1, F.lit(0).cast("bigint"))
+    n_gap = total(F.col("c")) - 1
     return [
         F.min(ts).alias(f"{prefix}_first_seen_ms"), F.max(ts).alias(f"{prefix}_last_seen_ms"),
         (F.max(ts) - F.min(ts)).alias(f"{prefix}_duration_ms"),
-        F.count(ts).alias(f"{prefix}_packets"),
-        F.coalesce(F.sum(sz), F.lit(0)).cast("bigint").alias(f"{prefix}_bytes"),
-        F.min(sz).alias(f"{prefix}_min_ps"), F.round(F.avg(sz), digits).alias(f"{prefix}_mean_ps"),
-        F.round(F.stddev_samp(sz), digits).alias(f"{prefix}_stddev_ps"), F.max(sz).alias(f"{prefix}_max_ps"),
-        F.min(pi).alias(f"{prefix}_min_piat_ms"), F.round(F.avg(pi), digits).alias(f"{prefix}_mean_piat_ms"),
-        F.round(F.stddev_samp(pi), digits).alias(f"{prefix}_stddev_piat_ms"),
-        F.max(pi).alias(f"{prefix}_max_piat_ms"),
+        F.coalesce(total(F.col("c")), F.lit(0)).cast("bigint").alias(f"{prefix}_packets"),
+        F.coalesce(total(F.col("size")), F.lit(0)).cast("bigint").alias(f"{prefix}_bytes"),
+        F.min(F.when(cond, F.col("size_lo"))).alias(f"{prefix}_min_ps"),
+        F.round(F.try_divide(total(F.col("size")).cast("double"), total(F.col("sized"))), digits).alias(f"{prefix}_mean_ps"),
+        F.round(_deviation(total(F.col("sized")), total(F.col("size")), total(F.col("size_sq"))), digits)
+         .alias(f"{prefix}_stddev_ps"),
+        F.max(F.when(cond, F.col("size_hi"))).alias(f"{prefix}_max_ps"),
+        F.min(F.when(cond, F.least(gap, zero))).alias(f"{prefix}_min_piat_ms"),
+        F.round(F.try_divide(F.coalesce(total(gap), F.lit(0)).cast("double"), n_gap), digits).alias(f"{prefix}_mean_piat_ms"),
+        F.round(_deviation(n_gap, F.coalesce(total(gap), F.lit(0)), F.coalesce(total(_square(gap)), F.lit(0))), digits)
+         .alias(f"{prefix}_stddev_piat_ms"),
+        F.max(F.when(cond, F.greatest(gap, zero))).alias(f"{prefix}_max_piat_ms"),
     ]
 
 
@@ -215,23 +234,25 @@ def meter_flows(packets: DataFrame, idle_ms: int = 10_000, active_ms: int = 120_
     """
     pf = assign_flows(packets, idle_ms, active_ms, ts=ts, checkpoint_every=checkpoint_every, scope=scope)
     fk = [*scope, *CONV, "flow_start"]
-    order = [F.col("ts"), F.col(packet_id)]
     size = F.col(byte_col).cast("bigint")
-    aggs = [
-        F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port", "a_sends"),
-                 F.struct(*order)).alias("first"),
-        F.max("expiration_id").alias("expiration_id"),
-    ]
+    sender = F.struct("src_ip", "dst_ip", "src_port", "dst_port", "a_sends")
     if statistics:
-        w_bi = Window.partitionBy(*fk).orderBy(*order)
-        w_dir = Window.partitionBy(*fk, "a_sends").orderBy(*order)
-        pf = pf.withColumns({"piat_bi": F.col("ts") - F.lag("ts").over(w_bi),
-                             "piat_dir": F.col("ts") - F.lag("ts").over(w_dir)})
-        aggs += _dir_stats("bidirectional", F.lit(True), size, F.col("piat_bi"), digits)
-        aggs += _dir_stats("a2b", F.col("a_sends"), size, F.col("piat_dir"), digits)
-        aggs += _dir_stats("b2a", ~F.col("a_sends"), size, F.col("piat_dir"), digits)
+        points = pf.groupBy(*fk, "a_sends", "ts").agg(
+            F.max("expiration_id").alias("expiration_id"), F.min_by(sender, packet_id).alias("sender"),
+            F.min(packet_id).alias("least"), F.count(F.lit(1)).alias("c"), F.count(size).alias("sized"),
+            F.sum(size).alias("size"), F.sum(_square(size)).alias("size_sq"), F.min(size).alias("size_lo"),
+            F.max(size).alias("size_hi"))
+        bi = Window.partitionBy(*fk).orderBy("ts", "a_sends")
+        one = Window.partitionBy(*fk, "a_sends").orderBy("ts")
+        pf = points.withColumns({"gap_bi": F.col("ts") - F.lag("ts").over(bi),
+                                 "gap_dir": F.col("ts") - F.lag("ts").over(one)})
+        aggs = [F.min_by("sender", F.struct("ts", "least")).alias("first"), F.max("expiration_id").alias("expiration_id"),
+                *_dir_stats("bidirectional", F.lit(True), F.col("gap_bi"), digits),
+                *_dir_stats("a2b", F.col("a_sends"), F.col("gap_dir"), digits),
+                *_dir_stats("b2a", ~F.col("a_sends"), F.col("gap_dir"), digits)]
     else:
-        aggs += [F.min("ts").alias("bidirectional_first_seen_ms"), F.max("ts").alias("bidirectional_last_seen_ms"),
+        aggs = [F.min_by(sender, F.struct("ts", packet_id)).alias("first"), F.max("expiration_id").alias("expiration_id"),
+                F.min("ts").alias("bidirectional_first_seen_ms"), F.max("ts").alias("bidirectional_last_seen_ms"),
                  (F.max("ts") - F.min("ts")).alias("bidirectional_duration_ms"),
                  F.count(F.lit(1)).alias("bidirectional_packets"),
                  F.sum(size).cast("bigint").alias("bidirectional_bytes")]

@@ -7,7 +7,7 @@ class strictly closer than ``r`` (self included; when ``r = 0``, the rows equal
 to ``x``). ``MI = max(0, psi(N) + mean psi(k) - mean psi(n_class) - mean psi(m))``.
 
 Spark plan, all features in one job: the data is unpivoted to ``(feature, class, x)``.
-Ranks come from range partitions (``_ranked``): a running sum inside each range plus the
+Ranks come from range partitions (``running_sums``): a running sum inside each range plus the
 totals of the ranges before it, so no task holds a whole feature or class, however
 frequent a value is. ``r`` comes from ``lag``/``lead`` in blocks of ``BLOCK`` ranks of a class, each
 with the ``K`` ranks beside it (in one dimension the k nearest neighbours form a
@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .profile import unpivot_features
+from .ranks import running_sums
 from .sampling import _part, sample_fixed_n
 
 #: Ranks of a class in one window.
@@ -75,24 +75,6 @@ def _kth_distance(k_max: int) -> dict[int, Column]:
     return out
 
 
-def _ranked(df: DataFrame, keys: list[str], order: list[str], weight: str, name: str) -> DataFrame:
-    """``df`` with ``upto``: the sum of ``weight`` over the rows of its ``keys`` up to and with it in
-    ``order``, and ``total``: the sum over all of them.
-
-    ``order`` ends in a unique column, so rows of one value may lie in several ranges. The
-    ranges are written with their number; the table of range totals has one row per range and key in it.
-    """
-    cut = materialize(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), name)
-    inside = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    per_range = cut.groupBy("__range", *keys).agg(F.sum(weight).alias("__sum"))
-    by_key = Window.partitionBy(*keys)
-    totals = per_range.select("__range", *keys, F.sum("__sum").over(by_key).alias("total"), F.coalesce(
-        F.sum("__sum").over(by_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("__before"))
-    return (cut.withColumn("__upto", F.sum(weight).over(inside)).join(totals, ["__range", *keys])
-               .withColumn("upto", F.col("__upto") + F.col("__before")).drop("__range", "__upto", "__before"))
-
-
 def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n_neighbors: int = 3,
                            sample_rows: int | None = None, seed: int = 42, id_cols=None,
                            digits: int = 6, clip: bool = True, jitter: bool = True) -> DataFrame:
@@ -115,7 +97,7 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
     if jitter:
         long = _jitter(long, seed)
     k_max = n_neighbors
-    ranked = (_ranked(long.withColumn("one", F.lit(1)), ["feature", "cls"], ["x", "__row"], "one", "mi-classes")
+    ranked = (running_sums(long.withColumn("one", F.lit(1)), ["feature", "cls"], ["x", "__row"], "one", "mi-classes")
               .withColumnsRenamed({"upto": "pos", "total": "n_cls"}).where(F.col("n_cls") >= 2))
     # a block also holds the rows at most k_max ranks outside it
     at = [F.floor((F.col("pos") + d) / BLOCK) for d in (-k_max, 0, k_max)]
@@ -141,7 +123,7 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
         row(x, F.lit(0), 0),
         row(x + F.col("r"), F.when(zero, 1).otherwise(-1), 1),
         row(x - F.col("r"), F.when(zero, -1).otherwise(1), -1))).alias("p")).select("feature", "k", "n_cls", "rid", "p.*")
-    probes = _ranked(merged, ["feature"], ["v", "tb", "rid"], "is_data", "mi-probes").where(F.col("is_data") == 0)
+    probes = running_sums(merged, ["feature"], ["v", "tb", "rid"], "is_data", "mi-probes").where(F.col("is_data") == 0)
     rows = probes.groupBy("feature", "rid").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"),
                                                 F.first("k").alias("k"), F.first("n_cls").alias("n_cls"))
     per = rows.groupBy("feature").agg(

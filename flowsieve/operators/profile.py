@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.roles import split_features
 from ..session import materialize, ship_package
 from .quantiles import quantile_columns
+from .ranks import running_sums
 
 DIGITS = 6
 
@@ -225,12 +226,13 @@ def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: s
 def label_encode(df: DataFrame, label: str = "label", out: str = "label_code") -> DataFrame:
     """Sorted distinct classes -> 0..k-1, joined back to every row.
 
-    Only the distinct class names are ranked (one small sort); the code table
-    is joined on the class name.
+    Distinct class names are ranked over range partitions, so many classes need no single task.
+    The codes are written, which makes both join sides plain exchanges: AQE can split a hot class.
     """
-    classes = df.select(label).where(F.col(label).isNotNull()).distinct()
-    codes = classes.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("bigint").alias(out))
-    return df.join(codes, label, "left")
+    classes = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("__one", F.lit(1))
+    codes = running_sums(classes, [], [label], "__one", "label-order").select(
+        label, (F.col("upto") - 1).cast("bigint").alias(out))
+    return df.join(materialize(codes, "label-codes"), label, "left")
 
 
 def mutual_information_binned(df: DataFrame, features=None, label: str = "label", bins: int = 25,

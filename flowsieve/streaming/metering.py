@@ -38,12 +38,15 @@ def _flow_row(s, exp):
     return (src_ip, dst_ip, src_port, dst_port, proto, start, last, last - start, packets, nbytes, exp)
 
 
-def make_state_fn(idle: int, active: int):
+def make_state_fn(idle: int, active: int, scope=()):
+    columns = [*scope, *_COLS]
+
     def fn(key, batches, state):
+        head = tuple(key[:len(scope)])
         if state.hasTimedOut:
             s = state.get
             state.remove()
-            yield pd.DataFrame([_flow_row(s, 0)], columns=_COLS)
+            yield pd.DataFrame([head + _flow_row(s, 0)], columns=columns)
             return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "packet_id"], kind="stable")
         ts = pdf["ts_ms"].to_numpy(dtype="int64")
@@ -69,7 +72,7 @@ def make_state_fn(idle: int, active: int):
                     cur[8] += int(csum[j] - csum[i])
                 if j == n:
                     break
-                out.append(_flow_row(cur, 0 if gi <= ai else 1))
+                out.append(head + _flow_row(cur, 0 if gi <= ai else 1))
                 i, cur = j, None
             r = src[i]
             cur = [int(ts[i]), int(ts[i]), r[0], r[1], *(None if pd.isna(x) else int(x) for x in r[2:5]), 1, int(size[i])]
@@ -78,7 +81,7 @@ def make_state_fn(idle: int, active: int):
             state.update(tuple(cur))
             state.setTimeoutTimestamp(int(cur[1]) + idle)
         if out:
-            yield pd.DataFrame(out, columns=_COLS)
+            yield pd.DataFrame(out, columns=columns)
     return fn
 
 
@@ -86,17 +89,20 @@ _COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
 
 def meter_flows_stream(packets_stream: DataFrame, idle_ms: int, active_ms: int,
-                       watermark: str) -> DataFrame:
+                       watermark: str, scope=()) -> DataFrame:
     """Streaming DataFrame of closed flows (append mode).
 
+    ``scope``: columns (scenario, capture) that keep captures apart and lead the output.
+
     ``watermark``: how late a packet may come; a later one is dropped, so there is no default.
     """
     ship_package(packets_stream.sparkSession)
     s = (canonical(packets_stream)
          .withColumn("event_time", F.timestamp_millis("ts_ms"))
          .withWatermark("event_time", watermark))
-    return (s.groupBy(*CONV)
-             .applyInPandasWithState(make_state_fn(int(idle_ms), int(active_ms)), OUT_SCHEMA, STATE_SCHEMA,
+    out = ", ".join([*(f"`{c}` {s.schema[c].dataType.simpleString()}" for c in scope), OUT_SCHEMA])
+    return (s.groupBy(*scope, *CONV)
+             .applyInPandasWithState(make_state_fn(int(idle_ms), int(active_ms), tuple(scope)), out, STATE_SCHEMA,
                                      "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -105,32 +111,35 @@ SENTINEL_IP = "end of input"
 
 
 def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, active_ms: int,
-                        phases: int = 8) -> DataFrame:
-    """Replay a packet table as a stream arriving in ``phases`` time slices, meter it,
-    return the closed flows.
+                        slice_packets: int = 1_000_000, scope=()) -> DataFrame:
+    """Replay a packet table as a stream arriving in time slices, meter it, return the closed flows.
+
+    There are enough slices for ``slice_packets`` packets each on average, and eight at least.
 
-    The packets are staged once, partitioned by time slice. Each phase appends one
+    The packets are staged once, partitioned by time slice. Each step appends one
     slice to the stream's input folder and runs the same query (same checkpoint,
     ``availableNow``), so slices arrive in time order exactly as a live feed would.
     Two sentinel packets on a reserved conversation then move the watermark past
     every open flow; the sink is read back without the sentinel conversation.
     """
     root = f"{shared_dir(spark)}/meter-stream-{uuid.uuid4().hex}"
-    cols = ["packet_id", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes"]
+    cols = [*scope, "packet_id", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes"]
     pk = packets.select(*cols)
-    lo, hi = pk.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    out_schema = ", ".join([*(f"`{c}` {pk.schema[c].dataType.simpleString()}" for c in scope), OUT_SCHEMA])
+    lo, hi, n = pk.agg(F.min("ts_ms"), F.max("ts_ms"), F.count("ts_ms")).first()
     if lo is None:
-        return spark.createDataFrame([], OUT_SCHEMA)
+        return spark.createDataFrame([], out_schema)
+    phases = max(8, -(-n // slice_packets))
     width = max(1, (hi - lo + phases) // phases)
-    (pk.withColumn("slice", ((F.col("ts_ms") - F.lit(lo)) / F.lit(width)).cast("int"))
+    (pk.withColumn("slice", F.call_function("div", F.col("ts_ms") - F.lit(lo), F.lit(width)).cast("int"))
        .write.mode("overwrite").partitionBy("slice").parquet(f"{root}/staged"))
     staged = spark.read.parquet(f"{root}/staged")
-    sentinels = [(-1 - k, t, SENTINEL_IP, SENTINEL_IP, 0, 0, 0, 0)
+    sentinels = [(*[None] * len(scope), -1 - k, t, SENTINEL_IP, SENTINEL_IP, 0, 0, 0, 0)
                  for k, t in enumerate((hi + idle_ms + 1, hi + 2 * idle_ms + 2))]
 
     def run_once():
         stream = spark.readStream.schema(pk.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-        q = (meter_flows_stream(stream, idle_ms, active_ms, "0 seconds").writeStream.format("parquet")
+        q = (meter_flows_stream(stream, idle_ms, active_ms, "0 seconds", scope).writeStream.format("parquet")
              .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -141,5 +150,5 @@ def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, a
     for k, row in enumerate(sentinels):
         spark.createDataFrame([row], pk.schema).write.parquet(f"{root}/in/sentinel-{k}")
         run_once()
-    return spark.read.schema(OUT_SCHEMA).parquet(f"{root}/out").where(
+    return spark.read.schema(out_schema).parquet(f"{root}/out").where(
         ~F.col("src_ip").eqNullSafe(SENTINEL_IP))

@@ -71,3 +71,13 @@ def test_cuts_do_not_depend_on_batch_boundaries():
 def test_active_cut_spanning_batches():
     ts = [0, 4, 8, 12, 16, 20, 24]          # gap 4 < idle 5; active 10
     assert run(ts, [2, 5], 5, 10) == [(0, 3, 1), (12, 3, 1), (24, 1, 0)]
+
+
+def test_scope_leads_the_rows():
+    st, out = FakeState(), []
+    fn = make_state_fn(5, 100, ("capture",))
+    out.extend(fn(("c1", "a", 1), iter([packets([0, 10])]), st))
+    st.hasTimedOut = True
+    out.extend(fn(("c1", "a", 1), iter([]), st))
+    df = pd.concat(out, ignore_index=True)
+    assert list(df.columns) == ["capture", *_COLS] and list(df["capture"]) == ["c1", "c1"]
