@@ -12,8 +12,6 @@ never read by a prediction.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import annotate, crc_mod, texts
 
 TRAIN_DOCS, SNIPPETS, SNIPPET, HIDDEN, STEPS, BATCH, BLOCK = 1500, 4, 64, 8, 110, 256, 128
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _direction(model: dict, d: str, x: np.ndarray, mask=None, keep: list | None = None) -> np.ndarray:
@@ -129,7 +126,8 @@ def fit(docs: DataFrame, held_out: int = 2, folds: int = 4) -> dict | None:
 def predict(model: dict, texts_: list[str]) -> tuple[list[str], list[float]]:
     """Language and probability of whole texts."""
     names = model["names"]
-    raw = [t.encode("utf-8", "replace") if _LETTER.search(t) else b"" for t in texts_]
+    # isalpha, not a word pattern: that one also takes fractions and superscripts for letters
+    raw = [t.encode("utf-8", "replace") if any(map(str.isalpha, t)) else b"" for t in texts_]
     blocks = np.array([-(-len(r) // BLOCK) for r in raw], np.int64)
     flat = np.frombuffer(b"".join(r.ljust(b * BLOCK, b"\0") for r, b in zip(raw, blocks.tolist())), np.uint8)
     flat = flat.reshape(-1, BLOCK)

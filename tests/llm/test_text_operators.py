@@ -129,6 +129,7 @@ def test_language_edge_cases(sql):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[None][0] in "xy"
     assert langid.predict(model, ["aaaaa" * 100, "bb"])[0] == ["x", "y"]
+    assert langid.predict(model, ["\u00bd \u00b2 \u2167"])[0] == ["und"]  # numbers, not letters
 
 
 def test_recurrent_gradient_equals_differences():
