@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.session import apply_runtime_defaults, materialize, ship_package
 
-__all__ = ["materialize", "prepare", "load", "texts", "width", "sha256_hex", "crc_mod"]
+__all__ = ["materialize", "prepare", "load", "texts", "width", "sha256_hex", "crc_mod", "lowest"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -42,6 +42,21 @@ def crc_mod(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
+def lowest(df: DataFrame, h: str, n: int) -> DataFrame:
+    """The rows of ``df`` under the smallest power of two that leaves ``n`` hashes ``h`` (longs), or all.
+
+    A top-n alone takes n rows from every partition to one place, which grows with the table;
+    after this filter there are about n to 2 n rows in all. 64 counts reach the driver.
+    """
+    level = F.length(F.bin(F.col(h).bitwiseXOR(F.lit(-1 << 63))))
+    seen = 0
+    for row in df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy("level").collect():
+        seen += row["n"]
+        if seen >= n:
+            return df.where(level <= row["level"])
+    return df
+
+
 def annotate(docs: DataFrame, make, fields: str, keep: bool = False) -> DataFrame:
     """Columns computed from each row's whole text, in Arrow batches, no shuffle.
 

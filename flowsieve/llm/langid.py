@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, crc_mod, texts
+from .common import annotate, crc_mod, lowest
 
 TRAIN_DOCS, SNIPPETS, SNIPPET, HIDDEN, STEPS, BATCH, BLOCK = 1500, 4, 64, 8, 110, 256, 128
 
@@ -117,8 +117,9 @@ def fit(docs: DataFrame, held_out: int = 2, folds: int = 4) -> dict | None:
                       & F.col("text").rlike(r"\p{L}"))
     cut = [F.substring(F.col("text"), (F.length("text") * (i / SNIPPETS)).cast("int") + 1, F.lit(SNIPPET))
            for i in range(SNIPPETS)]
-    rows = pool.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.array(*cut).alias("cuts")) \
-        .orderBy("h", "lang").limit(TRAIN_DOCS).collect()
+    hashed = lowest(pool.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.array(*cut).alias("cuts")), "h",
+                    TRAIN_DOCS)
+    rows = hashed.orderBy("h", "lang").limit(TRAIN_DOCS).collect()
     got = [(s.encode("utf-8", "replace"), r["lang"]) for r in rows for s in r["cuts"] if s]
     return train([s for s, _ in got], [v for _, v in got]) if got else None
 

@@ -11,8 +11,8 @@ import pandas as pd
 import pytest
 import xxhash
 
-from flowsieve.llm import (decontaminate, fingerprints, langid, licenses, ngram_lm, packing, pii, quality, simhash,
-                           suffix_dedup)
+from flowsieve.llm import (common, decontaminate, fingerprints, langid, licenses, ngram_lm, packing, pii, quality,
+                           simhash, suffix_dedup)
 from flowsieve.llm.common import load, prepare
 
 SCHEMA = "doc_id long, text string"
@@ -122,6 +122,16 @@ def test_language_of_held_out_documents(sql):
     assert got.score.between(0, 1).all()
 
 
+def test_lowest_hashes_come_before_a_top_n(sql):
+    df = sql.range(20_000).selectExpr("id", "xxhash64(id) AS h")
+    some = common.lowest(df, "h", 300)
+    assert 300 <= some.count() < 1500
+    assert [r.h for r in some.orderBy("h").limit(300).collect()] == [r.h for r in df.orderBy("h").limit(300).collect()]
+    assert common.lowest(df, "h", 30_000).count() == 20_000 and common.lowest(df.where("id < 0"), "h", 3).count() == 0
+    ends = sql.createDataFrame([(-1 << 63,), ((1 << 63) - 1,), (0,)], "h long")
+    assert common.lowest(ends, "h", 1).count() == 1
+
+
 def test_language_edge_cases(sql):
     odd = docs_of(sql, [(1, None), (2, ""), (3, "12 !?"), (None, "word")])
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
