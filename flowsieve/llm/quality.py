@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, crc_mod, texts
+from .common import annotate, crc_mod, lowest, texts
 
 TRAIN_ROWS, BITS, GRADES, EPOCHS, LEAST_DOCS = 8000, 20, 3, 10, 10
 HELD_OUT, FOLDS = 2, 5
@@ -111,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     rated = labels.where("doc_id is not null and toxic is not null and quality is not null") \
         .where(crc_mod("doc_id", FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("rated_id"),
                                                             grade.alias("grade"))
-    some = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(TRAIN_ROWS)
+    hashed = lowest(rated.withColumn("h", F.xxhash64("rated_id")), "h", TRAIN_ROWS)
+    some = hashed.orderBy("h", "rated_id", "grade").limit(TRAIN_ROWS).drop("h")
     used = texts(docs).join(F.broadcast(some), F.col("doc_id") == F.col("rated_id")).select("doc_id", "text", "grade")
 
     def make(batches):
