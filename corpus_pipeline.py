@@ -23,9 +23,9 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (the smallest id)."""
+    """One row of each group of near-duplicates stays (the smallest id, nulls last, then the hash of the text)."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one_per_group(docs)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

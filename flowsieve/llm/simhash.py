@@ -11,9 +11,9 @@ anchor, in tasks that hold one bucket of anchors. Each anchor reports a spanning
 its links, not its pairs: the components are the same and a dense group stays linear.
 
 Cases: null text is empty text; no words give fingerprint zero, which links like any other;
-rows with the same id count as one document; a null id takes part in the links but is never
-the smallest id (a component of null ids alone has a null component_id); an empty table
-gives an empty result; other columns are ignored.
+a null id takes part in the links but is never the smallest id (a component of null ids alone
+has a null component_id); an empty table gives an empty result; other columns are ignored.
+Rows with the same id are judged each by their own text (``keep_one_per_group``).
 """
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts, width
+from .common import annotate, materialize, texts, width
 from .components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -211,8 +211,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS)
     return fp.join(named, fp.fp == named.key).select("doc_id", "fp", "component_id")
 
 
+def keep_one_per_group(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` for each component, all columns: the smallest id (nulls last), then hash of the text.
+
+    Null and repeated ids lose no component. Full ties are broken by a hash of the whole row.
+    """
+    def make():
+        def f(_, text):
+            return [np.array([fingerprint(t, k) for t in text], np.uint64).view(np.int64)]
+        return f
+    rank = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").cast("long").alias("id"),
+                    F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_hash"),
+                    F.xxhash64(F.to_json("row")).alias("row_hash"))
+    # one row for each fingerprint first: copies meet in partial sums, the rest is about distinct texts
+    first = materialize(annotate(docs, make, "fp long", keep=True).groupBy("fp").agg(
+        F.min(rank).alias("rank"), F.min_by("row", rank).alias("row")), "simhash-first")
+    parts = materialize(components(links(first.select("fp"), max_bits)), "simhash-parts")
+    best = first.select("fp", "rank").join(parts, F.col("fp") == parts.node, "left").groupBy(
+        F.coalesce("root", "fp").alias("root")).agg(F.min_by("fp", "rank").alias("kept"))
+    best = materialize(best.select("kept"), "simhash-kept")
+    return first.join(best, first.fp == best.kept, "left_semi").select("row.*")
+
+
 def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group; one row for each id, all columns."""
+    """One row for each id that is the smallest of some group, all columns.
+
+    Decides by id, so groups of null or repeated ids can lose their only row: a filtering stage
+    takes ``keep_one_per_group``.
+    """
     kept = near_duplicates(docs, k, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = materialize(kept.select(F.col("doc_id").alias("kept_doc_id")).distinct(), "simhash-kept")
     ids = docs.dropDuplicates(["doc_id"])

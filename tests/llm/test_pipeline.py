@@ -40,3 +40,11 @@ def test_empty_table_passes_through(spark):
     for _, stage in cp.STAGES:
         now = stage(spark, now, SMALL)
     assert now.count() == 0
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    prepare(spark)
+    rows = [(7, "one text about rivers and lakes"), (7, "quite another text on trains"), (None, "a third text with no id"),
+            (None, "a fourth one, no id either"), (None, "one text about rivers and lakes")]
+    out = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert sorted(r.text for r in out.collect()) == sorted({t for _, t in rows})

@@ -397,3 +397,21 @@ def test_near_duplicates_of_documents(sql):
     assert kept.columns == ["doc_id", "text", "score", "row"]
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({i for i, _, c in want if i == c and i >= 0})
     assert simhash.near_duplicates(docs_of(sql, [])).count() == 0
+
+
+def test_every_group_keeps_one_row_whatever_the_ids(sql):
+    rnd = random.Random(11)
+    a, b, c, d, e = (" ".join(rnd.choice("abcdefghijklmnop") * 3 for _ in range(30)) for _ in range(5))
+    rows = [(7, a), (7, b), (8, a.upper()), (9, f" {b}"), (None, c), (None, d), (None, d), (None, a), (5, e), (5, e), (None, None),
+            (7, "")]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    parts, want = linked(set(prints)), {}
+    for (i, t), f in zip(rows, prints):
+        rank = (i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest())
+        want[parts[f]] = min(want.get(parts[f], (rank, i, t)), (rank, i, t), key=lambda x: x[0])
+    assert len(want) == 6
+    for part in (rows, rows[::-1]):
+        got = simhash.keep_one_per_group(docs_of(sql, part).repartition(5))
+        assert got.columns == ["doc_id", "text", "score", "row"]
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, t) for _, i, t in want.values())
+    assert simhash.keep_one_per_group(docs_of(sql, [])).count() == 0
