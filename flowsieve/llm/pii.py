@@ -1,23 +1,27 @@
 """Personal data: candidate spans, boosted trees and calibrated thresholds, all in DataFrame functions.
 
 High-recall generators (regular expressions) propose overlapping spans with code-point
-offsets: the four base kinds as stated, e-mail addresses with spelled-out signs, and national
-phone numbers without a plus. Each candidate gets small integer features of its format
-(digits, separators, first sign, checksum or range test) and context (a key word just before
-it). Base spans are candidates that pass their kind's test.
-
-Training needs no hand labels: base kinds label their own candidates, the looser generators
-are labelled only where a strict span covers them. The candidates of the whole table are
-counted by feature cell, so the counts have a fixed bound whatever the table's size; gradient
-boosted trees are fitted to the cells, thresholds are set per kind from the smallest score
-with the wanted precision, and the trees go back into the plan as CASE expressions. A span is
-added when its score passes and no span of its kind already covers it.
+offsets: the four base kinds as stated, and two loose ones, e-mail addresses with spelled-out
+signs and national phone numbers without a plus. Base candidates are decided by their kind's
+stated test alone. Loose candidates are judged by gradient boosted trees on small integer
+features of their form and of the words before and after them.
+
+Training needs no hand labels and shows the trees nothing that a label is made of. Phone: the
+national part of a number with a plus is a positive, read as if plus and country code were
+not there; the first ten digits of a longer run are a negative. E-mail: an address with real
+signs is a positive, of which only name, last label and words count; prose with "at" before
+the last word of a sentence is a negative. The labelled candidates of the whole table are
+counted by feature cell, so the counts have a fixed bound whatever the table's size; trees
+are fitted to the cells, a threshold is set per kind at the smallest score with the wanted
+precision, and the trees go back into the plan as CASE expressions. A span is added when it
+has no label of its own, its score passes and no base span of its kind already covers it.
 
 No Python runs in tasks, no shuffle but the cell counts. Offsets come from the lengths of the
 pieces between matches, summed in chunks, so a text with many matches stays cheap.
 
-Cases: null text is empty text; repeated rows are judged each; without any labelled cell
-nothing is added; an empty table gives an empty result; other columns are ignored.
+Cases: null text is empty text; repeated rows are judged each; a kind without positives or
+without negatives in the table gets no added spans; an empty table gives an empty result;
+other columns are ignored.
 """
 from __future__ import annotations
 
@@ -36,15 +40,18 @@ GENERATORS = (
     ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"),
     ("card", r"[0-9](?:[\x20-]?+[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("email", rf"(?i)(?<!{_LOCAL}){_LOCAL}++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++"
-              r"(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++"),
-    ("phone", r"(?<![0-9.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("email", rf"(?i)(?<!{_LOCAL}){_LOCAL}++(?:(?: ?(?:\(at\)|\[at\]|\{{at\}}) ?| at )[A-Za-z0-9-]++"
+              r"(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++\.\s[A-Za-z]++)"),
+    ("phone", r"(?<![0-9])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?:[ .-]?[0-9])*+"),
 )
 BASE = 4  # the first generators are the base kinds
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_WORDS = (("phone", "tel|phone|call|mobile|fax"), ("card", "card|visa|credit|master"),
-          ("email", "mail|contact|write"), ("ip", r"\bip\b|host|addr"))
-FEATURES = ("gen", "digits", "seps", "first", "passes", "word")
+#: Words around a candidate, by class; the last that is there counts.
+_WORDS = ("order|part|serial|invoice|item|ref|sku|code|case|batch|model|version|isbn|account", r"\bip\b|host|addr",
+          "card|visa|credit|master", "mail|contact|write|reach", "tel|phone|call|mobile|fax|dial")
+_TLD = r"(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|us|ch|at|be|ca|au|jp|cn|in|br|ru|pl|se)"
+_PLUS = r"\+[0-9]{1,3}[ .-]?$"
+FEATURES = ("kind", "form", "tail", "before", "after")
 CHUNK, ROUNDS, DEPTH, RATE, PRECISION = 256, 12, 3, 0.4, 0.98
 
 
@@ -74,6 +81,8 @@ def _passes(gen: int, m: Column) -> Column:
     kind = GENERATORS[gen][0]
     if kind == "email":
         return F.lit(True)
+    if gen >= BASE:  # the digits of a longer run are no number of their own
+        return F.length(F.regexp_replace(m, "[^0-9]", "")) == 10
     if kind == "ip":
         return F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -88,7 +97,7 @@ def _gate(gen: int, text: Column) -> Column:
     if gen == 3:
         return text.contains("+")
     if gen == 4:
-        return F.lower(text).contains("at)") | F.lower(text).contains("at]")
+        return F.regexp_like(text, F.lit(r"(?i)[( \[{]at[) \]}]"))
     return F.regexp_like(text, F.lit("[0-9]"))
 
 
@@ -110,33 +119,49 @@ def candidates(docs: DataFrame) -> DataFrame:
     for g in range(len(GENERATORS)):
         df = df.withColumn(f"a{g}", F.when(F.size(f"m{g}") > 0, _running(F.col(f"s{g}"))))
         df = df.withColumn(f"b{g}", F.slice(f"p{g}", F.lit(1), F.size(f"m{g}")))
+        df = df.withColumn(f"n{g}", F.slice(f"p{g}", F.lit(2), F.size(f"m{g}")))
         arrays.append(F.when(F.size(f"m{g}") > 0, F.transform(
-            F.arrays_zip(f"m{g}", f"a{g}", f"b{g}"), _describer(g))))
-    empty = F.array().cast("array<struct<gen:int,s:bigint,e:bigint,digits:int,seps:int,first:int,passes:int,"
-                           "word:int,label:int>>")
+            F.arrays_zip(f"m{g}", f"a{g}", f"b{g}", f"n{g}"), _describer(g))))
+    empty = F.array().cast("array<struct<gen:int,s:bigint,e:bigint,passes:int,kind:int,form:int,tail:int,before:int,"
+                           "after:int,label:int>>")
     return df.select("doc_id", "text", "row", F.concat(*[F.coalesce(a, empty) for a in arrays]).alias("cands"))
 
 
 def _describer(g: int):
-    return lambda c: _described(g, c[f"m{g}"], c[f"a{g}"], c[f"b{g}"])
+    return lambda c: _described(g, c[f"m{g}"], c[f"a{g}"], c[f"b{g}"], c[f"n{g}"])
 
 
-def _described(g: int, m: Column, start: Column, gap: Column) -> Column:
-    n = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    digits = F.when(n == 0, 0).when(n < 7, 1).when(n < 10, 2).when(n < 13, 3).when(n < 14, 4).when(n < 20, 5).otherwise(6)
-    seps = F.regexp_like(m, F.lit("[ -]")).cast("int") + 2 * F.regexp_like(m, F.lit("[().]")).cast("int")
-    first = F.when(m.startswith("+"), 0).when(m.startswith("("), 1).when(F.regexp_like(m, F.lit("^[0-9]")), 2).otherwise(3)
-    near, word = F.lower(F.right(gap, F.lit(24))), F.lit(0)
-    for i, (_, pattern) in enumerate(_WORDS, 1):
+def _word(near: Column) -> Column:
+    word = F.lit(0)
+    for i, pattern in enumerate(_WORDS, 1):
         word = F.when(F.regexp_like(near, F.lit(pattern)), i).otherwise(word)
-    passes = _passes(g, m).cast("int")
-    if g < BASE:
-        label = passes
-    else:  # labelled only where a strict span plainly covers the loose one
-        label = F.when(F.regexp_like(gap, F.lit(r"\+[0-9]{1,3}[ .-]?$")), 1) if g == 5 else F.lit(None).cast("int")
-    return F.struct(F.lit(g).alias("gen"), start.alias("s"), (start + F.length(m)).alias("e"), digits.alias("digits"),
-                    seps.alias("seps"), first.alias("first"), passes.alias("passes"), word.cast("int").alias("word"),
-                    label.cast("int").alias("label"))
+    return word
+
+
+def _described(g: int, m: Column, start: Column, gap: Column, following: Column) -> Column:
+    kind, none = GENERATORS[g][0], F.lit(None).cast("int")
+    form = tail = before = after = F.lit(0)
+    label = none
+    if kind == "email":  # nothing of the signs: they tell a labelled candidate from a judged one
+        name = F.regexp_extract(m, rf"^{_LOCAL}+", 0)
+        form = F.regexp_like(name, F.lit("[0-9]")).cast("int") + 2 * F.regexp_like(name, F.lit("[._%+-]")).cast("int")
+        last = F.lower(F.regexp_extract(m, "[A-Za-z0-9-]+$", 0))
+        tail = F.when(F.regexp_like(last, F.lit(f"^{_TLD}$")), 0).when(F.length(last) < 4, 1).otherwise(2)
+        label = F.lit(1) if g < BASE else F.when(F.regexp_like(m, F.lit(r"\.\s[A-Za-z]+$")), 0)
+    elif g >= BASE:
+        head = F.regexp_extract(m, r"^\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}", 0)
+        form = sum(bit * F.regexp_like(head, F.lit(sign)).cast("int")
+                   for bit, sign in ((1, " "), (2, r"\."), (4, "-"), (8, r"[()]")))
+        ten = F.length(F.regexp_replace(m, "[^0-9]", "")) == 10
+        label = F.when(F.regexp_like(gap, F.lit(_PLUS)), F.when(ten, 1)).when(
+            ~ten | F.regexp_like(gap, F.lit("[0-9][ .-]?$")), 0)
+        gap = F.regexp_replace(F.right(gap, F.lit(32)), _PLUS, "")
+    if label is not none:
+        before, after = _word(F.lower(F.right(gap, F.lit(24)))), _word(F.lower(F.left(following, F.lit(16))))
+    fields = {"gen": F.lit(g), "s": start, "e": start + F.length(m), "passes": _passes(g, m),
+              "kind": F.lit(KINDS.index(kind)), "form": form, "tail": tail, "before": before, "after": after,
+              "label": label}
+    return F.struct(*[(c if k in "se" else c.cast("int")).alias(k) for k, c in fields.items()])
 
 
 def _fit_tree(x, grad, hess, depth):
@@ -176,24 +201,28 @@ def boost(cells: np.ndarray, positive: np.ndarray, total: np.ndarray) -> list:
 
 
 def train(cands: DataFrame) -> tuple[list, dict] | None:
-    """Trees and a threshold per kind from the counted cells of all candidates (a bounded table)."""
-    rows = (cands.select(F.explode("cands").alias("c")).where("c.label is not null")
+    """Trees and a threshold per kind from the counted cells of the labelled candidates (a bounded table)."""
+    # explode_outer: for explode the optimizer infers a filter that computes all candidates once more, slowly
+    rows = (cands.select(F.explode_outer("cands").alias("c")).where("c.label is not null")
             .groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
             .agg(F.sum("c.label").alias("pos"), F.count("*").alias("n")).collect())
+    both = {k for k in range(len(KINDS)) if 0 < sum(r["pos"] for r in rows if r["kind"] == k)
+            < sum(r["n"] for r in rows if r["kind"] == k)}
+    rows = sorted((r for r in rows if r["kind"] in both), key=lambda r: tuple(r[f] for f in FEATURES))
     if not rows:
         return None
-    rows.sort(key=lambda r: tuple(r[f] for f in FEATURES))
     x = np.array([[r[f] for f in FEATURES] for r in rows])
     pos, n = np.array([float(r["pos"]) for r in rows]), np.array([float(r["n"]) for r in rows])
     cap = np.minimum(n, 1000.0)  # weights of very full cells level off; their rates stay
     trees = boost(x, pos / n * cap, cap)
     score = sum(RATE * _eval_tree(t, x) for t in trees)
     cuts = {}
-    for k in KINDS:
-        mine = np.array([GENERATORS[g][0] == k for g in x[:, 0]])
-        order = np.argsort(-score[mine])
+    for i, k in enumerate(KINDS):
+        mine = x[:, 0] == i
+        order = np.argsort(-score[mine], kind="stable")
         s, p, m = score[mine][order], pos[mine][order], n[mine][order]
-        fine = np.flatnonzero(np.cumsum(p) >= PRECISION * np.cumsum(m)) if len(s) else []
+        whole = np.r_[np.diff(s) < -1e-9, True] if len(s) else []  # equal scores pass or fail together
+        fine = np.flatnonzero((np.cumsum(p) >= PRECISION * np.cumsum(m)) & whole) if len(s) else []
         cuts[k] = float(s[fine[-1]]) - 1e-9 if len(fine) else None
     return trees, cuts
 
@@ -227,8 +256,8 @@ def spans(cands: DataFrame, model) -> DataFrame:
         for g in range(len(GENERATORS)):
             cut = F.when(c["gen"] == g, F.lit(cuts[GENERATORS[g][0]]).cast("double")).otherwise(cut)
         return score >= cut
-    out = out.withColumn("more", F.transform(F.filter("cands", lambda c: ~((c["gen"] < BASE) & (c["passes"] == 1))
-                                                      & F.coalesce(chosen(c), F.lit(False))), short))
+    out = out.withColumn("more", F.transform(F.filter("cands", lambda c: (c["gen"] >= BASE) & c["label"].isNull() & (
+        c["passes"] == 1) & F.coalesce(chosen(c), F.lit(False))), short))
     fresh = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] <= m["s"]) & (m["e"] <= b["e"])
                                                  & (b["k"] == m["k"])))
     return out.withColumn("spans", F.when(F.size("more") > 0, F.array_sort(F.array_union("base", fresh)))

@@ -284,6 +284,26 @@ def test_redaction_keeps_other_columns(sql):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "x [EMAIL] y [PHONE].", 2: None, 3: "plain é"}
 
 
+def test_context_decides_on_loose_phones_and_addresses(sql):
+    learn = [(i, f"please call +1 {300 + i}-555-2{i:03d} now and say hello. order {400 + i}-555-1{i:03d}-77 went out last week. write to "
+                 f"jo.{i}@mail{i}.example.com, we stay at home. Then {i} go") for i in range(80)]
+    ask = [(100, "call 456-555-2186 now"), (101, "order 456-555-2186 shipped"), (102, "write to al.7 (at) mail (dot) com, ok"),
+           (103, "look (at) this.Then go"), (104, "order 456-555-2186-12 x"), (105, "contact al.7 at mail.org. Thanks")]
+    got = {r.doc_id: r.spans_text for r in pii.find(docs_of(sql, learn + ask)).collect()}
+    assert [got[i] for i in range(100, 106)] == ["phone:5:17", "", "email:9:33", "", "", "email:8:24"]
+    swapped = [(i, t.replace("please call", "your order").replace(". order", ". call")) for i, t in learn]
+    other = {r.doc_id: r.spans_text for r in pii.find(docs_of(sql, swapped + ask)).collect()}
+    assert (other[100], other[101]) == ("", "phone:6:18")  # the same spans, other words in the training rows
+    one = pii.find(docs_of(sql, [(1, "+1 456-555-2186"), *ask])).collect()
+    assert {r.doc_id: r.spans_text for r in one}[101] == ""  # no negatives, nothing to tell a number by
+
+
+def test_labels_of_loose_candidates_are_no_feature(sql):
+    rows = [(1, "x +1 (456) 555-2186 y"), (2, "x (456) 555-2186 77 y")]
+    cells = pii.candidates(docs_of(sql, rows)).selectExpr("explode(cands) c").where("c.gen = 5").select("c.*").collect()
+    assert sorted(c.label for c in cells) == [0, 1] and len({tuple(c[f] for f in pii.FEATURES) for c in cells}) == 1
+
+
 def test_pii_runs_without_python(sql):
     plan = pii.find(load(sql, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
