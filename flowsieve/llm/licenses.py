@@ -3,10 +3,12 @@
 Words unique to both sides are the anchors; their longest increasing subsequence fixes the
 alignment and the gaps between anchors are aligned in the same way, after equal words at
 both ends of a gap are taken. Coverage is the share of template words aligned; a template
-is found at ``COVERAGE`` or more. A text can hold a notice anywhere and more than once, so
-each template is aligned in the regions around every occurrence of its rarest present word;
-a text that lacks too many of a template's words to reach the coverage is not aligned at all
-(a bound, not a heuristic).
+is found at ``COVERAGE`` or more. A text can hold a notice anywhere and more than once. A
+notice that may lack m words of its template has at least one of any m + 1 of them, so each
+template is aligned in the regions around every occurrence of its m + 1 rarest word positions
+(a word that the text lacks is the rarest and has no region), at every start that a region
+with an aligned seed can have, so the result is that of aligning every region of the text;
+a text that lacks too many of a template's words to reach the coverage is not aligned at all.
 
 Cases: null or empty text has no license; repeated rows are scanned each; an empty table
 gives an empty result; other columns are ignored.
@@ -14,7 +16,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -87,16 +89,30 @@ def scan(text: str, templates: list) -> list[tuple[str, float]]:
             places = {}
             for i, w in enumerate(ws):
                 places.setdefault(w, []).append(i)
-        seed = min((w for w in vocab if w in have), key=lambda w: (len(places[w]), w))
-        offset, slack = t.index(seed), max(2, len(t) // 4)
-        for p in places[seed]:
-            lo = max(0, p - offset - slack)
-            share = patience(ws[lo:p - offset + len(t) + slack], t) / len(t)
+        n, bag, hits = len(t), Counter(t), []
+        spare = sum(1 for k in range(n) if k / n >= COVERAGE)  # words a notice may lack
+        seeds = sorted(range(n), key=lambda j: (len(places.get(t[j], ())), t[j], j))[:spare + 1]
+        slack = max(2, n // 4)
+        reach = slack + spare  # a region with an aligned seed starts no farther from the seed's own start
+        for start in sorted({p - j for j in seeds for p in places.get(t[j], ())}):
+            around = Counter(w for w in ws[max(0, start - reach - slack):start + n + reach + slack] if w in bag)
+            if (around & bag).total() < n - spare:
+                continue
+            share = 0.0
+            for lo in sorted(range(start - reach, start + reach + 1), key=lambda x: abs(x - start)):
+                share = max(share, patience(ws[max(0, lo - slack):max(0, lo + n + slack)], t) / n)
+                if share == 1.0:
+                    break
             if share >= COVERAGE:
-                found.append((p - offset, p - offset + len(t), share, name))
+                hits.append((start, share, sum(map(str.__eq__, ws[max(0, start):start + n], t[max(0, -start):]))))
+        for k, (start, share, same) in enumerate(hits):  # of hits on one notice, the one that lies best
+            if not any(h[1:] > (share, same) for h in hits[max(0, k - 2 * reach):k + 2 * reach + 1]
+                       if abs(h[0] - start) <= reach):
+                found.append((start, start + n, share, name))
     best, found = {}, sorted(found)
-    for i, (s, e, share, name) in enumerate(found):
-        near = [f for f in found[max(0, i - 64):i + 64] if f[0] < e and s < f[1]]
+    starts, longest = [f[0] for f in found], max((f[1] - f[0] for f in found), default=0)
+    for s, e, share, name in found:
+        near = [f for f in found[bisect_right(starts, s - longest):bisect_left(starts, e)] if s < f[1]]
         if (share, e - s) >= max((f[2], f[1] - f[0]) for f in near):
             best[name] = max(best.get(name, 0.0), share)
     return sorted(best.items())

@@ -217,6 +217,35 @@ def test_license_scan(sql):
     assert got == {1: "Apache-2.0", 2: "", 3: "", 4: "Apache-2.0,MIT", 5: "CC-BY-NC-4.0", 6: "GPL-3.0"}
 
 
+def made_templates():
+    return [(n, w, sorted(set(w))) for n, w in ((n, re.findall(r"\w+", t.lower())) for n, t in licenses.TEMPLATES)]
+
+
+def test_license_notice_without_its_rarest_word():
+    notice = "This program is licensed under the GNU General Public License, version 3"
+    text = f"{notice} a b {notice}" + " filler text here" * 50 + " work " + "and more words " * 50
+    assert licenses.scan(text, made_templates()) == [("GPL-3.0", 11 / 12)]
+
+
+def test_altered_notices_equal_alignment_of_every_region():
+    rnd, hits = random.Random(12), 0
+    for _ in range(150):
+        name, t, _ = rnd.choice([m for m in made_templates() if len(m[1]) >= 12])
+        spare = 1 if len(t) < 20 else 2
+        words = list(t)
+        for j in rnd.sample(range(len(t)), rnd.randrange(spare + 2)):
+            words[j] = rnd.choice(["", "other", "other new"])
+        filler = [rnd.choice([*t, "x", "y", "z"]) for _ in range(60)]
+        text = " ".join([*filler[:30], ".", *words, ".", *filler[30:]])
+        ws, slack = re.findall(r"\w+", text.lower()), max(2, len(t) // 4)
+        every = max(licenses.patience(ws[max(0, p - slack):max(0, p + len(t) + slack)], t) / len(t)
+                    for p in range(-len(t), len(ws)))
+        got = dict(licenses.scan(text, [(name, t, sorted(set(t)))]))
+        assert (name in got) == (every >= licenses.COVERAGE), text
+        hits += name in got
+    assert 40 < hits < 150
+
+
 def test_patience_is_a_common_subsequence():
     rnd = random.Random(3)
     for _ in range(200):
