@@ -16,9 +16,15 @@ LEAST_SCORE = 0.35
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go.
+
+    Without any labelled training row nothing can be judged: only texts that are null or have no letter go.
+    """
     prepare(spark)
-    out = langid.identify(docs, langid.fit(docs), keep=True)
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out = langid.identify(docs, model, keep=True)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

@@ -48,3 +48,10 @@ def test_near_dedup_keeps_a_row_of_each_group(spark):
             (None, "a fourth one, no id either"), (None, "one text about rivers and lakes")]
     out = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
     assert sorted(r.text for r in out.collect()) == sorted({t for _, t in rows})
+
+
+def test_language_without_labels_drops_only_texts_without_letters(spark):
+    prepare(spark)
+    rows = [(1, "some English words", None), (2, "12 34", None), (3, None, None), (4, "\u00e9", None), (5, "", None)]
+    out = cp.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SMALL)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4] and out.columns == ["doc_id", "text", "lang"]
