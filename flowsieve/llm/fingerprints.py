@@ -2,7 +2,7 @@
 
 A text is the multiset of its paragraphs (lines, cut again at sentence ends, trimmed). Each
 paragraph hashes to a wide vector; the fingerprint is the sum of the vectors: 64 lanes of +-1
-modulo 2**16 and two lanes of 64 random bits modulo 2**64. Sums commute, so order does not
+modulo 2**32 (read with sign) and two lanes of 64 random bits modulo 2**64. Sums commute, so order does not
 matter, and a paragraph is inserted or deleted by adding or subtracting its vector. The two
 wide lanes decide equality; the squared lengths of the sign lanes estimate how many
 paragraphs two fingerprints differ in, which gives their likeness.
@@ -43,7 +43,7 @@ class Fingerprint:
     __slots__ = ("signs", "wide")
 
     def __init__(self):
-        self.signs, self.wide = np.zeros(LANES, np.uint16), np.zeros(2, np.uint64)
+        self.signs, self.wide = np.zeros(LANES, np.uint32), np.zeros(2, np.uint64)
 
     def _add(self, parts: list[bytes], sign: int):
         for lo in range(0, len(parts), 1 << 16):
@@ -51,7 +51,7 @@ class Fingerprint:
             h = np.array([(xxhash.xxh64_intdigest(p, 1), xxhash.xxh64_intdigest(p, 2), xxhash.xxh64_intdigest(p, 3))
                           for p in some], np.uint64)
             ones = np.unpackbits(h[:, 0].copy().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            self.signs = self.signs + (sign * (2 * ones - len(some))).astype(np.uint16)
+            self.signs = self.signs + (sign * (2 * ones - len(some))).astype(np.uint32)
             total = h[:, 1:].sum(axis=0, dtype=np.uint64)
             self.wide = self.wide + total if sign > 0 else self.wide - total
         return self
@@ -74,7 +74,7 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """1.0 for equal fingerprints, else the estimated share of common paragraphs (below 1)."""
     if (a.wide == b.wide).all():
         return 1.0
-    x, y, d = (v.view(np.int16).astype(np.float64) for v in (a.signs, b.signs, a.signs - b.signs))
+    x, y, d = (v.view(np.int32).astype(np.float64) for v in (a.signs, b.signs, a.signs - b.signs))
     both = (x * x).sum() + (y * y).sum()
     return float(min(0.999, max(0.0, 1.0 - (d * d).sum() / both))) if both else 0.0
 

@@ -209,6 +209,11 @@ def test_fingerprints(sql):
     assert alone.near_next == 1.0 and 0 <= alone.near_edited <= 1
 
 
+def test_likeness_of_many_equal_paragraphs():
+    whole, half = (fingerprints.Fingerprint().insert([b"line"] * n) for n in (1 << 16, 1 << 15))
+    assert fingerprints.likeness(whole, half) == pytest.approx(0.8)
+
+
 def test_license_scan(sql):
     notice = "Licensed under the Apache License, Version 2.0"
     rows = [(1, f"the end {notice}. x"), (2, "apache license"), (3, None), (4, f"{notice}\n{notice}\nReleased under the MIT License"),
