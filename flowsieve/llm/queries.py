@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, licenses, ngram_lm, packing, pii, quality, simhash, suffix_dedup
+from . import (decontaminate, fingerprints, langid, licenses, minhash, ngram_lm, packing, periodic, phrases, pii, quality, simhash,
+               suffix_dedup)
 from .common import crc_mod, load, prepare
 
 
@@ -65,7 +66,22 @@ def op10_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark, sf_dir):
+    prepare(spark)
+    return periodic.find_runs(periodic.plant(load(spark, sf_dir, "documents")), collapsed=False)
+
+
+def op12_minhash(spark, sf_dir):
+    prepare(spark)
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark, sf_dir):
+    prepare(spark)
+    return phrases.mine(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_lm_scoring, op3_langid, op4_decontaminate, op5_fingerprints, op6_license_scan, op7_quality,
-    op8_pii, op9_packing, op10_simhash)}
-ORACLES: dict[str, str] = {}
+    op8_pii, op9_packing, op10_simhash, op11_periodic_runs, op12_minhash, op13_phrases)}
+ORACLES: dict[str, str] = {"op12_minhash": minhash.ORACLE, "op13_phrases": phrases.ORACLE}
