@@ -8,14 +8,18 @@
 * Documents of equal sets are one *class*; only classes are compared.
 * *Banding*: ``T / ROWS`` bands. Two sets of similarity s miss each other in all of them with
   probability (1 - s^ROWS)^(T / ROWS): 6e-11 at the threshold, less above.
-* In each bucket all classes are compared with one of them (a star, linear in the bucket), links are verified
-  and joined to components. Buckets whose classes are still in several components get up to ``STARS - 1`` more
-  stars around other, hashed centres. What is mixed then is compared class by class *between components* in
-  blocks of ``BLOCK`` by their sketches, so no link is lost and no finished group is expanded into pairs.
-* *Verification*: a pair whose sketches agree in fewer coordinates than a true link leaves but once in
-  1e10 (Chernoff's bound) goes; every other is decided on the two full sets, from the texts.
-
-Counts before joins are written tables, so AQE can split hot buckets; a task holds some texts, or two blocks of sketches.
+* *Cells*: the classes of a bucket meet at its centre, their smallest class; buckets of one centre form one cell, so
+  a class is once in a cell however many bands it shares. All pairs of a class and its centre are verified on
+  their full sets, from the texts, which also gives the class as a difference from its centre (hashed shingles
+  that only one of them has). Links make components.
+* Where a cell's classes are still in several components, the other pairs are verified as well, in blocks of
+  ``BLOCK`` classes, exactly and without the texts: |x and y| = |centre| - |centre \\ x| - |centre \\ y| + |Dx and Dy| with
+  the differences D, the last term for a whole block by matrix products. Only links leave a task, one for
+  two components. So no link is lost, and neither finished groups nor near misses are expanded into rows.
+* A centre with one other class has no more pairs: there, sets whose sketches agree in fewer coordinates than
+  a true link leaves but once in 1e10 (Chernoff's bound) are not verified.
+
+Counts before joins are written tables, so AQE can split hot cells; a task holds some texts, or two blocks of differences.
 
 Cases: null text is empty text; a document without words is linked with nothing and its own component; a null id is
 larger than every id, a component of null ids has a null id and all its rows are kept; rows of the same id are
@@ -33,7 +37,7 @@ from .common import materialize, texts
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
-T, ROWS, STARS, BLOCK = 128, 4, 3, 1024
+T, ROWS, BLOCK, COLUMNS = 128, 4, 2048, 1024
 MISS = 1e-10
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -49,12 +53,6 @@ def _seed(i: int) -> np.uint64:
     return np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
-def shingles(text: bytes, k: int = SHINGLE) -> set:
-    """The full set of a text: tuples of words."""
-    w = text.translate(_LOWER).split()
-    return set(zip(*[w[j:] for j in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
-
-
 def hashed_sets(docs: list, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(document number, 64-bit hash) of every distinct shingle, by document and hash."""
     import pandas as pd
@@ -149,7 +147,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE, t: int = T, rows: int = ROWS) ->
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, t: int) -> DataFrame:
-    """Distinct pairs (a, b) whose set sizes and sketches allow a link."""
+    """Those pairs (a, b) whose set sizes and sketches allow a link."""
     c = least_equal(t, percent)
     for x in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("low").alias(f"low_{x}")), x)
@@ -159,13 +157,17 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, t: int) -> DataFra
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(f"low_{k}").to_pylist()), np.uint8).reshape(b.num_rows, t) for k in "ab")
             keep = np.flatnonzero((x == y).sum(axis=1) >= c)
-            yield b.select(["a", "b"]).take(keep)
-    return pairs.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
+            yield b.select(["a", "b", "others"]).take(keep)
+    return pairs.select("a", "b", "others", "low_a", "low_b").mapInArrow(run, "a long, b long, others long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs that are links on their full sets; texts are shuffled for these pairs alone."""
-    pairs = materialize(pairs, "minhash-pairs")
+def _differences(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b, linked, n_a, n_b, missing, delta): both sizes, how many of b's shingles a lacks, and all that differ.
+
+    ``delta`` is null where the cell has no ``others``. Texts are shuffled for these pairs alone.
+    """
+    import pyarrow as pa
+
     need = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "class")
     whole = materialize(rows.select("class", "text").join(need, "class").groupBy("node").agg(F.first("text").alias("text")),
                         "minhash-texts")
@@ -173,19 +175,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int,
         pairs = pairs.join(whole.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
 
     def run(batches):
-        import pyarrow as pa
-        last, s = None, set()
-        for b in batches:
-            keep = []
-            for i, (x, ta, tb) in enumerate(zip(b.column("b").to_pylist(), b.column("text_a"), b.column("text_b"))):
-                if x != last:
-                    last, s = x, shingles(tb.as_py(), k)
-                other = shingles(ta.as_py(), k)
-                both = len(s & other)
-                if 100 * both >= percent * (len(s) + len(other) - both):
-                    keep.append(i)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-    return materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "minhash-links")
+        last, centre = None, None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                b = whole.slice(lo, 200)
+                doc, h = hashed_sets(b.column("text_a").to_pylist(), k)
+                ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                linked, n_a, n_b, missing, delta = [], [], [], [], []
+                for i, (x, others) in enumerate(zip(b.column("b").to_pylist(), b.column("others").to_pylist())):
+                    if x != last:
+                        last, centre = x, hashed_sets([b.column("text_b")[i].as_py()], k)[1]
+                    mine = h[ends[i]:ends[i + 1]]
+                    d = np.setxor1d(mine, centre, assume_unique=True)
+                    both = (len(mine) + len(centre) - len(d)) // 2
+                    linked.append(100 * both >= percent * (both + len(d)))
+                    n_a.append(len(mine))
+                    n_b.append(len(centre))
+                    missing.append(len(centre) - both)
+                    delta.append(d.tobytes() if others else None)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("a"), b.column("b"), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()),
+                     pa.array(n_b, pa.int64()), pa.array(missing, pa.int64()), pa.array(delta, pa.binary())],
+                    names=["a", "b", "linked", "n_a", "n_b", "missing", "delta"])
+    return materialize(pairs.select("a", "b", "others", "text_a", "text_b").mapInArrow(
+        run, "a long, b long, linked boolean, n_a long, n_b long, missing long, delta binary"), "minhash-differences")
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,85 +208,92 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
         "node", F.coalesce("r", "node").alias("root")), "minhash-roots")
 
 
-def _blocks(mixed: DataFrame, percent: int, t: int, block: int) -> DataFrame:
-    """Pairs (a, b) of members (h, members, node, root, n, low) of one bucket in different components, alike by sketch."""
-    c = least_equal(t, percent)
+def common(delta: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``delta[i]`` and ``delta[j]`` (bytes of longs), for i in x and j in y, i not j."""
+    import pandas as pd
+
+    size = np.array([len(d) // 8 for d in delta])
+    token = pd.factorize(np.frombuffer(b"".join(delta), np.int64))[0]
+    row = np.repeat(np.arange(len(delta)), size)
+    often = np.bincount(token, minlength=1)
+    keep = np.flatnonzero(often[token] > 1) if len(token) else token
+    token, row = pd.factorize(token[keep])[0], row[keep]
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        s, e = np.searchsorted(token, [lo, lo + COLUMNS])
+        m = np.zeros((len(delta), int(token[e - 1]) - lo + 1), np.float32)
+        m[row[s:e], token[s:e] - lo] = 1
+        out += m[x] @ m[y].T
+    return out.astype(np.int64)
+
+
+def _rest(cells: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between rows of one cell (b) of different components, one for two components and task."""
+    import pyarrow as pa
+
     n = F.ceil(F.col("members") / block)
-    mine = mixed.withColumn("i", F.pmod(F.xxhash64("node"), n)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    dealt = (mine.select("h", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "root", "n", "low")
-                 .repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi"))
+    mine = cells.withColumn("i", F.pmod(F.xxhash64("a"), n)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    dealt = (mine.select("b", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "a", "root", "n_a", "n_b",
+                         "missing", "delta").repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi"))
+
+    def compare(g):
+        node, root, size, missing, i = (g[x].to_numpy(np.int64) for x in ("a", "root", "n_a", "missing", "i"))
+        x = np.flatnonzero(i == g["lo"].iloc[0])
+        y = np.flatnonzero(i == g["hi"].iloc[0])
+        if not len(x) or not len(y) or (root == root[0]).all():
+            return None
+        both = common(g["delta"].tolist(), x, y) + g["n_b"].iloc[0] - missing[x][:, None] - missing[y][None, :]
+        p, q = np.nonzero((100 * both >= percent * (size[x][:, None] + size[y][None, :] - both))
+                          & (root[x][:, None] != root[y][None, :]))
+        if not len(p):
+            return None
+        p, q = x[p], y[q]
+        two = np.stack([np.minimum(root[p], root[q]), np.maximum(root[p], root[q])], axis=1)
+        at = np.unique(two, axis=0, return_index=True)[1]
+        return pa.RecordBatch.from_arrays([pa.array(node[p[at]]), pa.array(node[q[at]])], names=["a", "b"])
 
     def run(batches):
         import pandas as pd
-        import pyarrow as pa
-
-        def compare(g):
-            """Row by row of the first block against the second (or what follows in the same one)."""
-            low = np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), t)
-            node, root, size = (g[x].to_numpy(np.int64) for x in ("node", "root", "n"))
-            same = g["lo"].iloc[0] == g["hi"].iloc[0]
-            first = np.arange(len(g)) if same else np.flatnonzero(g["i"].to_numpy() == g["lo"].iloc[0])
-            rest = None if same else np.flatnonzero(g["i"].to_numpy() == g["hi"].iloc[0])
-            for x in first:
-                other = np.arange(x + 1, len(g)) if same else rest
-                other = other[(root[other] != root[x]) & (100 * np.minimum(size[other], size[x])
-                                                          >= percent * np.maximum(size[other], size[x]))]
-                hit = other[(low[other] == low[x]).sum(axis=1) >= c]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[hit], node[x])),
-                                                      pa.array(np.minimum(node[hit], node[x]))], names=["a", "b"])
-
-        held = None
-        for b in batches:
-            p = b.to_pandas()
-            held = p if held is None else pd.concat([held, p], ignore_index=True)
-            key = held[["h", "lo", "hi"]].to_numpy()
+        held = []
+
+        def groups(p):
+            key = p[["b", "lo", "hi"]].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for x, y in zip(np.r_[0, cut[:-1]], cut):
-                yield from compare(held.iloc[x:y].reset_index(drop=True))
-            held = held.iloc[cut[-1]:].reset_index(drop=True) if len(cut) else held
-        if held is not None and len(held):
-            yield from compare(held)
+            return [p.iloc[x:y] for x, y in zip(np.r_[0, cut], np.r_[cut, len(p)])]
+
+        for b in batches:
+            if b.num_rows:
+                *done, last = groups(pd.concat([*held, b.to_pandas()], ignore_index=True))
+                held = [last]
+                yield from filter(None, map(compare, done))
+        yield from filter(None, map(compare, held))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t: int = T, rows: int = ROWS,
-                    stars: int = STARS, block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept: one row for each row of ``docs``."""
-    spark = docs.sparkSession
     table = materialize(sketches(docs, k, t, rows), "minhash-rows")
     classes = table.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("low_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     member = nodes.select("node", F.explode("bands").alias("h"))
-    root = nodes.select("node", F.col("node").alias("root"))
-    links = spark.createDataFrame([], "a long, b long")
-    for star in range(stars + 1):
-        if star:
-            root = _labelled(nodes, links)
-            member = member.join(root, "node").select("node", "h", "root")
-        else:
-            member = member.withColumn("root", F.col("node"))
-        # centre: the smallest node at first (the same in all bands), then one by hash of bucket and round
-        order = F.col("node") if not star else F.xxhash64("h", "node", F.lit(star))
-        bucket = materialize(member.groupBy("h").agg(
-            F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-            F.min(F.struct(order.alias("o"), "node", "root")).alias("c")).where("r0 < r1").select(
-                "h", "members", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")), "minhash-buckets")
-        member = materialize(member.drop("root").join(bucket.select("h"), "h", "left_semi"), "minhash-members")
-        if not member.limit(1).count():
-            break
-        here = member.join(root, "node").join(bucket, "h")
-        if star < stars:
-            pairs = here.where("root <> centre_root").select(
-                F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-            pairs = _likely(pairs, nodes, percent, t)
-        else:
-            pairs = _blocks(here.join(nodes.select("node", "n", "low"), "node").select(
-                "h", "members", "node", "root", "n", "low"), percent, t, block)
-        links = materialize(links.union(_verified(pairs, nodes, table, percent, k)), "minhash-links")
+    bucket = materialize(member.groupBy("h").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("h", "b"),
+                         "minhash-buckets")
+    pairs = materialize(member.join(bucket, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "minhash-pairs")
+    sizes = materialize(pairs.groupBy("b").agg(F.count("*").alias("members")), "minhash-cells")
+    dealt = pairs.join(sizes, "b").select("a", "b", (F.col("members") - 1).alias("others"))
+    dealt = materialize(_likely(dealt.where("others = 0"), nodes, percent, t).union(dealt.where("others > 0")), "minhash-verify")
+    found = _differences(dealt, nodes, table, percent, k)
+    links = found.where("linked").select("a", "b")
     root = _labelled(nodes, links)
+    cells = found.where(F.col("delta").isNotNull()).join(root.withColumnRenamed("node", "a"), "a")
+    mixed = materialize(cells.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"))
+                             .where("r0 < r1").select("b", "members"), "minhash-mixed")
+    root = _labelled(nodes, links.union(_rest(cells.join(mixed, "b"), percent, block)))
     of_class = root.join(nodes.select("node", "class", "low_id"), "node")
     low = of_class.groupBy("root").agg(F.min("low_id").alias("component"))
     of_class = materialize(of_class.select("class", "root").join(low, "root").select("class", "component"), "minhash-components")

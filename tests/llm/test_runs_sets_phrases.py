@@ -114,8 +114,13 @@ def test_wavelet_tree_and_suffix_array():
 
 # --- set similarity -----------------------------------------------------------------------
 
+def plain_set(t):
+    w = re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split()
+    return {tuple(w[i:i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
+
+
 def plain_sets(rows):
-    sets = [minhash.shingles((t or "").encode()) for _, t, _ in rows]
+    sets = [plain_set(t) for _, t, _ in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -157,8 +162,7 @@ def test_minhash_equals_all_pairs(sql):
     want = plain_sets(rows)
     assert sorted(map(tuple, got), key=key) == want
     assert len({r[2] for r in want}) < len(rows)
-    # without further stars every mixed bucket goes through blocks, here of two members
-    got = minhash.near_duplicates(docs_of(sql, rows), stars=1, block=2).collect()
+    got = minhash.near_duplicates(docs_of(sql, rows), block=2).collect()  # cells cut into blocks of about two
     assert sorted(map(tuple, got), key=key) == want
     assert minhash.near_duplicates(docs_of(sql, [])).count() == 0
 
@@ -179,6 +183,16 @@ def test_sketch_is_filled_and_concentrated():
     assert minhash.least_equal(128, 85) == 77
 
 
+def test_common_counts_shared_shingles(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 3)
+    rnd = random.Random(6)
+    sets = [set(rnd.sample(range(-20, 20), rnd.randrange(12))) for _ in range(15)]
+    for x, y in ((np.arange(0, 9), np.arange(9, 15)), (np.arange(15), np.arange(15))):
+        got = minhash.common([np.array(sorted(s), np.int64).tobytes() for s in sets], x, y)
+        assert all(got[i, j] == len(sets[x[i]] & sets[y[j]]) for i in range(len(x)) for j in range(len(y)) if x[i] != y[j])
+    assert minhash.common([b"", b""], np.array([0]), np.array([1])).tolist() == [[0]]
+
+
 # --- phrases ------------------------------------------------------------------------------
 
 def plain_phrases(rows, min_count, top):
