@@ -2,11 +2,13 @@
 
 * *Edges*: each word occurrence counts its longest gram, the four words from it on, or fewer where its piece
   ends. A four-gram is an edge from the node of its first three words to that of its last three. Tasks count
-  chunks of text first (a frequent gram leaves a chunk once); one shuffle by node adds up. There the edges under
-  ``min_count`` are joined to one remainder a node: they only matter as flow.
+  chunks of text first (a frequent gram leaves a chunk once) and send them by a hash of language and node, packed: one row
+  holds a chunk's grams of one part as sorted word numbers beside the words themselves, about 5 bytes
+  a gram where plain rows take 30. A chunk never sends more rows than it has grams.
 * *Shorter counts* come from flow, without a second look at the text: f(three words) is what flows out of
   the node plus the pieces that end there, f(two words) is the flow of the nodes that begin with them
-  plus the pieces that end with them, and so on to words and the total.
+  plus the pieces that end with them (a second, smaller exchange of the same kind), and so on to words and
+  the total. Edges and nodes under ``min_count`` matter as flow only and are not kept.
 * *Paths*: the remaining edges are compacted; a node with one such edge in and one out lies inside a path. Edges
   find their path's head by pointer doubling (log2 of the longest path rounds of joins on written tables;
   a closed ring is cut at its smallest edge), and blocks of ``BLOCK`` edges become one row with
@@ -14,7 +16,8 @@
 * A candidate is scored by its weakest cut and dropped where a longer one explains it; for a node that is its
   largest edge, for two words their largest node.
 
-No task holds more than a chunk, one node's successors by hash aggregation (which spills), or a block.
+A task holds a chunk of ``CHUNK`` bytes of text or one longer text, a part of about ``PART`` bytes (less where grams
+repeat; a node's edges are in one part, at most one for each word and chunk), or a block of a path.
 
 Cases: null and empty texts have no words; a null language is ``und``; null or repeated ids don't matter,
 every row counts; an empty table gives an empty result; other columns are ignored.
@@ -28,53 +31,103 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, width
+from .slabs import cut, unzip_bytes, zip_bytes
 from .components import components
 
 MIN_COUNT, TOP, COVER = 30, 2000, 80
-CHUNK, BLOCK, SALTS = 8 << 20, 1024, 64
+CHUNK, PART, BLOCK, SALTS = 16 << 20, 16 << 20, 1024, 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _TOKEN = re.compile(rb"[^ \n]+|\n")
 
 
-def _count(texts: list) -> tuple:
-    """Distinct longest grams of the texts: (node, next) as Arrow arrays and their counts."""
+_ROW = "part int, lang string, grams binary"
+_FOUND = f"{_ROW}, phrase string, next string, n long"
+
+
+def _hash(lang: str, vocab: list, words: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of ``words`` (numbers into ``vocab``), the same in every task."""
+    import xxhash
+    code = np.array([xxhash.xxh64_intdigest(w) for w in vocab], np.uint64)
+    h = np.full(len(words), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    for j in range(words.shape[1]):
+        h = (h ^ code[words[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def pack(lang: str, vocab: list, words: np.ndarray, n: np.ndarray, by: int, parts: int) -> list[dict]:
+    """Rows (part, lang, grams) of counted grams; the part is a hash of language and first ``by`` words."""
+    part = (_hash(lang, vocab, words[:, :by]) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((*words.T[::-1], part))
+    words, n, part = words[order], n[order], part[order]
+    out = []
+    for p, s, e in cut(part):
+        used, local = np.unique(words[s:e].T, return_inverse=True)  # columns one after the other: sorted runs stay together
+        kind = "<u2" if len(used) < 1 << 16 else "<u4"
+        head = np.array([e - s, len(used)], "<i8").tobytes()
+        body = b"\n".join([vocab[i] for i in used.tolist()])
+        data = (head + np.array([len(body)], "<i8").tobytes() + body + local.reshape(words.shape[1], e - s).astype(kind).tobytes()
+                + n[s:e].astype("<i8").tobytes())
+        out.append({"part": p, "lang": lang, "grams": zip_bytes(data)})
+    return out
+
+
+def unpack(rows: list, m: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """(words, grams as numbers, counts) of several packed rows laid together; word 0 is no word."""
+    code: dict = {b"": 0}
+    grams, counts = [], []
+    for r in rows:
+        data = unzip_bytes(r)
+        n, v, size = np.frombuffer(data, "<i8", 3).tolist()
+        to = np.array([code.setdefault(w, len(code)) for w in data[24:24 + size].split(b"\n")], np.int64)
+        kind = np.dtype("<u2" if v < 1 << 16 else "<u4")
+        at = 24 + size
+        grams.append(to[np.frombuffer(data, kind, m * n, at).reshape(m, n).T])
+        counts.append(np.frombuffer(data, "<i8", n, at + m * n * kind.itemsize))
+    return list(code), np.concatenate(grams), np.concatenate(counts)
+
+
+def _add(grams: np.ndarray, n: np.ndarray, v: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 word on: (place of one gram with each distinct beginning, sum of their counts)."""
     import pandas as pd
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
+    out, key = [], np.zeros(len(grams), np.int64)
+    for j in range(grams.shape[1]):
+        key, u = pd.factorize(key * v + grams[:, j])
+        at = np.empty(len(u), np.int64)
+        at[key[::-1]] = np.arange(len(key))[::-1]
+        total = np.zeros(len(u), np.int64)
+        np.add.at(total, key, n)
+        out.append((at, total))
+    return out
+
+
+def count(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """(words, distinct longest grams as four numbers, counts) of texts; 0 stands after the end of a piece."""
     code = {b"\n": 0}
     ids = np.array([code.setdefault(t, len(code)) for t in _TOKEN.findall(b"\n".join(texts).translate(_LOWER))], np.int64)
-    v = len(code)
     w = [ids]
-    for k in (1, 2, 3):  # 0 from the end of the piece on
+    for k in (1, 2, 3):
         w.append(np.where(w[-1] > 0, np.concatenate([ids[k:], np.zeros(min(k, len(ids)), np.int64)]), 0))
-    some = ids > 0
-    w = [x[some] for x in w]
-    head, front = pd.factorize(w[0] * v + w[1])
-    tail, back = pd.factorize(w[2] * v + w[3])
-    gram, both = pd.factorize(head * max(1, len(back)) + tail)
-    n = np.bincount(gram, minlength=len(both))
-    a, b = (front[both // max(1, len(back))], back[both % max(1, len(back))]) if len(both) else (both, both)
-    words = pa.array([None, *[x.decode("utf-8", "replace") for x in list(code)[1:]]], pa.string())
-    first, second, third, fourth = (words.take(pa.array(x)) for x in (a // v, a % v, b // v, b % v))
-    return pc.binary_join_element_wise(first, second, third, " ", null_handling="skip"), fourth, pa.array(n, pa.int64())
-
-
-def edges(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(lang, node, next, n): counted longest grams; ``next`` is null where the piece ends. Chunks are not added up yet."""
+    grams = np.stack([x[ids > 0] for x in w], axis=1)
+    at, n = _add(grams, np.ones(len(grams), np.int64), len(code))[-1]
+    return [b"", *list(code)[1:]], grams[at], n
+
+
+def edges(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """(part, lang, grams): longest grams counted by chunks of text, packed by node."""
     import pyarrow as pa
 
-    def count(batches):
+    def run(batches):
         held, size = {}, 0
 
         def flush():
             for lang, texts in held.items():
-                node, nxt, n = _count(texts)
-                for lo in range(0, len(n), 1 << 16):
-                    part = [x.slice(lo, 1 << 16) for x in (node, nxt, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part],
-                                                     names=["lang", "node", "next", "n"])
+                rows = pack(lang, *count(texts), 3, parts)
+                for lo in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_pylist(rows[lo:lo + 1000], schema=schema)
 
+        schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("grams", pa.binary())])
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = text.as_py()
@@ -87,28 +140,74 @@ def edges(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     src = docs.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return src.mapInArrow(count, "lang string, node string, next string, n long")
+    return src.mapInArrow(run, _ROW)
+
+
+def _flow(packed: DataFrame, m: int, parts: int, min_count: int) -> DataFrame:
+    """One level of flow over packed grams of ``m`` words dealt by part.
+
+    m = 4: frequent edges (phrase, next, n), frequent nodes (phrase, n) and the packed flow of word pairs.
+    m = 2: frequent pairs (phrase, n) and all words (next, n), not added up over parts.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("grams", pa.binary()), ("phrase", pa.string()),
+                        ("next", pa.string()), ("n", pa.int64())])
+
+    def solve(lang, rows):
+        vocab, grams, n = unpack(rows, m)
+        levels = _add(grams, n, len(vocab))
+        text = [w.decode("utf-8", "replace") for w in vocab]
+
+        def frequent(level, last):
+            at, total = levels[level]
+            ok = (total >= min_count) & (grams[at, last] > 0)
+            return zip(grams[at[ok]].tolist(), total[ok].tolist())
+        if m == 4:
+            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g[:3]), "next": text[g[3]], "n": k}
+                        for g, k in frequent(3, 3))
+            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g[:3]), "n": k} for g, k in frequent(2, 2))
+            at, total = levels[1]
+            yield from pack(lang, vocab, grams[at, :2], total, 2, parts)
+        else:
+            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g), "n": k} for g, k in frequent(1, 1))
+            at, total = levels[0]
+            yield from ({"lang": lang, "next": text[i], "n": k} for i, k in zip(grams[at, 0].tolist(), total.tolist()))
+
+    def run(batches):
+        key, held = None, []
+
+        def flush():
+            rows = list(solve(key[1], held)) if held else []
+            for lo in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_pylist([{"part": None, "grams": None, "phrase": None, "next": None, "n": None, **r}
+                                                  for r in rows[lo:lo + 5000]], schema=schema)
+        for b in batches:
+            for p, lang, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if (p, lang) != key:
+                    yield from flush()
+                    key, held = (p, lang), []
+                held.append(g.as_py())
+        yield from flush()
+
+    return packed.repartition(parts, "part").sortWithinPartitions("part", "lang").mapInArrow(run, _FOUND)
 
 
 def graph(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Written tables: frequent edges (lang, node, next, n), flows of three, two and one words, words per language."""
+    """From written tables: frequent edges (lang, node, next, n), flows of three, two and one words, words per language."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = width(docs.sparkSession, total, 32 << 20)
-    summed = edges(docs).repartition(parts, "lang", "node").groupBy("lang", "node", "next").agg(F.sum("n").alias("n"))
-    nodes = materialize(summed.withColumn("next", F.when(F.col("n") >= min_count, F.col("next")))
-                              .groupBy("lang", "node", "next").agg(F.sum("n").alias("n"), F.min(
-                                  F.size(F.split("node", " "))).alias("words")), "phrase-nodes")
-
-    def flow(src, key):
-        return src.groupBy("lang", key.alias("phrase")).agg(F.sum("n").alias("n"))
-
-    three = materialize(flow(nodes.where("words = 3"), F.col("node")).where(F.col("n") >= min_count), "phrase-3")
-    all_two = materialize(flow(nodes.where("words > 1"), F.substring_index("node", " ", 2)), "phrase-2")
-    all_one = materialize(flow(all_two.select("lang", "phrase", "n").union(
-        nodes.where("words = 1").select("lang", "node", "n")), F.substring_index("phrase", " ", 1)), "phrase-1")
-    frequent = nodes.where(F.col("next").isNotNull() & (F.col("n") >= min_count)).select("lang", "node", "next", "n")
-    return (frequent, three, all_two.where(F.col("n") >= min_count), all_one.where(F.col("n") >= min_count),
-            all_one.groupBy("lang").agg(F.sum("n").alias("total")))
+    parts = width(docs.sparkSession, total, PART)
+    nodes = materialize(_flow(edges(docs, parts), 4, parts, min_count), "phrase-nodes")
+    pairs = materialize(_flow(nodes.where(F.col("grams").isNotNull()).select("part", "lang", "grams"), 2, parts, min_count),
+                        "phrase-pairs")
+    one = materialize(pairs.where(F.col("next").isNotNull()).groupBy("lang", F.col("next").alias("phrase")).agg(
+        F.sum("n").alias("n")), "phrase-words")
+
+    def grams(src, alone):
+        return src.where(F.col("phrase").isNotNull() & (F.col("next").isNull() if alone else F.col("next").isNotNull()))
+    return (grams(nodes, False).select("lang", F.col("phrase").alias("node"), "next", "n"),
+            grams(nodes, True).select("lang", "phrase", "n"), grams(pairs, True).select("lang", "phrase", "n"),
+            one.where(F.col("n") >= min_count), one.groupBy("lang").agg(F.sum("n").alias("total")))
 
 
 def _doubled(links: DataFrame) -> tuple[DataFrame, int]:
