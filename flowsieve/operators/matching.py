@@ -441,3 +441,32 @@ def tolerance_sweep(flows: DataFrame, labels: DataFrame,
 def semi_join_keys(df: DataFrame, keys: DataFrame, key: str = "flow_key") -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys`` (J9): a left-semi join."""
     return df.join(keys.select(key).where(F.col(key).isNotNull()), on=key, how="left_semi")
+
+
+def label_majority(matched: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Labels by key alone for flows that the time match left without one.
+
+    ``matched`` is the result of :func:`match_flows`. A key seen once among the flows and once among the labels gives its
+    label (``match_pass`` ``k1``). For other keys the label that makes up more than ``threshold`` of the key's label
+    rows counts (``km``); rows without a label are in no share, and a tie at the top gives null whatever the threshold.
+    Two aggregations of the labels (counts per key and label, then per key), joined on the key; no window over a key.
+    """
+    if not 0 <= threshold < 1:
+        raise ValueError("threshold must be at least 0 and below 1")
+    per = (labels.where(F.col("flow_key").isNotNull()).groupBy("flow_key", F.col("label").cast("string").alias("l"))
+                 .agg(F.count(F.lit(1)).alias("n")))
+    lab = F.col("l").isNotNull()
+    top = per.groupBy("flow_key").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(lab, F.col("n"))).alias("labelled"),
+        F.max(F.when(lab, F.struct("n", "l"))).alias("hi"), F.min(F.when(lab, F.struct((-F.col("n")).alias("m"), "l"))).alias("lo"))
+    # the greatest and the smallest of the most frequent labels are the same unless there is a tie
+    alone = F.when(F.col("hi.l") == F.col("lo.l"), F.col("hi.l"))
+    share = F.col("hi.n") > F.col("labelled") * F.lit(float(threshold))
+    top = materialize(top.select(F.col("flow_key").alias("__k"), F.col("rows").alias("__rows"), F.when(share, alone).alias("__label")),
+                      "majority-labels")
+    n_f = materialize(key_counts(matched, "flow_key", "__n_f").withColumnRenamed("flow_key", "__kf"), "majority-flow-counts")
+    j = matched.join(top, F.col("flow_key") == F.col("__k"), "left").join(n_f, F.col("flow_key") == F.col("__kf"), "left")
+    use = F.col("label").isNull() & F.col("__label").isNotNull()
+    return j.withColumns({
+        "match_pass": F.when(use, F.when((F.col("__n_f") == 1) & (F.col("__rows") == 1), "k1").otherwise("km")).otherwise(F.col("match_pass")),
+        "label": F.coalesce("label", "__label")}).drop("__k", "__rows", "__label", "__kf", "__n_f")

@@ -1,5 +1,5 @@
 """Query key -> DuckDB SQL."""
-from . import cleaning, matching as M, metering as MT, pipeline, reports
+from . import cleaning, learning as L, matching as M, metering as MT, pipeline, reports
 
 ORACLES = {
     "match_flows": M.match_flows(),
@@ -15,4 +15,11 @@ ORACLES = {
     "meter_expiration": MT.meter_expiration(),
     "meter_flows_by_capture": MT.meter_flows("capture", MT.F1_CAPTURES),
     "flow_stats": MT.flow_stats(),
+    # the stream must give exactly the batch result
+    "label_stream": L.label_stream(),
+    "label_majority": L.label_majority(),
+    "train_test_split": L.TRAIN_TEST_SPLIT,
+    "classification_metrics": L.CLASSIFICATION_METRICS,
+    "feature_vectors": L.FEATURE_VECTORS,
+    "explore": L.explore(reports.ORACLES),
 }

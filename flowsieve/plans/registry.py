@@ -1,4 +1,5 @@
 """Query key -> callable(spark, sf_dir)."""
+from . import learning_queries as LQ
 from . import queries as Q
 
 QUERIES = {
@@ -78,4 +79,5 @@ QUERIES = {
     "meter_flows_stream": Q.q_meter_flows_stream,
     "meter_flows_by_capture": Q.q_meter_flows_by_capture,
     "sample_column_values": Q.q_sample_column_values,
+    **LQ.QUERIES,
 }

@@ -164,3 +164,37 @@ def f1_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f1_packets(spark, sf_dir).withColumns({
         "src_port": F.when(ported, F.col("src_port")), "dst_port": F.when(ported, F.col("dst_port")),
         "protocol": F.when(ported, F.col("protocol")).otherwise(1), "ts_ms": F.when(timed, F.col("ts_ms"))})
+
+
+def f8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem as labelled flows: a class by price and quantity with every eleventh part mislabelled, keys in both directions."""
+    li = table(spark, sf_dir, "lineitem")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    rule = F.when(net > 40000, "high").when(F.col("l_quantity") < 12, "low").otherwise("mid")
+    a, b = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    odd = F.col("l_linenumber") % 2 == 1
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"),
+        F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.when(F.col("l_partkey") % 11 == 0, "low").otherwise(rule).alias("label"),
+        F.when(odd, F.concat_ws("|", a, b)).otherwise(F.concat_ws("|", b, a)).alias("flow_key"),
+        F.when(odd, F.concat_ws("|", b, a)).otherwise(F.concat_ws("|", a, b)).alias("flow_key_rev"))
+
+
+def f8_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8 with a prediction: 'high' never comes, 'top' is no class, the seventh lines have none."""
+    return f8_classes(spark, sf_dir).withColumn("prediction", F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
+                                                .when(F.col("q") < 12, "low").when(F.col("p") > 60000, "top").otherwise("mid"))
+
+
+def f9_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 flows under coarse keys (user and server group), so that keys repeat."""
+    return f2_flows(spark, sf_dir).withColumn("flow_key", F.concat_ws("|", "src_ip", (F.col("flow_id") % 2).cast("string"))).drop("flow_key_rev")
+
+
+def f9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 labels under the keys of F9: two of three rows are 'view', every twelfth has no label."""
+    key = F.concat_ws("|", F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")), (F.col("event_id") % 2).cast("string"))
+    ev = table(spark, sf_dir, "events")
+    label = F.when(F.col("event_id") % 12 == 5, F.lit(None).cast("string")).when(F.col("event_id") % 3 != 0, "view").otherwise(F.col("event_type"))
+    return ev.where(F.floor(F.col("event_id") / 16) % 2 == 1).select(
+        F.col("event_id").alias("label_id"), epoch_ms(ev, "ts").alias("ts_ms"), label.alias("label"), key.alias("flow_key"))
