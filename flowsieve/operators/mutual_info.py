@@ -80,6 +80,8 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
                            digits: int = 6, clip: bool = True, jitter: bool = True) -> DataFrame:
     """``feature, mi`` (nats), largest first, over all rows; ``sample_rows`` takes a seeded sample first.
 
+    Null, NaN and infinite values are missing, as in the correlation: the row does not count for that feature.
+
     ``jitter`` (default on, as in the common library estimator): each feature is
     divided by its standard deviation (ddof 0; constant features stay as they
     are) and tiny noise ``1e-10 * max(1, mean|x|) * z`` is added so ties do not
@@ -92,7 +94,7 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
         df = sample_fixed_n(df, sample_rows, seed, id_cols)
     df = df.withColumn("__row", F.concat(*[_part(c) for c in id_cols]))
     long = (unpivot_features(df, features, ids=[label, "__row"], drop_null=True)
-            .where(F.col(label).isNotNull())
+            .where(F.col(label).isNotNull() & (F.abs("value") != float("inf")))
             .select("feature", F.col(label).alias("cls"), F.col("value").alias("x"), "__row"))
     if jitter:
         long = _jitter(long, seed)
@@ -119,12 +121,13 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
 
     def row(v, tb, sign):
         return F.struct(v.alias("v"), tb.alias("tb"), F.lit(1 - abs(sign)).alias("is_data"), F.lit(sign).alias("sign"))
-    merged = d.select("feature", "k", "n_cls", F.col("__row").alias("rid"), F.explode(F.array(
+    # a row is known by its class and place in it: ids that repeat in the input keep their rows apart
+    merged = d.select("feature", "k", "n_cls", "cls", "pos", F.explode(F.array(
         row(x, F.lit(0), 0),
         row(x + F.col("r"), F.when(zero, 1).otherwise(-1), 1),
-        row(x - F.col("r"), F.when(zero, -1).otherwise(1), -1))).alias("p")).select("feature", "k", "n_cls", "rid", "p.*")
-    probes = running_sums(merged, ["feature"], ["v", "tb", "rid"], "is_data", "mi-probes").where(F.col("is_data") == 0)
-    rows = probes.groupBy("feature", "rid").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"),
+        row(x - F.col("r"), F.when(zero, -1).otherwise(1), -1))).alias("p")).select("feature", "k", "n_cls", "cls", "pos", "p.*")
+    probes = running_sums(merged, ["feature"], ["v", "tb", "cls", "pos"], "is_data", "mi-probes").where(F.col("is_data") == 0)
+    rows = probes.groupBy("feature", "cls", "pos").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"),
                                                 F.first("k").alias("k"), F.first("n_cls").alias("n_cls"))
     per = rows.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k"))).alias("psi_k"),

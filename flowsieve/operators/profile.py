@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import split_features
 from ..session import materialize, ship_package
-from .quantiles import quantile_columns
+from .quantiles import MAX_EXACT, quantile_columns
 from .ranks import running_sums
 
 DIGITS = 6
@@ -33,14 +33,15 @@ def finite(c):
 def unpivot_features(df: DataFrame, features=None, ids=(), drop_null: bool = False) -> DataFrame:
     """Wide -> long ``(ids..., feature, value)`` with values as double, NaN as null."""
     feats = _num(df, features)
+    ids = [F.col(f"`{c}`") for c in ids]  # names may have dots: a repeated header gives "name.1"
     cast = df.select(*ids, *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c)
                              for c in feats])
-    long = cast.unpivot(list(ids), feats, "feature", "value")
+    long = cast.unpivot(ids, [F.col(f"`{c}`") for c in feats], "feature", "value")
     return long.where(F.col("value").isNotNull()) if drop_null else long
 
 
 def describe(df: DataFrame, features=None, exact: bool = True, accuracy: int = 100_000,
-             digits: int = DIGITS) -> DataFrame:
+             digits: int = DIGITS, max_exact: int = MAX_EXACT) -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max per feature, one row each (A10).
 
     ``exact=True``: linear-interpolated quartiles by distributed selection
@@ -55,7 +56,7 @@ def describe(df: DataFrame, features=None, exact: bool = True, accuracy: int = 1
         F.min(v).alias("min"), F.max(v).alias("max"),
         *([] if exact else [F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("qs")]))
     if exact:
-        qt = quantile_columns(long, ["feature"], [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
+        qt = quantile_columns(long, ["feature"], [0.25, 0.5, 0.75], ["q1", "q2", "q3"], max_exact=max_exact)
         agg = (agg.join(qt, "feature", "left")
                   .withColumn("qs", F.array("q1", "q2", "q3")).drop("q1", "q2", "q3"))
     r = lambda c: F.round(c, digits)
@@ -196,7 +197,7 @@ def histogram(df: DataFrame, features=None, bins: int = 25, log: bool = False,
 
 
 def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: str = "label",
-                  digits: int = DIGITS) -> DataFrame:
+                  digits: int = DIGITS, max_exact: int = MAX_EXACT) -> DataFrame:
     """Quartiles, 1.5-IQR fences, whiskers (extreme values inside the fences) and
     outlier counts per feature, optionally per class (A18)."""
     ids = [label] if by_label else []
@@ -204,8 +205,8 @@ def boxplot_stats(df: DataFrame, features=None, by_label: bool = False, label: s
     keys = ["feature", *ids]
     # one row per group, used twice below: written once so the quantile plan runs once
     q = materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                              .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"]),
-                                    keys),
+                              .join(quantile_columns(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                                                     max_exact=max_exact), keys),
                           "boxplot-quartiles")
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")})
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * F.col("iqr"),

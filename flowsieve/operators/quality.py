@@ -171,7 +171,7 @@ def null_percentage(df: DataFrame) -> DataFrame:
     column keeps wide tables inside whole-stage code generation.
     """
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(_present(df, c)).alias(c) for c in df.columns])
-    long = wide.unpivot(["__n"], df.columns, "column_name", "non_null")
+    long = wide.unpivot(["__n"], [F.col(f"`{c}`") for c in df.columns], "column_name", "non_null")
     return long.select("column_name", F.round(F.try_divide((F.col("__n") - F.col("non_null")) * 100.0,
                                                            F.col("__n")), 6).alias("null_pct"))
 
@@ -197,7 +197,7 @@ def table_profile(df: DataFrame) -> DataFrame:
     """Rows, and per column its type and non-null count, in one pass."""
     wide = df.agg(F.count(F.lit(1)).alias("__rows"),
                   *[F.count(_present(df, c)).alias(c) for c in df.columns])
-    long = wide.unpivot(["__rows"], df.columns, "column_name", "non_null")
+    long = wide.unpivot(["__rows"], [F.col(f"`{c}`") for c in df.columns], "column_name", "non_null")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     dtype = F.lit(None).cast("string")
     for name, t in types.items():

@@ -5,7 +5,9 @@ For group ``g`` with ``n`` values and probability ``p`` the quantile is
 ``hi = ceil(h)`` (0-based ranks ascending; the common "linear" definition).
 
 Order statistics are found by distributed refinement: each round buckets the
-values of every unresolved target range into ``buckets`` equal-width buckets
+values of every unresolved target range into ``buckets`` buckets, equally wide on a
+scale of signed powers of two while the range spans more than one (so infinities and
+values of any magnitude are told apart at once), and in value after that
 (``groupBy`` with partial aggregation, one row per non-empty bucket), locates
 the bucket holding the target rank from cumulative counts (a window over at
 most ``buckets`` rows per target) and narrows the range to it. A target whose
@@ -25,9 +27,23 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+#: A range with at most so many values is sorted.
+MAX_EXACT = 2_000_000
+
+
+def power(v):
+    """Signed place of a double on the scale of powers of two: 0 for 0, 1 for the smallest positive value, 2200 for
+    infinity. It never decreases with ``v``."""
+    size = F.when(F.abs(v) == float("inf"), 2200.0).otherwise(F.log2(F.abs(v)) + 1075)
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * size)
+
+
 def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
-                    max_exact: int = 2_000_000, buckets: int = 16_384, max_rounds: int = 64) -> DataFrame:
-    """``(group_cols..., p, q)`` for every group and probability (nulls ignored)."""
+                    max_exact: int = MAX_EXACT, buckets: int = 16_384, max_rounds: int = 64) -> DataFrame:
+    """``(group_cols..., p, q)`` for every group and probability (nulls ignored; infinities are values).
+
+    One round brings a range within a power of two, and four more would tell all doubles in it apart.
+    """
     g = list(group_cols)
     data = long.select(*g, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
@@ -61,8 +77,10 @@ def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
         if big.limit(1).count() == 0:
             break
         ranges = big.select(*rng).distinct()
-        width = (F.col("hi") - F.col("lo")) / buckets
-        b = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / width).cast("int"))
+        lo, hi, v = F.col("lo"), F.col("hi"), F.col("v")
+        wide = power(hi) - power(lo)
+        at = F.when(wide > 1, (power(v) - power(lo)) / wide).otherwise((v - lo) / (hi - lo))
+        b = F.least(F.lit(buckets - 1), F.floor(at * buckets).cast("int"))
         hist = (data.join(ranges, g).where(F.col("v").between(F.col("lo"), F.col("hi")))
                     .groupBy(*rng, b.alias("b"))
                     .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
@@ -85,7 +103,8 @@ def exact_quantiles(long: DataFrame, group_cols, probs, value: str = "value",
     out = (tg.select(*g, "p", "h").distinct()
              .withColumns({"r_lo": F.floor("h").cast("long"), "r_hi": F.ceil("h").cast("long")})
              .join(lo_v, [*g, "r_lo"]).join(hi_v, [*g, "r_hi"]))
-    q = F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    q = F.when((F.col("h") == F.col("r_lo")) | (F.col("v_lo") == F.col("v_hi")), F.col("v_lo")).otherwise(  # no inf - inf
+        F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo")))
     return out.select(*g, "p", q.alias("q"))
 
 

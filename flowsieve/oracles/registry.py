@@ -1,5 +1,5 @@
 """Query key -> DuckDB SQL."""
-from . import cleaning, learning as L, matching as M, metering as MT, pipeline, reports
+from . import cleaning, learning as L, matching as M, metering as MT, odd_inputs, pipeline, reports
 
 ORACLES = {
     "match_flows": M.match_flows(),
@@ -8,6 +8,7 @@ ORACLES = {
     **cleaning.ORACLES,
     **reports.ORACLES,
     **pipeline.ORACLES,
+    **odd_inputs.ORACLES,
     "meter_flows": MT.meter_flows(),
     # the stream must give exactly the batch result
     "meter_flows_nulls": MT.meter_flows("", MT.F1_NULLS),

@@ -87,3 +87,20 @@ def write_dataset(spark: SparkSession, sf_dir: str) -> dict:
            for sc in SCENARIOS}
     out["monday"]["captures"].append(f"{root}/broken")
     return {"events_dataset": out}
+
+
+REPEATED_HEADER = "Flow ID,Port,Port,Label"
+
+
+def write_repeated_header(spark: SparkSession, sf_dir: str) -> str:
+    """Label files whose header has ``Port`` twice; every ninth row lacks the second."""
+    path = f"{shared_dir(spark)}/repeated-header-{uuid.uuid4().hex}"
+    ev = table(spark, sf_dir, "events")
+    row = F.concat_ws(",", F.col("event_id").cast("string"), (F.col("user_id") % 1000).cast("string"),
+                      F.when(F.col("event_id") % 9 != 4, (F.col("event_id") % 97).cast("string")).otherwise(""), "event_type")
+    lines = ev.select(row.alias("value"), (F.col("event_id") % 3).cast("int").alias("part")).union(
+        spark.range(3).select(F.lit(REPEATED_HEADER), F.col("id").cast("int")))
+    # each file begins with the header line
+    (lines.repartition(3, "part").sortWithinPartitions("part", F.col("value") != REPEATED_HEADER)
+          .write.partitionBy("part").text(path))
+    return path

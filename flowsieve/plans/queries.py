@@ -252,6 +252,63 @@ def q_describe_features(spark, sf_dir):
     return P.describe(S.f5_features(spark, sf_dir))
 
 
+EXTREMES = ["rate", "decides"]
+
+
+def q_describe_features_inf(spark, sf_dir):
+    """A10 with infinities, refined far below the row count."""
+    out = P.describe(S.f5_extremes(spark, sf_dir), EXTREMES, max_exact=500)
+    return out.select("feature", "count", "min", "q25", "q50", "q75", "max")
+
+
+def q_boxplot_stats_inf(spark, sf_dir):
+    """A18 with infinities: infinite values are outliers."""
+    return P.boxplot_stats(S.f5_extremes(spark, sf_dir), EXTREMES, max_exact=500).select(
+        "feature", "n", "q1", "median", "q3", "n_outliers")
+
+
+def q_mutual_information_knn_inf(spark, sf_dir):
+    """A16a with infinite and NaN values, which are missing."""
+    return mutual_information_knn(S.f5_extremes(spark, sf_dir), ["rate", "decides"], id_cols=LINEITEM_KEY, jitter=False)
+
+
+def _repeated_header(spark, sf_dir):
+    """The label file as scanned, with a header that comes twice (name and name.1) and numeric ports."""
+    raw = IO.read_label_csv(spark, LF.write_repeated_header(spark, sf_dir))
+    return raw.select(*[F.col(f"`{c}`").cast("double").alias(c) if c.startswith("Port") else F.col(f"`{c}`") for c in raw.columns])
+
+
+def q_repeated_header_nulls(spark, sf_dir):
+    """A8 on a file with a repeated header."""
+    return QA.null_percentage(_repeated_header(spark, sf_dir))
+
+
+def q_repeated_header_profile(spark, sf_dir):
+    """A19 on a file with a repeated header."""
+    return QA.table_profile(_repeated_header(spark, sf_dir))
+
+
+def q_repeated_header_describe(spark, sf_dir):
+    """A10, A22 on a file with a repeated header."""
+    return P.describe(_repeated_header(spark, sf_dir), ["Port", "Port.1"])
+
+
+def q_repeated_header_histogram(spark, sf_dir):
+    """A17 on a file with a repeated header."""
+    return P.histogram(_repeated_header(spark, sf_dir), ["Port", "Port.1"], bins=4)
+
+
+def q_repeated_header_boxplot(spark, sf_dir):
+    """A18 on a file with a repeated header."""
+    return P.boxplot_stats(_repeated_header(spark, sf_dir), ["Port", "Port.1"])
+
+
+def q_repeated_header_information(spark, sf_dir):
+    """A16b, O5 on a file with a repeated header."""
+    df = _repeated_header(spark, sf_dir)
+    return SM.top_features(P.mutual_information_binned(df, ["Port", "Port.1"], label="Label", bins=8), k=1)
+
+
 def q_feature_dispersion(spark, sf_dir):
     return P.dispersion(S.f5_features(spark, sf_dir))
 
@@ -472,6 +529,11 @@ def q_meter_flows_stream(spark, sf_dir):
     return run_stream_to_table(spark, S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
 
 
+def q_meter_flows_stream_nulls(spark, sf_dir):
+    """M4 on F1 packets of which some have no ports, some no time and some no size."""
+    return run_stream_to_table(spark, S.f1_stream_nulls(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
+
+
 def q_meter_flows_by_capture(spark, sf_dir):
     """M1 + S9: several captures in one table, the capture is part of every key."""
     return MT.meter_flows(S.f1_captures(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS, scope=["capture"])

@@ -79,5 +79,15 @@ QUERIES = {
     "meter_flows_stream": Q.q_meter_flows_stream,
     "meter_flows_by_capture": Q.q_meter_flows_by_capture,
     "sample_column_values": Q.q_sample_column_values,
+    "describe_features_inf": Q.q_describe_features_inf,
+    "boxplot_stats_inf": Q.q_boxplot_stats_inf,
+    "mutual_information_knn_inf": Q.q_mutual_information_knn_inf,
+    "repeated_header_nulls": Q.q_repeated_header_nulls,
+    "repeated_header_profile": Q.q_repeated_header_profile,
+    "repeated_header_describe": Q.q_repeated_header_describe,
+    "repeated_header_histogram": Q.q_repeated_header_histogram,
+    "repeated_header_boxplot": Q.q_repeated_header_boxplot,
+    "repeated_header_information": Q.q_repeated_header_information,
+    "meter_flows_stream_nulls": Q.q_meter_flows_stream_nulls,
     **LQ.QUERIES,
 }

@@ -131,6 +131,16 @@ def f5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).cast("double").alias("const"), F.col("l_returnflag").alias("label"))
 
 
+def f5_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as flow rates give them: infinities, NaN, and a feature that decides its class."""
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_partkey") % 50
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("label"),
+        F.when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 3, float("nan")).otherwise(F.col("l_extendedprice")).alias("rate"),
+        F.when(k == 4, float("inf")).otherwise(F.ascii("l_returnflag") * 1000 + F.col("l_quantity")).alias("decides"))
+
+
 def f6_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", F.when(F.col("event_id") % 50 == 0, F.lit(-1).cast("bigint"))
@@ -166,6 +176,11 @@ def f1_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "protocol": F.when(ported, F.col("protocol")).otherwise(1), "ts_ms": F.when(timed, F.col("ts_ms"))})
 
 
+def f1_stream_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 packets with nulls, of which every seventh also has no size."""
+    return f1_nulls(spark, sf_dir).withColumn("bytes", F.when(F.col("packet_id") % 7 != 3, F.col("bytes")))
+
+
 def f8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem as labelled flows: a class by price and quantity with every eleventh part mislabelled, keys in both directions."""
     li = table(spark, sf_dir, "lineitem")

@@ -50,7 +50,9 @@ def make_state_fn(idle: int, active: int, scope=()):
             return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "packet_id"], kind="stable")
         ts = pdf["ts_ms"].to_numpy(dtype="int64")
-        size = pdf["bytes"].to_numpy(dtype="int64")
+        # packets of unknown size count; a flow has no bytes only if no packet has a size, as in the batch meter
+        sized = np.concatenate([[0], np.cumsum(pdf["bytes"].notna())])
+        size = pdf["bytes"].fillna(0).to_numpy(dtype="int64")
         src = pdf[["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]].to_numpy(dtype=object)
         csum = np.concatenate([[0], np.cumsum(size)])
         cur = list(state.get) if state.exists else None
@@ -69,13 +71,15 @@ def make_state_fn(idle: int, active: int, scope=()):
                 if j > i:
                     cur[1] = int(ts[j - 1])
                     cur[7] += j - i
-                    cur[8] += int(csum[j] - csum[i])
+                    if sized[j] > sized[i]:
+                        cur[8] = (cur[8] or 0) + int(csum[j] - csum[i])
                 if j == n:
                     break
                 out.append(head + _flow_row(cur, 0 if gi <= ai else 1))
                 i, cur = j, None
             r = src[i]
-            cur = [int(ts[i]), int(ts[i]), r[0], r[1], *(None if pd.isna(x) else int(x) for x in r[2:5]), 1, int(size[i])]
+            cur = [int(ts[i]), int(ts[i]), r[0], r[1], *(None if pd.isna(x) else int(x) for x in r[2:5]), 1,
+                   int(size[i]) if sized[i + 1] > sized[i] else None]
             i += 1
         if cur is not None:
             state.update(tuple(cur))
@@ -94,10 +98,14 @@ def meter_flows_stream(packets_stream: DataFrame, idle_ms: int, active_ms: int,
 
     ``scope``: columns (scenario, capture) that keep captures apart and lead the output.
 
-    ``watermark``: how late a packet may come; a later one is dropped, so there is no default.
+    ``watermark``: how late a packet may come; a later one is dropped, so there is no default. Packets without a
+    time are left out, as in the batch meter; the progress of the query counts them in the observed metric
+    ``packets_without_time``.
     """
     ship_package(packets_stream.sparkSession)
-    s = (canonical(packets_stream)
+    timed = packets_stream.observe("packets_without_time", F.count_if(F.col("ts_ms").isNull()).alias("n")).where(
+        F.col("ts_ms").isNotNull())
+    s = (canonical(timed)
          .withColumn("event_time", F.timestamp_millis("ts_ms"))
          .withWatermark("event_time", watermark))
     out = ", ".join([*(f"`{c}` {s.schema[c].dataType.simpleString()}" for c in scope), OUT_SCHEMA])
