@@ -89,6 +89,17 @@ def write_dataset(spark: SparkSession, sf_dir: str) -> dict:
     return {"events_dataset": out}
 
 
+def write_odd_captures(spark: SparkSession, sf_dir: str) -> dict:
+    """The dataset's captures with two more on tuesday: one without packets, one whose times are no numbers."""
+    catalog = write_dataset(spark, sf_dir)
+    root = f"{shared_dir(spark)}/odd-captures-{uuid.uuid4().hex}"
+    packets = f1_packets(spark, sf_dir)
+    packets.limit(0).write.parquet(f"{root}/empty")
+    packets.withColumn("ts_ms", F.concat(F.lit("at "), F.col("ts_ms").cast("string"))).coalesce(1).write.parquet(f"{root}/text")
+    catalog["events_dataset"]["tuesday"]["captures"] += [f"{root}/empty", f"{root}/text"]
+    return catalog
+
+
 REPEATED_HEADER = "Flow ID,Port,Port,Label"
 
 

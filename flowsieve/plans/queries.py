@@ -22,7 +22,7 @@ from ..operators import sampling as SM
 from ..operators.mutual_info import mutual_information_knn
 from ..session import shared_dir as _shared_dir
 from ..sources import files as IO
-from ..sources.captures import capture_report
+from ..sources.captures import capture_report, capture_states
 from ..sources.catalog import paths_of
 from ..streaming.metering import run_stream_to_table
 from . import label_files as LF
@@ -500,6 +500,20 @@ def q_capture_report(spark, sf_dir):
     return out
 
 
+def q_capture_states(spark, sf_dir):
+    """Empty, unreadable and broken captures told apart, per scenario (files of good captures vary with the writer)."""
+    catalog, schema = LF.write_odd_captures(spark, sf_dir), S.f1_packets(spark, sf_dir).schema
+    out = None
+    for sc in catalog["events_dataset"]:
+        s = capture_states(spark, paths_of(catalog, "events_dataset", sc, "captures"), schema)
+        g = s.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("packets_listed").alias("packets_listed"),
+                                   F.sum("packets_read").alias("packets_read"))
+        g = g.select(F.lit(sc).alias("scenario"), "state", F.when(F.col("state") != "ok", F.col("n")).alias("files"),
+                     "packets_listed", "packets_read")
+        out = g if out is None else out.union(g)
+    return out
+
+
 KNN_FEATURES = ["q", "p", "d", "t", "net", "d_null", "const"]
 
 

@@ -72,6 +72,7 @@ QUERIES = {
     "dataset_pipeline": Q.q_dataset_pipeline,
     "run_dataset": Q.q_run_dataset,
     "capture_report": Q.q_capture_report,
+    "capture_states": Q.q_capture_states,
     "mutual_information_knn": Q.q_mutual_information_knn,
     "mutual_information_knn_all": Q.q_mutual_information_knn_all,
     "flow_label_report": Q.q_flow_label_report,

@@ -85,3 +85,28 @@ def test_packets_without_a_time_are_counted_in_the_stream(spark, tmp_path):
     assert sum(p["observedMetrics"]["packets_without_time"]["n"] for p in q.recentProgress if p["numInputRows"]) == 1
     got = {(r["src_ip"], r["bidirectional_packets"]): r["bidirectional_bytes"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 3): 70, ("c", 1): None}
+
+
+def test_broken_captures_are_told_apart(spark, tmp_path):
+    from flowsieve.sources.captures import capture_report, capture_states
+    schema = "packet_id long, src_ip string"
+    rows = spark.range(20_000).select(F.col("id").alias("packet_id"), F.md5(F.col("id").cast("string")).alias("src_ip"))
+    good = str(tmp_path / "a good=one")
+    rows.coalesce(1).write.parquet(good)
+    half = str(tmp_path / "half")
+    rows.coalesce(1).write.option("parquet.block.size", 65536).option("compression", "gzip").parquet(half)
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(str(tmp_path / "none"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_bytes(b"PAR1 nothing here")
+    part = next((tmp_path / "half").glob("part-*.parquet"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2:len(data) // 2 + 4000] = b"\x00" * 4000
+    part.write_bytes(data)
+    next((tmp_path / "half").glob(".*.crc")).unlink()
+    paths = [good, half, str(tmp_path / "none"), str(tmp_path / "bad")]
+    got = {r["state"]: r for r in capture_states(spark, paths, schema).collect()}
+    assert set(got) == {"ok", "broken", "empty", "unreadable"}
+    assert got["ok"]["packets_read"] == got["broken"]["packets_listed"] == 20_000 > got["broken"]["packets_read"]
+    report = capture_report(spark, paths, schema).first()
+    assert (report["files"], report["files_empty"], report["files_unreadable"], report["files_broken"]) == (4, 1, 1, 1)
+    assert report["packets"] + report["packets_lost"] == 40_000
