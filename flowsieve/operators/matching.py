@@ -283,29 +283,8 @@ def _scope_keys(df: DataFrame, scope) -> DataFrame:
     return df.withColumns(out)
 
 
-def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
-                 *, cardinality: str = "split", directions: str = "both",
-                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=(),
-                 sub_cell_ms: int = 3_600_000, reuse_points: bool | None = None) -> DataFrame:
-    """Label per distinct flow point ``(flow_key, ts)``.
-
-    ``tolerance_ms`` is one tolerance, or a ``{name: ms}`` dict answered in the
-    same shuffle (then ``tolerance`` and ``tolerance_ms`` columns are added).
-
-    Returns ``flow_key, ts, label, match_pass, n_cand_f, n_cand_r`` where
-    ``match_pass`` is ``uf``/``ur``/``df``/``dr`` (unique or repeated flow key,
-    forward or reverse) and the ``n_cand_*`` columns count class-compatible label
-    rows in tolerance (so "has candidates but no label" is observable).
-    """
-    if cardinality not in ("split", "any"):
-        raise ValueError("cardinality must be 'split' or 'any'")
-    if directions not in ("both", "forward"):
-        raise ValueError("directions must be 'both' or 'forward'")
-    multi = dict(tolerance_ms) if isinstance(tolerance_ms, dict) else None
-    tols = list(multi.items()) if multi is not None else [(None, tolerance_ms)]
-    tols = [(n, int(ms)) for n, ms in tols]
-    if not tols or any(ms < 0 for _, ms in tols):
-        raise ValueError("tolerances must be >= 0")
+def _match_inputs(flows: DataFrame, labels: DataFrame, directions: str, flow_ts: str, label_ts: str, scope, reuse_points):
+    """Probes (qkey, t, cls_f, c, dir, jkey), label points (jkey, ts, l_min, l_max, n_lab, n_cand, cls_l), integral times?"""
     flows, labels, f_ts, l_ts, integral = _prepare(flows, labels, flow_ts, label_ts)
     reuse_points = reuse_points is not False  # the same plan at every size
     if scope:
@@ -323,7 +302,7 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
     n_f = materialize(fpts.groupBy("flow_key").agg(F.sum("c").alias("n_f")), "match-flow-counts")
     fq = (fpts.join(n_f, "flow_key")
               .withColumn("cls_f", F.when(F.col("n_f") > 1, REPEATED).otherwise(UNIQUE))
-              .drop("c", "n_f"))
+              .drop("n_f"))
     if reuse_points:
         fq = materialize(fq, "match-flow-points")
 
@@ -348,10 +327,37 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
         dirs.append(F.when(F.col("flow_key_rev").isNotNull()
                            & (F.col("flow_key_rev") != F.col("flow_key")),
                            F.struct(F.lit("R").alias("dir"), F.col("flow_key_rev").alias("jkey"))))
-    q = (fq.select(F.col("flow_key").alias("qkey"), F.col("ts").alias("t"), "cls_f",
+    q = (fq.select(F.col("flow_key").alias("qkey"), F.col("ts").alias("t"), "cls_f", "c",
                    F.explode(F.array(*dirs)).alias("d"))
            .where(F.col("d").isNotNull())
-           .select("qkey", "t", "cls_f", "d.dir", "d.jkey"))
+           .select("qkey", "t", "cls_f", "c", "d.dir", "d.jkey"))
+    return q, points, integral
+
+
+def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
+                 *, cardinality: str = "split", directions: str = "both",
+                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=(),
+                 sub_cell_ms: int = 3_600_000, reuse_points: bool | None = None) -> DataFrame:
+    """Label per distinct flow point ``(flow_key, ts)``.
+
+    ``tolerance_ms`` is one tolerance, or a ``{name: ms}`` dict answered in the
+    same shuffle (then ``tolerance`` and ``tolerance_ms`` columns are added).
+
+    Returns ``flow_key, ts, label, match_pass, n_cand_f, n_cand_r`` where
+    ``match_pass`` is ``uf``/``ur``/``df``/``dr`` (unique or repeated flow key,
+    forward or reverse) and the ``n_cand_*`` columns count class-compatible label
+    rows in tolerance (so "has candidates but no label" is observable).
+    """
+    if cardinality not in ("split", "any"):
+        raise ValueError("cardinality must be 'split' or 'any'")
+    if directions not in ("both", "forward"):
+        raise ValueError("directions must be 'both' or 'forward'")
+    multi = dict(tolerance_ms) if isinstance(tolerance_ms, dict) else None
+    tols = list(multi.items()) if multi is not None else [(None, tolerance_ms)]
+    tols = [(n, int(ms)) for n, ms in tols]
+    if not tols or any(ms < 0 for _, ms in tols):
+        raise ValueError("tolerances must be >= 0")
+    q, points, integral = _match_inputs(flows, labels, directions, flow_ts, label_ts, scope, reuse_points)
 
     if max(ms for _, ms in tols) <= sub_cell_ms:
         # a cell of width tol <= sub_cell_ms already bounds every window partition
@@ -417,18 +423,86 @@ def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
     return base.join(res, cond, "left").drop("__mk", "__mt", "__ts", "__fk")
 
 
-def tolerance_sweep(flows: DataFrame, labels: DataFrame,
-                    tolerances: dict[str, int] | None = None, **kw) -> DataFrame:
-    """Labelled flows and flows with candidates per named tolerance.
+def _side(rows: DataFrame, name: str, order: list, sign: int) -> DataFrame:
+    """For each row the nearest label row at or before it in ``order`` and the nearest that contradicts that one.
 
-    All tolerances are answered in one plan (one shuffle of label points and
-    probes, tagged by tolerance); counts weight each flow point by its rows.
+    Adds distances ``{name}_any`` (any candidate), ``{name}`` (a label), ``{name}_other`` (another label than ``{name}_label``).
+    Running windows only, on one sort.
     """
-    tolerances = tolerances or TIME_TOLERANCES
-    m = match_points(flows, labels, dict(tolerances), **kw)
-    fv = flows if "flow_key" in flows.columns else with_flow_keys(flows)
-    ts_col = kw.get("flow_ts", FLOW_TS)
-    counts = (fv.select("flow_key", numeric_ts(fv, ts_col).alias("ts"))
+    w = Window.partitionBy("jkey", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    lab = F.col("n_lab") > 0
+    rows = rows.withColumns({
+        "__last": F.last(F.when(lab, F.struct("ts", "l_min", "l_max")), True).over(before)})
+    # the nearest point that holds another label than this row's: itself, the one before, or as for the one before
+    differs = (F.col("__last.l_min") != F.col("l_min")) | (F.col("__last.l_max") != F.col("l_max"))
+    other = F.when(lab, F.when(F.col("l_min") != F.col("l_max"), F.col("ts")).when(differs, F.col("__last.ts")))
+    rows = rows.withColumn("__other", other)
+    at = F.last(F.when(lab, F.struct("ts", "l_min")), True).over(w)
+    rows = rows.withColumns({f"{name}_any": F.last(F.when(F.col("n_cand") > 0, F.col("ts")), True).over(w), "__at": at,
+                             f"{name}_other": F.last("__other", True).over(w)})
+    gap = {c: (F.col("ts") - F.col(x)) * sign for c, x in ((f"{name}_any", f"{name}_any"), (name, "__at.ts"), (f"{name}_other", f"{name}_other"))}
+    return rows.withColumns({**gap, f"{name}_label": F.col("__at.l_min")}).drop("__last", "__other", "__at")
+
+
+def _nested(q: DataFrame, points: DataFrame, tols: list, integral: bool, cardinality: str) -> DataFrame:
+    """Per flow point (qkey, t, w): arrays ``ok`` and ``cand`` over the ascending tolerances, from one sorted pass.
+
+    All labels within a tolerance agree exactly if it reaches the nearest label but not yet the nearest that
+    contradicts it. Both distances hold for every tolerance, so each probe is sent once, to the cell of its time (as
+    wide as the largest tolerance), and each label point to its own cell and the two beside it.
+    """
+    width = max(1, max(ms for _, ms in tols))
+
+    def cell(c):
+        return F.floor(c / width) if not integral else F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
+    no = F.lit(None)
+    probes = q.select("jkey", cell(F.col("t")).cast("double").alias("cell"), F.col("t").alias("ts"), F.lit(1).alias("kind"), no.cast("string").alias("l_min"),
+                      no.cast("string").alias("l_max"), no.cast("long").alias("n_lab"), no.cast("long").alias("n_cand"),
+                      no.cast("int").alias("cls_l"), "qkey", "cls_f", "c", "dir")
+    marks = points.select("jkey", F.explode(F.array(*[(cell(F.col("ts")) + d).cast("double") for d in (-1, 0, 1)])).alias("cell"), "ts", F.lit(0), "l_min",
+                          "l_max", "n_lab", "n_cand", F.col("cls_l").cast("int"), no.cast("string"), no.cast("int"), no.cast("long"), no.cast("string"))
+    rows = _side(probes.union(marks), "back", [F.col("ts"), F.col("kind")], 1)
+    rows = _side(rows, "ahead", [F.col("ts").desc(), F.col("kind")], -1)
+    # one class per label key, so any label row of the cells tells it
+    rows = rows.withColumn("cls_l", F.max("cls_l").over(Window.partitionBy("jkey", "cell"))).where("kind = 1")
+    near = F.least("back", "ahead")
+    clash = F.least("back_other", "ahead_other", F.when(F.col("back_label") != F.col("ahead_label"), F.greatest("back", "ahead")))
+    fits = F.lit(True) if cardinality == "any" else F.col("cls_l") == F.col("cls_f")
+
+    def flags(cond):
+        return [F.max(F.coalesce(fits & cond(F.lit(ms)), F.lit(False))) for _, ms in tols]
+    return rows.groupBy("qkey", F.col("ts").alias("t")).agg(
+        F.sum(F.when(F.col("dir") == "F", F.col("c"))).alias("w"),
+        F.array(*flags(lambda ms: (near <= ms) & (clash.isNull() | (clash > ms)))).alias("ok"),
+        F.array(*flags(lambda ms: F.least("back_any", "ahead_any") <= ms)).alias("cand"))
+
+
+def tolerance_sweep(flows: DataFrame, labels: DataFrame, tolerances: dict[str, int] | None = None, *,
+                    cardinality: str = "split", directions: str = "both", flow_ts: str = FLOW_TS, label_ts: str = "ts_ms",
+                    scope=(), sub_cell_ms: int = 3_600_000) -> DataFrame:
+    """Labelled flows and flows with candidates per named tolerance (J8); counts weight each flow point by its rows.
+
+    Tolerances up to ``sub_cell_ms`` are answered together by one sorted pass (``_nested``); wider ones, whose cells could hold
+    too many points of a hot key, by the sub-cell plan of :func:`match_points`, once for each tolerance.
+    """
+    tolerances = {n: int(ms) for n, ms in (tolerances or TIME_TOLERANCES).items()}
+    if any(ms < 0 for ms in tolerances.values()):
+        raise ValueError("tolerances must be >= 0")
+    tols = list(tolerances.items())
+    if max(tolerances.values()) <= sub_cell_ms:
+        if scope:
+            flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
+        q, points, integral = _match_inputs(flows, labels, directions, flow_ts, label_ts, (), None)
+        per = _nested(q, points, tols, integral, cardinality)
+        one = per.agg(*[F.sum(F.when(F.col(c)[i], F.col("w"))).alias(f"{c}{i}") for c in ("ok", "cand") for i in range(len(tols))])
+        rows = [F.struct(F.lit(n).alias("tolerance"), F.lit(ms).cast("bigint").alias("tolerance_ms"), F.coalesce(f"ok{i}", F.lit(0)).cast(
+            "bigint").alias("labelled"), F.coalesce(f"cand{i}", F.lit(0)).cast("bigint").alias("with_candidates")) for i, (n, ms) in enumerate(tols)]
+        return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    m = match_points(flows, labels, tolerances, cardinality=cardinality, directions=directions, flow_ts=flow_ts, label_ts=label_ts,
+                     scope=scope, sub_cell_ms=sub_cell_ms)
+    fv = _scope_keys(flows, scope) if scope else flows if "flow_key" in flows.columns else with_flow_keys(flows)
+    counts = (fv.select("flow_key", numeric_ts(fv, flow_ts).alias("ts"))
                 .where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
                 .groupBy("flow_key", "ts").agg(F.count(F.lit(1)).alias("w")))
     return (counts.join(m, ["flow_key", "ts"])
