@@ -10,7 +10,7 @@ by these numbers, to buckets of pairs. A bucket of pairs
 becomes one shard of the trie: level 1 holds the contexts, pointers give each context's range
 in level 2, and level 2 holds successors relative to their context, made monotone by the
 context's rank. All three are Elias-Fano coded; each successor has a 16-bit quantised smoothed
-log probability. The levels lie in a file that is mapped into memory; all pairs of all
+log probability. The levels lie in anonymous memory maps of the task, in no file; all pairs of all
 documents are looked up there by successor search inside their context's range, and the codes
 go back to the slabs, which add them up. A frequent context is spread over all shards, since
 pairs are dealt by both words. Word statistics, pairs and answers all grow with the corpus and
@@ -22,8 +22,7 @@ so scores are 0; an empty table gives an empty result; other columns are ignored
 """
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 import zlib
 
 import numpy as np
@@ -71,9 +70,9 @@ class EliasFano:
 
 
 class Trie:
-    """Levels of one shard, mapped from a file."""
+    """Levels of one shard, each in an anonymous memory map."""
 
-    def __init__(self, folder: str, ctx: np.ndarray, succ: np.ndarray, log10p: np.ndarray):
+    def __init__(self, ctx: np.ndarray, succ: np.ndarray, log10p: np.ndarray):
         """``ctx``, ``succ``: numbers of distinct pairs sorted by both; their log probabilities."""
         level1, start = np.unique(ctx, return_index=True)
         dictionary = np.unique(succ)
@@ -81,19 +80,20 @@ class Trie:
         relative = rank.astype(np.uint64) * np.uint64(max(1, len(dictionary))) \
             + np.searchsorted(dictionary, succ).astype(np.uint64)
         code = 1 + np.minimum(65534, np.rint(-log10p * STEP)).astype(np.uint16)
-        self.folder, self.at = folder, {}
+        self.at = {}
         for name, values in (("contexts", level1), ("pointers", np.r_[start, len(ctx)].astype(np.uint64)),
                              ("words", dictionary), ("successors", relative)):
             ef = EliasFano.of(values)
-            self.at[name] = (ef.n, ef.low_bits, self._map(name + ".low", ef.low), self._map(name + ".high", ef.high))
-        self.codes = self._map("codes", code)
+            self.at[name] = (ef.n, ef.low_bits, self._map(ef.low), self._map(ef.high))
+        self.codes = self._map(code)
 
-    def _map(self, name: str, array: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _map(array: np.ndarray) -> np.ndarray:
         if not len(array):
             return array
-        path = os.path.join(self.folder, name)
-        array.tofile(path)
-        return np.memmap(path, array.dtype, "r")
+        pages = mmap.mmap(-1, array.nbytes)
+        pages.write(array.tobytes())
+        return np.frombuffer(pages, array.dtype)
 
     def level(self, name: str) -> np.ndarray:
         return EliasFano(*self.at[name]).values()
@@ -205,8 +205,7 @@ def _shard(n_tokens: int, n_words: int, prior: float):
         seen = total > 0
         first, total = first[seen], total[seen]
         p = (total + prior * unigram(c_word[first], n_tokens, n_words)) / (c_ctx[first] + prior)
-        with tempfile.TemporaryDirectory() as folder:
-            codes = Trie(folder, ctx[first], word[first], np.log10(p)).lookup(ctx, word)
+        codes = Trie(ctx[first], word[first], np.log10(p)).lookup(ctx, word)
         ends = np.cumsum(size)
         return pd.DataFrame([(s, 2, b, zip_bytes(codes[e - k:e].tobytes()), 0, 0)
                              for s, b, e, k in zip(pdf["slab"], pdf["bucket"], ends, size)],

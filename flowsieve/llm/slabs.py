@@ -1,7 +1,8 @@
 """Documents dealt once into slabs, so that tasks can exchange compact arrays about them.
 
-A slab is a set of whole documents of about ``SLAB_BYTES`` text bytes, chosen by a hash of id
-and text. The slabs are written as one bucketed table in the shared folder; later passes
+A slab is a set of whole documents of about ``SLAB_BYTES`` text bytes, chosen by a hash of id, text
+and row, so that copies of one row are dealt out too. The slabs are written as one bucketed table in the shared folder, with
+several slabs a bucket where there are more than Spark's limit of buckets; later passes
 read each slab where it lies (the scan keeps the table's partitioning, only the much smaller
 answers are shuffled to it). Inside a slab, texts are one byte string with document ends.
 """
@@ -49,10 +50,12 @@ def deal(docs: DataFrame, slab_bytes: int = SLAB_BYTES) -> tuple[DataFrame, int]
                 yield pd.DataFrame({"slab": [slab], "key": [xxhash.xxh64_intdigest(text + ids.tobytes()) >> 1],
                                     "ids": [ids.tobytes()], "lens": [np.array([len(r) for r in raw], "<i8").tobytes()],
                                     "text": [zip_bytes(text)]})
-    packed = src.withColumn("slab", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).mapInPandas(
+    row = F.monotonically_increasing_id()  # the same whenever a split of the input is read again
+    packed = src.withColumn("slab", F.pmod(F.xxhash64("doc_id", "text", row), F.lit(n)).cast("long")).mapInPandas(
         pack, "slab long, key long, ids binary, lens binary, text binary")
     name = f"slabs_{uuid.uuid4().hex}"
-    (packed.repartition(n, "slab").write.format("parquet").bucketBy(n, "slab")
+    buckets = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    (packed.repartition(buckets, "slab").write.format("parquet").bucketBy(buckets, "slab")
      .option("compression", "uncompressed").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
     return spark.table(name), n
 

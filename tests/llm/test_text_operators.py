@@ -69,6 +69,22 @@ def test_suffix_dedup_equals_brute_force(sql):
     assert suffix_dedup.remove_repeats(docs_of(sql, [])).count() == 0
 
 
+def test_more_slabs_than_buckets(sql):
+    rows = [(i % 40, ("repeat me, this passage is far longer than fifty bytes " if i % 3 else "") + f"text {i} " * 12) for i in range(90)]
+    rows += [(5, "the same row of one id, many times over, and long enough to count")] * 30
+    limit = "spark.sql.sources.bucketing.maxBuckets"
+    want = ids(repeats(rows))
+    scores = sorted(tuple(r) for r in ngram_lm.score(docs_of(sql, rows)).collect())
+    sql.conf.set(limit, "3")  # a session deals into eight slabs at least
+    try:
+        assert ids(suffix_dedup.remove_repeats(docs_of(sql, rows)).collect()) == want
+        few = sorted(tuple(r) for r in ngram_lm.score(docs_of(sql, rows)).collect())
+    finally:
+        sql.conf.unset(limit)
+    assert [r[:5] for r in few] == [r[:5] for r in scores]
+    assert np.allclose([r[5:] for r in few], [r[5:] for r in scores])
+
+
 def test_groups_survive_hash_collisions(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_M", [np.uint64(0)] * 4)  # every row hashes alike
     rows = np.array([[3, 1], [2, 2], [3, 1], [2, 2], [5, 5]], np.uint64)
