@@ -24,8 +24,6 @@ every row counts; an empty table gives an empty result; other columns are ignore
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +33,9 @@ from .slabs import cut, unzip_bytes, zip_bytes
 from .components import components
 
 MIN_COUNT, TOP, COVER = 30, 2000, 80
-CHUNK, PART, BLOCK, SALTS = 16 << 20, 16 << 20, 1024, 64
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-_TOKEN = re.compile(rb"[^ \n]+|\n")
+CHUNK, PART, BLOCK, SALTS = 10 << 20, 10 << 20, 1024, 64
+# A piece ends at any of .,;:!? and \x0A-\x0D, here all a full stop; after that the only blanks are spaces.
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
 
 
 _ROW = "part int, lang string, grams binary"
@@ -57,16 +55,28 @@ def _hash(lang: str, vocab: list, words: np.ndarray) -> np.ndarray:
 
 def pack(lang: str, vocab: list, words: np.ndarray, n: np.ndarray, by: int, parts: int) -> list[dict]:
     """Rows (part, lang, grams) of counted grams; the part is a hash of language and first ``by`` words."""
+    v, m = len(vocab), words.shape[1]
     part = (_hash(lang, vocab, words[:, :by]) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((*words.T[::-1], part))
+    wide = words.astype(np.int64)
+    first = wide[:, 0] * v + wide[:, 1]
+    keys = (first, part) if m == 2 else (wide[:, 2] * v + wide[:, 3], first, part)
+    if parts * v * v < 1 << 62:  # part and first words as one number
+        keys = (*keys[:-2], part * (v * v) + first)
+    order = np.lexsort(keys)
     words, n, part = words[order], n[order], part[order]
     out = []
     for p, s, e in cut(part):
-        used, local = np.unique(words[s:e].T, return_inverse=True)  # columns one after the other: sorted runs stay together
+        cells = words[s:e].T  # columns one after the other: sorted runs stay together
+        if 4 * cells.size > v:
+            used = np.flatnonzero(np.bincount(cells.ravel(), minlength=v))
+            place = np.zeros(v, np.int64)
+            place[used] = np.arange(len(used))
+            local = place[cells]
+        else:
+            used, local = np.unique(cells, return_inverse=True)
         kind = "<u2" if len(used) < 1 << 16 else "<u4"
-        head = np.array([e - s, len(used)], "<i8").tobytes()
         body = b"\n".join([vocab[i] for i in used.tolist()])
-        data = (head + np.array([len(body)], "<i8").tobytes() + body + local.reshape(words.shape[1], e - s).astype(kind).tobytes()
+        data = (np.array([e - s, len(used), len(body)], "<i8").tobytes() + body + local.reshape(m, e - s).astype(kind).tobytes()
                 + n[s:e].astype("<i8").tobytes())
         out.append({"part": p, "lang": lang, "grams": zip_bytes(data)})
     return out
@@ -79,7 +89,7 @@ def unpack(rows: list, m: int) -> tuple[list, np.ndarray, np.ndarray]:
     for r in rows:
         data = unzip_bytes(r)
         n, v, size = np.frombuffer(data, "<i8", 3).tolist()
-        to = np.array([code.setdefault(w, len(code)) for w in data[24:24 + size].split(b"\n")], np.int64)
+        to = np.array([code.setdefault(w, len(code)) for w in data[24:24 + size].split(b"\n")], np.int32)
         kind = np.dtype("<u2" if v < 1 << 16 else "<u4")
         at = 24 + size
         grams.append(to[np.frombuffer(data, kind, m * n, at).reshape(m, n).T])
@@ -87,31 +97,42 @@ def unpack(rows: list, m: int) -> tuple[list, np.ndarray, np.ndarray]:
     return list(code), np.concatenate(grams), np.concatenate(counts)
 
 
-def _add(grams: np.ndarray, n: np.ndarray, v: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1 word on: (place of one gram with each distinct beginning, sum of their counts)."""
+def _add(grams: np.ndarray, n: np.ndarray, v: int, lengths) -> dict:
+    """For beginnings of each of ``lengths`` words: (place of one gram with each distinct one, sum of their counts)."""
     import pandas as pd
 
-    out, key = [], np.zeros(len(grams), np.int64)
+    out, key = {}, np.zeros(len(grams), np.int64)
     for j in range(grams.shape[1]):
         key, u = pd.factorize(key * v + grams[:, j])
-        at = np.empty(len(u), np.int64)
-        at[key[::-1]] = np.arange(len(key))[::-1]
-        total = np.zeros(len(u), np.int64)
-        np.add.at(total, key, n)
-        out.append((at, total))
+        if j + 1 in lengths:
+            at = np.empty(len(u), np.int64)
+            at[key[::-1]] = np.arange(len(key))[::-1]
+            # sums in doubles are exact below 2^53
+            out[j + 1] = at, np.bincount(key, n, len(u)).astype(np.int64)
     return out
 
 
 def count(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
     """(words, distinct longest grams as four numbers, counts) of texts; 0 stands after the end of a piece."""
-    code = {b"\n": 0}
-    ids = np.array([code.setdefault(t, len(code)) for t in _TOKEN.findall(b"\n".join(texts).translate(_LOWER))], np.int64)
-    w = [ids]
+    import pandas as pd
+
+    code = {b".": 0}
+    tokens = b".".join(texts).translate(_LOWER).replace(b".", b" . ").split()
+    ids = np.array([code.setdefault(t, len(code)) for t in tokens], np.int32)
+    del tokens
+    v, w = len(code), [ids]
     for k in (1, 2, 3):
-        w.append(np.where(w[-1] > 0, np.concatenate([ids[k:], np.zeros(min(k, len(ids)), np.int64)]), 0))
+        w.append(np.where(w[-1] > 0, np.concatenate([ids[k:], np.zeros(min(k, len(ids)), np.int32)]), 0))
     grams = np.stack([x[ids > 0] for x in w], axis=1)
-    at, n = _add(grams, np.ones(len(grams), np.int64), len(code))[-1]
-    return [b"", *list(code)[1:]], grams[at], n
+    del w, ids
+    wide = [grams[:, j].astype(np.int64) for j in range(4)]
+    head, _ = pd.factorize(wide[0] * v + wide[1])
+    tail, kinds = pd.factorize(wide[2] * v + wide[3])
+    del wide
+    key, u = pd.factorize(head * max(1, len(kinds)) + tail)
+    at = np.empty(len(u), np.int64)
+    at[key[::-1]] = np.arange(len(key))[::-1]
+    return [b"", *list(code)[1:]], grams[at], np.bincount(key, minlength=len(u))
 
 
 def edges(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
@@ -156,22 +177,22 @@ def _flow(packed: DataFrame, m: int, parts: int, min_count: int) -> DataFrame:
 
     def solve(lang, rows):
         vocab, grams, n = unpack(rows, m)
-        levels = _add(grams, n, len(vocab))
+        levels = _add(grams, n, len(vocab), (2, 3, 4) if m == 4 else (1, 2))
         text = [w.decode("utf-8", "replace") for w in vocab]
 
-        def frequent(level, last):
-            at, total = levels[level]
-            ok = (total >= min_count) & (grams[at, last] > 0)
+        def frequent(length):
+            at, total = levels[length]
+            ok = (total >= min_count) & (grams[at, length - 1] > 0)
             return zip(grams[at[ok]].tolist(), total[ok].tolist())
         if m == 4:
             yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g[:3]), "next": text[g[3]], "n": k}
-                        for g, k in frequent(3, 3))
-            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g[:3]), "n": k} for g, k in frequent(2, 2))
-            at, total = levels[1]
+                        for g, k in frequent(4))
+            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g[:3]), "n": k} for g, k in frequent(3))
+            at, total = levels[2]
             yield from pack(lang, vocab, grams[at, :2], total, 2, parts)
         else:
-            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g), "n": k} for g, k in frequent(1, 1))
-            at, total = levels[0]
+            yield from ({"lang": lang, "phrase": " ".join(text[i] for i in g), "n": k} for g, k in frequent(2))
+            at, total = levels[1]
             yield from ({"lang": lang, "next": text[i], "n": k} for i, k in zip(grams[at, 0].tolist(), total.tolist()))
 
     def run(batches):
