@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, fingerprints, langid, licenses, minhash, ngram_lm, packing, periodic, phrases, pii, quality, simhash,
-               suffix_dedup)
+from . import (decontaminate, fingerprints, langid, licenses, minhash, ngram_lm, oracles, packing, periodic, phrases, pii, quality,
+               simhash, suffix_dedup)
 from .common import crc_mod, load, prepare
 
 
@@ -84,4 +84,5 @@ def op13_phrases(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_lm_scoring, op3_langid, op4_decontaminate, op5_fingerprints, op6_license_scan, op7_quality,
     op8_pii, op9_packing, op10_simhash, op11_periodic_runs, op12_minhash, op13_phrases)}
-ORACLES: dict[str, str] = {"op12_minhash": minhash.ORACLE, "op13_phrases": phrases.ORACLE}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_decontaminate": oracles.DECONTAMINATE,
+                            "op12_minhash": minhash.ORACLE, "op13_phrases": phrases.ORACLE}
