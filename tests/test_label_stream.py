@@ -1,4 +1,6 @@
 """Label streams against the batch match, and key majorities."""
+import uuid
+
 import pytest
 from conftest import SF_SMALL
 
@@ -30,8 +32,8 @@ def test_ties_nulls_and_copies(spark):
     assert got == [(1, "x", 3), (2, None, 0), (3, None, 2), (4, None, 0), (5, None, 0), (6, None, 1), (7, "x", 3)]
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    root = f"{shared_dir(spark)}/late-{tmp_path.name}"
+def test_late_rows_are_counted(spark):
+    root = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
 
     def step(k, flows, labels):
         spark.createDataFrame(flows, FLOW).write.parquet(f"{root}/in/f/{k}")
