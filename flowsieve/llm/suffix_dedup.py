@@ -5,14 +5,16 @@ a smaller id. Suffixes only need ordering through 50 bytes, and groups that are
 depth are exactly the repeated windows. The sort runs by most-significant-digit passes that
 drop suffixes as soon as they are alone:
 
-* digit 1: every window has one anchor, the 24-byte string in it with the smallest hash.
+* distribution: every window has one anchor, the 24-byte string in it with the smallest hash.
   Anchors, not all positions, are grouped (about 1 in 14), by 32 bits within a bucket of the
   leading bits; anchors alone there are done. Only one bit a suffix comes back.
-* digit 2: the windows that share an anchor form a span of at most 76 bytes. Spans are first
-  grouped in the slab (copies there need no exchange), then in their anchor's bucket; in a group
-  of equal spans all but the smallest document's are repeats, in full.
-* digit 3: the first spans of anchors with several different spans are sorted window by window
-  through all 50 bytes; groups are compared byte by byte.
+* copies: the windows that share an anchor form a span of at most 76 bytes. Equal spans are
+  joined in the slab (copies there need no exchange), then in their anchor's bucket; of
+  equal spans all but the smallest document's are repeats, in full.
+* radix passes: the suffixes in the first spans of anchors with several different spans are
+  ordered by one eight-byte digit after the other, most significant first, through 50 bytes and no
+  deeper (``ordered``). A pass splits each group by its next digit and drops suffixes that are alone.
+  Bytes that all suffixes of a group share, those of the anchor, need no pass.
 
 A hot passage sends each of its spans at most once per slab. Texts are shuffled once
 (``slabs``) and each pass streams over short pieces of a slab.
@@ -116,22 +118,55 @@ def _words(rows: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64)
 
 
+def ordered(digits: np.ndarray, at: np.ndarray, group: np.ndarray, depths: list[int]) -> np.ndarray:
+    """Most-significant-digit passes over the suffixes at ``at``, already split into ``group``.
+
+    ``digits[i]`` is the eight-byte digit at byte i; ``depths`` are the digits' places in a suffix, in
+    order. Gives the number of the group of suffixes equal in all of them, -1 where a suffix is alone.
+    """
+    number, live = np.full(len(at), -1, np.int64), np.arange(len(at))
+    for depth in depths:
+        digit = digits[at[live] + depth].astype(np.uint64)
+        order = np.lexsort((digit, group))
+        digit, group, live = digit[order], group[order], live[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])][:len(live)]
+        size = np.diff(np.r_[np.flatnonzero(new), len(live)])
+        keep = np.repeat(size > 1, size)
+        group, live = np.cumsum(new)[keep], live[keep]
+        if not len(live):
+            return number
+    number[live] = group
+    return number
+
+
+def _depths(lo: int, hi: int) -> list[int]:
+    """Places of the eight-byte digits that cover bytes ``lo`` to ``hi``; the last may overlap the one before."""
+    return [min(d, hi - 8) for d in range(lo, hi, 8)]
+
+
 def repeated_windows(mat: np.ndarray, off: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For spans aligned at their anchor in the rows of ``mat``: which windows (by column) a smaller document has."""
     gone = np.zeros((len(mat), REACH + 1), bool)
-    anchor = _groups(_words(mat[:, REACH:REACH + GRAM]))
-    several = np.flatnonzero(np.bincount(anchor, minlength=1)[anchor] > 1) if len(mat) else np.zeros(0, np.int64)
+    if not len(mat):
+        return gone
+    mat = np.ascontiguousarray(mat)
+    width = mat.shape[1]
+    digits = np.ndarray((mat.size - 7,), ">u8", mat, strides=(1,))
+    anchor = ordered(digits, np.arange(len(mat)) * width, np.zeros(len(mat), np.int64), _depths(REACH, REACH + GRAM))
+    several = np.flatnonzero(anchor >= 0)
     first = REACH - off
-    for c in range(REACH + 1):
+    for c in range(REACH + 1):  # suffixes at one distance before their anchor
         rows = several[(first[several] <= c) & (c < first[several] + n[several])]
         if len(rows) > 1:
-            g = _groups(_words(mat[rows, c:c + LENGTH]))
-            gone[rows, c] = doc[rows] > _smallest(g, doc[rows])
+            depths = _depths(0, REACH - c) if REACH - c >= 8 else [0] if c < REACH else []
+            g = ordered(digits, rows * width + c, anchor[rows], depths + _depths(REACH - c + GRAM, LENGTH))
+            same = np.flatnonzero(g >= 0)
+            gone[rows[same], c] = doc[rows[same]] > _smallest(g[same], doc[rows[same]])
     return gone
 
 
 def _local(slab: Slab, answers: pd.DataFrame | None, n_buckets: int) -> pd.DataFrame:
-    """Second digit inside a slab: repeats settled here, and each remaining span once, by bucket."""
+    """Copies inside a slab: repeats settled here, and each remaining span once, by bucket."""
     p0, n, off, gram = spans(slab)
     u, inv, count = np.unique(gram, return_inverse=True, return_counts=True)
     bits = np.zeros(len(u), bool)
@@ -199,7 +234,7 @@ def _union(slab: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[i
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Second and third digit in a bucket: removed ranges by slab."""
+    """Copies and radix passes in a bucket: removed ranges by slab."""
     out = [(int(s), a) for s, a, d in zip(pdf["slab"], pdf["at"], pdf["docs"]) if d is None]
     pdf = pdf[pdf["docs"].notna()]
     if len(pdf):
@@ -281,9 +316,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"slab": pdf["slab"], "bucket": pdf["bucket"],
                              "bits": [np.packbits(shared[e - k:e]).tobytes() for e, k in zip(ends, size)]})
 
-    digit1 = each_slab(table, anchors, "bucket long, slab long, low binary").groupBy("bucket").applyInPandas(
+    shared = each_slab(table, anchors, "bucket long, slab long, low binary").groupBy("bucket").applyInPandas(
         alone, "slab long, bucket long, bits binary")
-    digit2 = each_slab(table, lambda slab, got: _local(slab, got, n), (
-        "bucket long, slab long, docs binary, offs binary, ns binary, occs binary, at binary, spans binary"), digit1)
-    ranges = digit2.groupBy("bucket").applyInPandas(_settle, "slab long, ranges binary")
+    sent = each_slab(table, lambda slab, got: _local(slab, got, n), (
+        "bucket long, slab long, docs binary, offs binary, ns binary, occs binary, at binary, spans binary"), shared)
+    ranges = sent.groupBy("bucket").applyInPandas(_settle, "slab long, ranges binary")
     return each_slab(table, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ranges)
