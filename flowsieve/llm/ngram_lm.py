@@ -10,9 +10,10 @@ by these numbers, to buckets of pairs. A bucket of pairs
 becomes one shard of the trie: level 1 holds the contexts, pointers give each context's range
 in level 2, and level 2 holds successors relative to their context, made monotone by the
 context's rank. All three are Elias-Fano coded; each successor has a 16-bit quantised smoothed
-log probability. The levels lie in anonymous memory maps of the task, in no file; all pairs of all
-documents are looked up there by successor search inside their context's range, and the codes
-go back to the slabs, which add them up. A frequent context is spread over all shards, since
+log probability. The levels lie in anonymous memory maps of the task, in no file, and are never
+decoded whole: the distinct pairs of all documents are looked up in the packed bits, their context by
+select on the unary parts, then their word by successor search inside the context's range of pointers.
+The codes go back to the slabs, which add them up. A frequent context is spread over all shards, since
 pairs are dealt by both words. Word statistics, pairs and answers all grow with the corpus and
 stay in tasks; the driver sees N and V only.
 
@@ -37,11 +38,36 @@ from .slabs import NULL_ID, Slab, bucket_of, cut, deal, each_slab, unzip_bytes,
 HELD_OUT, FOLDS, PRIOR, STEP = 2, 7, 300.0, 4000.0
 
 
+#: Place of the k-th one bit of a byte, by byte and k.
+_IN_BYTE = np.argsort(-((np.arange(256)[:, None] >> np.arange(8)) & 1), axis=1, kind="stable").astype(np.int64)
+
+
+def _select(words: np.ndarray, ones: np.ndarray, k: np.ndarray, flag: int) -> np.ndarray:
+    """Place of the k-th (from 0) bit equal to ``flag``; ``ones``: one bits before each 64-bit word."""
+    before = ones if flag else (np.arange(len(ones)) << 6) - ones
+    w = np.searchsorted(before, k, "right") - 1
+    rest = (k - before[w]).astype(np.uint8)
+    x = words[w] if flag else ~words[w]
+    at = w << 6
+    for half in (32, 16, 8):
+        low = np.bitwise_count(x & np.uint64((1 << half) - 1))
+        right = rest >= low
+        rest -= low * right
+        x = x >> (right * np.uint64(half))
+        at += right * half
+    return at + _IN_BYTE[x & np.uint64(255), rest]
+
+
 class EliasFano:
-    """A non-decreasing sequence of unsigned 64-bit numbers: packed low bits and unary high parts."""
+    """A non-decreasing sequence of unsigned 64-bit numbers: packed low bits and unary high parts.
+
+    Both are 64-bit words, with one count of one bits a word; single numbers and successors are found
+    by select on the packed bits, without decoding the sequence.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self.ones = np.cumsum(np.r_[0, np.bitwise_count(high[:-1])], dtype=np.int64)
 
     @classmethod
     def of(cls, values: np.ndarray) -> "EliasFano":
@@ -49,28 +75,63 @@ class EliasFano:
         bits = max(0, ((top + 1) // max(1, n)).bit_length() - 1)
         v = values.astype(np.uint64)
         upper = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros(int(upper[-1]) + 1 if n else 0, np.uint8)
+        flags = np.zeros((int(upper[-1]) + 1 if n else 0) + 1, np.uint8)  # a zero ends the last part
         flags[upper] = 1
         low = np.zeros((n, bits), np.uint8)
         for i in range(bits):
             low[:, i] = (v >> np.uint64(i)).astype(np.uint8) & 1
-        return cls(n, bits, np.packbits(low.reshape(-1)), np.packbits(flags))
+        return cls(n, bits, cls._packed(low.reshape(-1)), cls._packed(flags))
+
+    @staticmethod
+    def _packed(flags: np.ndarray) -> np.ndarray:
+        raw = np.packbits(flags, bitorder="little")
+        return np.r_[raw, np.zeros(-len(raw) % 8 + 8, np.uint8)].view("<u8")
 
     def values(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Numbers ``lo`` to ``hi``, decoded."""
-        hi = self.n if hi is None else hi
-        ones = np.flatnonzero(np.unpackbits(self.high))[lo:hi] - np.arange(lo, hi)
-        out = ones.astype(np.uint64) << np.uint64(self.low_bits)
-        first, last = lo * self.low_bits, hi * self.low_bits
-        raw = np.unpackbits(self.low[first // 8:-(-last // 8)])[first % 8:first % 8 + last - first]
-        raw = raw.reshape(hi - lo, self.low_bits)
-        for i in range(self.low_bits):
-            out |= raw[:, i].astype(np.uint64) << np.uint64(i)
-        return out
+        return self.at(np.arange(lo, self.n if hi is None else hi))
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        at = i * self.low_bits
+        w, shift = at >> 6, (at & 63).astype(np.uint64)
+        out = self.low[w] >> shift | self.low[w + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        return out & np.uint64((1 << self.low_bits) - 1)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at some places."""
+        high = (_select(self.high, self.ones, i, 1) - i).astype(np.uint64)
+        return high << np.uint64(self.low_bits) | self._low(i)
+
+    def search(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the successor (first number not below) of each of ``x`` within places ``lo`` to ``hi``, and whether it equals."""
+        high = x >> np.uint64(self.low_bits)
+        parts = np.uint64(len(self.high) * 64 - self.n - 1)  # zeros, with those that fill the last words
+        known = np.minimum(high, parts).astype(np.int64)
+        ends = _select(self.high, self.ones, known, 0) - known
+        start = np.where(known > 0, _select(self.high, self.ones, np.maximum(known - 1, 0), 0) - known + 1, 0)
+        start = np.where(high > parts, self.n, start)
+        ends = np.maximum(start, np.minimum(ends, self.n))
+        if lo is not None:
+            start, ends = np.clip(start, lo, hi), np.clip(ends, lo, hi)
+        want = x & np.uint64((1 << self.low_bits) - 1)
+        stop, live = ends.copy(), np.flatnonzero(start < ends)
+        while len(live):  # the numbers with this high part, by their low bits
+            mid = (start[live] + stop[live]) >> 1
+            less = self._low(mid) < want[live]
+            start[live] = np.where(less, mid + 1, start[live])
+            stop[live] = np.where(less, stop[live], mid)
+            live = live[start[live] < stop[live]]
+        equal = start < ends
+        equal[equal] = self._low(start[equal]) == want[equal]
+        return start, equal
 
 
 class Trie:
-    """Levels of one shard, each in an anonymous memory map."""
+    """Levels of one shard, each in an anonymous memory map, searched as they lie."""
+
+    BLOCK = 1 << 15
 
     def __init__(self, ctx: np.ndarray, succ: np.ndarray, log10p: np.ndarray):
         """``ctx``, ``succ``: numbers of distinct pairs sorted by both; their log probabilities."""
@@ -80,11 +141,11 @@ class Trie:
         relative = rank.astype(np.uint64) * np.uint64(max(1, len(dictionary))) \
             + np.searchsorted(dictionary, succ).astype(np.uint64)
         code = 1 + np.minimum(65534, np.rint(-log10p * STEP)).astype(np.uint16)
-        self.at = {}
+        self.level = {}
         for name, values in (("contexts", level1), ("pointers", np.r_[start, len(ctx)].astype(np.uint64)),
                              ("words", dictionary), ("successors", relative)):
             ef = EliasFano.of(values)
-            self.at[name] = (ef.n, ef.low_bits, self._map(ef.low), self._map(ef.high))
+            self.level[name] = EliasFano(ef.n, ef.low_bits, self._map(ef.low), self._map(ef.high))
         self.codes = self._map(code)
 
     @staticmethod
@@ -95,26 +156,26 @@ class Trie:
         pages.write(array.tobytes())
         return np.frombuffer(pages, array.dtype)
 
-    def level(self, name: str) -> np.ndarray:
-        return EliasFano(*self.at[name]).values()
-
     def lookup(self, ctx: np.ndarray, succ: np.ndarray) -> np.ndarray:
         """Codes of pairs of word numbers; 0 where the pair is not in the trie."""
         out = np.zeros(len(ctx), np.uint16)
-        contexts, words = self.level("contexts"), self.level("words")
-        if not len(contexts):
-            return out
-        r = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
-        w = np.minimum(np.searchsorted(words, succ), len(words) - 1)
-        here = np.flatnonzero((contexts[r] == ctx) & (words[w] == succ))
-        wanted = r[here].astype(np.uint64) * np.uint64(len(words)) + w[here].astype(np.uint64)
-        pointers, successors = self.level("pointers").astype(np.int64), self.level("successors")
-        found = np.searchsorted(successors, wanted)  # the successor search; its context's range ends at the next pointer
-        inside = found < pointers[r[here] + 1]
-        hit = here[inside][successors[found[inside]] == wanted[inside]]
-        out[hit] = self.codes[found[inside][successors[found[inside]] == wanted[inside]]]
+        for lo in range(0, len(ctx), self.BLOCK):
+            self._lookup(ctx[lo:lo + self.BLOCK], succ[lo:lo + self.BLOCK], out[lo:lo + self.BLOCK])
         return out
 
+    def _lookup(self, ctx: np.ndarray, succ: np.ndarray, out: np.ndarray) -> None:
+        run = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])  # equal contexts in a row are searched once
+        r, known = self.level["contexts"].search(ctx[run])
+        size = np.diff(np.r_[run, len(ctx)])
+        here = np.flatnonzero(np.repeat(known, size))
+        size, r = size[known], r[known]
+        first, last = (np.repeat(self.level["pointers"].at(x).astype(np.int64), size) for x in (r, r + 1))
+        base = np.repeat(r.astype(np.uint64) * np.uint64(max(1, self.level["words"].n)), size)
+        w, known = self.level["words"].search(succ[here])
+        here = here[known]
+        found, hit = self.level["successors"].search(base[known] + w[known].astype(np.uint64), first[known], last[known])
+        out[here[hit]] = self.codes[found[hit]]
+
 
 class Tokens:
     """Tokens of a slab as numbers into its sorted word hashes."""
@@ -205,7 +266,10 @@ def _shard(n_tokens: int, n_words: int, prior: float):
         seen = total > 0
         first, total = first[seen], total[seen]
         p = (total + prior * unigram(c_word[first], n_tokens, n_words)) / (c_ctx[first] + prior)
-        codes = Trie(ctx[first], word[first], np.log10(p)).lookup(ctx, word)
+        distinct = order[new]
+        found = Trie(ctx[first], word[first], np.log10(p)).lookup(ctx[distinct], word[distinct])
+        codes = np.empty(len(ctx), np.uint16)
+        codes[order] = found[np.cumsum(new) - 1]
         ends = np.cumsum(size)
         return pd.DataFrame([(s, 2, b, zip_bytes(codes[e - k:e].tobytes()), 0, 0)
                              for s, b, e, k in zip(pdf["slab"], pdf["bucket"], ends, size)],
