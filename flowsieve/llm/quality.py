@@ -7,12 +7,14 @@ probabilities P(grade >= 1) and P(grade >= 2), and ``keep`` = P(grade >= 1) abov
 chosen on a validation part of the sample.
 
 The fit reads a bounded sample: the first ``TRAIN_ROWS`` usable ratings by hash order (all of
-them below that), joined to their documents; words are hashed on the executors and only the
-buckets of words (at most 2**BITS a document) reach the driver. Prediction reads whole texts
-without a shuffle; the model's size is fixed.
+them below that), joined to one document each; words are hashed on the executors and only the
+``TRAIN_WORDS`` smallest buckets of a document's words reach the driver, so it never receives more than
+TRAIN_ROWS * (4 * TRAIN_WORDS + 24) bytes, whatever the lengths and however often an id is repeated.
+Prediction reads whole texts without a shuffle; the model's size is fixed.
 
 Cases: null text is empty text (the thresholds alone decide); ratings with a null id, null
-grade or no document are not used; repeated ratings count each; without ratings every
+grade or no document are not used; repeated ratings count each; of documents with one id the fit reads the
+one with the smallest text hash; without ratings every
 document has the middle grade and is kept; empty tables give an empty result; other columns
 are ignored.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import annotate, crc_mod, lowest, texts
 
-TRAIN_ROWS, BITS, GRADES, EPOCHS, LEAST_DOCS = 8000, 20, 3, 10, 10
+TRAIN_ROWS, TRAIN_WORDS, BITS, GRADES, EPOCHS, LEAST_DOCS = 8000, 8192, 20, 3, 10, 10
 HELD_OUT, FOLDS = 2, 5
 #: Word weights count less in long texts by this power of their distinct words; ridge penalty; learning rate.
 POWER, L2, RATE = 0.25, 1e-3, 0.3
@@ -112,20 +114,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         .where(crc_mod("doc_id", FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("rated_id"),
                                                             grade.alias("grade"))
     hashed = lowest(rated.withColumn("h", F.xxhash64("rated_id")), "h", TRAIN_ROWS)
-    some = hashed.orderBy("h", "rated_id", "grade").limit(TRAIN_ROWS).drop("h")
-    used = texts(docs).join(F.broadcast(some), F.col("doc_id") == F.col("rated_id")).select("doc_id", "text", "grade")
+    some = [(r[0], r[1]) for r in hashed.orderBy("h", "rated_id", "grade").limit(TRAIN_ROWS)
+            .select("rated_id", "grade").collect()]
+    words = _sampled_words(docs, sorted({i for i, _ in some}))
+    got = sorted((zlib.crc32(str(i).encode()), i, g) for i, g in some if i in words)
+    return train([words[i] for _, i, _ in got], np.array([g for _, _, g in got])) if got else None
+
+
+def _sampled_words(docs: DataFrame, wanted: list[int]) -> dict[int, np.ndarray]:
+    """Hashed words, at most ``TRAIN_WORDS``, of one document of each id of ``wanted`` that has one."""
+    ids = docs.sparkSession.createDataFrame([(i,) for i in wanted], "rated_id long")
+    used = texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("rated_id")) \
+        .select("doc_id", "text", F.xxhash64("text").alias("key"))
 
     def make(batches):
         import pandas as pd
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"],
-                                "words": [buckets(t).astype("<u4").tobytes() for t in b["text"]]})
-    got = used.mapInPandas(make, "doc_id long, grade int, words binary").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["grade"]))
-    if not got:
-        return None
-    return train([np.frombuffer(r["words"], "<u4").astype(np.int64) for r in got],
-                 np.array([r["grade"] for r in got]))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"],
+                                "words": [buckets(t)[:TRAIN_WORDS].astype("<u4").tobytes() for t in b["text"]]})
+    one = used.mapInPandas(make, "doc_id long, key long, words binary").groupBy("doc_id").agg(F.min_by("words", "key").alias("words"))
+    return {r["doc_id"]: np.frombuffer(r["words"], "<u4").astype(np.int64) for r in one.collect()}
 
 
 def grade(docs: DataFrame, model: dict | None, keep: bool = False) -> DataFrame:
