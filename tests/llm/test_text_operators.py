@@ -92,6 +92,29 @@ def test_groups_survive_hash_collisions(monkeypatch):
     assert g[0] == g[2] and g[1] == g[3] and len(set(g.tolist())) == 3
 
 
+def test_radix_passes_equal_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        size = rng.integers(1, 25)
+        off = rng.integers(0, 27, size)
+        first = suffix_dedup.REACH - off
+        n = np.minimum(rng.integers(1, 28, size), 27 - first)
+        base, mat = rng.integers(97, 99, (2, 76)), np.zeros((size, 76), np.uint8)
+        for i in range(size):
+            row = base[rng.integers(0, 2)].copy()
+            row[rng.integers(0, 76)] += rng.integers(0, 2)
+            mat[i, first[i]:first[i] + n[i] + 49] = row[first[i]:first[i] + n[i] + 49]
+        doc = rng.integers(0, 8, size)
+        windows = {(i, c): (c, mat[i, c:c + 50].tobytes()) for i in range(size) for c in range(first[i], first[i] + n[i])}
+        low = {}
+        for (i, _), key in windows.items():
+            low[key] = min(low.get(key, 99), doc[i])
+        want = np.zeros((size, 27), bool)
+        for at, key in windows.items():
+            want[at] = low[key] < doc[at[0]]
+        assert (suffix_dedup.repeated_windows(mat, off, n, doc) == want).all()
+
+
 # --- language model -------------------------------------------------------------------
 
 def test_scores_equal_a_plain_bigram_model(sql):
@@ -127,6 +150,34 @@ def test_elias_fano_round_trip():
         assert (ef.values() == v).all() and (ef.values(1, max(1, len(v) // 2)) == v[1:max(1, len(v) // 2)]).all()
 
 
+def test_successors_by_select_on_packed_bits():
+    rng = np.random.default_rng(1)
+    for v in (np.zeros(0, np.uint64), np.array([0], np.uint64), np.array([2**63 + 5] * 3, np.uint64), np.arange(64, dtype=np.uint64),
+              np.sort(rng.integers(0, 2**63, 999, np.uint64)), np.sort(rng.integers(0, 2**20, 5000, np.uint64))):
+        ef = ngram_lm.EliasFano.of(v)
+        x = np.r_[rng.integers(0, 2**63, 200, np.uint64), v, v + np.uint64(1), np.arange(70, dtype=np.uint64), np.uint64(2**64 - 1)]
+        place, equal = ef.search(x)
+        assert (place == np.searchsorted(v, x)).all() and (equal == np.isin(x, v)).all()
+        lo = rng.integers(0, len(v) + 1, len(x))
+        hi = rng.integers(lo, len(v) + 1)
+        place, equal = ef.search(x, lo, hi)
+        want = np.array([a + np.searchsorted(v[a:b], y) for y, a, b in zip(x, lo, hi)])
+        assert (place == want).all()
+        assert (equal == [p < b and v[p] == y for p, b, y in zip(want, hi, x)]).all()
+
+
+def test_trie_finds_its_pairs_and_no_others():
+    rng = np.random.default_rng(2)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.zipf(1.5, 4000) % 500, rng.integers(0, 300, 4000))})
+    ctx, succ = np.array(pairs, np.uint64).T
+    trie = ngram_lm.Trie(ctx[::2], succ[::2], np.linspace(-9, -0.01, len(pairs))[::2])
+    codes = trie.lookup(ctx, succ)
+    assert (codes[1::2] == 0).all()
+    assert np.allclose((1 - codes[::2].astype(float)) / ngram_lm.STEP, np.linspace(-9, -0.01, len(pairs))[::2], atol=1 / ngram_lm.STEP)
+    assert len(trie.lookup(ctx[:0], succ[:0])) == 0
+    assert (ngram_lm.Trie(ctx[:0], succ[:0], np.zeros(0)).lookup(ctx, succ) == 0).all()
+
+
 # --- language, decontamination, fingerprints, licenses, quality -----------------------
 
 def test_language_of_held_out_documents(sql):
@@ -238,6 +289,50 @@ def test_license_scan(sql):
     assert got == {1: "Apache-2.0", 2: "", 3: "", 4: "Apache-2.0,MIT", 5: "CC-BY-NC-4.0", 6: "GPL-3.0"}
 
 
+def test_items_without_an_id_are_no_item_named_none(sql):
+    bench = sql.createDataFrame([(None, "a b"), (None, "c d"), ("None", "c d"), ("x", "q")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(
+        docs_of(sql, [(1, "a b"), (2, "c d a b"), (3, "c d q"), (4, "z")]), bench).collect()}
+    sha = [hashlib.sha256(s).hexdigest() for s in (b"", b"None", b"None,x")]
+    assert got == {1: (2, 1, sha[0]), 2: (4, 2, sha[1]), 3: (3, 3, sha[2]), 4: (0, 0, sha[0])}
+
+
+@pytest.mark.parametrize("text, found", [
+    ("This work is licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 1", "GPL-1.0"),
+    ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("This Source Code Form is not subject to the terms of the Mozilla Public License, v. 2.0", ""),
+    ("This is not licensed under the Apache License, Version 2.0", ""),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+     "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+     "conditions are met", "BSD"),
+    ("Permission to use, copy, modify, and/or distribute this software", "")])
+def test_deciding_words_name_the_license(text, found):
+    got = licenses.scan(f"Some words before. {text} And more prose.", made_templates(), licenses.agreement)
+    assert ",".join(n for n, _ in got) == found
+
+
+def test_every_template_is_found_as_itself():
+    rnd, names = random.Random(5), {n for n, _ in licenses.TEMPLATES}
+    assert len(names) >= 20
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        if len(words) > 100:  # a whole text: one plain word altered, the clauses numbered
+            plain = [i for i, w in enumerate(words) if w.lower().strip('.,;:"()') not in licenses.DECIDING]
+            words[rnd.choice(plain)] = "altered"
+            words.insert(20, "1.")
+        got = licenses.scan(f"Copyright (c) 2020 A. {' '.join(words)} More prose that follows here.", made_templates(), licenses.agreement)
+        assert [n for n, _ in got] == [name], name
+
+
+def test_license_notice_in_a_very_long_text():
+    notice = "Released under the MIT License"
+    assert licenses.scan("the license of words " * 60_000 + notice + " under the " * 60_000, made_templates(),
+                         licenses.agreement) == [("MIT", 1.0)]
+
+
 def made_templates():
     return [(n, w, sorted(set(w))) for n, w in ((n, re.findall(r"\w+", t.lower())) for n, t in licenses.TEMPLATES)]
 
@@ -295,6 +390,17 @@ def test_quality_grades(sql):
     assert len(empty) == len(EDGE) and all(r.keep for r in empty)
 
 
+def test_quality_sample_is_bounded_with_repeated_ids_and_long_texts(sql, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_WORDS", 50)
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 20)
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda rows, grades: seen.update(rows=rows, grades=grades))
+    docs = docs_of(sql, [(i % 30, f"text {i} " + " ".join(f"w{k}" for k in range(i % 7 * 5000))) for i in range(300)])
+    labels = sql.createDataFrame([(i, 1, 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    quality.fit(docs, labels)
+    assert 0 < len(seen["rows"]) <= 20 and max(map(len, seen["rows"])) == 50
+
+
 # --- PII ------------------------------------------------------------------------------
 
 def base_spans(t):
