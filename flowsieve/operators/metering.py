@@ -184,7 +184,7 @@ def assign_flows(packets: DataFrame, idle_ms: int, active_ms: int, *, ts: str =
               .withColumn("expiration_id", F.col("cut").cast("int")).drop("cut"))
 
 
-def _deviation(n: Column, total: Column, squares: Column) -> Column:
+def deviation(n: Column, total: Column, squares: Column) -> Column:
     """Sample standard deviation from exact sums; null below two values."""
     exact = n.cast("decimal(20,0)") * squares - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
     return F.sqrt(F.try_divide(exact.cast("double"), n.cast("double") * (n - 1)))
@@ -207,12 +207,12 @@ def _dir_stats(prefix: str, cond: Column, gap: Column, digits: int) -> list[Colu
         F.coalesce(total(F.col("size")), F.lit(0)).cast("bigint").alias(f"{prefix}_bytes"),
         F.min(F.when(cond, F.col("size_lo"))).alias(f"{prefix}_min_ps"),
         F.round(F.try_divide(total(F.col("size")).cast("double"), total(F.col("sized"))), digits).alias(f"{prefix}_mean_ps"),
-        F.round(_deviation(total(F.col("sized")), total(F.col("size")), total(F.col("size_sq"))), digits)
+        F.round(deviation(total(F.col("sized")), total(F.col("size")), total(F.col("size_sq"))), digits)
          .alias(f"{prefix}_stddev_ps"),
         F.max(F.when(cond, F.col("size_hi"))).alias(f"{prefix}_max_ps"),
         F.min(F.when(cond, F.least(gap, zero))).alias(f"{prefix}_min_piat_ms"),
         F.round(F.try_divide(F.coalesce(total(gap), F.lit(0)).cast("double"), n_gap), digits).alias(f"{prefix}_mean_piat_ms"),
-        F.round(_deviation(n_gap, F.coalesce(total(gap), F.lit(0)), F.coalesce(total(_square(gap)), F.lit(0))), digits)
+        F.round(deviation(n_gap, F.coalesce(total(gap), F.lit(0)), F.coalesce(total(_square(gap)), F.lit(0))), digits)
          .alias(f"{prefix}_stddev_piat_ms"),
         F.max(F.when(cond, F.greatest(gap, zero))).alias(f"{prefix}_max_piat_ms"),
     ]

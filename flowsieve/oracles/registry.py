@@ -16,6 +16,7 @@ ORACLES = {
     "meter_expiration": MT.meter_expiration(),
     "meter_flows_by_capture": MT.meter_flows("capture", MT.F1_CAPTURES),
     "flow_stats": MT.flow_stats(),
+    "flow_stats_stream": MT.flow_stats(),
     # the stream must give exactly the batch result
     "label_stream": L.label_stream(),
     "label_majority": L.label_majority(),

@@ -548,6 +548,11 @@ def q_meter_flows_stream_nulls(spark, sf_dir):
     return run_stream_to_table(spark, S.f1_stream_nulls(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS)
 
 
+def q_flow_stats_stream(spark, sf_dir):
+    """M3 + M4: the replayed stream with per-direction statistics."""
+    return run_stream_to_table(spark, S.f1_packets(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS, statistics=True)
+
+
 def q_meter_flows_by_capture(spark, sf_dir):
     """M1 + S9: several captures in one table, the capture is part of every key."""
     return MT.meter_flows(S.f1_captures(spark, sf_dir), S.F1_IDLE_MS, S.F1_ACTIVE_MS, scope=["capture"])

@@ -90,5 +90,6 @@ QUERIES = {
     "repeated_header_boxplot": Q.q_repeated_header_boxplot,
     "repeated_header_information": Q.q_repeated_header_information,
     "meter_flows_stream_nulls": Q.q_meter_flows_stream_nulls,
+    "flow_stats_stream": Q.q_flow_stats_stream,
     **LQ.QUERIES,
 }

@@ -1,14 +1,24 @@
 """Streaming flow metering (M4): the batch meter's semantics on a packet stream.
 
 Packets are grouped per conversation with ``applyInPandasWithState``; the state
-of a key is its open flow. Inside a micro-batch a key's packets are sorted and
-cut with numpy (idle gaps by ``diff``, active cuts by ``searchsorted`` from one
-flow start to the next, so the Python work is per flow, not per packet). An
-open flow is closed by an event-time timeout at ``last + idle`` once the
-watermark passes it; flows cut by the active timeout are emitted when the
-packet that opens the next flow arrives.
-
-Packets later than the watermark are dropped by Spark; with in-order input the
+of a key is its open flow. A key's packets arrive in Arrow batches in no order.
+Each batch is added up to points ``(ts, direction)`` as it comes in, and points
+of different batches are merged whenever they outgrow the merged ones, so a
+task holds at most about twice the distinct points of a conversation in a
+micro-batch (two per millisecond of its time span) and one Arrow batch, however
+many packets a flood sends. The points are then cut with numpy (idle gaps by
+``diff``, active cuts by ``searchsorted`` from one flow start to the next, so
+the Python work is per flow, not per packet). An open flow is closed by an
+event-time timeout at ``last + idle`` once the watermark passes it; flows cut by
+the active timeout are emitted when the packet that opens the next flow arrives.
+
+``statistics=True`` keeps exact running sums for each direction in the state
+and adds the batch meter's per-direction statistics (M3); means and deviations
+are computed from them by the same column expressions.
+
+Packets later than the watermark are dropped by Spark. A packet that is late,
+but not that late, joins the conversation's open flow and counts at the time
+of its last packet (a closed flow is never reopened). With in-order input the
 output equals the batch meter (``operators.metering.meter_flows``) once the
 watermark has passed every open flow.
 """
@@ -22,96 +32,228 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.metering import CONV, canonical
+from ..operators.metering import BASE_COLUMNS, CONV, canonical, deviation
 from ..session import ship_package, shared_dir
 
-OUT_SCHEMA = ("src_ip string, dst_ip string, src_port long, dst_port long, protocol int, "
-              "bidirectional_first_seen_ms long, bidirectional_last_seen_ms long, "
-              "bidirectional_duration_ms long, bidirectional_packets long, bidirectional_bytes long, "
-              "expiration_id int")
-STATE_SCHEMA = ("start long, last long, src_ip string, dst_ip string, src_port long, dst_port long, "
-                "protocol int, packets long, bytes long")
+ENDS = "src_ip string, dst_ip string, src_port long, dst_port long, protocol int"
+#: Running figures of one direction; the two sums of squares are decimal texts, as they may pass 64 bits.
+SIDE = ("first", "last", "packets", "sized", "size", "size_lo", "size_hi", "gap_lo", "gap_hi", "size_sq", "gap_sq")
+FIRST, LAST, PACKETS, SIZED, SIZE, SIZE_LO, SIZE_HI, GAP_LO, GAP_HI, SIZE_SQ, GAP_SQ = range(len(SIDE))
+#: Points waiting beside the merged ones before they are merged, at least.
+PENDING = 20_000
+_HIGH, _LOW = np.iinfo("int64").max, np.iinfo("int64").min
+#: Columns of points: how each is merged.
+_MERGE = {"least": np.minimum, "c": np.add, "sized": np.add, "size": np.add, "lo": np.minimum, "hi": np.maximum,
+          "sq": np.add}
+
+
+def sides(statistics: bool) -> tuple[str, ...]:
+    return ("bidirectional", "a2b", "b2a") if statistics else ("bidirectional",)
+
+
+def _side_schema(statistics: bool) -> str:
+    return ", ".join(f"{side}_{f} {'string' if f.endswith('_sq') else 'long'}" for side in sides(statistics) for f in SIDE)
+
+
+def raw_schema(statistics: bool) -> str:
+    return f"{ENDS}, first_a boolean, expiration_id int, {_side_schema(statistics)}"
+
+
+def state_schema(statistics: bool) -> str:
+    return f"start long, last long, first_a boolean, {_side_schema(statistics)}"
+
+
+def merge_points(parts: list[dict]) -> dict:
+    """Points of several parts as one part, sorted by ``(ts, a)``, one for each of these."""
+    cols = {k: np.concatenate([p[k] for p in parts]) for k in ("ts", "a", *_MERGE)}
+    order = np.lexsort((cols["a"], cols["ts"]))
+    ts, a = cols["ts"][order], cols["a"][order]
+    at = np.flatnonzero(np.r_[True, (ts[1:] != ts[:-1]) | (a[1:] != a[:-1])])
+    return {"ts": ts[at], "a": a[at], **{k: f.reduceat(cols[k][order], at) for k, f in _MERGE.items()}}
+
+
+def _packets_as_points(pdf: pd.DataFrame, statistics: bool) -> dict:
+    size = pdf["size"].to_numpy("int64")
+    sized = pdf["sized"].to_numpy(bool)
+    return {"ts": pdf["ts_ms"].to_numpy("int64"), "a": pdf["a_sends"].to_numpy(bool),
+            "least": pdf["packet_id"].to_numpy("int64"), "c": np.ones(len(pdf), "int64"), "sized": sized.astype("int64"),
+            "size": size, "lo": np.where(sized, size, _HIGH), "hi": np.where(sized, size, _LOW),
+            "sq": size.astype(object) ** 2 if statistics else np.zeros(len(pdf), "int64")}
+
 
+def collect_points(batches, statistics: bool) -> dict | None:
+    """Sorted points of all packets of ``batches`` (data frames in any order); None without packets."""
+    held, pending, waiting = [], [], 0
+    for pdf in batches:
+        if len(pdf):
+            pending.append(merge_points([_packets_as_points(pdf, statistics)]))
+            waiting += len(pending[-1]["ts"])
+        if waiting > max(PENDING, sum(len(p["ts"]) for p in held)):
+            held, pending, waiting = [merge_points(held + pending)], [], 0
+    parts = held + pending
+    return merge_points(parts) if parts else None
 
-def _flow_row(s, exp):
-    start, last, src_ip, dst_ip, src_port, dst_port, proto, packets, nbytes = s
-    return (src_ip, dst_ip, src_port, dst_port, proto, start, last, last - start, packets, nbytes, exp)
 
+def _open(ts: int, first_a: bool, statistics: bool) -> dict:
+    empty = [None, None, 0, 0, 0, None, None, None, None, 0, 0]
+    return {"start": ts, "last": ts, "first_a": first_a, "sides": [list(empty) for _ in sides(statistics)]}
 
-def make_state_fn(idle: int, active: int, scope=()):
-    columns = [*scope, *_COLS]
+
+def _add(side: list, p: dict, i: int, j: int, statistics: bool) -> None:
+    """Points ``i`` to ``j`` of one direction added to its running figures."""
+    if i == j:
+        return
+    ts, before = p["ts"][i:j], side[LAST]
+    side[FIRST] = int(ts[0]) if before is None else side[FIRST]
+    side[LAST] = int(ts[-1])
+    side[PACKETS] += int(p["c"][i:j].sum())
+    side[SIZED] += int(p["sized"][i:j].sum())
+    side[SIZE] += int(p["size"][i:j].sum())
+    if not statistics:
+        return
+    gap = np.diff(ts, prepend=ts[:1] if before is None else [before])[before is None:]
+    if (p["c"][i:j] > 1).any():  # packets of one point are no time apart
+        gap = np.append(gap, 0)
+
+    def least_most(lo, hi, some, least, most):
+        if some:
+            side[lo] = int(least) if side[lo] is None else min(side[lo], int(least))
+            side[hi] = int(most) if side[hi] is None else max(side[hi], int(most))
+    if len(gap):
+        least_most(GAP_LO, GAP_HI, True, gap.min(), gap.max())
+        side[GAP_SQ] += int((gap.astype(object) ** 2).sum())
+    least_most(SIZE_LO, SIZE_HI, p["sized"][i:j].any(), p["lo"][i:j].min(), p["hi"][i:j].max())
+    side[SIZE_SQ] += int(p["sq"][i:j].sum())
+
+
+def _flat(flow: dict) -> list:
+    return [str(v) if k in (SIZE_SQ, GAP_SQ) else v for side in flow["sides"] for k, v in enumerate(side)]
+
+
+def _from_state(s: tuple) -> dict:
+    body = [list(s[k:k + len(SIDE)]) for k in range(3, len(s), len(SIDE))]
+    for side in body:
+        side[SIZE_SQ], side[GAP_SQ] = int(side[SIZE_SQ]), int(side[GAP_SQ])
+    return {"start": s[0], "last": s[1], "first_a": s[2], "sides": body}
+
+
+def make_state_fn(idle: int, active: int, scope=(), statistics: bool = False):
+    columns = [*scope, *[c.split()[0] for c in raw_schema(statistics).split(", ")]]
 
     def fn(key, batches, state):
-        head = tuple(key[:len(scope)])
+        a_ip, a_port, b_ip, b_port, protocol = key[len(scope):]
+        a_port, b_port, protocol = (None if pd.isna(x) else int(x) for x in (a_port, b_port, protocol))
+        ends = {True: (a_ip, b_ip, a_port, b_port, protocol), False: (b_ip, a_ip, b_port, a_port, protocol)}
+
+        def row(flow, exp):
+            return (*key[:len(scope)], *ends[bool(flow["first_a"])], flow["first_a"], exp, *_flat(flow))
         if state.hasTimedOut:
-            s = state.get
+            flow = _from_state(state.get)
             state.remove()
-            yield pd.DataFrame([head + _flow_row(s, 0)], columns=columns)
+            yield pd.DataFrame([row(flow, 0)], columns=columns, dtype=object)
             return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "packet_id"], kind="stable")
-        ts = pdf["ts_ms"].to_numpy(dtype="int64")
-        # packets of unknown size count; a flow has no bytes only if no packet has a size, as in the batch meter
-        sized = np.concatenate([[0], np.cumsum(pdf["bytes"].notna())])
-        size = pdf["bytes"].fillna(0).to_numpy(dtype="int64")
-        src = pdf[["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]].to_numpy(dtype=object)
-        csum = np.concatenate([[0], np.cumsum(size)])
-        cur = list(state.get) if state.exists else None
-        # gap before each packet; the first one is measured from the stored flow
-        first_prev = cur[1] if cur is not None else np.iinfo("int64").min // 2
-        prev = np.concatenate([[first_prev], ts[:-1]])
-        gap_cut = np.flatnonzero(ts - prev >= idle)
-        out = []
-        i, n = 0, len(ts)
+        p = collect_points(batches, statistics)
+        if p is None:
+            return
+        flow = _from_state(state.get) if state.exists else None
+        if flow is not None:
+            p["ts"] = np.maximum(p["ts"], flow["last"])
+        ts, n = p["ts"], len(p["ts"])
+        # gap before each point; the first one is measured from the stored flow
+        gap_cut = np.flatnonzero(np.diff(ts, prepend=ts[0] if flow is None else flow["last"]) >= idle)
+        of_side = [np.arange(n), np.flatnonzero(p["a"]), np.flatnonzero(~p["a"])][:len(sides(statistics))]
+        by_side = [{k: v[at] for k, v in p.items()} for at in of_side]
+        out, i = [], 0
         while i < n:
-            if cur is not None:
+            if flow is None:
+                same = slice(i, int(np.searchsorted(ts, ts[i], "right")))
+                flow = _open(int(ts[i]), bool(p["a"][same][np.argmin(p["least"][same])]), statistics)
+                k = np.searchsorted(gap_cut, i + 1)  # the point that opens a flow is not cut from it
+            else:
                 k = np.searchsorted(gap_cut, i)
-                gi = int(gap_cut[k]) if k < len(gap_cut) else n
-                ai = max(i, int(np.searchsorted(ts, cur[0] + active, "left")))
-                j = min(gi, ai, n)
-                if j > i:
-                    cur[1] = int(ts[j - 1])
-                    cur[7] += j - i
-                    if sized[j] > sized[i]:
-                        cur[8] = (cur[8] or 0) + int(csum[j] - csum[i])
-                if j == n:
-                    break
-                out.append(head + _flow_row(cur, 0 if gi <= ai else 1))
-                i, cur = j, None
-            r = src[i]
-            cur = [int(ts[i]), int(ts[i]), r[0], r[1], *(None if pd.isna(x) else int(x) for x in r[2:5]), 1,
-                   int(size[i]) if sized[i + 1] > sized[i] else None]
-            i += 1
-        if cur is not None:
-            state.update(tuple(cur))
-            state.setTimeoutTimestamp(int(cur[1]) + idle)
+            gi = int(gap_cut[k]) if k < len(gap_cut) else n
+            ai = max(i, int(np.searchsorted(ts, flow["start"] + active, "left")))
+            j = min(gi, ai)
+            if j > i:
+                flow["last"] = int(ts[j - 1])
+                for side, points, at in zip(flow["sides"], by_side, of_side):
+                    _add(side, points, *np.searchsorted(at, [i, j]).tolist(), statistics)
+            if j < n:
+                out.append(row(flow, 0 if gi <= ai else 1))
+                flow = None
+            i = j
+        if flow is not None:
+            state.update((flow["start"], flow["last"], flow["first_a"], *_flat(flow)))
+            state.setTimeoutTimestamp(flow["last"] + idle)
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
     return fn
 
 
-_COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+def _statistics(side: str, digits: int) -> dict:
+    """The batch meter's statistics of one direction from its running figures."""
+    def c(name):
+        return F.col(f"{side}_{name}")
+    n_gap = F.when(c("packets") > 1, c("packets") - 1)
+    gaps, size_sq, gap_sq = c("last") - c("first"), c("size_sq").cast("decimal(38,0)"), c("gap_sq").cast("decimal(38,0)")
+    return {
+        "first_seen_ms": c("first"), "last_seen_ms": c("last"), "duration_ms": gaps, "packets": c("packets"), "bytes": c("size"),
+        "min_ps": c("size_lo"), "mean_ps": F.round(F.try_divide(c("size").cast("double"), c("sized")), digits),
+        "stddev_ps": F.round(deviation(c("sized"), c("size"), size_sq), digits), "max_ps": c("size_hi"),
+        "min_piat_ms": c("gap_lo"), "mean_piat_ms": F.round(F.try_divide(gaps.cast("double"), n_gap), digits),
+        "stddev_piat_ms": F.round(deviation(n_gap, gaps, gap_sq), digits), "max_piat_ms": c("gap_hi"),
+    }
+
+
+def _finished(raw: DataFrame, scope, statistics: bool, digits: int) -> DataFrame:
+    """Closed flows with the columns of the batch meter."""
+    bi = _statistics("bidirectional", digits)
+    head = [*scope, *BASE_COLUMNS[:5], *[bi[c.removeprefix("bidirectional_")].alias(c) for c in BASE_COLUMNS[5:9]]]
+    if not statistics:  # a flow has no bytes only if no packet has a size, as in the batch meter
+        nbytes = F.when(F.col("bidirectional_sized") > 0, F.col("bidirectional_size"))
+        return raw.select(*head, nbytes.alias("bidirectional_bytes"), "expiration_id")
+    a2b, b2a = _statistics("a2b", digits), _statistics("b2a", digits)
+    by_sender = []
+    for n in a2b:
+        by_sender.append(F.when(F.col("first_a"), a2b[n]).otherwise(b2a[n]).alias(f"src2dst_{n}"))
+        by_sender.append(F.when(F.col("first_a"), b2a[n]).otherwise(a2b[n]).alias(f"dst2src_{n}"))
+    rest = [v.alias(f"bidirectional_{n}") for n, v in bi.items() if f"bidirectional_{n}" not in BASE_COLUMNS]
+    return raw.select(*head, bi["bytes"].alias("bidirectional_bytes"), "expiration_id", *by_sender, *rest)
+
+
+def _scoped(schema, scope, rest: str) -> str:
+    return ", ".join([*(f"`{c}` {schema[c].dataType.simpleString()}" for c in scope), rest])
 
 
 def meter_flows_stream(packets_stream: DataFrame, idle_ms: int, active_ms: int,
-                       watermark: str, scope=()) -> DataFrame:
-    """Streaming DataFrame of closed flows (append mode).
+                       watermark: str, scope=(), statistics: bool = False, digits: int = 6) -> DataFrame:
+    """Streaming DataFrame of closed flows (append mode), with the columns of ``meter_flows``.
 
-    ``scope``: columns (scenario, capture) that keep captures apart and lead the output.
+    ``scope``: columns (scenario, capture) that keep captures apart and lead the output. ``statistics``: adds
+    per-direction statistics, rounded to ``digits``.
 
     ``watermark``: how late a packet may come; a later one is dropped, so there is no default. Packets without a
     time are left out, as in the batch meter; the progress of the query counts them in the observed metric
     ``packets_without_time``.
     """
     ship_package(packets_stream.sparkSession)
+    idle, active = int(idle_ms), int(active_ms)
+    if idle <= 0 or active <= 0:
+        raise ValueError("timeouts must be > 0")
     timed = packets_stream.observe("packets_without_time", F.count_if(F.col("ts_ms").isNull()).alias("n")).where(
         F.col("ts_ms").isNotNull())
     s = (canonical(timed)
-         .withColumn("event_time", F.timestamp_millis("ts_ms"))
+         .select(*scope, *CONV, "a_sends", F.col("ts_ms").cast("long").alias("ts_ms"),
+                 F.coalesce(F.col("packet_id").cast("long"), F.lit(_HIGH)).alias("packet_id"),
+                 F.col("bytes").isNotNull().alias("sized"),
+                 F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("size"),
+                 F.timestamp_millis("ts_ms").alias("event_time"))
          .withWatermark("event_time", watermark))
-    out = ", ".join([*(f"`{c}` {s.schema[c].dataType.simpleString()}" for c in scope), OUT_SCHEMA])
-    return (s.groupBy(*scope, *CONV)
-             .applyInPandasWithState(make_state_fn(int(idle_ms), int(active_ms), tuple(scope)), out, STATE_SCHEMA,
-                                     "append", GroupStateTimeout.EventTimeTimeout))
+    raw = (s.groupBy(*scope, *CONV)
+            .applyInPandasWithState(make_state_fn(idle, active, tuple(scope), statistics),
+                                    _scoped(s.schema, scope, raw_schema(statistics)), state_schema(statistics),
+                                    "append", GroupStateTimeout.EventTimeTimeout))
+    return _finished(raw, scope, statistics, digits)
 
 
 #: Not an address, so no packet can carry it (0.0.0.0 is the source of every DHCP discover).
@@ -119,7 +261,7 @@ SENTINEL_IP = "end of input"
 
 
 def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, active_ms: int,
-                        slice_packets: int = 1_000_000, scope=()) -> DataFrame:
+                        slice_packets: int = 1_000_000, scope=(), statistics: bool = False) -> DataFrame:
     """Replay a packet table as a stream arriving in time slices, meter it, return the closed flows.
 
     There are enough slices for ``slice_packets`` packets each on average, and eight at least.
@@ -133,10 +275,10 @@ def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, a
     root = f"{shared_dir(spark)}/meter-stream-{uuid.uuid4().hex}"
     cols = [*scope, "packet_id", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes"]
     pk = packets.select(*cols)
-    out_schema = ", ".join([*(f"`{c}` {pk.schema[c].dataType.simpleString()}" for c in scope), OUT_SCHEMA])
+    empty = _finished(spark.createDataFrame([], _scoped(pk.schema, scope, raw_schema(statistics))), scope, statistics, 6)
     lo, hi, n = pk.agg(F.min("ts_ms"), F.max("ts_ms"), F.count("ts_ms")).first()
     if lo is None:
-        return spark.createDataFrame([], out_schema)
+        return empty
     phases = max(8, -(-n // slice_packets))
     width = max(1, (hi - lo + phases) // phases)
     (pk.withColumn("slice", F.call_function("div", F.col("ts_ms") - F.lit(lo), F.lit(width)).cast("int"))
@@ -147,7 +289,7 @@ def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, a
 
     def run_once():
         stream = spark.readStream.schema(pk.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-        q = (meter_flows_stream(stream, idle_ms, active_ms, "0 seconds", scope).writeStream.format("parquet")
+        q = (meter_flows_stream(stream, idle_ms, active_ms, "0 seconds", scope, statistics).writeStream.format("parquet")
              .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -158,5 +300,5 @@ def run_stream_to_table(spark: SparkSession, packets: DataFrame, idle_ms: int, a
     for k, row in enumerate(sentinels):
         spark.createDataFrame([row], pk.schema).write.parquet(f"{root}/in/sentinel-{k}")
         run_once()
-    return spark.read.schema(out_schema).parquet(f"{root}/out").where(
+    return spark.read.schema(empty.schema).parquet(f"{root}/out").where(
         ~F.col("src_ip").eqNullSafe(SENTINEL_IP))

@@ -3,7 +3,12 @@ import random
 
 import pandas as pd
 
-from flowsieve.streaming.metering import _COLS, make_state_fn
+from flowsieve.operators.metering import meter_flows
+from flowsieve.streaming import metering as SM
+from flowsieve.streaming.metering import collect_points, make_state_fn, raw_schema, run_stream_to_table
+
+KEY = ("10.0.0.1", 1000, "10.0.0.2", 80, 6)
+_COLS = [c.split()[0] for c in raw_schema(False).split(", ")]
 
 
 class FakeState:
@@ -29,9 +34,7 @@ class FakeState:
 
 
 def packets(ts_list):
-    return pd.DataFrame({"packet_id": range(len(ts_list)), "ts_ms": ts_list,
-                         "src_ip": "10.0.0.1", "dst_ip": "10.0.0.2", "src_port": 1000, "dst_port": 80,
-                         "protocol": 6, "bytes": 10})
+    return pd.DataFrame({"packet_id": range(len(ts_list)), "ts_ms": ts_list, "a_sends": True, "sized": True, "size": 10})
 
 
 def run(ts_list, splits, idle, active):
@@ -39,19 +42,19 @@ def run(ts_list, splits, idle, active):
     pdf = packets(ts_list)
     bounds = [0, *splits, len(ts_list)]
     for a, b in zip(bounds, bounds[1:]):
-        for o in fn(("k",), iter([pdf.iloc[a:b]]), st):
+        for o in fn(KEY, iter([pdf.iloc[a:b]]), st):
             out.append(o)
         # the watermark reaches the last packet seen; fire the timeout if it passed
         wm = ts_list[b - 1]
         if st.exists and st.timeout is not None and wm > st.timeout:
             st.hasTimedOut = True
-            out.extend(fn(("k",), iter([]), st))
+            out.extend(fn(KEY, iter([]), st))
             st.hasTimedOut = False
     st.hasTimedOut = True
     if st.exists:
-        out.extend(fn(("k",), iter([]), st))
+        out.extend(fn(KEY, iter([]), st))
     df = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=_COLS)
-    return list(zip(df["bidirectional_first_seen_ms"], df["bidirectional_packets"], df["expiration_id"]))
+    return list(zip(df["bidirectional_first"], df["bidirectional_packets"], df["expiration_id"]))
 
 
 def test_cuts_do_not_depend_on_batch_boundaries():
@@ -76,8 +79,66 @@ def test_active_cut_spanning_batches():
 def test_scope_leads_the_rows():
     st, out = FakeState(), []
     fn = make_state_fn(5, 100, ("capture",))
-    out.extend(fn(("c1", "a", 1), iter([packets([0, 10])]), st))
+    out.extend(fn(("c1", *KEY), iter([packets([0, 10])]), st))
     st.hasTimedOut = True
-    out.extend(fn(("c1", "a", 1), iter([]), st))
+    out.extend(fn(("c1", *KEY), iter([]), st))
     df = pd.concat(out, ignore_index=True)
     assert list(df.columns) == ["capture", *_COLS] and list(df["capture"]) == ["c1", "c1"]
+
+
+def test_points_held_follow_the_time_span_and_not_the_packets(monkeypatch):
+    """A flood of one conversation: 300 batches of 1,000 packets within 50 ms."""
+    monkeypatch.setattr(SM, "PENDING", 500)
+    seen, merge = [], SM.merge_points
+
+    def watched(parts):
+        seen.append(sum(len(p["ts"]) for p in parts))
+        return merge(parts)
+    monkeypatch.setattr(SM, "merge_points", watched)
+    rnd = random.Random(5)
+
+    def flood():
+        for k in range(300):
+            yield pd.DataFrame({"packet_id": range(k * 1000, k * 1000 + 1000),
+                                "ts_ms": [rnd.randrange(50) for _ in range(1000)],
+                                "a_sends": [rnd.random() < 0.5 for _ in range(1000)], "sized": True, "size": 3})
+    p = collect_points(flood(), True)
+    assert len(p["ts"]) == 100 and p["c"].sum() == 300_000 and p["sq"].sum() == 9 * 300_000
+    assert max(seen) <= 1000  # one batch of packets; merges of points: 100 held and some 500 waiting
+
+
+def test_a_late_packet_joins_the_open_flow():
+    fn, st = make_state_fn(50, 1000), FakeState()
+    list(fn(KEY, iter([packets([100, 120])]), st))
+    list(fn(KEY, iter([packets([90, 125])]), st))
+    assert st.value[:3] == (100, 125, True) and st.value[3 + SM.PACKETS] == 4
+
+
+SCHEMA = "packet_id long, ts_ms long, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, bytes long"
+
+
+def test_statistics_equal_the_batch_meter_on_odd_packets(spark):
+    """Both directions, equal times, unknown sizes, sizes near 2^40, no ports, one flow over many micro-batches."""
+    rnd, rows, t = random.Random(11), [], 1_000_000
+    for i in range(400):
+        t += rnd.choice([0, 0, 1, 3, 40, 700])
+        a, b = ("10.0.0.1", rnd.choice([1000, None])), ("10.0.0.2", 80)
+        s, d = (a, b) if rnd.random() < 0.6 else (b, a)
+        rows.append((i, t, s[0], d[0], s[1], d[1], 6, rnd.choice([60, 1500, None, 2**40 + i])))
+    rows.append((400, None, "10.0.0.1", "10.0.0.2", 1000, 80, 6, 10))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = meter_flows(df, 500, 20_000, statistics=True)
+    got = run_stream_to_table(spark, df, 500, 20_000, statistics=True)
+    assert got.columns == want.columns
+    cols = sorted(want.columns)
+    key = lambda r: str(tuple(r))
+    assert sorted(got.select(*cols).collect(), key=key) == sorted(want.select(*cols).collect(), key=key)
+    plain, batch = run_stream_to_table(spark, df, 500, 20_000), meter_flows(df, 500, 20_000)
+    cols = sorted(batch.columns)
+    assert sorted(plain.select(*cols).collect(), key=key) == sorted(batch.select(*cols).collect(), key=key)
+
+
+def test_empty_packets_keep_the_columns(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    got = run_stream_to_table(spark, df, 500, 20_000, statistics=True)
+    assert got.count() == 0 and set(got.columns) == set(meter_flows(df, 500, 20_000, statistics=True).columns)
