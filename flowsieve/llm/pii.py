@@ -1,26 +1,31 @@
 """Personal data: candidate spans, boosted trees and calibrated thresholds, all in DataFrame functions.
 
 High-recall generators (regular expressions) propose overlapping spans with code-point
-offsets: the four base kinds as stated, and two loose ones, e-mail addresses with spelled-out
-signs and national phone numbers without a plus. Base candidates are decided by their kind's
-stated test alone. Loose candidates are judged by gradient boosted trees on small integer
-features of their form and of the words before and after them.
+offsets: the four base kinds as stated, and a loose one of each kind, e-mail addresses with
+spelled-out signs, national phone numbers without a plus, addresses with bracketed or spelled-out
+dots, and card numbers grouped by dots, strokes or wide gaps. Base candidates are decided by their
+kind's stated test alone. Loose candidates that pass their kind's test of digits are judged by gradient
+boosted trees, one model a kind, on small integer features of their form and of the words before and after them.
 
 Training needs no hand labels and shows the trees nothing that a label is made of. Phone: the
 national part of a number with a plus is a positive, read as if plus and country code were
 not there; the first ten digits of a longer run are a negative. E-mail: an address with real
 signs is a positive, of which only name, last label and words count; prose with "at" before
-the last word of a sentence is a negative. The labelled candidates of the whole table are
-counted by feature cell, so the counts have a fixed bound whatever the table's size; trees
-are fitted to the cells, a threshold is set per kind at the smallest score with the wanted
-precision, and the trees go back into the plan as CASE expressions. A span is added when it
-has no label of its own, its score passes and no base span of its kind already covers it.
+the last word of a sentence is a negative. Address: four numbers with dots are a positive, a negative
+if a number is above 255 or the row of numbers goes on. Card: 14 to 19 digits, by the Luhn test.
+The labelled candidates of the whole table are counted by feature cell and by half of the table
+(texts by hash, so copies share a half): a bounded count whatever the table's size. Thresholds are set
+on held-out cells: each half is scored by trees that were fitted to the other, and a kind's
+threshold is the smallest score from which these held-out candidates keep the wanted precision
+(``calibration`` reports precision and recall there). The trees of both halves together go back into the plan as
+CASE expressions. A span is added when it has no label of its own, its score passes and no base
+span of its kind already covers it.
 
 No Python runs in tasks, no shuffle but the cell counts. Offsets come from the lengths of the
 pieces between matches, summed in chunks, so a text with many matches stays cheap.
 
 Cases: null text is empty text; repeated rows are judged each; a kind without positives or
-without negatives in the table gets no added spans; an empty table gives an empty result;
+without negatives in the table, or whose held-out candidates never reach the precision, gets no added spans; an empty table gives an empty result;
 other columns are ignored.
 """
 from __future__ import annotations
@@ -33,6 +38,9 @@ from .common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: A dot that is bracketed or spelled out; a separator of card groups that the base pattern lacks.
+_DOT = r"(?:\.| ?(?:[\[({]\.[\])}]|[\[({]dot[\])}]) ?| dot )"
+_WIDE = r"(?:[._/\xA0]|[\x20-]{2,3})"
 #: Generators: kind, pattern. Possessive loops match the same spans as the stated patterns
 #: without recursion on long runs; a start inside a run that its beginning already ruled out is skipped.
 GENERATORS = (
@@ -43,6 +51,8 @@ GENERATORS = (
     ("email", rf"(?i)(?<!{_LOCAL}){_LOCAL}++(?:(?: ?(?:\(at\)|\[at\]|\{{at\}}) ?| at )[A-Za-z0-9-]++"
               r"(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++\.\s[A-Za-z]++)"),
     ("phone", r"(?<![0-9])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?:[ .-]?[0-9])*+"),
+    ("ip", rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?!{_DOT}[0-9]|[0-9])"),
+    ("card", rf"(?<![0-9])[0-9]{{4}}{_WIDE}[0-9]{{4,6}}{_WIDE}[0-9]{{4,5}}(?:{_WIDE}[0-9]{{1,7}})?(?!{_WIDE}?[0-9])"),
 )
 BASE = 4  # the first generators are the base kinds
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -81,12 +91,13 @@ def _passes(gen: int, m: Column) -> Column:
     kind = GENERATORS[gen][0]
     if kind == "email":
         return F.lit(True)
-    if gen >= BASE:  # the digits of a longer run are no number of their own
-        return F.length(F.regexp_replace(m, "[^0-9]", "")) == 10
     if kind == "ip":
-        return F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))
+        dotted = m if gen < BASE else F.regexp_replace(m, "[^0-9]+", ".")
+        return F.regexp_like(dotted, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
+    if kind == "phone" and gen >= BASE:  # the digits of a longer run are no number of their own
+        return n == 10
     return n.between(14, 19) & _luhn(F.when(n <= 19, digits).otherwise("")) if kind == "card" else n.between(10, 15)
 
 
@@ -98,6 +109,10 @@ def _gate(gen: int, text: Column) -> Column:
         return text.contains("+")
     if gen == 4:
         return F.regexp_like(text, F.lit(r"(?i)[( \[{]at[) \]}]"))
+    if gen == 6:
+        return F.regexp_like(text, F.lit(r"(?i)[0-9] ?(?:[\[({]\.[\])}]|[\[({ ]dot[\])} ])"))
+    if gen == 7:
+        return F.regexp_like(text, F.lit(rf"[0-9]{{4}}{_WIDE}[0-9]{{4}}"))
     return F.regexp_like(text, F.lit("[0-9]"))
 
 
@@ -141,23 +156,38 @@ def _word(near: Column) -> Column:
 def _described(g: int, m: Column, start: Column, gap: Column, following: Column) -> Column:
     kind, none = GENERATORS[g][0], F.lit(None).cast("int")
     form = tail = before = after = F.lit(0)
-    label = none
+    label, judged = none, F.lit(True)
+    digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "email":  # nothing of the signs: they tell a labelled candidate from a judged one
         name = F.regexp_extract(m, rf"^{_LOCAL}+", 0)
         form = F.regexp_like(name, F.lit("[0-9]")).cast("int") + 2 * F.regexp_like(name, F.lit("[._%+-]")).cast("int")
         last = F.lower(F.regexp_extract(m, "[A-Za-z0-9-]+$", 0))
         tail = F.when(F.regexp_like(last, F.lit(f"^{_TLD}$")), 0).when(F.length(last) < 4, 1).otherwise(2)
         label = F.lit(1) if g < BASE else F.when(F.regexp_like(m, F.lit(r"\.\s[A-Za-z]+$")), 0)
+    elif kind == "ip":
+        form = F.least(F.length(digits), F.lit(13))
+        tail = F.regexp_like(m, F.lit("^[0-9][^0-9]")).cast("int")
+        if g < BASE:
+            goes_on = F.regexp_like(gap, F.lit(r"[0-9]\.$")) | F.regexp_like(following, F.lit(r"^\.[0-9]"))
+            label = F.when(_passes(g, m) & ~goes_on, 1).otherwise(0)
+    elif kind == "card":
+        n = F.length(digits)
+        judged = n.between(14, 19)
+        form = F.when(n == 16, 0).when(n < 16, 1).otherwise(2)
+        tail = F.regexp_like(digits, F.lit("^[3-6]")).cast("int")
+        if g < BASE:
+            label = F.when(judged, _passes(g, m).cast("int"))
     elif g >= BASE:
         head = F.regexp_extract(m, r"^\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}", 0)
         form = sum(bit * F.regexp_like(head, F.lit(sign)).cast("int")
                    for bit, sign in ((1, " "), (2, r"\."), (4, "-"), (8, r"[()]")))
-        ten = F.length(F.regexp_replace(m, "[^0-9]", "")) == 10
+        ten = F.length(digits) == 10
         label = F.when(F.regexp_like(gap, F.lit(_PLUS)), F.when(ten, 1)).when(
             ~ten | F.regexp_like(gap, F.lit("[0-9][ .-]?$")), 0)
         gap = F.regexp_replace(F.right(gap, F.lit(32)), _PLUS, "")
-    if label is not none:
-        before, after = _word(F.lower(F.right(gap, F.lit(24)))), _word(F.lower(F.left(following, F.lit(16))))
+    if g >= BASE or kind != "phone":
+        before = F.when(judged, _word(F.lower(F.right(gap, F.lit(24))))).otherwise(0)
+        after = F.when(judged, _word(F.lower(F.left(following, F.lit(16))))).otherwise(0)
     fields = {"gen": F.lit(g), "s": start, "e": start + F.length(m), "passes": _passes(g, m),
               "kind": F.lit(KINDS.index(kind)), "form": form, "tail": tail, "before": before, "after": after,
               "label": label}
@@ -200,31 +230,50 @@ def boost(cells: np.ndarray, positive: np.ndarray, total: np.ndarray) -> list:
     return trees
 
 
-def train(cands: DataFrame) -> tuple[list, dict] | None:
-    """Trees and a threshold per kind from the counted cells of the labelled candidates (a bounded table)."""
+def _score(trees: list, x: np.ndarray) -> np.ndarray:
+    return RATE * sum((_eval_tree(t, x) for t in trees), np.zeros(len(x)))
+
+
+def _fit(x, pos, n):
+    cap = np.minimum(n, 1000.0)  # weights of very full cells level off; their rates stay
+    return boost(x, pos / n * cap, cap)
+
+
+def calibration(cands: DataFrame) -> dict[str, dict]:
+    """By kind with both labels: ``trees`` of all cells, ``cut`` and, from there on, ``precision`` and ``recall``
+    of the held-out labelled candidates (None where no cut has the wanted precision); ``labelled``: their number."""
     # explode_outer: for explode the optimizer infers a filter that computes all candidates once more, slowly
-    rows = (cands.select(F.explode_outer("cands").alias("c")).where("c.label is not null")
-            .groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")
+    rows = (cands.select(half, F.explode_outer("cands").alias("c")).where("c.label is not null")
+            .groupBy("half", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
             .agg(F.sum("c.label").alias("pos"), F.count("*").alias("n")).collect())
-    both = {k for k in range(len(KINDS)) if 0 < sum(r["pos"] for r in rows if r["kind"] == k)
-            < sum(r["n"] for r in rows if r["kind"] == k)}
-    rows = sorted((r for r in rows if r["kind"] in both), key=lambda r: tuple(r[f] for f in FEATURES))
-    if not rows:
-        return None
-    x = np.array([[r[f] for f in FEATURES] for r in rows])
-    pos, n = np.array([float(r["pos"]) for r in rows]), np.array([float(r["n"]) for r in rows])
-    cap = np.minimum(n, 1000.0)  # weights of very full cells level off; their rates stay
-    trees = boost(x, pos / n * cap, cap)
-    score = sum(RATE * _eval_tree(t, x) for t in trees)
-    cuts = {}
-    for i, k in enumerate(KINDS):
-        mine = x[:, 0] == i
-        order = np.argsort(-score[mine], kind="stable")
-        s, p, m = score[mine][order], pos[mine][order], n[mine][order]
-        whole = np.r_[np.diff(s) < -1e-9, True] if len(s) else []  # equal scores pass or fail together
-        fine = np.flatnonzero((np.cumsum(p) >= PRECISION * np.cumsum(m)) & whole) if len(s) else []
-        cuts[k] = float(s[fine[-1]]) - 1e-9 if len(fine) else None
-    return trees, cuts
+    out = {}
+    for i, kind in enumerate(KINDS):
+        mine = sorted((r for r in rows if r["kind"] == i), key=lambda r: (r["half"], *[r[f] for f in FEATURES]))
+        if not 0 < sum(r["pos"] for r in mine) < sum(r["n"] for r in mine):
+            continue
+        x = np.array([[r[f] for f in FEATURES] for r in mine])
+        pos, n = np.array([float(r["pos"]) for r in mine]), np.array([float(r["n"]) for r in mine])
+        fold, held = np.array([r["half"] for r in mine]), np.zeros(len(mine))
+        for f in (0, 1):
+            other = fold != f
+            held[~other] = _score(_fit(x[other], pos[other], n[other]), x[~other])
+        order = np.argsort(-held, kind="stable")
+        score, good, seen = held[order], np.cumsum(pos[order]), np.cumsum(n[order])
+        whole = np.r_[np.diff(score) < -1e-9, True]  # equal scores pass or fail together
+        fine = np.flatnonzero((good >= PRECISION * seen) & whole)
+        at = fine[-1] if len(fine) else None
+        out[kind] = {"trees": _fit(x, pos, n), "labelled": int(n.sum()),
+                     "cut": None if at is None else float(score[at]) - 1e-9,
+                     "precision": None if at is None else float(good[at] / seen[at]),
+                     "recall": None if at is None else float(good[at] / pos.sum())}
+    return out
+
+
+def train(cands: DataFrame) -> dict[str, tuple[list, float]] | None:
+    """Trees and threshold of each kind that can have added spans."""
+    got = {k: (c["trees"], c["cut"]) for k, c in calibration(cands).items() if c["cut"] is not None}
+    return got or None
 
 
 def _tree_column(tree, c: Column) -> Column:
@@ -247,17 +296,17 @@ def spans(cands: DataFrame, model) -> DataFrame:
     out = cands.withColumn("base", base)
     if model is None:
         return out.withColumn("spans", F.col("base"))
-    trees, cuts = model
 
     def chosen(c):
-        score, cut = F.lit(0.0), F.lit(None).cast("double")
-        for t in trees:
-            score = score + RATE * _tree_column(t, c)
-        for g in range(len(GENERATORS)):
-            cut = F.when(c["gen"] == g, F.lit(cuts[GENERATORS[g][0]]).cast("double")).otherwise(cut)
-        return score >= cut
+        passed = F.lit(False)
+        for k, (trees, cut) in model.items():
+            score = F.lit(0.0)
+            for t in trees:
+                score = score + RATE * _tree_column(t, c)
+            passed = F.when(c["kind"] == KINDS.index(k), score >= cut).otherwise(passed)
+        return passed
     out = out.withColumn("more", F.transform(F.filter("cands", lambda c: (c["gen"] >= BASE) & c["label"].isNull() & (
-        c["passes"] == 1) & F.coalesce(chosen(c), F.lit(False))), short))
+        c["passes"] == 1) & chosen(c)), short))
     fresh = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] <= m["s"]) & (m["e"] <= b["e"])
                                                  & (b["k"] == m["k"])))
     return out.withColumn("spans", F.when(F.size("more") > 0, F.array_sort(F.array_union("base", fresh)))

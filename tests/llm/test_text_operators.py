@@ -460,6 +460,52 @@ def test_labels_of_loose_candidates_are_no_feature(sql):
     assert sorted(c.label for c in cells) == [0, 1] and len({tuple(c[f] for f in pii.FEATURES) for c in cells}) == 1
 
 
+def _luhn_number(rnd, good=True):
+    d = [4, *[rnd.randrange(10) for _ in range(14)]]
+    total = sum(x if k % 2 else (2 * x - 9 if 2 * x > 9 else 2 * x) for k, x in enumerate(d))
+    last = -total % 10
+    return "".join(map(str, d)) + str(last if good else (last + 5) % 10)
+
+
+def test_loose_addresses_and_cards_on_a_planted_table(sql):
+    """Of the planted loose spans those in the context of real ones are added, with the precision held out."""
+    rnd, rows, want = random.Random(17), [], {}
+    for i in range(240):
+        quad = [rnd.randrange(256) for _ in range(4)]
+        bad = [rnd.randrange(1, 9), rnd.randrange(20), rnd.randrange(300, 999), rnd.randrange(20)]
+        c, d = _luhn_number(rnd), _luhn_number(rnd, False)
+        rows.append((i, f"the host {'.'.join(map(str, quad))} is up; version {'.'.join(map(str, bad))} is out. my card {c} is paid, "
+                        f"serial {d[:4]} {d[4:8]} {d[8:12]} {d[12:]} broke"))
+    for i in range(300, 360):
+        quad, c = [rnd.randrange(256) for _ in range(4)], _luhn_number(rnd)
+        ip = rnd.choice(["[.]", " dot ", "(dot)"]).join(map(str, quad))
+        sep = rnd.choice([".", "/", "  ", "\xa0"])
+        card = sep.join([c[:4], c[4:8], c[8:12], c[12:]])
+        real = i % 3 > 0
+        text = f"see the host {ip} now, the card {card} end" if real else f"see version {ip} now, a serial {card} end"
+        rows.append((i, text))
+        at, ca = text.index(ip), text.index(card)
+        want[i] = f"ip:{at}:{at + len(ip)},card:{ca}:{ca + len(card)}" if real else ""
+    docs = docs_of(sql, rows)
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert {i: got[i].spans_text for i in want} == want
+    assert all(got[i].n_ip == 0 and got[i].n_card == 0 for i in want)  # the digest of base spans is as stated
+    report = pii.calibration(pii.candidates(docs))
+    for kind in ("ip", "card"):
+        assert report[kind]["precision"] >= pii.PRECISION and report[kind]["recall"] > 0.9 and report[kind]["labelled"] >= 480
+
+
+def test_no_spans_added_where_context_tells_nothing(sql):
+    """Labels by lot: no threshold has the precision on the held-out half, so nothing is added."""
+    rnd = random.Random(23)
+    rows = [(i, f"number {_luhn_number(rnd, rnd.random() < 0.5)} here") for i in range(200)]
+    c = _luhn_number(rnd)
+    rows.append((500, f"number {c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]} here"))
+    docs = docs_of(sql, rows)
+    assert pii.calibration(pii.candidates(docs))["card"]["cut"] is None
+    assert {r.doc_id: r.spans_text for r in pii.find(docs).collect()}[500] == ""
+
+
 def test_pii_runs_without_python(sql):
     plan = pii.find(load(sql, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
