@@ -1,8 +1,8 @@
 """Packing documents into sequences: first-fit decreasing over a tournament tree.
 
 Documents are tokenised whole and cut into pieces of at most ``size`` tokens; pieces are
-dealt into randomised groups of documents (a hash of id and text) of about ``GROUP_DOCS``
-documents, and each group is packed on its own: longest piece first, into the leftmost open
+dealt into randomised groups of documents (a hash of id, text and row, so that copies of one row
+spread too) of about ``GROUP_DOCS`` documents, and each group is packed on its own: longest piece first, into the leftmost open
 sequence with room, which a tournament tree of remaining capacities finds in log time. The
 number of groups follows the number of documents, so a task's work does not grow.
 
@@ -90,7 +90,8 @@ def pieces(docs: DataFrame, size: int = SIZE, folder: str | None = None) -> Data
                     out.append((i, s, len(part) // 4, zlib.crc32(part), n, g))
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "h"]).astype(
                 {"doc_id": "Int64"})
-    src = texts(docs).withColumn("h", F.xxhash64("doc_id", "text"))
+    row = F.monotonically_increasing_id()  # the same whenever a split of the input is read again
+    src = texts(docs).withColumn("h", F.xxhash64("doc_id", "text", row))
     return src.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, h long")
 
 

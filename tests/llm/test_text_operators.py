@@ -513,6 +513,15 @@ def test_pii_runs_without_python(sql):
 
 # --- packing --------------------------------------------------------------------------
 
+def test_copies_of_one_row_are_dealt_to_all_groups(sql):
+    got = packing.pack(docs_of(sql, [(None, None)] * 900 + [(7, "a b")] * 300), group_docs=100).toPandas()
+    assert len(got) == 1200 and got.length.sum() == 900 + got[got.doc_id == 7].length.sum()
+    groups = got.sequence_id // 2**32
+    assert groups.nunique() == 12 and groups.value_counts().max() < 200
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]] and seq.length.sum() <= packing.SIZE
+
+
 def test_packing_keeps_every_token(sql):
     import public_tokenizers as public
     from tokenizers import Tokenizer
