@@ -142,3 +142,30 @@ def test_empty_packets_keep_the_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     got = run_stream_to_table(spark, df, 500, 20_000, statistics=True)
     assert got.count() == 0 and set(got.columns) == set(meter_flows(df, 500, 20_000, statistics=True).columns)
+
+
+def test_a_bucket_is_cut_in_one_call_as_its_conversations_are_alone():
+    """30 conversations over four micro-batches: one frame a call and one state, the flows as from 30 states."""
+    rnd, idle, active = random.Random(7), 40, 150
+    rows = [(f"c{rnd.randrange(30)}", t, rnd.random() < 0.5, i) for i, t in enumerate(sorted(rnd.randrange(2000) for _ in range(900)))]
+    pdf = pd.DataFrame(rows, columns=["conv", "ts_ms", "a_sends", "packet_id"]).assign(sized=True, size=lambda d: d.packet_id + 1)
+    names = [c.split()[0] for c in SM._flow_schema(True).split(", ")]
+
+    def flows(df):
+        return [tuple(None if pd.isna(x) else x for x in r) for r in df[names].itertuples(index=False)]
+    want = []
+    for conv, part in pdf.groupby("conv"):
+        fn, st = make_state_fn(idle, active, (), True), FakeState()
+        got = [*fn(KEY, iter([part]), st)]
+        st.hasTimedOut = True
+        want += [(conv, *f) for o in [*got, *fn(KEY, iter([]), st)] for f in flows(o)]
+    fn, st, got = SM.make_bucket_fn(idle, active, True), FakeState(), []
+    for wm, part in zip((0, 499, 999, 1499), (pdf[pdf.ts_ms // 500 == k] for k in range(4))):
+        st.getCurrentWatermarkMs = lambda wm=wm: wm
+        out = list(fn((0,), iter([part.iloc[::-1][:100], part.iloc[::-1][100:]]), st))
+        assert len(out) <= 1 and len(st.value) == 1
+        got += out
+    st.hasTimedOut, st.getCurrentWatermarkMs = True, lambda: 10_000
+    got += fn((0,), iter([]), st)
+    assert not st.exists
+    assert sorted((c, *f) for o in got for c, f in zip(o["conv"], flows(o))) == sorted(want)
