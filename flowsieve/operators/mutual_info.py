@@ -6,12 +6,12 @@ For rows of classes with at least two rows (``N`` of them): ``k = min(K, n_class
 class strictly closer than ``r`` (self included; when ``r = 0``, the rows equal
 to ``x``). ``MI = max(0, psi(N) + mean psi(k) - mean psi(n_class) - mean psi(m))``.
 
-Spark plan, all features in one job: the data is unpivoted to ``(feature, class, x)``.
+Spark plan, all features in one job: the data is unpivoted and counted at once per point ``(feature, class, x)``
+(map-side sums), so equal values are one weighted row from there on.
 Ranks come from range partitions (``running_sums``): a running sum inside each range plus the
-totals of the ranges before it, so no task holds a whole feature or class, however
-frequent a value is. ``r`` comes from ``lag``/``lead`` in blocks of ``BLOCK`` ranks of a class, each
-with the ``K`` ranks beside it (in one dimension the k nearest neighbours form a
-contiguous run); ``m`` from one cumulative count per feature over data rows merged
+totals of the ranges before it, so no task holds a whole feature or class. ``r`` comes from ``lag``/``lead`` over
+the points in blocks of ``BLOCK`` places of a class, each with the ``K`` points beside it (in one dimension the k nearest
+neighbours form a contiguous run); ``m`` from one cumulative count per feature over points merged
 with the two probe rows ``x - r`` and ``x + r``.
 """
 from __future__ import annotations
@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .profile import unpivot_features
 from .ranks import running_sums
 from .sampling import _part, sample_fixed_n
 
-#: Ranks of a class in one window.
+#: Points of a class in one window.
 BLOCK = 65_536
 
 
@@ -58,21 +59,22 @@ def _jitter(long: DataFrame, seed: int) -> DataFrame:
                 .drop("sd", "mabs"))
 
 
-def _kth_distance(k_max: int) -> dict[int, Column]:
-    """Columns r_k (k = 1..k_max) from lag/lead over the class-sorted order."""
-    out = {}
-    x = F.col("x")
-    for k in range(1, k_max + 1):
-        best = None
-        for j in range(k + 1):  # j rows on the left, k - j on the right
-            left = x - F.col(f"lag{j}") if j else F.lit(0.0)
-            right = F.col(f"lead{k - j}") - x if k - j else F.lit(0.0)
-            ok = (F.col(f"lag{j}").isNotNull() if j else F.lit(True)) & \
-                 (F.col(f"lead{k - j}").isNotNull() if k - j else F.lit(True))
-            cand = F.when(ok, F.greatest(left, right))
-            best = cand if best is None else F.least(best, cand)
-        out[k] = best
-    return out
+def _kth_distance(k: Column, k_max: int) -> Column:
+    """Distance to the k-th nearest other row of the class from lag/lead over its points: the smallest reach of a run of
+    i points on the left and j on the right that holds k rows besides the row itself."""
+    x, best = F.col("x"), F.lit(None).cast("double")
+
+    def side(name, i):
+        """Rows of the i nearest points on one side."""
+        return sum((F.coalesce(f"{name}_w{j}", F.lit(0)) for j in range(1, i + 1)), F.lit(0))
+    for i in range(k_max + 1):
+        for j in range(k_max + 1 - i):
+            left = x - F.col(f"lag_x{i}") if i else F.lit(0.0)
+            right = F.col(f"lead_x{j}") - x if j else F.lit(0.0)
+            there = (F.col(f"lag_x{i}").isNotNull() if i else F.lit(True)) & (F.col(f"lead_x{j}").isNotNull() if j else F.lit(True))
+            enough = F.col("w") - 1 + side("lag", i) + side("lead", j) >= k
+            best = F.least(best, F.when(there & enough, F.greatest(left, right)))
+    return best
 
 
 def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n_neighbors: int = 3,
@@ -99,39 +101,37 @@ def mutual_information_knn(df: DataFrame, features=None, label: str = "label", n
     if jitter:
         long = _jitter(long, seed)
     k_max = n_neighbors
-    ranked = (running_sums(long.withColumn("one", F.lit(1)), ["feature", "cls"], ["x", "__row"], "one", "mi-classes")
-              .withColumnsRenamed({"upto": "pos", "total": "n_cls"}).where(F.col("n_cls") >= 2))
-    # a block also holds the rows at most k_max ranks outside it
+    # equal rows of a class have the same neighbours: one point with their number
+    points = materialize(long.groupBy("feature", "cls", "x").agg(F.count(F.lit(1)).alias("w")), "mi-points")
+    n_cls = points.groupBy("feature", "cls").agg(F.sum("w").alias("n_cls")).where(F.col("n_cls") >= 2)
+    ranked = (running_sums(points.join(n_cls, ["feature", "cls"]).withColumn("one", F.lit(1)), ["feature", "cls"], ["x"], "one", "mi-classes")
+              .withColumnRenamed("upto", "pos").drop("total"))
+    # a block also holds the points at most k_max places outside it
     at = [F.floor((F.col("pos") + d) / BLOCK) for d in (-k_max, 0, k_max)]
     blocks = ranked.withColumn("blk", F.explode(F.array_distinct(F.array(*at))))
     wo = Window.partitionBy("feature", "cls", "blk").orderBy("pos")
-    cols = {}
-    for j in range(1, k_max + 1):
-        cols[f"lag{j}"] = F.lag("x", j).over(wo)
-        cols[f"lead{j}"] = F.lead("x", j).over(wo)
-    d = blocks.withColumns(cols).where(F.col("blk") == at[1])
+    near = {f"{side}_{c}{j}": fn(c, j).over(wo) for side, fn in (("lag", F.lag), ("lead", F.lead)) for c in ("x", "w") for j in range(1, k_max + 1)}
+    d = blocks.withColumns(near).where(F.col("blk") == at[1])
     d = d.withColumn("k", F.least(F.lit(k_max), F.col("n_cls") - 1))
-    r = None
-    for k, c in _kth_distance(k_max).items():
-        r = F.when(F.col("k") == k, c) if r is None else r.when(F.col("k") == k, c)
-    d = d.withColumn("r", r)
+    d = d.withColumn("r", _kth_distance(F.col("k"), k_max))
     # m: data rows strictly inside (x - r, x + r); r = 0 -> rows equal to x. Of rows of
     # equal value, tb = -1 probes come before the data ("< v"), +1 probes after them ("<= v").
     zero, x = F.col("r") == 0, F.col("x")
 
-    def row(v, tb, sign):
-        return F.struct(v.alias("v"), tb.alias("tb"), F.lit(1 - abs(sign)).alias("is_data"), F.lit(sign).alias("sign"))
-    # a row is known by its class and place in it: ids that repeat in the input keep their rows apart
-    merged = d.select("feature", "k", "n_cls", "cls", "pos", F.explode(F.array(
-        row(x, F.lit(0), 0),
-        row(x + F.col("r"), F.when(zero, 1).otherwise(-1), 1),
-        row(x - F.col("r"), F.when(zero, -1).otherwise(1), -1))).alias("p")).select("feature", "k", "n_cls", "cls", "pos", "p.*")
-    probes = running_sums(merged, ["feature"], ["v", "tb", "cls", "pos"], "is_data", "mi-probes").where(F.col("is_data") == 0)
-    rows = probes.groupBy("feature", "cls", "pos").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"),
-                                                F.first("k").alias("k"), F.first("n_cls").alias("n_cls"))
-    per = rows.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k"))).alias("psi_k"),
-        F.avg(digamma(F.col("n_cls"))).alias("psi_c"), F.avg(digamma(F.col("m"))).alias("psi_m"))
+    def row(v, tb, rows, sign):
+        return F.struct(v.alias("v"), tb.alias("tb"), rows.cast("long").alias("rows"), F.lit(sign).alias("sign"))
+    merged = d.select("feature", "k", "n_cls", "cls", "pos", "w", F.explode(F.array(
+        row(x, F.lit(0), F.col("w"), 0),
+        row(x + F.col("r"), F.when(zero, 1).otherwise(-1), F.lit(0), 1),
+        row(x - F.col("r"), F.when(zero, -1).otherwise(1), F.lit(0), -1))).alias("p")).select(
+            "feature", "k", "n_cls", "cls", "pos", "w", "p.*")
+    probes = running_sums(merged, ["feature"], ["v", "tb", "cls", "pos"], "rows", "mi-probes").where(F.col("sign") != 0)
+    found = probes.groupBy("feature", "cls", "pos").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"), F.first("k").alias("k"),
+                                                        F.first("n_cls").alias("n_cls"), F.first("w").alias("w"))
+
+    def mean(c):
+        return F.sum(F.col("w") * digamma(F.col(c))) / F.sum("w")
+    per = found.groupBy("feature").agg(F.sum("w").alias("n"), mean("k").alias("psi_k"), mean("n_cls").alias("psi_c"), mean("m").alias("psi_m"))
     mi = digamma(F.col("n")) + F.col("psi_k") - F.col("psi_c") - F.col("psi_m")
     if clip:
         mi = F.greatest(mi, F.lit(0.0))

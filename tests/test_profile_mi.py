@@ -72,3 +72,32 @@ def test_knn_mi_is_the_same_on_every_layout(spark, monkeypatch):
     few = [tuple(r) for r in mutual_information_knn(li.coalesce(1), ["q", "t", "const"], id_cols=KEY).collect()]
     many = [tuple(r) for r in mutual_information_knn(li.repartition(8), ["q", "t", "const"], id_cols=KEY).collect()]
     assert few == many and len(few) == 3
+
+
+def test_knn_information_counts_equal_rows_once(spark, monkeypatch):
+    """Values that repeat are one weighted point from the first shuffle on; the result is that of every row by itself."""
+    import math
+
+    from flowsieve.operators import mutual_info as MI
+    rows = [(i, float([0, 1, 1, 2, 4, 7][i * i % 6] + (i % 97 == 0) * i / 8), "aab"[i % 3]) for i in range(600)] + [(600, 3.0, "alone")]
+    seen, sums = [], MI.running_sums
+
+    def watched(df, *a):
+        seen.append(df.count())
+        return sums(df, *a)
+    monkeypatch.setattr(MI, "running_sums", watched)
+    got = mutual_information_knn(spark.createDataFrame(rows, "id int, x double, label string"), ["x"], id_cols=["id"], jitter=False,
+                                 clip=False).first()["mi"]
+    used = [r for r in rows if r[2] != "alone"]
+    points = len({r[1:] for r in used})
+    assert seen == [points, 3 * points] and points < 60
+
+    def psi(n):
+        return sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    size = {c: sum(r[2] == c for r in used) for c in "ab"}
+    total = psi(len(used))
+    for i, x, c in used:
+        r = sorted(abs(x - y) for j, y, d in used if d == c and j != i)[2]
+        m = sum(abs(x - y) < r or x == y for _, y, _ in used)
+        total += (psi(3) - psi(size[c]) - psi(m)) / len(used)
+    assert math.isclose(got, total, abs_tol=2e-6)
