@@ -6,17 +6,18 @@ given by the number of features and classes.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import with_flow_keys
 from ..functions.roles import split_features
 from ..session import materialize, ship_package
 from .profile import finite
-from .ranks import running_sums
 
 #: More classes than this are no class column but an identifier.
 MAX_CLASSES = 1000
+#: Leading bytes of the split's hash that make a cell: 65,536 cells.
+CELL_BYTES = 2
 #: Partial sums of a pass that reach the driver.
 FAN = 8
 
@@ -30,8 +31,8 @@ def train_test_split(df: DataFrame, test_share: float = 0.2, label: str = "label
     A conversation is the smaller of ``flow_key`` and ``flow_key_rev``; its stratum is its most frequent label (ties:
     a missing label, then the smallest). In each stratum conversations come in the order of a seeded hash, and those up to which the
     row count stays within ``test_share`` of the stratum's rows are test: the share is missed by less than the one
-    conversation that would exceed it. The running counts are over range partitions, so no task holds a stratum. Rows without a
-    key belong to no conversation and are train.
+    conversation that would exceed it. The hash is cut into cells by ``CELL_BYTES``: a stratum's counts per cell tell the cell in which its
+    share ends, and only the conversations of that one are put in order. Rows without a key belong to no conversation and are train.
     """
     if not 0 <= test_share <= 1:
         raise ValueError("test_share must be within 0 and 1")
@@ -42,11 +43,21 @@ def train_test_split(df: DataFrame, test_share: float = 0.2, label: str = "label
     per = (base.where(F.col("__conv").isNotNull()).groupBy("__conv", F.col(f"`{label}`").cast("string").alias("l"))
                .agg(F.count(F.lit(1)).alias("n")))
     convs = per.groupBy("__conv").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "l")).alias("best")).select(
-        "__conv", "n", F.coalesce("best.l", F.lit("(no label)")).alias("stratum"),
-        F.md5(F.concat("__conv", F.lit(f"|{seed}"))).alias("h"))
-    ranked = running_sums(convs, ["stratum"], ["h", "__conv"], "n", "split-order")
-    test = materialize(ranked.where(F.col("upto") <= F.col("total") * F.lit(float(test_share))).select("__conv", F.lit("test").alias(
-        "part")), "split-test")
+        "__conv", "n", F.coalesce("best.l", F.lit("(no label)")).alias("stratum"))
+    h = F.unhex(F.md5(F.concat("__conv", F.lit(f"|{seed}"))))
+    convs = materialize(convs.withColumns({"h": h, "cell": F.conv(F.hex(F.substring(h, 1, CELL_BYTES)), 16, 10).cast("int")}), "split-conversations")
+    cells = convs.groupBy("stratum", "cell").agg(F.sum("n").alias("c"))
+    by = Window.partitionBy("stratum")
+    ends = cells.select("stratum", "cell", F.sum("c").over(by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "c",
+                        (F.sum("c").over(by) * F.lit(float(test_share))).alias("most"))
+    # whole cells up to the share, then the conversations of the cell that would exceed it
+    ends = materialize(ends.select("stratum", "cell", "most", (F.col("upto") - F.col("c")).alias("before"), "upto").where(
+        F.col("before") <= F.col("most")), "split-cells")
+    whole, cut = ends.where("upto <= most").select("stratum", "cell"), ends.where("upto > most")
+    order = Window.partitionBy("stratum").orderBy("h", "__conv").rowsBetween(Window.unboundedPreceding, 0)
+    rest = convs.join(cut, ["stratum", "cell"]).withColumn("at", F.col("before") + F.sum("n").over(order)).where("at <= most")
+    test = materialize(convs.join(whole, ["stratum", "cell"], "left_semi").select("__conv").union(rest.select("__conv")).withColumn(
+        "part", F.lit("test")), "split-test")
     return base.drop("part").join(test, "__conv", "left").withColumn("part", F.coalesce("part", F.lit("train"))).drop("__conv")
 
 

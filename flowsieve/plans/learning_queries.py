@@ -46,8 +46,10 @@ def q_feature_vectors(spark, sf_dir):
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("e.i").alias("position"), F.round("e.v", 6).alias("value"))
 
 
-def _parts(spark, sf_dir):
-    split = L.materialize(L.train_test_split(S.f8_classes(spark, sf_dir), 0.2), "learning-split")
+def _parts(spark, sf_dir, columns=None):
+    """Train and test part, of ``columns`` only if given."""
+    split = L.train_test_split(S.f8_classes(spark, sf_dir), 0.2)
+    split = L.materialize(split.select(*columns, "part") if columns else split, "learning-split")
     return split.where("part = 'train'"), split.where("part = 'test'")
 
 
@@ -60,7 +62,7 @@ def q_forest_scores(spark, sf_dir):
 
 def q_linear_svm_scores(spark, sf_dir):
     """One-vs-rest linear classifiers fitted on the train part, scored on the test part."""
-    train, test = _parts(spark, sf_dir)
+    train, test = _parts(spark, sf_dir, [*F8_FEATURES, "label"])
     model, _ = L.fit_linear_svm(train, F8_FEATURES)
     return L.classification_metrics(L.predict_linear(test, model))
 

@@ -146,3 +146,23 @@ def test_exploration_scans_the_source_once(spark, tmp_path):
     assert out.inputFiles() and not any(path in f for f in out.inputFiles())  # the reports read the written columns
     assert {r["report"] for r in out.select("report").distinct().collect()} == {
         "rows", "nulls", "classes", "describe", "dispersion", "histogram", "boxplot", "correlation", "information", "top"}
+
+
+def test_split_orders_only_the_cell_in_which_the_share_ends(spark, monkeypatch):
+    """700 conversations of 1 to 4 rows in three strata and 256 cells: the parts are those of one running count."""
+    import hashlib
+
+    from flowsieve.operators import learning as LN
+    monkeypatch.setattr(LN, "CELL_BYTES", 1)
+    convs = {f"k{i:03d}": ("xyz"[i * i % 7 % 3], i % 4 + 1) for i in range(700)}
+    df = spark.createDataFrame([(k, c) for k, (c, n) in convs.items() for _ in range(n)], "flow_key string, label string")
+    for share in (0.0, 0.2, 1.0):
+        want = set()
+        for c in "xyz":
+            own, upto = [k for k in convs if convs[k][0] == c], 0
+            for k in sorted(own, key=lambda k: hashlib.md5(f"{k}|42".encode()).hexdigest()):
+                upto += convs[k][1]
+                if upto <= sum(convs[o][1] for o in own) * share:
+                    want.add(k)
+        parts = LN.train_test_split(df, share).where("part = 'test'").groupBy("flow_key").count().collect()
+        assert {r["flow_key"]: r["count"] for r in parts} == {k: convs[k][1] for k in want}
