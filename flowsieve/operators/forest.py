@@ -63,6 +63,13 @@ def route(bins: np.ndarray, tree: dict) -> np.ndarray:
         node[move] = 2 * node[move] + (bins[move, f] > last[inside[move]])
 
 
+def places(nodes: list, tree: dict) -> np.ndarray:
+    """For every node number that ``route`` can give its place in ``nodes``, or -1."""
+    at = np.full(2 * max(tree, default=0) + 2, -1)
+    at[nodes] = np.arange(len(nodes))
+    return at
+
+
 def _gini(c: np.ndarray) -> np.ndarray:
     """Weighted Gini impurity n - sum(c^2) / n of class counts along the last axis."""
     n = c.sum(axis=-1)
@@ -139,13 +146,12 @@ def fit_forest(df: DataFrame, features=None, label: str = "label", trees: int =
         def cells(batches):
             size = {t: np.zeros(len(nodes) * per_node * BINS * k, np.int64) for t, nodes in open_.items() if nodes}
             subset = {t: np.stack([tried(t, i, d, per_node, seed) for i in open_[t]]) for t in size}
-            place = {t: {i: p for p, i in enumerate(open_[t])} for t in size}
+            place = {t: places(open_[t], forest[t]) for t in size}
             for b in batches:
                 x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, d)
                 y, h = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
                 for t in size:
-                    u, inverse = np.unique(route(x, forest[t]), return_inverse=True)
-                    at = np.array([place[t].get(int(i), -1) for i in u])[inverse]
+                    at = place[t][route(x, forest[t])]
                     w = weights(h, t, seed)
                     use = np.flatnonzero((at >= 0) & (w > 0))
                     p = at[use]

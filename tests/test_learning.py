@@ -166,3 +166,14 @@ def test_split_orders_only_the_cell_in_which_the_share_ends(spark, monkeypatch):
                     want.add(k)
         parts = LN.train_test_split(df, share).where("part = 'test'").groupBy("flow_key").count().collect()
         assert {r["flow_key"]: r["count"] for r in parts} == {k: convs[k][1] for k in want}
+
+
+def test_places_of_all_numbers_a_row_can_get():
+    """Rows reach open nodes by table lookup; leaves and inner nodes have no place."""
+    import numpy as np
+
+    from flowsieve.operators.forest import places, route
+    tree = {1: (0, 3), 2: (1, 0)}
+    bins = np.array([[0, 0], [0, 5], [9, 0]], np.uint8)
+    assert places([4, 5], tree)[route(bins, tree)].tolist() == [0, 1, -1]
+    assert places([1], {})[route(bins, {})].tolist() == [0, 0, 0]
