@@ -53,6 +53,10 @@ TIME_TOLERANCES = {
 
 FLOW_TS = "bidirectional_first_seen_ms"
 UNIQUE, REPEATED = 1, 2
+#: A key with more rows than this, labels and probes together, is answered by time cells.
+HOT_ROWS = 100_000
+#: Keys are counted in this many hash buckets first; only those of too full buckets are counted one by one.
+COUNT_BUCKETS = 1 << 17
 
 
 def numeric_ts(df: DataFrame, col: str) -> Column:
@@ -398,21 +402,159 @@ def match_points(flows: DataFrame, labels: DataFrame, tolerance_ms,
         F.when(same_class("R"), F.col("nc_R")).otherwise(F.lit(0)).cast("bigint").alias("n_cand_r"))
 
 
+def _side(rows: DataFrame, name: str, order: list, sign: int, keys=("jkey", "cell"), cand: Column | None = None) -> DataFrame:
+    """For each row the nearest label row at or before it in ``order`` and the nearest that contradicts that one.
+
+    Adds distances ``{name}_any`` (any candidate), ``{name}`` (a label), ``{name}_other`` (another label than ``{name}_label``).
+    Running windows only, on one sort. A distance that does not fit its type is null, like one that does not exist.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    lab = F.col("l_min").isNotNull()
+    cand = F.col("n_cand") > 0 if cand is None else cand
+    rows = rows.withColumns({
+        "__last": F.last(F.when(lab, F.struct("ts", "l_min", "l_max")), True).over(before)})
+    # the nearest point that holds another label than this row's: itself, the one before, or as for the one before
+    differs = (F.col("__last.l_min") != F.col("l_min")) | (F.col("__last.l_max") != F.col("l_max"))
+    other = F.when(lab, F.when(F.col("l_min") != F.col("l_max"), F.col("ts")).when(differs, F.col("__last.ts")))
+    rows = rows.withColumn("__other", other)
+    at = F.last(F.when(lab, F.struct("ts", "l_min")), True).over(w)
+    rows = rows.withColumns({f"{name}_any": F.last(F.when(cand, F.col("ts")), True).over(w), "__at": at,
+                             f"{name}_other": F.last("__other", True).over(w)})
+    gap = {c: F.try_subtract(F.col("ts"), F.col(x)) if sign > 0 else F.try_subtract(F.col(x), F.col("ts")) for c, x in ((f"{name}_any", f"{name}_any"), (name, "__at.ts"), (f"{name}_other", f"{name}_other"))}
+    return rows.withColumns({**gap, f"{name}_label": F.col("__at.l_min")}).drop("__last", "__other", "__at")
+
+
+def _hot_keys(events: DataFrame, hot_rows: int) -> DataFrame | None:
+    """(jkey, n_f, n_l) of the keys that have more than ``hot_rows`` of the ``events`` (jkey, kind); None if there are none.
+
+    A bucket of keys has at least the rows of each of its keys, so the first count, a number per bucket and task, misses none.
+    """
+    bucket = F.pmod(F.xxhash64("jkey"), F.lit(COUNT_BUCKETS))
+    full = materialize(events.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+                             .where(F.col("n") > hot_rows).select("bucket"), "match-full-buckets")
+    if full.isEmpty():
+        return None
+    per = events.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("jkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == 1).alias("n_f"), F.count_if(F.col("kind") == 0).alias("n_l"))
+    hot = materialize(per.where(F.col("n") > hot_rows).select("jkey", "n_f", "n_l"), "match-hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def _class_of(n: Column) -> Column:
+    return F.when(n > 1, REPEATED).otherwise(UNIQUE)
+
+
+def _answer_keys(events: DataFrame, tol: int) -> DataFrame:
+    """Answers of keys with few rows: one shuffle by key, running windows over the key's rows in both directions of time.
+
+    All labels within the tolerance agree exactly if it reaches the nearest label but not yet the nearest that contradicts it.
+    """
+    per_key = Window.partitionBy("jkey")
+    rows = events.withColumns({"n_f": F.count_if(F.col("kind") == 1).over(per_key), "n_l": F.count_if(F.col("kind") == 0).over(per_key),
+                               "l_min": F.col("l"), "l_max": F.col("l")})
+    cand = (F.col("kind") == 0) & F.col("ts").isNotNull()
+    rows = _side(rows, "back", [F.col("ts"), F.col("kind")], 1, ("jkey",), cand)
+    rows = _side(rows, "ahead", [F.col("ts").desc(), F.col("kind")], -1, ("jkey",), cand).where(F.col("kind") > 0)
+    differ = F.col("back").isNotNull() & F.col("ahead").isNotNull() & (F.col("back_label") != F.col("ahead_label"))
+    clash = F.least("back_other", "ahead_other", F.when(differ, F.greatest("back", "ahead")))
+    label = F.when(F.col("back") <= tol, F.col("back_label")).when(F.col("ahead") <= tol, F.col("ahead_label"))
+    return rows.select(
+        "jkey", "qkey", F.col("ts").alias("t"), "kind", label.alias("l_min"), label.alias("l_max"), F.coalesce(clash <= tol, F.lit(False)).alias("mixed"),
+        F.when(F.least("back_any", "ahead_any") <= tol, _class_of(F.col("n_l"))).alias("cls_l"),
+        F.when(F.col("kind") == 1, _class_of(F.col("n_f"))).alias("cls_f"))
+
+
+def _answer_cells(events: DataFrame, hot: DataFrame, tol: int, integral: bool, sub_cell_ms: int) -> DataFrame:
+    """Answers of the hot keys: rows added up to points, then the plan by time cells."""
+    own = events.join(hot, "jkey")
+    points = (own.where((F.col("kind") == 0) & F.col("ts").isNotNull()).groupBy("jkey", "ts")
+                 .agg(F.min("l").alias("l_min"), F.max("l").alias("l_max"), F.count("l").alias("n_lab"),
+                      F.count(F.lit(1)).alias("n_cand"), F.max(_class_of(F.col("n_l"))).alias("cls_l")))
+    q = (own.where(F.col("kind") > 0)
+            .groupBy(F.coalesce("qkey", "jkey").alias("qkey"), F.col("ts").alias("t"), "jkey",
+                     F.when(F.col("kind") == 1, "F").otherwise("R").alias("dir"))
+            .agg(F.max(F.when(F.col("kind") == 1, _class_of(F.col("n_f")))).alias("cls_f")))
+    points, q, tols = materialize(points, "match-label-points"), materialize(q, "match-flow-points"), [(None, tol)]
+    answered = (_answer_one_level(q, points, tols, integral) if tol <= sub_cell_ms
+                else _answer_two_level(q, points, tols, integral, sub_cell_ms))
+    return answered.select("qkey", "t", F.when(F.col("dir") == "F", 1).otherwise(2).alias("kind"), "l_min", "l_max",
+                           F.lit(False).alias("mixed"), "cls_l", "cls_f")
+
+
+def label_points(flows: DataFrame, labels: DataFrame, tolerance_ms: int, *, cardinality: str = "split",
+                 directions: str = "both", flow_ts: str = FLOW_TS, label_ts: str = "ts_ms", scope=(),
+                 sub_cell_ms: int = 3_600_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``flow_key, ts, label, match_pass`` of the flow points that get a label: :func:`match_points` without counts of candidates.
+
+    Label rows and one probe per flow and direction are shuffled once by key. A key of more than ``hot_rows`` rows
+    is answered by time cells, so no window holds more of a key.
+    """
+    tol = int(tolerance_ms)
+    if cardinality not in ("split", "any"):
+        raise ValueError("cardinality must be 'split' or 'any'")
+    if directions not in ("both", "forward"):
+        raise ValueError("directions must be 'both' or 'forward'")
+    if tol < 0:
+        raise ValueError("tolerances must be >= 0")
+    flows, labels, f_ts, l_ts, integral = _prepare(flows, labels, flow_ts, label_ts)
+    if scope:
+        flows, labels = _scope_keys(flows, scope), _scope_keys(labels, scope)
+    # kind 0: label row (without a time it only counts as an occurrence of its key), 1: flow at its key, 2: flow at its reverse key
+    text = F.lit(None).cast("string")
+    timed = flows.select("flow_key", "flow_key_rev", f_ts.alias("ts")).where(F.col("flow_key").isNotNull() & F.col("ts").isNotNull())
+    events = (labels.select(F.col("flow_key").alias("jkey"), l_ts.alias("ts"), F.col("label").cast("string").alias("l"))
+                    .where(F.col("jkey").isNotNull())
+                    .select("jkey", "ts", F.lit(0).alias("kind"), F.when(F.col("ts").isNotNull(), F.col("l")).alias("l"), text.alias("qkey"))
+                    .unionAll(timed.select(F.col("flow_key").alias("jkey"), "ts", F.lit(1).alias("kind"), text.alias("l"), text.alias("qkey"))))
+    if directions == "both":
+        events = events.unionAll(timed.where(F.col("flow_key_rev").isNotNull() & (F.col("flow_key_rev") != F.col("flow_key"))).select(
+            F.col("flow_key_rev").alias("jkey"), "ts", F.lit(2).alias("kind"), text.alias("l"), F.col("flow_key").alias("qkey")))
+    hot = _hot_keys(events.select("jkey", "kind"), hot_rows)
+    few = events if hot is None else events.join(hot.select("jkey"), "jkey", "left_anti")
+    answers = _answer_keys(few, tol)
+    # forward answers lie by key already
+    answers = (answers.drop("qkey").withColumnRenamed("jkey", "qkey") if directions == "forward"
+               else answers.withColumn("qkey", F.coalesce("qkey", "jkey")).drop("jkey"))
+    by = ["qkey", "t"]
+    if hot is not None:
+        answers = answers.unionByName(_answer_cells(events, hot, tol, integral, sub_cell_ms))
+    if hot is not None or directions == "both":
+        # grouped by one column more than the flows are joined on: the join gets an exchange of its own, and AQE can split it
+        answers, by = answers.withColumn("spread", F.length("qkey")), [*by, "spread"]
+
+    def of(agg, col, kind):
+        return agg(F.when(F.col("kind") == kind, F.col(col)))
+    per_point = answers.groupBy(*by).agg(F.max("cls_f").alias("cls_f"), *[e for d, k in (("F", 1), ("R", 2)) for e in (
+        of(F.min, "l_min", k).alias(f"mn_{d}"), of(F.max, "l_max", k).alias(f"mx_{d}"),
+        F.coalesce(of(F.max, "mixed", k), F.lit(False)).alias(f"mixed_{d}"), of(F.max, "cls_l", k).alias(f"cl_{d}"))])
+
+    def ok(d):
+        fits = F.lit(True) if cardinality == "any" else F.col(f"cl_{d}") == F.col("cls_f")
+        return fits & ~F.col(f"mixed_{d}") & (F.col(f"mn_{d}") == F.col(f"mx_{d}"))
+    prefix = F.when(F.col("cls_f") == UNIQUE, F.lit("u")).otherwise(F.lit("d"))
+    return per_point.select(
+        F.col("qkey").alias("flow_key"), F.col("t").alias("ts"), F.when(ok("F"), F.col("mn_F")).when(ok("R"), F.col("mn_R")).alias("label"),
+        F.concat(prefix, F.when(ok("F"), F.lit("f")).otherwise(F.lit("r"))).alias("match_pass")).where(F.col("label").isNotNull())
+
+
 def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
                 *, cardinality: str = "split", directions: str = "both",
                 flow_ts: str = FLOW_TS, label_ts: str = "ts_ms",
                 keep_diagnostics: bool = False, scope=(), sub_cell_ms: int = 3_600_000,
-                reuse_points: bool | None = None) -> DataFrame:
+                reuse_points: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All flows with their columns plus ``label`` and ``match_pass``.
 
     The label is a function of ``(flow_key, ts)``, so it is joined back on that
     pair: no row identity is needed and the wide flow table is shuffled once.
     """
-    res = match_points(flows, labels, tolerance_ms, cardinality=cardinality,
-                       directions=directions, flow_ts=flow_ts, label_ts=label_ts, scope=scope,
-                       sub_cell_ms=sub_cell_ms, reuse_points=reuse_points)
-    if not keep_diagnostics:
-        res = res.drop("n_cand_f", "n_cand_r")
+    if keep_diagnostics:
+        res = match_points(flows, labels, tolerance_ms, cardinality=cardinality,
+                           directions=directions, flow_ts=flow_ts, label_ts=label_ts, scope=scope,
+                           sub_cell_ms=sub_cell_ms, reuse_points=reuse_points)
+    else:
+        res = label_points(flows, labels, tolerance_ms, cardinality=cardinality, directions=directions, flow_ts=flow_ts,
+                           label_ts=label_ts, scope=scope, sub_cell_ms=sub_cell_ms, hot_rows=hot_rows)
     res = res.withColumnsRenamed({"flow_key": "__mk", "ts": "__mt"})
     if "flow_key" not in flows.columns:
         flows = with_flow_keys(flows)
@@ -423,28 +565,6 @@ def match_flows(flows: DataFrame, labels: DataFrame, tolerance_ms: int,
     return base.join(res, cond, "left").drop("__mk", "__mt", "__ts", "__fk")
 
 
-def _side(rows: DataFrame, name: str, order: list, sign: int) -> DataFrame:
-    """For each row the nearest label row at or before it in ``order`` and the nearest that contradicts that one.
-
-    Adds distances ``{name}_any`` (any candidate), ``{name}`` (a label), ``{name}_other`` (another label than ``{name}_label``).
-    Running windows only, on one sort.
-    """
-    w = Window.partitionBy("jkey", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    lab = F.col("n_lab") > 0
-    rows = rows.withColumns({
-        "__last": F.last(F.when(lab, F.struct("ts", "l_min", "l_max")), True).over(before)})
-    # the nearest point that holds another label than this row's: itself, the one before, or as for the one before
-    differs = (F.col("__last.l_min") != F.col("l_min")) | (F.col("__last.l_max") != F.col("l_max"))
-    other = F.when(lab, F.when(F.col("l_min") != F.col("l_max"), F.col("ts")).when(differs, F.col("__last.ts")))
-    rows = rows.withColumn("__other", other)
-    at = F.last(F.when(lab, F.struct("ts", "l_min")), True).over(w)
-    rows = rows.withColumns({f"{name}_any": F.last(F.when(F.col("n_cand") > 0, F.col("ts")), True).over(w), "__at": at,
-                             f"{name}_other": F.last("__other", True).over(w)})
-    gap = {c: (F.col("ts") - F.col(x)) * sign for c, x in ((f"{name}_any", f"{name}_any"), (name, "__at.ts"), (f"{name}_other", f"{name}_other"))}
-    return rows.withColumns({**gap, f"{name}_label": F.col("__at.l_min")}).drop("__last", "__other", "__at")
-
-
 def _nested(q: DataFrame, points: DataFrame, tols: list, integral: bool, cardinality: str) -> DataFrame:
     """Per flow point (qkey, t, w): arrays ``ok`` and ``cand`` over the ascending tolerances, from one sorted pass.
 

@@ -1,5 +1,6 @@
 """Hot keys: one key holding most rows must give the brute-force answer."""
 import random
+from collections import Counter
 
 from flowsieve.operators.matching import match_flows
 from flowsieve.operators.metering import meter_flows
@@ -64,3 +65,45 @@ def test_hot_conversation_metering(spark):
     assert [r.bidirectional_first_seen_ms for r in out] == list(range(0, 150_000, 10_000))
     assert all(r.bidirectional_packets == 200 for r in out)
     assert [r.expiration_id for r in out] == [1] * 14 + [0]
+
+
+def _brute(flows, labels, tol):
+    """(flow_id -> label) of small lists: split by key count, forward then reverse."""
+    n_f, n_l = Counter(k for _, k, _, t in flows if t is not None), Counter(k for k, _, _ in labels)
+
+    def one(key, of, t):
+        near = [lab for k, s, lab in labels if k == key and s is not None and abs(s - t) <= tol]
+        found = {x for x in near if x is not None}
+        return found.pop() if len(found) == 1 and (n_l[key] > 1) == (n_f[of] > 1) else None
+    return {i: None if t is None else one(k, k, t) or (one(r, k, t) if r != k else None) for i, k, r, t in flows}
+
+
+@pytest.mark.parametrize("hot_rows", [0, 60, 10 ** 6])
+@pytest.mark.parametrize("tol", [0, 40, 5_000])
+def test_few_rows_and_hot_keys_answer_alike(spark, hot_rows, tol):
+    """Keys answered whole and keys answered by time cells, and flows of which one direction is hot."""
+    rnd = random.Random(tol)
+    keys = ["a", "b", "c", "d", "once"]
+    flows = [(i, *rnd.choice([("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("s", "s")]), rnd.choice([None, *range(0, 9_000, 30)]))
+             for i in range(200)] + [(1000, "once", "d", 500), (1001, "e", "once", 500)]
+    labels = [(rnd.choice(keys[:2] if i % 3 else keys[2:4]), rnd.choice([None, *range(0, 9_000, 30)]), rnd.choice(["x", "x", "x", "y", None]))
+              for i in range(150)] + [("once", 500, "z")]
+    f = spark.createDataFrame(flows, "flow_id long, flow_key string, flow_key_rev string, bidirectional_first_seen_ms long")
+    lab = spark.createDataFrame(labels, "flow_key string, ts_ms long, label string")
+    got = {r.flow_id: r.label for r in match_flows(f, lab, tol, sub_cell_ms=700, hot_rows=hot_rows).collect()}
+    assert got == _brute(flows, labels, tol)
+
+
+def test_forward_match_shuffles_rows_once(spark):
+    """One shuffle of the narrow rows by key besides the two sides of the last join."""
+    f = spark.createDataFrame([(i, f"k{i % 50}", i) for i in range(500)], "flow_id long, flow_key string, bidirectional_first_seen_ms long")
+    lab = spark.createDataFrame([(f"k{i % 60}", i, "x") for i in range(500)], "flow_key string, ts_ms long, label string")
+    plan = match_flows(f, lab, 10 ** 8, directions="forward")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_far_times_do_not_overflow(spark):
+    big = 2 ** 63 - 1
+    f = spark.createDataFrame([(1, "k", big), (2, "k", 5)], "flow_id long, flow_key string, bidirectional_first_seen_ms long")
+    lab = spark.createDataFrame([("k", -big, "x"), ("k", 4, "y")], "flow_key string, ts_ms long, label string")
+    assert {r.flow_id: r.label for r in match_flows(f, lab, 10, directions="forward").collect()} == {1: None, 2: "y"}
