@@ -32,6 +32,27 @@ def test_ties_nulls_and_copies(spark):
     assert got == [(1, "x", 3), (2, None, 0), (3, None, 2), (4, None, 0), (5, None, 0), (6, None, 1), (7, "x", 3)]
 
 
+def test_labels_wait_for_open_flows(spark):
+    """The watermark passes a label's own tolerance while a flow that it reaches is still open; state is one value a bucket."""
+    edges = [0, 1000, 2000]
+    flows = spark.createDataFrame([(i, "edge", t) for i, t in enumerate(edges)] + [(10, "a", 900), (11, "a", 1150), (12, "b", 990), (12, "b", 990)], FLOW)
+    labels = spark.createDataFrame([("edge", t, None) for t in edges] + [("a", 710, "x"), ("a", 1100, "x"), ("b", 800, "y"), ("b", 1190, "y")], LABEL)
+    log = []
+    out = LS.replay_labels(spark, flows, labels, 200, phases=2, log=log).where("flow_id >= 10").collect()
+    assert sorted((r["flow_id"], r["label"], r["n_candidates"]) for r in out) == [(10, "x", 2), (11, "x", 1), (12, "y", 4)]
+    assert max(p["state_rows"] for p in log) <= 4  # keys: edge, a, b, and that of the closing rows
+
+
+def test_flow_columns_pass_through(spark):
+    schema = "flow_id long, flow_key string, bidirectional_first_seen_ms long, at timestamp, wall timestamp_ntz, big decimal(30,4), some array<string>, x double"
+    flows = spark.sql("SELECT 9007199254740993L, 'k', 5L, TIMESTAMP'2024-01-01 00:00:00.123456Z', TIMESTAMP_NTZ'2024-01-01 00:00:00.654321', "
+                      "CAST(12345678901234567890.1234 AS DECIMAL(30,4)), array('p', null), double('NaN') UNION ALL "
+                      "SELECT 2L, 'k', 7L, null, null, null, null, null").toDF(*[c.split()[0] for c in schema.split(", ")])
+    labels = spark.createDataFrame([("k", 6, "x")], LABEL)
+    out = LS.replay_labels(spark, flows, labels, 10, phases=1)
+    assert out.drop("label", "n_candidates").exceptAll(flows).isEmpty() and out.where("label = 'x' AND n_candidates = 1").count() == 2
+
+
 def test_late_rows_are_counted(spark):
     root = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
 
