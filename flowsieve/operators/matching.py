@@ -12,7 +12,10 @@ Semantics (per flow):
 * A flow gets the label of its forward candidates when they all agree (null
   labels ignored); otherwise the reverse candidates are tried the same way.
 
-Plan (no candidate pairs are ever materialised, so one hot key cannot blow up):
+Plan of :func:`match_flows` (no candidate pairs are ever materialised): label rows and one probe per flow and
+direction are shuffled once by key, and running windows find the nearest labels and the nearest contradiction
+(``_answer_keys``). Keys of more than ``hot_rows`` rows are found by two counts and take the plan by time cells, which
+:func:`match_points` (with its counts of candidates) uses for all keys, so one hot key cannot blow up:
 
 1. key multiplicities by ``groupBy(key).count()`` joined back (map-side partial
    aggregation; AQE broadcasts the count table when it is small at runtime, and
